@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, pii, sharding, url_filter
+from tessera.llm import exact_dedup, jaccard_join, mixing, pii, sharding, url_filter
 from tessera.llm.common import read
 
 
@@ -29,6 +29,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(read(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_sharding, op3_mixing, op7_exact_dedup, op8_pii]
+    found = [op1_url_filters, op2_sharding, op3_mixing, op4_jaccard_join, op7_exact_dedup, op8_pii]
     return {f.__name__: f for f in found}
 
 
