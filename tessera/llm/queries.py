@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, jaccard_join, mixing, pii, sharding, url_filter
+from tessera.llm import exact_dedup, jaccard_join, mixing, pii, sharding, toxicity, url_filter
 from tessera.llm.common import read
 
 
@@ -45,8 +45,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(of(*pii.BASE)).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_sharding, op3_mixing, op4_jaccard_join, op7_exact_dedup, op8_pii]
+    found = [op1_url_filters, op2_sharding, op3_mixing, op4_jaccard_join, op7_exact_dedup, op8_pii, op9_toxicity]
     return {f.__name__: f for f in found}
 
 
