@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, jaccard_join, mixing, pii, sharding, toxicity, url_filter
+from tessera.llm import decontaminate, exact_dedup, jaccard_join, mixing, pii, sharding, toxicity, url_filter
 from tessera.llm.common import read
 
 
@@ -33,6 +33,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(read(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_sharding, op3_mixing, op4_jaccard_join, op7_exact_dedup, op8_pii, op9_toxicity]
+    found = [op1_url_filters, op2_sharding, op3_mixing, op4_jaccard_join, op5_decontamination, op7_exact_dedup, op8_pii, op9_toxicity]
     return {f.__name__: f for f in found}
 
 
@@ -92,5 +96,23 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+_DECONTAMINATION = r"""
+WITH words AS (
+  SELECT 0 AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') FROM benchmark
+), shingles AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM words)
+  UNION
+  SELECT kind, id, array_to_string(w, ' ') FROM words WHERE kind = 1 AND len(w) BETWEEN 1 AND 4
+), items AS (SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n_item FROM shingles WHERE kind = 1)
+SELECT d.id AS doc_id, item_id, n_item, count(*) AS n_shared, count(*)::DOUBLE / n_item AS containment
+FROM shingles d JOIN items ON d.kind = 0 AND d.s = items.s
+GROUP BY d.id, item_id, n_item
+HAVING count(*) >= ceil(n_item * 0.8 - 1e-9)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _URL_PARTS, "op7_exact_dedup": _EXACT_DEDUP}
+    return {"op5_decontamination": _DECONTAMINATION, "op1_url_filters": _URL_PARTS, "op7_exact_dedup": _EXACT_DEDUP}
