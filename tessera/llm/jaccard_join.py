@@ -29,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bitmaps import KeyBitmaps
 from tessera.llm.common import materialize
 from tessera.llm.components import connected_components
 from tessera.llm.kernels import U64, chunks, mix, mix_one, shingle_sets
 
 #: Sets compared with each other in one task.
 GROUP = 16_384
-#: log2 of the bits of each of the two bitmaps: 32 bits a list, at most 32 MB.
-LEAST_BITS, MOST_BITS = 18, 28
 
 
 @cache
@@ -126,31 +125,12 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return docs.select("text").mapInArrow(index, "list long, class long")
 
 
-def _two_bits(keys, bits: int):
-    mask = (1 << bits) - 1
-    return keys & mask, (keys >> 30) & mask
-
-
-def _bitmaps(lists: DataFrame, bits: int) -> list[np.ndarray]:
-    """Two bitmaps of 2^bits bits over the lists; built by the executors, at most 2^(bits - 2) bytes together."""
-    out = []
-    for place in (F.col("list").bitwiseAND(F.lit((1 << bits) - 1)), F.shiftright("list", 30).bitwiseAND(F.lit((1 << bits) - 1))):
-        at = lists.select(place.alias("at"))
-        rows = at.groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("m")).collect()
-        held = np.zeros(max(1, (1 << bits) // 8 // 4096) * 4096, np.uint8)
-        for r in rows:
-            held[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
-        out.append(held)
-    return out
-
-
-def _carry(docs: DataFrame, width: int, num: int, den: int, bitmaps, bits: int) -> DataFrame:
+def _carry(docs: DataFrame, width: int, num: int, den: int, bitmaps) -> DataFrame:
     """Rows (doc_id, class, n, lists, shingles): each document; lists and shingles only where the set, the first of its class in the task, is on a list that is left."""
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = bitmaps.value
+        left_over = bitmaps.value
         seen: set[int] = set()
-        bit = lambda held, at: (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1
         for batch in batches:
             for start, texts in chunks(batch.column(1)):
                 classes, sizes, lists, sets = [], [], [], []
@@ -160,8 +140,7 @@ def _carry(docs: DataFrame, width: int, num: int, den: int, bitmaps, bits: int)
                     if c is not None and c not in seen:
                         seen.add(c)
                         k = list_keys(s, num, den).view(np.int64)
-                        a, b = _two_bits(k, bits)
-                        k = k[(bit(first, a) & bit(second, b)).astype(bool)]
+                        k = k[left_over.passes(k)]
                         if len(k):
                             left, bytes_of = k.tolist(), s.tobytes()
                     classes.append(c)
@@ -263,10 +242,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     spark = docs.sparkSession
     multi = _index(docs, width, num, den).groupBy("list").agg(F.min("class").alias("pivot"), F.max("class").alias("high")).where("pivot <> high").select("list", "pivot")
     multi = materialize(multi, "lists")
-    n_lists = multi.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, int(n_lists * 32 - 1).bit_length() if n_lists else 0))
-    bitmaps = spark.sparkContext.broadcast(_bitmaps(multi, bits))
-    carried = materialize(_carry(docs, width, num, den, bitmaps, bits), "sets")
+    bitmaps = spark.sparkContext.broadcast(KeyBitmaps(multi, "list", multi.count()))
+    carried = materialize(_carry(docs, width, num, den, bitmaps), "sets")
     components = connected_components(_links(carried, multi, num, den))
     classes = carried.where("class is not null").groupBy(F.col("class").alias("node")).agg(F.min("doc_id").alias("least"))
     named = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, jaccard_join, mixing, pii, sharding, toxicity, url_filter
+from tessera.llm import decontaminate, exact_dedup, jaccard_join, mixing, pii, repeated_bytes, sharding, toxicity, url_filter
 from tessera.llm.common import read
 
 
@@ -37,6 +37,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_bytes.find_repeats(read(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.length("kept")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(read(spark, sf_dir, "documents"))
 
@@ -54,7 +60,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_sharding, op3_mixing, op4_jaccard_join, op5_decontamination, op7_exact_dedup, op8_pii, op9_toxicity]
+    found = [op1_url_filters, op2_sharding, op3_mixing, op4_jaccard_join, op5_decontamination, op6_repeated_bytes, op7_exact_dedup, op8_pii, op9_toxicity]
     return {f.__name__: f for f in found}
 
 
