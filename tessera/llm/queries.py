@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, jaccard_join, mixing, pii, repeated_bytes, sharding, toxicity, url_filter
+from tessera.llm import decontaminate, exact_dedup, jaccard_join, lm_score, mixing, pii, repeated_bytes, sharding, toxicity, url_filter
 from tessera.llm.common import read
 
 
@@ -59,8 +59,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held = lm_score.held_out(F.col("doc_id"))
+    scored = lm_score.score_texts(docs, docs.where(~held))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_sharding, op3_mixing, op4_jaccard_join, op5_decontamination, op6_repeated_bytes, op7_exact_dedup, op8_pii, op9_toxicity]
+    found = [op1_url_filters, op2_sharding, op3_mixing, op4_jaccard_join, op5_decontamination, op6_repeated_bytes, op7_exact_dedup, op8_pii, op9_toxicity, op10_lm_score]
     return {f.__name__: f for f in found}
 
 
