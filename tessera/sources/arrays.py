@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import io
 import json
 import struct
@@ -32,10 +33,10 @@ def parse_npy(data: bytes, types: tuple[str, ...] = READ_TYPES) -> np.ndarray:
     if len(data) < start + size:
         raise ValueError("NPY header is cut short")
     try:
-        head = np.lib.format._read_array_header(io.BytesIO(data[8:]), version=(data[6], data[7]))
-    except Exception as e:
+        head = ast.literal_eval(data[start : start + size].decode("utf-8" if data[6] == 3 else "latin-1").strip())
+        shape, fortran, dtype = tuple(head["shape"]), bool(head["fortran_order"]), np.dtype(head["descr"])
+    except (SyntaxError, ValueError, KeyError, TypeError, UnicodeDecodeError) as e:
         raise ValueError(f"NPY header: {e}") from e
-    shape, fortran, dtype = head
     if dtype.str not in types:
         raise ValueError(f"NPY type {dtype.str} is not supported")
     if fortran and len(shape) > 1:
@@ -189,7 +190,7 @@ def scene_states(arrays: dict[str, np.ndarray]) -> pd.DataFrame:
 def frame_size(arrays: dict[str, np.ndarray], meta: dict) -> tuple[int, int]:
     """Width and height of a scene: from its own fields, its density, its render, or its notes."""
     if "width" in arrays and "height" in arrays:
-        return int(arrays["width"]), int(arrays["height"])
+        return int(np.ravel(arrays["width"])[0]), int(np.ravel(arrays["height"])[0])
     for name in ("density", "rendered"):
         if name in arrays:
             return int(arrays[name].shape[-1]), int(arrays[name].shape[-2])
