@@ -17,6 +17,7 @@ from tessera.operators import nearest as N
 from tessera.operators import render as R
 from tessera.operators import sampling as P
 from tessera.plans import fixtures as X
+from tessera.plans import sampler
 from tessera.sources import manifests
 from tessera.streaming import tracks
 
@@ -488,6 +489,13 @@ def equal_mass_placement(spark: SparkSession, d: str) -> DataFrame:
     return M.equal_mass_voronoi(X.pixels(spark, d), 100, *SIZE, SEED).select("idx", "x", "y", "mass", "weight")
 
 
+@query()
+def sampled_splats(spark: SparkSession, d: str) -> DataFrame:
+    """The composite of placement, look-up, renders and corrections (no SQL: iterations)."""
+    states, _ = sampler.sample(X.pixels(spark, d), X.image(spark), *SIZE, X.deltas(spark, 1), count=64, states=2)
+    return sampler.label_states(states).select("label", "idx", "x", "y", "lc_xx", "lc_xy", "lc_yy", *"rgb", "weight")
+
+
 @query("""WITH RECURSIVE c AS (SELECT date_diff('day', DATE '2024-01-01', ts::DATE)::BIGINT AS frame, count(DISTINCT user_id) AS n FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY frame) AS k FROM c),
 w AS (SELECT k, frame, n, n::DOUBLE AS s FROM o WHERE k = 1 UNION ALL SELECT o.k, o.frame, o.n, 0.9::DOUBLE * w.s + (1 - 0.9::DOUBLE) * o.n FROM w JOIN o ON o.k = w.k + 1)
 SELECT frame, n, round(s, 6) AS smoothed, greatest(1, round_even(s, 0))::BIGINT AS n_target FROM w""")

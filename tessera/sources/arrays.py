@@ -219,3 +219,43 @@ def write_files(files: DataFrame, folder: str) -> None:
         out = path.getFileSystem(conf).create(path, True)
         out.write(bytearray(row["content"]))
         out.close()
+
+
+def splat_files(splats: DataFrame) -> DataFrame:
+    """(name, content) of the array files of each image's splats: .points .cov .rgb .color .weights, and .ids .slots where there are tracks."""
+    tracked = "track_id" in splats.columns
+
+    def dump(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        rgb, weight = pdf[["r", "g", "b"]].to_numpy("<f4"), pdf["weight"].to_numpy("<f4")
+        arrays = {"points": pdf[["x", "y"]].to_numpy("<f4"), "cov": pdf[["lc_xx", "lc_xy", "lc_yy"]].to_numpy("<f4"), "rgb": rgb, "color": np.clip(rgb * weight[:, None], 0, 1).astype("<f4"), "weights": weight}
+        if tracked:
+            arrays |= {"ids": pdf["track_id"].to_numpy("<i8"), "slots": pdf["slot"].to_numpy("<i4")}
+        return pd.DataFrame({"name": [f"{pdf['image_id'].iloc[0]}.{n}.npy" for n in arrays], "content": [dump_npy(a) for a in arrays.values()]})
+
+    return splats.groupBy("image_id").applyInPandas(dump, "name string, content binary")
+
+
+def render_files(rendered: DataFrame, width: int, height: int) -> DataFrame:
+    """(name, content) of each image's render as a [3, H, W] array."""
+
+    def dump(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf.sort_values("pix")[["r", "g", "b"]].to_numpy("<f4").T.reshape(3, height, width)
+        return pd.DataFrame({"name": [f"{pdf['image_id'].iloc[0]}.npy"], "content": [dump_npy(np.ascontiguousarray(a))]})
+
+    return rendered.groupBy("image_id").applyInPandas(dump, "name string, content binary")
+
+
+def read_encoded(spark: SparkSession, path: str) -> DataFrame:
+    """Pixels (path, pix, x, y, r, g, b) of JPEG, PNG, GIF or BMP files, by Spark's image source; files it can't decode are left out, greys are spread over the channels."""
+
+    def pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, h, w, n, data in batch.itertuples(index=False):
+                a = np.frombuffer(bytes(data), np.uint8).reshape(h * w, n)
+                a = (np.repeat(a, 3, 1) if n == 1 else a[:, 2::-1]).astype(np.float32) / np.float32(255)
+                pix = np.arange(h * w)
+                yield pd.DataFrame({"path": p, "pix": pix, "x": pix % w, "y": pix // w, "r": a[:, 0], "g": a[:, 1], "b": a[:, 2]})
+
+    held = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    return held.mapInPandas(pixels, "path string, pix int, x int, y int, r float, g float, b float")

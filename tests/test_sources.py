@@ -109,3 +109,21 @@ def test_bundles_and_files(spark, tmp_path):
     (tmp_path / "bundle.json").write_text(json.dumps({"name": "n", "profile": "p", "files": files}))
     got = {r["path"]: r["good"] for r in L.bundle_files(spark, f"{tmp_path}/bundle.json", f"{tmp_path}/files").collect()}
     assert got == {"x.bin": True, "y.bin": False, "z.bin": False}
+
+
+def test_splat_and_render_files(spark):
+    splats = spark.createDataFrame([(3, i, 0.1 * i, 0.5, 0.0, 0.0, 0.0, 0.5, 1.0, 0.25, 2.0, 70 + i, i) for i in range(4)], "image_id long, idx int, x double, y double, lc_xx double, lc_xy double, lc_yy double, r double, g double, b double, weight double, track_id long, slot int")
+    files = {r["name"]: S.parse_npy(bytes(r["content"])) for r in S.splat_files(splats).collect()}
+    assert sorted(files) == [f"3.{n}.npy" for n in ("color", "cov", "ids", "points", "rgb", "slots", "weights")]
+    assert files["3.color.npy"][0].tolist() == [1.0, 1.0, 0.5] and files["3.ids.npy"].tolist() == [70, 71, 72, 73]
+    shown = spark.createDataFrame([(3, p, p / 8, 0.0, 1.0) for p in range(6)], "image_id long, pix int, r double, g double, b double")
+    a = S.parse_image(bytes(S.render_files(shown, 3, 2).first()["content"]))
+    assert a.shape == (3, 2, 3) and a[0, 1, 2] == 5 / 8 and a[2].min() == 1
+
+
+def test_encoded_images(spark, tmp_path):
+    head = b"BM" + (54 + 16).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little")
+    body = (2).to_bytes(4, "little") + (2).to_bytes(4, "little") + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(24)
+    (tmp_path / "a.bmp").write_bytes(head + body + bytes([255, 0, 0, 0, 255, 0, 0, 0, 0, 0, 255, 255, 255, 255, 0, 0]))
+    got = {(r["x"], r["y"]): (r["r"], r["g"], r["b"]) for r in S.read_encoded(spark, str(tmp_path)).collect()}
+    assert got == {(0, 1): (0, 0, 1), (1, 1): (0, 1, 0), (0, 0): (1, 0, 0), (1, 0): (1, 1, 1)}
