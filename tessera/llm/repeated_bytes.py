@@ -2,20 +2,25 @@
 
 1. Parse. A rolling hash over 40-byte strings makes triggers: of every 200-byte
    window, the 40-byte string with the least hash (the leftmost of equals). Runs
-   of windows with one trigger form a phrase, whose bytes overlap the next
-   phrase's by 199, so every window lies in exactly one phrase and equal windows
-   have equal triggers, wherever they are.
-2. Dictionary. Triggers that are alone in the corpus are dropped early. Equal
-   phrases are counted: all windows of a phrase that occurs twice are repeats.
-3. Suffixes of the dictionary. A phrase that occurs once may still share windows
-   with others that have its trigger, at the edge of a repeat. Only phrases that
-   agree with another over 80 bytes beside the trigger can. Their suffixes, one
-   for each window, are put in classes by their first 200 bytes (what sorting
-   them as in a suffix array would do as far as is asked here): windows of a
-   class of two or more are repeats.
-4. The windows that were found are laid over the texts.
-
-Strings are compared by 64-bit hashes.
+   of windows with one trigger form a phrase, whose bytes overlap the next phrase's
+   by 199, so every window lies in exactly one phrase, and equal windows have equal
+   triggers at equal places, wherever they are. Triggers that are alone in the
+   corpus are dropped early.
+2. Dictionary. Equal phrases are counted: all windows of a phrase that occurs
+   twice are repeats.
+3. Edges. A phrase that occurs once may still share windows with others that have
+   its trigger. It is divided where the trigger's place in the window passes a
+   multiple of 40. Only pieces whose core (the bytes that all windows with the
+   trigger at these places have) occurs twice can share windows.
+4. Suffixes. Pieces with one core meet in one partition, and their suffixes, one
+   for each window, are put in classes by their first 200 bytes (what a suffix
+   array would be sorted for, as far as is asked here): windows of a class of two
+   or more are repeats. The suffixes of a core with more than ``HOT`` pieces are
+   dealt by class instead, one by one.
+5. The windows that were found are laid over the texts.
+
+Strings are compared by 64-bit hashes. The corpus is parsed again in each of the
+four passes, as that takes less room than keeping the parse.
 """
 
 from __future__ import annotations
@@ -32,7 +37,9 @@ from tessera.llm.common import materialize
 from tessera.llm.kernels import POWERS, U64, chunks, mix
 
 LENGTH, TRIGGER = 200, 40
-BESIDE = (LENGTH - TRIGGER) // 2
+PLACES = 40
+HOT = 200_000
+BLOCK = 32_768  # pieces whose suffixes are held at once, but for those of one core
 BYTES = mix(np.arange(1, 257, dtype=U64))
 
 
@@ -48,16 +55,16 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 class Parse:
-    """The phrases of some texts: arrays doc, start (in the text), windows, trigger, phrase, and the hashes beside the trigger (0: too near an end)."""
+    """The phrases of some texts: arrays doc, start (in the text), windows, trigger, phrase, and the hash of each phrase's core. Without ``divide``, runs of one trigger are whole and there are no cores."""
 
-    def __init__(self, texts: list[bytes], sides: bool):
+    def __init__(self, texts: list[bytes], divide: bool):
         raw = np.frombuffer(b"".join(texts), np.uint8)
         lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.ends = np.cumsum(lengths)
         self.n = len(raw)
         empty = np.zeros(0, np.int64)
-        self.doc = self.start = self.windows = empty
-        self.trigger = self.phrase = self.left = self.right = empty.view(U64)
+        self.doc = self.begin = self.start = self.windows = empty
+        self.trigger = self.phrase = self.core = empty.view(U64)
         if self.n < LENGTH:
             return
         self.up, self.down = POWERS.get(self.n + 1)
@@ -70,13 +77,17 @@ class Parse:
         starts = self.ends - lengths
         for a, b in zip(starts[lengths >= LENGTH], self.ends[lengths >= LENGTH]):
             valid[a : b - LENGTH + 1] = True
+        change = at[1:] != at[:-1]
+        if divide:
+            place = (at - np.arange(len(at))) // PLACES
+            change |= place[1:] != place[:-1]
         first = valid.copy()
-        first[1:] &= (at[1:] != at[:-1]) | ~valid[:-1]
+        first[1:] &= change | ~valid[:-1]
         begin = np.flatnonzero(first)
         if not len(begin):
             return
         last = valid.copy()
-        last[:-1] &= (at[1:] != at[:-1]) | ~valid[1:]
+        last[:-1] &= change | ~valid[1:]
         stop = np.flatnonzero(last)
         anchor = at[begin]
         self.begin = begin
@@ -85,18 +96,14 @@ class Parse:
         self.windows = stop - begin + 1
         self.trigger = grams[anchor]
         self.phrase = self.hashes(begin, stop + LENGTH)
-        if sides:
-            low, high = anchor - BESIDE, anchor + TRIGGER + BESIDE
-            self.left = np.where(low >= starts[self.doc], self.hashes(np.maximum(low, 0), anchor + TRIGGER), U64(0))
-            self.right = np.where(high <= self.ends[self.doc], self.hashes(anchor, np.minimum(high, self.n)) ^ U64(1), U64(0))
+        if divide:
+            place = place[begin]
+            low = anchor - place * PLACES
+            self.core = self.hashes(low, low - (PLACES - 1) + LENGTH) ^ mix(place.astype(U64))
 
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(U64))
 
-    def window_hashes(self, k: int) -> np.ndarray:
-        a = np.arange(self.begin[k], self.begin[k] + self.windows[k])
-        return self.hashes(a, a + LENGTH)
-
 
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
@@ -115,63 +122,146 @@ def _triggers(texts: DataFrame) -> DataFrame:
 def _phrases(texts: DataFrame, repeated) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = repeated.value
-        names = ["key", "start", "windows", "trigger", "phrase", "left", "right"]
+        names = ["key", "start", "windows", "phrase"]
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for first, part in chunks(batch.column(1)):
-                p = Parse(part, True)
+                p = Parse(part, False)
                 keep = np.flatnonzero(known.passes(p.trigger))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first + p.doc[keep]]), pa.array(p.start[keep]), pa.array(p.windows[keep]), _long(p.trigger[keep]), _long(p.phrase[keep]), _long(p.left[keep]), _long(p.right[keep])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first + p.doc[keep]]), pa.array(p.start[keep]), pa.array(p.windows[keep]), _long(p.phrase[keep])], names=names)
+
+    return texts.mapInArrow(parse, "key long, start long, windows long, phrase long")
+
 
-    return texts.mapInArrow(parse, "key long, start long, windows long, trigger long, phrase long, left long, right long")
+def _pieces(part: list[bytes], triggers, once) -> tuple[Parse, np.ndarray, np.ndarray]:
+    """The divided parse, which of its pieces have a repeated trigger, and which of them lie in a phrase that (nearly surely) occurs once."""
+    whole, p = Parse(part, False), Parse(part, True)
+    keep = np.flatnonzero(triggers.passes(p.trigger))
+    if not len(keep):
+        return p, keep, np.zeros(0, bool)
+    parent = np.searchsorted(whole.begin, p.begin[keep], "right") - 1
+    return p, keep, once.passes(whole.phrase[parent])
+
+
+def _cores(texts: DataFrame, triggers, once) -> DataFrame:
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in chunks(batch.column(0)):
+                p, keep, single = _pieces(part, triggers.value, once.value)
+                core, at, n = np.unique(p.core[keep], return_inverse=True, return_counts=True)
+                some = np.bincount(at, single, len(core)) > 0
+                yield pa.RecordBatch.from_arrays([_long(core), pa.array(n.astype(np.int64)), pa.array(some)], names=["core", "n", "once"])
 
+    return texts.select("text").mapInArrow(cores, "core long, n long, once boolean")
 
-def _suffixes(texts: DataFrame, wanted) -> DataFrame:
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = wanted.value
+
+def _edges(texts: DataFrame, triggers, once, wanted) -> DataFrame:
+    """The bytes of all pieces with a wanted core; of those in repeated phrases one of each kind in a task, without a key, as a witness."""
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for first, part in chunks(batch.column(1)):
-                p = Parse(part, False)
-                key, start, suffix = [], [], []
-                times = dict(zip(*(x.tolist() for x in np.unique(p.phrase, return_counts=True))))
-                for k in np.flatnonzero(known.passes(p.phrase)):
-                    name = int(p.phrase[k])
-                    if name in seen:
-                        continue
-                    if times[name] > 1:  # a repeat as a whole: one witness is enough
+                p, keep, single = _pieces(part, triggers.value, once.value)
+                left = wanted.value.passes(p.core[keep])
+                core, key, start, data = [], [], [], []
+                raw = b"".join(part)
+                for k, alone in zip(keep[left], single[left]):
+                    if not alone:
+                        if (name := int(p.phrase[k])) in seen:
+                            continue
                         seen.add(name)
-                    h = p.window_hashes(k)
-                    key.append(np.full(len(h), keys[first + p.doc[k]]))
-                    start.append(p.start[k] + np.arange(len(h)))
-                    suffix.append(h)
-                if key:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.concatenate(start)), _long(np.concatenate(suffix))], names=["key", "start", "suffix"])
-
-    return texts.mapInArrow(suffixes, "key long, start long, suffix long")
-
-
-def repeated_intervals(texts: DataFrame) -> DataFrame:
+                    core.append(p.core[k])
+                    key.append(int(keys[first + p.doc[k]]) if alone else None)
+                    start.append(int(p.start[k]))
+                    data.append(raw[p.begin[k] : p.begin[k] + p.windows[k] - 1 + LENGTH])
+                if core:
+                    yield pa.RecordBatch.from_arrays([_long(np.array(core, U64)), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(data, pa.binary())], names=["core", "key", "start", "data"])
+
+    return texts.mapInArrow(edges, "core long, key long, start long, data binary")
+
+
+def _suffix_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of the pieces, and the piece of each."""
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    up, down = POWERS.get(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, U64)
+    np.cumsum(BYTES[raw] * up[: len(raw)], out=sums[1:])
+    lengths = np.fromiter((len(t) for t in data), np.int64, len(data))
+    windows = lengths - LENGTH + 1
+    own = np.repeat(np.arange(len(data)), windows)
+    at = np.arange(len(own)) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(windows) - windows), windows)
+    return mix((sums[at + LENGTH] - sums[at]) * down[at]), own
+
+
+def _repeated_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, start, stop) of the runs of repeated windows of the pieces (core, key, start, data), which come in the order of their cores."""
+
+    def settle(core: list, key: list, start: list, data: list) -> pa.RecordBatch:
+        suffix, own = _suffix_hashes(data)
+        _, at, n = np.unique(suffix, return_inverse=True, return_counts=True)
+        hit = (n[at] > 1) & np.array([k is not None for k in key])[own]
+        place = np.arange(len(own))
+        place -= np.searchsorted(own, own)  # the window's number in its piece
+        edge = np.ones(len(own) + 1, bool)
+        edge[1:-1] = (own[1:] != own[:-1]) | (hit[1:] != hit[:-1])
+        bounds = np.flatnonzero(edge)
+        runs = [(key[own[a]], start[own[a]] + place[a], start[own[a]] + place[b - 1] + LENGTH) for a, b in zip(bounds[:-1], bounds[1:]) if hit[a]]
+        return pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in runs], pa.int64()) for i in range(3)], names=["key", "start", "stop"])
+
+    held: list[list] = [[], [], [], []]
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if len(held[0]) >= BLOCK and row[0] != held[0][-1]:
+                yield settle(*held)
+                held = [[], [], [], []]
+            for h, v in zip(held, row):
+                h.append(v)
+    if held[0]:
+        yield settle(*held)
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the pieces: (key, start, suffix)."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, BLOCK):
+            _, key, start, data = (c.to_pylist() for c in batch.slice(a, BLOCK).columns)
+            suffix, own = _suffix_hashes(data)
+            place = np.arange(len(own)) - np.searchsorted(own, own)
+            yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in own], pa.int64()), pa.array(np.array(start)[own] + place), _long(suffix)], names=["key", "start", "suffix"])
+
+
+def repeated_intervals(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """Rows (key, spans) for each text with repeats; spans are (start, stop) byte ranges that repeats cover, not merged. ``texts`` is (key, text); equal keys mean the same row."""
     sc = texts.sparkSession.sparkContext
-    triggers = materialize(_triggers(texts).groupBy("trigger").agg(F.sum("n").alias("n")).where("n > 1").select("trigger"), "triggers")
-    phrases = materialize(_phrases(texts, sc.broadcast(KeyBitmaps(triggers, "trigger", triggers.count()))), "phrases")
-    dictionary = phrases.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("trigger", "left", "right")])
-    dictionary = materialize(dictionary, "dictionary")
-
-    sides = dictionary.select("n", F.explode(F.array("left", "right")).alias("side")).where("side <> 0")
-    sides = materialize(sides.groupBy("side").agg(F.sum("n").alias("n")).where("n > 1").select("side"), "sides")
-    once = dictionary.where("n = 1").select("phrase", "trigger", F.explode(F.array("left", "right")).alias("side")).where("side <> 0")
-    edge = materialize(once.join(sides, "side", "left_semi").select("phrase", "trigger").distinct(), "edge-phrases")
-    near = dictionary.where("n > 1").join(edge.select("trigger").distinct(), "trigger", "left_semi").select("phrase")
-    wanted = materialize(edge.select("phrase").union(near), "wanted-phrases")
-    suffixes = materialize(_suffixes(texts, sc.broadcast(KeyBitmaps(wanted, "phrase", wanted.count()))), "suffixes")
-    classes = materialize(suffixes.groupBy("suffix").count().where("count > 1").select("suffix"), "suffix-classes")
-
-    single = suffixes.join(classes, "suffix", "left_semi").select("key", "start", (F.col("start") + LENGTH).alias("stop"))
+    found = materialize(_triggers(texts).groupBy("trigger").agg(F.sum("n").alias("n")).where("n > 1").select("trigger"), "triggers")
+    triggers = sc.broadcast(KeyBitmaps(found, "trigger", found.count()))
+    phrases = materialize(_phrases(texts, triggers), "phrases")
+    dictionary = materialize(phrases.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")), "dictionary")
+    single = dictionary.where("n = 1").select("phrase")
+    once = sc.broadcast(KeyBitmaps(single, "phrase", single.count()))
     whole = phrases.join(dictionary.where("n > 1").select("phrase"), "phrase").select("key", "start", (F.col("start") + F.col("windows") - 1 + LENGTH).alias("stop"))
-    return whole.union(single).groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+
+    cores = _cores(texts, triggers, once).groupBy("core").agg(F.sum("n").alias("n"), F.max("once").alias("once"))
+    cores = materialize(cores.where("n > 1 and once").select("core", "n"), "cores")
+    wanted = sc.broadcast(KeyBitmaps(cores, "core", cores.count()))
+    edges = _edges(texts, triggers, once, wanted)
+    span = "key long, start long, stop long"
+    large = cores.where(F.col("n") > hot).select("core")
+    found = whole
+    if large.isEmpty():
+        n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = found.union(edges.repartition(n, "core").sortWithinPartitions("core").mapInArrow(_repeated_suffixes, span))
+    else:
+        edges = materialize(edges, "edges")
+        n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        large = F.broadcast(large)  # at most one core for every ``hot`` pieces
+        found = found.union(edges.join(large, "core", "left_anti").repartition(n, "core").sortWithinPartitions("core").mapInArrow(_repeated_suffixes, span))
+        each = materialize(edges.join(large, "core", "left_semi").mapInArrow(_suffixes, "key long, start long, suffix long"), "suffixes")
+        classes = materialize(each.groupBy("suffix").count().where("count > 1").select("suffix"), "suffix-classes")
+        found = found.union(each.where("key is not null").join(classes, "suffix", "left_semi").select("key", "start", (F.col("start") + LENGTH).alias("stop")))
+    return found.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def merge(spans: list[dict]) -> list[tuple[int, int]]:
