@@ -1,11 +1,10 @@
 """N-gram Jaccard join by set-relation skipping, up to connected components.
 
-Exact for any two sets of shingles (as 64-bit hashes):
+Sets hold 64-bit hashes of shingles:
 
 1. Sets that are equal are one class; only classes are compared.
-2. Index lists by position. The hash range of a set is cut into blocks; if two
-   sets may link, they differ in fewer shingles than there are blocks, so at
-   least one block is the same in both. A list holds the sets with the same
+2. Index lists by position. The hash range of a set is cut into blocks, so many
+   that two sets that link have the same block at least once. A list holds the sets with the same
    block at the same place, among sets of comparable size. Lists with one class
    are skipped whole: a bitmap of bounded size tells which lists are left, and
    only sets on those lists are carried any further. Small sets are listed under
@@ -35,7 +34,9 @@ from tessera.llm.components import connected_components
 from tessera.llm.kernels import U64, chunks, mix, mix_one, shingle_sets
 
 #: Sets compared with each other in one task.
-GROUP = 16_384
+GROUP = 2_048
+#: Chance, at most, that the lists of two large sets at the threshold do not meet.
+MISS = 1e-9
 
 
 @cache
@@ -52,18 +53,21 @@ def level_plan(level: int, num: int, den: int) -> tuple[int, int]:
     """(blocks, empty blocks allowed for) of the sets in classes level and level + 1.
 
     No blocks: single shingles. (0, -1): only equal sets link. A link is missed
-    only if its differing shingles fall in every block that is not empty in both
-    sets. There is one block more than a link has differing shingles, and more for
-    blocks that are empty by chance: sets with more empty blocks than that get an
-    extra list, or, if large, need none as the chance is below 1e-9.
+    only if every block is hit by a differing shingle or empty in both sets.
+    Large sets get as many blocks as make that less likely than ``MISS`` for a
+    link at the threshold, and links above it are safer still. Others get one
+    block more than a link has differing shingles, and more for blocks that are
+    empty by chance; a set with more empty blocks than that gets an extra list.
     """
     starts = level_starts(num, den)
     small, large = starts[level], starts[level + 2] - 1
     differ = 2 * large * (den - num) // (den + num)
     if not differ:
         return 0, -1
-    if 0.64 ** (differ + 1) < 1e-9:
-        return differ + 1, large
+    for blocks in range(32, differ + 2):
+        untouched = (1 - 1 / blocks) ** differ - (1 - 1 / blocks) ** small
+        if untouched > 0 and (1 - untouched) ** blocks < MISS:
+            return blocks, blocks
     for empty in range(differ // 4 + 1):
         blocks = differ + 1 + empty
         mean = blocks * (1 - 1 / blocks) ** small
@@ -126,31 +130,35 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def _carry(docs: DataFrame, width: int, num: int, den: int, bitmaps) -> DataFrame:
-    """Rows (doc_id, class, n, lists, shingles): each document; lists and shingles only where the set, the first of its class in the task, is on a list that is left."""
+    """Rows (doc_id, class, n, carrier, lists, shingles): each document; the last three only where the set, the first of its class in the task, is on a list that is left. ``carrier`` tells rows apart."""
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left_over = bitmaps.value
+        from pyspark import TaskContext
+
+        left_over, carrier = bitmaps.value, TaskContext.get().partitionId() << 40
         seen: set[int] = set()
         for batch in batches:
             for start, texts in chunks(batch.column(1)):
-                classes, sizes, lists, sets = [], [], [], []
+                classes, sizes, carriers, lists, sets = [], [], [], [], []
                 for s in shingle_sets(texts, width):
                     c = class_of(s) if len(s) else None
-                    left = bytes_of = None
+                    left = bytes_of = by = None
                     if c is not None and c not in seen:
                         seen.add(c)
                         k = list_keys(s, num, den).view(np.int64)
                         k = k[left_over.passes(k)]
                         if len(k):
-                            left, bytes_of = k.tolist(), s.tobytes()
+                            left, bytes_of, by = k.tolist(), s.tobytes(), carrier
+                            carrier += 1
                     classes.append(c)
                     sizes.append(len(s))
+                    carriers.append(by)
                     lists.append(left)
                     sets.append(bytes_of)
                 ids = batch.column(0).cast(pa.int64()).slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "class", "n", "lists", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(carriers, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "class", "n", "carrier", "lists", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(carry, "doc_id long, class long, n long, lists array<long>, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(carry, "doc_id long, class long, n long, carrier long, lists array<long>, shingles binary")
 
 
 def link_group(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -203,21 +211,31 @@ def link_group(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num:
 def _links(carried: DataFrame, multi: DataFrame, num: int, den: int) -> DataFrame:
     """Links (u, v) between classes, enough to connect all that are connected."""
     spark = carried.sparkSession
-    sets = carried.where("shingles is not null").select("class", "lists", "shingles")
+    sets = carried.where("carrier is not null")
     on_lists = sets.select("class", F.explode("lists").alias("list"))
     met = materialize(on_lists.join(multi, "list").select("class", "pivot").distinct(), "pivots")
     sizes = materialize(met.groupBy("pivot").count().where("count > 1"), "pivot-sizes")
     placed = met.join(sizes, "pivot").withColumn("parts", F.ceil(F.col("count") / GROUP).cast("int"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    placed = placed.select("class", "pivot", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    placed = placed.select("class", "pivot", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    once = sets.select(F.col("class").alias("__class"), "shingles")
-    rows = placed.join(once, F.col("class") == F.col("__class")).drop("__class")
+    first = sets.groupBy(F.col("class").alias("__class")).agg(F.min("carrier").alias("by"))  # tasks may carry the same class
+    placed = placed.join(first, F.col("class") == F.col("__class")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    placed = placed.select("class", "by", "pivot", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    placed = materialize(placed.select("class", "by", "pivot", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")), "placed")
+
+    # Only sets that some group needs are moved: all others but a few stop at a bitmap where they are read.
+    used = placed.select("by").distinct()
+    needed = spark.sparkContext.broadcast(KeyBitmaps(used.withColumn("key", F.xxhash64("by")), "key", used.count()))
+
+    def only_needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = needed.value
+        for batch in batches:
+            yield batch.select(["carrier", "shingles"]).filter(pa.array(known.passes(batch.column(2).to_numpy(zero_copy_only=False))))
+
+    few = sets.select("carrier", "shingles", F.xxhash64("carrier").alias("key")).mapInArrow(only_needed, "carrier long, shingles binary")
+    rows = placed.join(few, F.col("by") == F.col("carrier")).drop("by", "carrier")
 
     def compare(pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates("class")  # a class may be carried by several tasks
         own = pdf["own"].to_numpy()
         label = link_group([np.frombuffer(s, U64) for s in pdf["shingles"]], own == pdf["a"].to_numpy(), own == pdf["b"].to_numpy(), num, den)
         c = pdf["class"].to_numpy()
