@@ -39,10 +39,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Paths of scratch tables, in the order in which they were made.
+_made: list[str] = []
+
+
+def scratch_mark() -> int:
+    return len(_made)
+
+
+def release_scratch(spark: SparkSession, mark: int) -> None:
+    """Delete the scratch tables made since ``mark`` but for the newest: for tables that nothing reads any more."""
+    for path in _made[mark:-1]:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later passes start from these files, and so survive lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
