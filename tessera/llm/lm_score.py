@@ -3,8 +3,10 @@
 Counts of words and word pairs of the training texts are gathered exactly. The
 filter holds, for each of them, one key for every step of its quantised count:
 probing a word with step 1, 2, ... until a probe fails gives its count's step.
-The filter is built by the executors in segments, its size follows the number of
-keys up to ``MOST_SEGMENTS`` segments, and it is broadcast.
+The filter is built by the executors in segments, and its size follows the number
+of keys. Up to ``MOST_SEGMENTS`` segments it is broadcast; a larger one stays on
+the executors, and the keys of the texts go to the segments that answer for them.
+Both ways give the same scores.
 
 A word w after v has the probability (c(v, w) - 1 + PRIOR * p(w)) / (c(v) + PRIOR),
 with p(w) = (c(w) + 1) / (N + V + 1); pairs seen once add nothing and are not held.
@@ -15,7 +17,7 @@ words, at most ``FREQUENT``, are broadcast; the others are joined.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log10
 
 import numpy as np
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_crc, materialize
+from tessera.llm.common import doc_crc, drop_materialized, materialize
 from tessera.llm.kernels import U64, chunks, mix, word_hashes
 
 BITS_A_KEY, PROBES = 10, 5
 SEGMENT_BITS = 1 << 23
 #: Bounds of what is broadcast: 128 MB of filter, and 8 MB of exact counts.
 MOST_SEGMENTS, FREQUENT = 128, 1 << 19
+#: Bytes of text whose distinct keys are asked for together where the filter is not broadcast, but for a longer single text.
+ASKED_AT_ONCE = 8 << 20
 PRIOR = float(1 << 17)
 TOKENS_AT_ONCE = 1 << 21
 
@@ -100,7 +104,7 @@ class Filter:
             yield ((h + U64(i) * d) & U64(SEGMENT_BITS - 1)).astype(np.int64)
 
     def has(self, keys: np.ndarray, step: int) -> np.ndarray:
-        base = ((keys >> U64(20)) % U64(self.n)).astype(np.int64) * (SEGMENT_BITS // 8)
+        base = segment_of(keys, self.n) * (SEGMENT_BITS // 8)
         out = np.ones(len(keys), bool)
         for at in self.places(keys, step):
             out &= ((self.held[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
@@ -132,11 +136,15 @@ def pair_count(step: np.ndarray) -> np.ndarray:
     return np.where(step > 0, np.sqrt(low * (2 * low - 1)), 0.0)
 
 
-def build_filter(counts: DataFrame) -> Filter:
-    """The filter of all rows of ``counts``; the driver receives its segments, at most MOST_SEGMENTS."""
+def segment_of(keys: np.ndarray, n: int) -> np.ndarray:
+    return ((keys >> U64(20)) % U64(n)).astype(np.int64)
+
+
+def filter_segments(counts: DataFrame) -> tuple[int, DataFrame]:
+    """How many segments the filter of all rows of ``counts`` has, and rows (segment, bits) of those that hold keys."""
     stepped = counts.select("key", steps(F.col("key"), F.col("n")).alias("step"))
     total = stepped.agg(F.sum("step")).first()[0] or 0
-    n = min(MOST_SEGMENTS, max(1, -(-total * BITS_A_KEY // SEGMENT_BITS)))
+    n = max(1, -(-total * BITS_A_KEY // SEGMENT_BITS))
 
     def build(pdf):
         import pandas as pd
@@ -148,11 +156,71 @@ def build_filter(counts: DataFrame) -> Filter:
                 bits[at] = True
         return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    placed = stepped.withColumn("segment", (F.shiftrightunsigned("key", 20) % n).cast("int"))
-    rows = {r["segment"]: r["bits"] for r in placed.groupBy("segment").applyInPandas(build, "segment int, bits binary").collect()}
+    placed = stepped.withColumn("segment", F.shiftrightunsigned("key", 20) % n)
+    return n, placed.groupBy("segment").applyInPandas(build, "segment long, bits binary")
+
+
+def collect_filter(n: int, segments: DataFrame) -> Filter:
+    rows = {r["segment"]: r["bits"] for r in segments.collect()}
     return Filter([np.frombuffer(rows[i], np.uint8) if i in rows else np.zeros(SEGMENT_BITS // 8, np.uint8) for i in range(n)])
 
 
+def build_filter(counts: DataFrame) -> Filter:
+    """The whole filter of ``counts``, on the driver."""
+    return collect_filter(*filter_segments(counts))
+
+
+def ask_segments(pieces: DataFrame, n: int, segments: DataFrame) -> DataFrame:
+    """Rows (group, keys, steps) of all keys of the texts of each group of ``pieces`` (group, text) for which step 1 succeeds."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(group: int, held: list[np.ndarray]) -> pa.RecordBatch:
+            keys = np.unique(np.concatenate(held))
+            segment = segment_of(keys, n)
+            order = np.argsort(segment, kind="stable")
+            named, starts = np.unique(segment[order], return_index=True)
+            parts = [part.tobytes() for part in np.split(keys[order], starts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(named), pa.array(np.full(len(named), group)), pa.array(parts, pa.binary())], names=["segment", "group", "keys"])
+
+        held: list[np.ndarray] = []
+        size, now = 0, None
+        for batch in batches:
+            groups = batch.column(0).to_numpy()
+            bounds = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+            for a, b in zip(bounds, bounds[1:]):
+                if a == b:
+                    continue
+                if held and (now != groups[a] or size > TOKENS_AT_ONCE):
+                    yield out(now, held)
+                    held, size = [], 0
+                now = int(groups[a])
+                for _, texts in chunks(batch.column(1).slice(a, b - a)):
+                    words, pairs, _ = tokens(texts)
+                    held += [np.unique(words), np.unique(pairs)]
+                    size += len(words)
+        if held:
+            yield out(now, held)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, model = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                segment, group = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                if group < 0:  # the segment itself, before all who ask it
+                    at, model = segment, Filter([np.frombuffer(batch.column(2)[k].as_py(), np.uint8)])
+                elif segment == at:
+                    keys = np.frombuffer(batch.column(2)[k].as_py(), U64)
+                    step = model.steps(keys)
+                    keys, step = keys[step > 0], step[step > 0].astype(np.uint8)
+                    if len(keys):
+                        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([step.tobytes()], pa.binary())], names=["group", "keys", "steps"])
+
+    asked = pieces.select("group", "text").mapInArrow(ask, "segment long, group long, keys binary")
+    own = segments.select("segment", F.lit(-1).cast("long").alias("group"), F.col("bits").alias("keys"))
+    met = own.unionByName(asked).repartition("segment").sortWithinPartitions("segment", "group")
+    return met.mapInArrow(probe, "group long, keys binary, steps binary")
+
+
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and counts of the most frequent words: all above a count such that there are at most ``most``."""
     words = counts.where("key >= 0")
@@ -186,49 +254,104 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     of_words = counts.where("key >= 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     n_train, vocabulary = of_words[0] or 0, of_words[1]
     scale = float(n_train + vocabulary + 1)
-    filter_ = sc.broadcast(build_filter(counts))
+    n_segments, segments = filter_segments(counts)
     frequent = sc.broadcast(frequent_words(counts))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        model, (known, times) = filter_.value, frequent.value
-        row = TaskContext.get().partitionId() << 40
+    def of_texts(rows: np.ndarray, ids: pa.Array, texts: list[bytes], look: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, and rows of its words that are not frequent; ``look`` gives the steps of keys."""
+        known, times = frequent.value
         names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "key", "n"]
-        for batch in batches:
-            ids = batch.column(0).cast(pa.int64())
-            for first, texts in chunks(batch.column(1)):
-                words, pairs, own = tokens(texts)
-                g = len(texts)
-                distinct, back = np.unique(words, return_inverse=True)
-                at = np.minimum(np.searchsorted(known, distinct.view(np.int64)), max(0, len(known) - 1))
-                found = known[at] == distinct.view(np.int64) if len(known) else np.zeros(len(distinct), bool)
-                exact = np.where(found, times[at], 0) if len(known) else np.zeros(len(distinct))
-                base = np.bincount(own, np.log10(exact + 1.0)[back], g)
-                n_known = np.bincount(own, found[back], g)
-
-                c = word_count(model.steps(distinct))
-                p = ((c + 1) / scale)[back]
-                before = np.empty(len(words))
-                before[1:] = c[back][:-1]
-                first_of = np.flatnonzero(np.diff(own, prepend=-1))
-                before[first_of] = c[np.searchsorted(distinct, END)[0]]  # as many starts as ends
-                both = np.maximum(np.minimum(pair_count(model.steps(pairs)), before) - 1, 0)
-                logs = np.log10((both + PRIOR * p) / (before + PRIOR)) if n_train else np.zeros(len(words))
-                total = np.bincount(own, logs, g)
-
-                nothing = pa.nulls(g, pa.int64())
-                rows = row + first + np.arange(g)
-                yield pa.RecordBatch.from_arrays([pa.array(rows), ids.slice(first, g), pa.array(np.bincount(own, minlength=g)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(total), nothing, nothing], names=names)
-                rare = np.flatnonzero(~found[back])
-                if len(rare):
-                    pair, n = np.unique(own[rare] * len(distinct) + back[rare], return_counts=True)
-                    k = len(pair)
-                    blank, none = pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[pair // len(distinct)]), blank, blank, blank, none, none, pa.array(distinct[pair % len(distinct)].view(np.int64)), pa.array(n.astype(np.int64))], names=names)
-            row += len(ids)
-
-    scored = materialize(docs.select("doc_id", "text").mapInArrow(score, "row long, doc_id long, n_tokens long, n_known long, base double, score double, key long, n long"), "scored")
+        words, pairs, own = tokens(texts)
+        g = len(texts)
+        distinct, back = np.unique(words, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, distinct.view(np.int64)), max(0, len(known) - 1))
+        found = known[at] == distinct.view(np.int64) if len(known) else np.zeros(len(distinct), bool)
+        exact = np.where(found, times[at], 0) if len(known) else np.zeros(len(distinct))
+        base = np.bincount(own, np.log10(exact + 1.0)[back], g)
+        n_known = np.bincount(own, found[back], g)
+
+        c = word_count(look(distinct))
+        p = ((c + 1) / scale)[back]
+        before = np.empty(len(words))
+        before[1:] = c[back][:-1]
+        first_of = np.flatnonzero(np.diff(own, prepend=-1))
+        before[first_of] = c[np.searchsorted(distinct, END)[0]]  # as many starts as ends
+        both = np.maximum(np.minimum(pair_count(look(pairs)), before) - 1, 0)
+        logs = np.log10((both + PRIOR * p) / (before + PRIOR)) if n_train else np.zeros(len(words))
+        total = np.bincount(own, logs, g)
+
+        nothing = pa.nulls(g, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(rows), ids, pa.array(np.bincount(own, minlength=g)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(total), nothing, nothing], names=names)
+        rare = np.flatnonzero(~found[back])
+        if len(rare):
+            pair, n = np.unique(own[rare] * len(distinct) + back[rare], return_counts=True)
+            k = len(pair)
+            blank, none = pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[pair // len(distinct)]), blank, blank, blank, none, none, pa.array(distinct[pair % len(distinct)].view(np.int64)), pa.array(n.astype(np.int64))], names=names)
+
+    out = "row long, doc_id long, n_tokens long, n_known long, base double, score double, key long, n long"
+    texts_of = docs.select("doc_id", "text")
+    if n_segments <= MOST_SEGMENTS:
+        filter_ = sc.broadcast(collect_filter(n_segments, segments))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            row = TaskContext.get().partitionId() << 40
+            for batch in batches:
+                ids = batch.column(0).cast(pa.int64())
+                for first, texts in chunks(batch.column(1)):
+                    yield from of_texts(row + first + np.arange(len(texts)), ids.slice(first, len(texts)), texts, filter_.value.steps)
+                row += len(ids)
+
+        scored = materialize(texts_of.mapInArrow(score, out), "scored")
+    else:
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId()
+            row, size = part << 40, 0
+            for batch in batches:
+                text = batch.column(1).cast(pa.binary())
+                ends = size + np.cumsum([len(t.as_py() or b"") for t in text], dtype=np.int64)
+                group = (part << 40) + (np.concatenate([[size], ends[:-1]]) // ASKED_AT_ONCE if len(ends) else ends)
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(row + np.arange(len(text))), batch.column(0).cast(pa.int64()), text], names=["group", "row", "doc_id", "text"])
+                row, size = row + len(text), int(ends[-1]) if len(ends) else size
+
+        def score_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held, keys, step = None, [], np.zeros(0, U64), np.zeros(0, np.int64)
+
+            def look(asked: np.ndarray) -> np.ndarray:
+                if not len(keys):
+                    return np.zeros(len(asked), np.int64)
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                return np.where(keys[at] == asked, step[at], 0)
+
+            for batch in batches:
+                groups, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                edges = np.flatnonzero((np.diff(groups) != 0) | ((rows[1:] < 0) != (rows[:-1] < 0))) + 1
+                bounds = [0, *edges.tolist(), len(groups)]
+                for a, b in zip(bounds, bounds[1:]):
+                    if a == b:
+                        continue
+                    if groups[a] != now:
+                        now, held, keys, step = groups[a], [], np.zeros(0, U64), np.zeros(0, np.int64)
+                    if rows[a] < 0:  # answers come before the texts of their group
+                        held += [(np.frombuffer(batch.column(4)[k].as_py(), U64), np.frombuffer(batch.column(5)[k].as_py(), np.uint8)) for k in range(a, b)]
+                        continue
+                    if held:
+                        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_index=True)
+                        step, held = np.concatenate([s for _, s in held])[at].astype(np.int64), []
+                    ids = batch.column(2).slice(a, b - a)
+                    for first, texts in chunks(batch.column(3).slice(a, b - a)):
+                        yield from of_texts(rows[a + first : a + first + len(texts)], ids.slice(first, len(texts)), texts, look)
+
+        pieces = materialize(texts_of.mapInArrow(deal, "group long, row long, doc_id long, text binary"), "pieces")  # so that both passes see the same groups
+        answers = ask_segments(pieces, n_segments, segments)
+        met = pieces.unionByName(answers.withColumn("row", F.lit(-1).cast("long")), allowMissingColumns=True).select("group", "row", "doc_id", "text", "keys", "steps")
+        scored = materialize(met.repartition("group").sortWithinPartitions("group", "row").mapInArrow(score_groups, out), "scored")
+        drop_materialized(pieces)
     rare = scored.where("key is not null").select("row", "key", F.col("n").alias("here"))
     rare = rare.join(counts.where("key >= 0"), "key").groupBy("row").agg(F.sum(F.col("here") * F.log10(F.col("n") + 1.0)).alias("rare_base"), F.sum("here").alias("rare_known"))
     texts = scored.where("key is null").join(rare.withColumnRenamed("row", "__row"), F.col("row") == F.col("__row"), "left")

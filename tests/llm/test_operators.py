@@ -202,6 +202,24 @@ def test_lm_filter_holds_steps(spark):
     assert (found >= wanted).all() and (found > wanted).mean() < 0.02
 
 
+def test_lm_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(250_000)]
+    lines = []
+    for _ in range(2):
+        r.shuffle(words)
+        lines += 2 * [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+    train = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "doc_id long, text string")
+    docs = train.limit(50).union(spark.createDataFrame([(9000 + k, " ".join(f"new{k}x{j}" for j in range(100))) for k in range(20)] + [(9500, None), (None, "w1 w2 new")], "doc_id long, text string"))
+    n, _ = lm_score.filter_segments(lm_score.gather(train))
+    assert n > 2
+    whole = sorted(map(str, lm_score.score_texts(docs, train).collect()))
+    monkeypatch.setattr(lm_score, "MOST_SEGMENTS", 1)
+    assert sorted(map(str, lm_score.score_texts(docs, train).collect())) == whole
+    unknown = [x for x in lm_score.score_texts(docs, train).collect() if x["doc_id"] and 9000 <= x["doc_id"] < 9020]
+    assert len(unknown) == 20 and all(x["score"] == pytest.approx(x["base_score"], rel=0.1) for x in unknown)
+
+
 def test_shards(spark):
     r = random.Random(2)
     rows = [(i, "copy" * 40 if i % 3 == 0 else "a" * r.randrange(1, 900)) for i in range(3000)]
