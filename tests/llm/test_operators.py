@@ -260,6 +260,31 @@ def test_mixing_keeps_to_the_weights_until_a_source_ends(spark):
         assert abs(seen["big"] - k * 0.5) < 8 and abs(seen["mid"] - k * 0.25) < 8
 
 
+def test_schedule_keeps_to_the_exact_weights_over_many_periods():
+    equal = {f"s{k:02}": 3000 for k in range(20)}
+    order = list(mixing.schedule(equal, dict.fromkeys(equal, 3000**0.5)))
+    assert Counter(order) == equal
+    for slot in range(0, len(order), 997):
+        taken = Counter(order[:slot])
+        assert all(abs(taken[s] - slot / 20) < 1 for s in equal)
+    weights = {"a": 0.7, "b": 2**0.5 / 10, "c": 1e-4}
+    blocks, total, taken = {"a": 40_000, "b": 40_000, "c": 40}, sum(weights.values()), Counter()
+    order = list(mixing.schedule(blocks, weights))
+    assert Counter(order) == blocks
+    for slot, s in enumerate(order[:45_000], 1):  # none has ended here
+        taken[s] += 1
+        assert all(abs(taken[k] - slot * w / total) < 1 + 1e-6 for k, w in weights.items())
+
+
+def test_mixing_of_equal_sources_stays_equal(spark):
+    n, sources, block = 60_000, 20, 2
+    docs = spark.range(n).selectExpr("id as doc_id", f"concat('s', id % {sources}) as source")
+    got = mixing.mix_sources(docs, block=block).orderBy("mix_position").select("source", "mix_block", "mix_position").collect()
+    assert [r["mix_position"] for r in got] == list(range(n)) and [r["mix_block"] for r in got] == [k // block for k in range(n)]
+    seen = Counter(r["source"] for r in got[: n // 2])
+    assert len(seen) == sources and all(abs(k - n / 2 / sources) < block for k in seen.values())
+
+
 def test_shift_and_against_regex():
     r = random.Random(4)
     patterns = ["net/**", "**.net/**", "*.a?c/x*", "**spam**", "a" * 70 + "*", "*", "**", "", "x**y*z"]
