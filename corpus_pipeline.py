@@ -43,8 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard (0 to 7, near equal in bytes) and slot."""
-    return sharding.shard_documents(docs, 8).select(*COLUMNS, "shard", "slot")
+    """All documents with their shard (0 to 7, near equal in bytes) and slot; the slots of a shard follow the mixed order."""
+    return sharding.shard_documents(docs, 8, keep_order=True).select(*COLUMNS, "shard", "slot")
 
 
 STAGES = [

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, positions
@@ -116,7 +116,26 @@ def shard_of(splitters: list[Splitter]) -> Column:
     return shard.cast("int")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.001) -> DataFrame:
+def in_order(docs: DataFrame, per_bucket: int = 20_000) -> DataFrame:
+    """``docs`` and the columns __place (of the row in the order of the table, from 0) and __bucket (stretches of ``per_bucket`` places).
+
+    The order of a table of Parquet files is that of its parts and of the rows in them; anything else is written first.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = materialize(docs, "in-order")
+    names = docs.columns
+    part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1)
+    part = F.when(part != "", part.cast("long"))
+    rows = docs.select(*names, part.alias("__part"), F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    counts = rows.groupBy("__part", "__path").count()
+    before = Window.orderBy("__part", "__path").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    starts = counts.select(F.col("__path").alias("__of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    placed = rows.join(F.broadcast(starts), F.col("__path") == F.col("__of"))
+    place = F.col("__start") + F.col("__row")
+    return placed.select(*names, place.alias("__place"), F.floor(place / per_bucket).cast("long").alias("__bucket"))
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.001, keep_order: bool = False) -> DataFrame:
     """``docs`` and the columns shard (0 to n_shards - 1) and slot (gapless from 0 in each shard).
 
     The law is `bytes`: the shards' sums of UTF-8 bytes plus 1 a row are as near
@@ -124,10 +143,18 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.001
     counts as no bytes; null doc_ids share a sub-key; rows that repeat a doc_id
     and text are placed one by one but only divided where a whole key ends. An
     empty table gives an empty result, and there may be fewer rows than shards.
-    Columns named shard or slot in ``docs`` are replaced; others stay.
+    Columns named shard or slot in ``docs`` are replaced; others stay. With
+    ``keep_order`` the slots of a shard follow the order of ``docs`` (see
+    :func:`in_order`), else that of the keys.
     """
     keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    keyed = with_keys(docs.select(*keep))
+    if keep_order:
+        keyed = with_keys(in_order(docs).select(*keep, "__place", "__bucket"))
+        order, spread = ["__place"], F.col("__bucket")
+    else:
+        keyed = with_keys(docs.select(*keep))
+        order, spread = ["__key", "__sub_key"], F.col("__sub_key")
     narrow = materialize(keyed.select("__key", "__sub_key", "__size"), "shard-keys")
     placed = keyed.withColumn("shard", shard_of(plan_shards(narrow, n_shards, tolerance)))
-    return positions(placed, ["shard"], F.col("__sub_key"), ["__key", "__sub_key"], out="slot").select(*keep, "shard", "slot")
+    # There are at least as many of positions()' sub-buckets as stretches of places, so that those stay in order.
+    return positions(placed, ["shard"], spread, order, out="slot").select(*keep, "shard", "slot")

@@ -311,6 +311,79 @@ def test_decoding_disguised_words():
     assert any("i-d-i-o-t" == t for t in toxicity.tokens_of("you i d i o t there"))
 
 
+def brute_mixed(rows):
+    """Documents (id, source) of each source in the order given, dealt by a Pfair schedule that looks at every source at every slot."""
+    of = {}
+    for i, s in rows:
+        of.setdefault(s, []).append(i)
+    left = {s: [ids[k : k + mixing.BLOCK] for k in range(0, len(ids), mixing.BLOCK)] for s, ids in of.items()}
+    whole = mixing.whole_weights({s: len(ids) ** mixing.TEMPERATURE for s, ids in of.items()})
+    out = []
+    while left:
+        total, taken, slot = sum(whole[s] for s in left), dict.fromkeys(left, 0), 0
+        while True:
+            ready = [s for s in left if taken[s] * total // whole[s] <= slot]
+            s = min(ready, key=lambda s: (-(-(taken[s] + 1) * total // whole[s]), "null" if s is None else f"s:{s}"))
+            if taken[s] == len(left[s]):
+                break
+            out += left[s][taken[s]]
+            taken[s], slot = taken[s] + 1, slot + 1
+        left = {s: blocks[taken[s] :] for s, blocks in left.items() if blocks[taken[s] :]}
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    def written(name, df):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    words = re.compile(r"[^\W_]+")
+    docs = docs_of(spark)
+    verdict = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    clean = written("clean", pipeline.drop_toxic(spark, docs, SF))
+    assert sorted(r[0] for r in clean.select("doc_id").collect()) == sorted(i for i, bad in verdict.items() if not bad)
+
+    rows = [(r[0], r[1]) for r in clean.select("doc_id", "text").collect()]
+    single = written("single", pipeline.drop_near_duplicates(spark, clean, SF))
+    assert sorted(r[0] for r in single.select("doc_id").collect()) == sorted(i for i, c in components_of(sets_of(rows, 5), 80, 100).items() if i == c)
+
+    grams = lambda t: (lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)})(words.findall((t or "").lower()))
+    items = []
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = words.findall((r["text"] or "").lower())
+        items += [grams(r["text"])] if len(w) >= 5 else []
+        assert len(w) >= 5
+    left = {r[0] for r in single.select("doc_id", "text").collect() if not any(len(g & i) >= math.ceil(len(i) * 0.8 - 1e-9) for g in [grams(r[1])] for i in items)}
+    unseen = written("unseen", pipeline.drop_contaminated(spark, single, SF))
+    assert {r[0] for r in unseen.select("doc_id").collect()} == left
+
+    mixed = written("mixed", pipeline.mix(spark, unseen, SF))
+    dealt = unseen.selectExpr("doc_id", "source", "shiftrightunsigned(xxhash64(doc_id, 17), 2) as spread").collect()
+    n = max(256, -(-len(dealt) // 20_000))
+    order = brute_mixed([(r["doc_id"], r["source"]) for r in sorted(dealt, key=lambda r: (r["spread"] % n, r["spread"], r["doc_id"]))])
+    assert [r[0] for r in mixed.select("doc_id").orderBy("_metadata.file_name", "_metadata.row_index").collect()] == order
+
+    at = {i: k for k, i in enumerate(order)}
+    slots = {}
+    for r in pipeline.shard(spark, mixed, SF).collect():
+        slots.setdefault(r["shard"], []).append((r["slot"], at[r["doc_id"]]))
+    assert sum(map(len, slots.values())) == len(order)
+    for of in slots.values():
+        of.sort()
+        assert [k for k, _ in of] == list(range(len(of))) and [p for _, p in of] == sorted(p for _, p in of)
+
+
+def test_shards_keep_the_order_of_many_files(spark, tmp_path):
+    docs = spark.range(50_000).selectExpr("id as doc_id", "concat('text ', id * 7919 % 50000) as text")
+    docs.repartitionByRange(23, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")
+    got = sharding.shard_documents(spark.read.parquet(f"{tmp_path}/docs"), 2, keep_order=True).orderBy("shard", "slot").collect()
+    for shard in (0, 1):
+        mine = [(r["slot"], r["doc_id"]) for r in got if r["shard"] == shard]
+        assert [k for k, _ in mine] == list(range(len(mine))) and [i for _, i in mine] == sorted(i for _, i in mine)
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
