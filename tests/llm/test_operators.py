@@ -311,6 +311,22 @@ def test_decoding_disguised_words():
     assert any("i-d-i-o-t" == t for t in toxicity.tokens_of("you i d i o t there"))
 
 
+def test_disguises_of_every_form_are_found():
+    vocabulary = "idiot moron pathetic loser scum worthless the and with from stupid you are a such what letter good book".split()
+    model = toxicity.CharModel({w: 50 for w in vocabulary})
+    markers = {f"{w}$": 3.0 for w in ("idiot", "moron", "loser", "scum", "stupid")}
+    evidence = toxicity.Evidence(markers, model)
+    found = lambda text: max(map(evidence.of, toxicity.tokens_of(text.lower())))
+    forms = ["you are a m o r o n", "such s c u m, you", "i, d, i, o, t", "i  d  i  o  t", "y o u a r e a m o r o n", "ssttuuppiidd", "mooronn", "st.upid", "you st_upid", "mo-ron!", "(id1ot)", "1d10t", "s/c/u/m", "m.0.r.0.n", "stuuupid", "$ c u m"]
+    assert [t for t in forms if not found(t)] == []
+    for clean in ("a good letter, such a book", "a, b, c, d and e", "room 1024 of 3.14", "https://example.org/a-b_c?d=e", "e. g. i. e."):
+        assert not found(clean)
+    plain = toxicity.Evidence(markers, model)
+    plain.leads_to_marker = lambda form: True  # the look ahead leaves out only what does not count
+    for token in {t for text in forms for t in toxicity.tokens_of(text)}:
+        assert plain.of(token) == evidence.of(token)
+
+
 def brute_mixed(rows):
     """Documents (id, source) of each source in the order given, dealt by a Pfair schedule that looks at every source at every slot."""
     of = {}
