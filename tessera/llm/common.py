@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separators of words: space and the control characters from tab to carriage return.
 SPACES = "[\\x20\\x09-\\x0D]+"
+#: Rows and bytes that go to a Python worker at once, unless the session says otherwise: documents can be long.
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+#: Files of a table whose names and first places are broadcast; those of a table of more files are shuffled.
+BROADCAST_FILES = 100_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -17,14 +26,42 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's own, where the session has not set any."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def in_worker(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for mapInArrow; when its task ends, the worker, which lives on, gives freed memory back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a local one where the session names none."""
+    """The folder that all executors share, as the session names it. Only where driver and executors are one process may it be unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,36 +76,75 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-#: Paths of scratch tables, in the order in which they were made.
-_made: list[str] = []
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
 
+class Scope:
+    """Scratch tables made in the thread while the scope is open; all but those kept are deleted when it closes."""
 
-def scratch_mark() -> int:
-    return len(_made)
+    def __init__(self):
+        self.made: list[str] = []
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A table of :func:`materialize` that is not to be deleted."""
+        self.made.remove(df._scratch_path)
+        return df
 
-def release_scratch(spark: SparkSession, mark: int) -> None:
-    """Delete the scratch tables made since ``mark`` but for the newest: for tables that nothing reads any more."""
-    for path in _made[mark:-1]:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+_open = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Scope]:
+    """Within it, scratch tables are for this thread's work only, and go when it ends."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scope = Scope()
+    scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        scopes.remove(scope)
+        for path in scope.made:
+            delete_path(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later passes start from these files, and so survive lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    _made.append(path)
+    if scopes := _open.__dict__.get("scopes"):
+        scopes[-1].made.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
 def drop_materialized(df: DataFrame) -> None:
     """Remove the files of :func:`materialize` once nothing reads them any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    delete_path(df.sparkSession, df._scratch_path)
+
+
+def placed(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """All or some columns of ``docs`` and __place, the place of each row in the table, from 0: a key that tells repeated rows apart.
+
+    The order of a table of Parquet files is that of its parts and of the rows in them; anything else is written first.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = materialize(docs if columns is None else docs.select(*columns), "placed")
+    columns = columns or docs.columns
+    part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1)
+    part = F.when(part != "", part.cast("long"))
+    rows = docs.select(*columns, part.alias("__part"), F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    counts = rows.groupBy("__part", "__path").count()
+    before = Window.orderBy("__part", "__path").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    starts = materialize(counts.select(F.col("__path").alias("__of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start")), "starts")
+    if len(docs.inputFiles()) <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
+    met = rows.join(starts, F.col("__path") == F.col("__of"))
+    return met.select(*columns, (F.col("__start") + F.col("__row")).alias("__place"))
 
 
 def doc_crc(doc_id: Column) -> Column:
@@ -85,13 +161,11 @@ def positions(df: DataFrame, group: list[str], spread: Column, order: list[str],
     read. The count of buckets follows the count of rows. A group is ordered by
     bucket, then by ``order``.
     """
-    from pyspark.sql import Window as W
-
     keys = [*group, "__sub"]
     n = max(256, -(-df.count() // per_bucket))
     dealt = df.withColumn("__sub", F.pmod(spread, F.lit(n)).cast("int"))
     counts = dealt.groupBy(*keys).count()
-    before = W.partitionBy(*group).orderBy("__sub").rowsBetween(W.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
     names = [f"__k{i}" for i in range(len(keys))]
     starts = starts.select(*[F.col(k).alias(a) for k, a in zip(keys, names)], "__start")
@@ -99,5 +173,5 @@ def positions(df: DataFrame, group: list[str], spread: Column, order: list[str],
     for k, a in zip(keys, names):
         same = F.col(k).eqNullSafe(F.col(a))
         on = same if on is None else on & same
-    numbered = dealt.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    numbered = dealt.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return numbered.join(starts, on, "left").withColumn(out, (F.col("__start") + F.col("__rn") - 1).cast("long")).drop("__sub", "__rn", "__start", *names)

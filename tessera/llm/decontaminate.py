@@ -1,29 +1,30 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, with DataFrame operations only.
 
-The containment of a test item in a document depends only on the document's
-shingles that some item has. So documents are first projected on the items'
-shingles, which leaves short sets however long the documents are. Items and
-projected documents are then partitioned by size (powers of two). For each pair
-of partitions the containment threshold becomes a Jaccard threshold, and from it
-follows how many MinHash values are compared so that a pair at the threshold is
-missed with a chance below 1e-9. Pairs of partitions that would need more than
-``MOST_HASHES`` values are looked up by every shingle instead. Candidates are
-verified by exact containment.
+An item is contained in a document that has at least ceil(threshold * n) of its n
+shingles, so at most m = n - ceil(threshold * n) are missing.
+
+1. Items are partitioned by size (powers of two). The signature of an item is its
+   k = min(n, 2 m + 1) least hashes: k MinHash values under one hash function. A
+   document that contains the item has at least k - m of them.
+2. The signature of a document for a partition is all its hashes up to the largest
+   that an item of the partition has in its signature, so long documents have long
+   signatures and no short item is lost in them. Signatures meet by value; pairs
+   with at least k - m common values are candidates. All pairs sought are among
+   them, and few others.
+3. Candidates are verified: the shingles of the candidate documents alone are
+   gathered again, and those shared with the candidate items are counted.
 """
 
 from __future__ import annotations
 
-from math import ceil, log
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, placed, scratch_scope
 
 WIDTH, THRESHOLD = 5, 0.8
-MOST_HASHES, MISS = 96, 1e-9
-#: Shingles of all items that are broadcast at most; more are shuffled.
-BROADCAST_SHINGLES = 1_000_000
+#: Signature values of all items, and candidate documents, that are broadcast at most; more are shuffled.
+BROADCAST_VALUES = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -37,83 +38,74 @@ def shingles_of(words: str, width: int) -> Column:
     return F.expr(f"transform(slice(sequence(0, greatest(size({words}) - {width}, 0)), 1, greatest(size({words}) - {width - 1}, 0)), i -> xxhash64({parts}))")
 
 
-def hashes_needed(item_size: int, doc_size: int, threshold: float) -> int:
-    """MinHash values for items of up to ``item_size`` shingles (over half of it) and documents of up to ``doc_size``."""
-    small = item_size / 2
-    jaccard = threshold * small / (doc_size + (1 - threshold) * small)
-    return ceil(log(MISS) / log(1 - min(jaccard, 0.999)))
+def at_most(values: Column, bound: int) -> Column:
+    return F.filter(values, lambda v: v <= F.lit(bound))
 
 
-def _size_class(n: Column) -> Column:
-    return F.ceil(F.log2(n.cast("double"))).cast("int")
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a table on disk, broadcast if its rows, all of a few longs, are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_VALUES else df
 
 
-def _minhash(column: str, i: Column) -> Column:
-    return F.array_min(F.transform(F.col(column), lambda s: F.xxhash64(s, i)))
+def signatures(benchmark: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Rows (item_id, len, n_item, least, part, item, signature): an item's shingles, how many words each has, and its MinHash values, ``least`` of which a document that contains it has."""
+    items = benchmark.where("item_id is not null").select("item_id", words_of(F.coalesce("text", F.lit(""))).alias("__w"))
+    items = items.withColumn("len", F.least(F.size("__w"), F.lit(width))).where("len > 0")
+    of_item = F.lit(None).cast("array<bigint>")
+    for n in range(1, width + 1):
+        of_item = F.when(F.col("len") == n, shingles_of("__w", n)).otherwise(of_item)
+    shingles = items.select("item_id", "len", F.explode(of_item).alias("shingle"))
+    held = shingles.groupBy("item_id").agg(F.max("len").alias("len"), F.sort_array(F.collect_set("shingle")).alias("item")).withColumn("n_item", F.size("item"))
+    missing = F.col("n_item") - F.ceil(F.col("n_item") * F.lit(threshold) - 1e-9)
+    k = F.least(F.col("n_item"), 2 * missing + 1).cast("int")
+    return held.select("item_id", "len", "n_item", (k - missing).cast("int").alias("least"), F.floor(F.log2(F.col("n_item").cast("double"))).cast("int").alias("part"), "item", F.slice("item", F.lit(1), k).alias("signature"))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
     """Pairs (doc_id, item_id, n_item, n_shared, containment) of documents that hold at least ``threshold`` of an item's shingles.
 
-    ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns
-    are not read. Words are lower-case runs of letters and digits, shingles
-    distinct ``width``-word runs; an item with fewer words is one shingle of its
-    own length. Null, empty and wordless texts have no shingles and appear in no
-    pair; nor do rows with a null id. Rows that repeat a doc_id are one document,
-    with the shingles of all of them, and likewise for items. Empty tables give an
-    empty result.
+    ``docs`` has ``key`` (named doc_id in the result) and text, ``benchmark`` item_id
+    and text; other columns are not read. Words are lower-case runs of letters and
+    digits, shingles distinct ``width``-word runs; an item with fewer words is one
+    shingle of its own length. Null, empty and wordless texts have no shingles and
+    appear in no pair; nor do rows with a null id. Rows that repeat an id are one
+    document, with the shingles of all of them, and likewise for items. Empty
+    tables give an empty result.
     """
-    items = benchmark.where("item_id is not null").select("item_id", words_of(F.coalesce("text", F.lit(""))).alias("__w"))
-    items = items.withColumn("__len", F.least(F.size("__w"), F.lit(width))).where("__len > 0")
-    lengths = sorted(r[0] for r in items.select("__len").distinct().collect())  # at most ``width`` values
-    if not lengths:
-        lengths = [width]
-    of_item = F.lit(None).cast("array<bigint>")
-    for n in lengths:
-        of_item = F.when(F.col("__len") == n, shingles_of("__w", n)).otherwise(of_item)
-    items = items.select("item_id", F.explode(of_item).alias("shingle")).groupBy("item_id").agg(F.collect_set("shingle").alias("item"))
-    items = materialize(items.withColumn("n_item", F.size("item")), "items")
-    vocabulary = items.select(F.explode("item").alias("known")).distinct()
-    size = vocabulary.count()
-    if size <= BROADCAST_SHINGLES:
-        vocabulary = F.broadcast(vocabulary)
-
-    split = docs.where("doc_id is not null and text is not null").select("doc_id", words_of(F.col("text")).alias("__w"))
-    of_doc = F.concat(*[shingles_of("__w", n) for n in lengths])
-    met = split.select("doc_id", F.explode(of_doc).alias("shingle")).join(vocabulary, F.col("shingle") == F.col("known"))
-    projected = met.groupBy("doc_id").agg(F.collect_set("shingle").alias("held"))
-    least = items.agg(F.min("n_item")).first()[0] or 1
-    projected = materialize(projected.where(F.size("held") >= ceil(threshold * least - 1e-9)), "projected")
-
-    item_classes = [r[0] for r in items.select(_size_class(F.col("n_item"))).distinct().collect()]  # at most 31 values each
-    doc_classes = [r[0] for r in projected.select(_size_class(F.size("held"))).distinct().collect()]
-    pairs = [(a, b, hashes_needed(1 << a, 1 << b, threshold)) for a in item_classes for b in doc_classes if (1 << b) >= threshold * (1 << a) / 2 - 1]
-    hashed = [p for p in pairs if p[2] <= MOST_HASHES]
-    direct = [p for p in pairs if p[2] > MOST_HASHES]
-
-    def probes(df: DataFrame, ids: str, held: str, side: int) -> DataFrame:
-        """Rows (id, item class, document class, number of the hash, value)."""
-        cls = _size_class(F.size(held))
-        rows = None
-        for group, exact in ((hashed, False), (direct, True)):
-            for a, b, k in group:
-                part = df.where(cls == F.lit((a, b)[side]))
-                if exact:
-                    part = part.select(ids, F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(-1).alias("i"), F.explode(held).alias("value"))
-                else:
-                    part = part.select(ids, held, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
-                    part = part.select(ids, F.lit(a).alias("a"), F.lit(b).alias("b"), "i", _minhash(held, F.col("i")).alias("value"))
-                rows = part if rows is None else rows.union(part)
-        return rows if rows is not None else df.select(ids, F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("value")).where("false")
-
-    candidates = probes(projected, "doc_id", "held", 1).join(probes(items, "item_id", "item", 0), ["a", "b", "i", "value"]).select("doc_id", "item_id").distinct()
-    checked = candidates.join(projected, "doc_id").join(items, "item_id")
-    checked = checked.withColumn("n_shared", F.size(F.array_intersect("held", "item")))
-    checked = checked.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - 1e-9))
-    return checked.select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), F.col("n_shared").cast("long").alias("n_shared"), (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    items = materialize(signatures(benchmark, width, threshold), "items")
+    # one row for each size partition and shingle length: at most 31 * width
+    bounds = items.groupBy("part", "len").agg(F.max(F.array_max("signature")).alias("bound")).collect()
+    values = small(materialize(items.select("item_id", "least", F.explode("signature").alias("value")), "signatures"))
+
+    lengths = {n: max(r["bound"] for r in bounds if r["len"] == n) for n in sorted({r["len"] for r in bounds})}
+    split = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).alias("doc_id"), words_of(F.col("text")).alias("__w"))
+
+    def of_doc(bounded: bool) -> Column:
+        """A document's shingles, or its signature: those that some partition asks for."""
+        parts = [at_most(shingles_of("__w", n), bound) if bounded else shingles_of("__w", n) for n, bound in lengths.items()]
+        return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<bigint>")
+
+    met = split.select("doc_id", F.explode(of_doc(True)).alias("value")).join(values, "value")
+    common = met.groupBy("doc_id", "item_id").agg(F.countDistinct("value").alias("common"), F.max("least").alias("least"))
+    candidates = materialize(common.where("common >= least").select("doc_id", "item_id"), "candidates")
+
+    asked = small(materialize(candidates.select("doc_id").distinct(), "candidate-documents"))
+    wanted = candidates.join(items.select("item_id", "n_item", F.explode("item").alias("shingle")), "item_id")
+    vocabulary = small(materialize(items.select(F.explode("item").alias("shingle")).distinct(), "vocabulary"))
+    held = split.join(asked, "doc_id", "left_semi").select("doc_id", F.explode(of_doc(False)).alias("shingle")).join(vocabulary, "shingle", "left_semi")
+    shared = held.distinct().join(wanted, ["doc_id", "shingle"]).groupBy("doc_id", "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"))
+    checked = shared.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - 1e-9))
+    return checked.select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that :func:`find_contamination` names; all columns and repeated rows stay."""
-    found = find_contamination(docs, benchmark, width, threshold).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(materialize(found, "contaminated"), F.col("doc_id") == F.col("__found"), "left_anti")
+    """``docs`` without the rows whose text holds at least ``threshold`` of an item's shingles, see :func:`find_contamination`.
+
+    Every row is judged by its own text, with or without an id, and repeated rows
+    alike; all columns stay.
+    """
+    rows = placed(docs)
+    with scratch_scope(docs.sparkSession) as scope:
+        found = find_contamination(rows, benchmark, width, threshold, "__place").select(F.col("doc_id").alias("__found")).distinct()
+        found = scope.keep(materialize(found, "contaminated"))
+    return rows.join(small(found), F.col("__place") == F.col("__found"), "left_anti").select(*docs.columns)

@@ -3,19 +3,27 @@
 Sets hold 64-bit hashes of shingles:
 
 1. Sets that are equal are one class; only classes are compared.
-2. Index lists by position. The hash range of a set is cut into blocks, so many
-   that two sets that link have the same block at least once. A list holds the sets with the same
-   block at the same place, among sets of comparable size. Lists with one class
-   are skipped whole: a bitmap of bounded size tells which lists are left, and
-   only sets on those lists are carried any further. Small sets are listed under
+2. Index lists, skipped by position. The hash range of a set is cut into blocks
+   at fixed positions, one more than two linked sets of that size may have
+   differing shingles (and more for blocks that may be empty), so linked sets
+   have the same block at the same position at least once: lists are exact. A
+   list holds the sets with one block at one position. Lists with one class are
+   skipped whole: a bitmap of bounded size tells which lists are left, and only
+   sets on those lists are carried any further. Small sets are listed under
    single shingles, the least ones of the set (prefix filter).
 3. Answers from a similar set. The least class on a list is its pivot, and the
-   sets of all lists with one pivot meet in one group. A set is kept there as its
-   difference from the pivot, a few bit words. Overlaps of two sets follow from
-   their differences; sets that are already connected are not compared again.
-   Groups over ``GROUP`` sets are divided into pairs of blocks, each in a task of
-   its own, so nothing is dropped.
-4. The links that were found are joined to components.
+   sets of all lists with one pivot meet in groups around it. The pivot's answers
+   (its overlap with every set of the group) are computed first. The answers of
+   another set X follow from them: a set Y that the pivot overlaps by o overlaps X
+   by o, less what X lacks of the pivot, plus the differences from the pivot that
+   X and Y have in common. Bounds of these decide most answers without a look;
+   the rest are counted along the index lists of X's differences alone, which are
+   ordered by the size of their sets, so that their blocks of too small sets are
+   skipped by position.
+4. A large group is dealt into parts, each with the pivot. Only the sets that are
+   not connected to the pivot in their part meet the other parts, so a group of
+   near copies costs work in proportion to its size, however large it is.
+5. The links that were found are joined to components.
 """
 
 from __future__ import annotations
@@ -29,14 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bitmaps import KeyBitmaps
-from tessera.llm.common import materialize
+from tessera.llm.common import in_worker, materialize, placed, scratch_scope
 from tessera.llm.components import connected_components
 from tessera.llm.kernels import U64, chunks, mix, mix_one, shingle_sets
 
-#: Sets compared with each other in one task.
-GROUP = 2_048
-#: Chance, at most, that the lists of two large sets at the threshold do not meet.
-MISS = 1e-9
+#: Sets, and shingles of sets, in one part of a group.
+GROUP, GROUP_SHINGLES = 2_048, 4 << 20
 
 
 @cache
@@ -52,22 +58,17 @@ def level_starts(num: int, den: int) -> list[int]:
 def level_plan(level: int, num: int, den: int) -> tuple[int, int]:
     """(blocks, empty blocks allowed for) of the sets in classes level and level + 1.
 
-    No blocks: single shingles. (0, -1): only equal sets link. A link is missed
-    only if every block is hit by a differing shingle or empty in both sets.
-    Large sets get as many blocks as make that less likely than ``MISS`` for a
-    link at the threshold, and links above it are safer still. Others get one
-    block more than a link has differing shingles, and more for blocks that are
-    empty by chance; a set with more empty blocks than that gets an extra list.
+    No blocks: single shingles. (0, -1): only equal sets link. At a level, a set
+    of its class is to meet what it links with in the class and the next one, so
+    the smaller set has fewer than s_(level+1) shingles, and the two differ in
+    that many times (den - num) / num at most. There is one block more than that,
+    and more for blocks that are empty by chance, so an untouched block with
+    shingles is left; a set with more empty blocks gets an extra list.
     """
     starts = level_starts(num, den)
-    small, large = starts[level], starts[level + 2] - 1
-    differ = 2 * large * (den - num) // (den + num)
+    small, differ = starts[level], (starts[level + 1] - 1) * (den - num) // num
     if not differ:
         return 0, -1
-    for blocks in range(32, differ + 2):
-        untouched = (1 - 1 / blocks) ** differ - (1 - 1 / blocks) ** small
-        if untouched > 0 and (1 - untouched) ** blocks < MISS:
-            return blocks, blocks
     for empty in range(differ // 4 + 1):
         blocks = differ + 1 + empty
         mean = blocks * (1 - 1 / blocks) ** small
@@ -126,11 +127,11 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners).astype(np.int64))], names=["list", "class"])
 
-    return docs.select("text").mapInArrow(index, "list long, class long")
+    return docs.select("text").mapInArrow(in_worker(index), "list long, class long")
 
 
-def _carry(docs: DataFrame, width: int, num: int, den: int, bitmaps) -> DataFrame:
-    """Rows (doc_id, class, n, carrier, lists, shingles): each document; the last three only where the set, the first of its class in the task, is on a list that is left. ``carrier`` tells rows apart."""
+def _carry(docs: DataFrame, width: int, num: int, den: int, bitmaps, key: str) -> DataFrame:
+    """Rows (doc_id, key, class, n, carrier, lists, shingles): each document; the last three only where the set, the first of its class in the task, is on a list that is left. ``carrier`` tells rows apart."""
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -156,37 +157,41 @@ def _carry(docs: DataFrame, width: int, num: int, den: int, bitmaps) -> DataFram
                     lists.append(left)
                     sets.append(bytes_of)
                 ids = batch.column(0).cast(pa.int64()).slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(carriers, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "class", "n", "carrier", "lists", "shingles"])
+                keys = batch.column(2).cast(pa.int64()).slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(carriers, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "key", "class", "n", "carrier", "lists", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(carry, "doc_id long, class long, n long, carrier long, lists array<long>, shingles binary")
+    return docs.select("doc_id", "text", F.col(key).cast("long").alias("key")).mapInArrow(in_worker(carry), "doc_id long, key long, class long, n long, carrier long, lists array<long>, shingles binary")
 
 
-def link_group(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Labels of the components of the links between the sets of two blocks (masks; the same for one block).
+def link_group(sets: list[np.ndarray], pivot: int, left: np.ndarray, right: np.ndarray, known: np.ndarray, num: int, den: int, look_all: bool = False) -> np.ndarray:
+    """Labels of the components of the links between two blocks of sets (masks; the same for one block). ``known`` are labels from the outset.
 
-    With the pivot P, a set X is (P - X as bits, X - P as numbers), and
-    |X & Y| = |P| - |(P - X) | (P - Y)| + |(X - P) & (Y - P)|.
+    See the module's text: the answers of ``pivot`` come first, all others are
+    derived from them. ``look_all`` counts every answer along the lists instead
+    of deciding by bounds where these suffice.
     """
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
-    sets, sizes, left, right = [sets[i] for i in order], sizes[order], left[order], right[order]
-    g, pivot = len(sets), sets[-1]
-    words = -(-len(pivot) // 64)
-    bits, extra = np.zeros((g, words), U64), []
-    for i, s in enumerate(sets):
-        lack = np.zeros(words * 64, np.uint8)
-        lack[: len(pivot)] = ~np.isin(pivot, s, assume_unique=True)
-        bits[i] = np.packbits(lack, bitorder="little").view(U64)
-        extra.append(np.setdiff1d(s, pivot, assume_unique=True))
-    # lists of the sets that have each number outside the pivot, where two or more do
-    owners = np.repeat(np.arange(g), [len(e) for e in extra])
-    _, number, times = np.unique(np.concatenate(extra), return_inverse=True, return_counts=True)
-    shared = times[number] > 1
-    owners, number = owners[shared], number[shared]
-    by_number = np.argsort(number, kind="stable")
-    listed, ends = owners[by_number], np.searchsorted(number[by_number], np.arange(len(times) + 1))
-    own_ends = np.searchsorted(owners, np.arange(g + 1))
-    label = np.arange(g)
+    p, sets = sets[pivot], [sets[i] for i in order]
+    sizes, left, right, known = sizes[order], left[order], right[order], known[order]
+    g = len(sets)
+    lacks = [np.flatnonzero(~np.isin(p, s, assume_unique=True)) for s in sets]
+    extras = [np.setdiff1d(s, p, assume_unique=True) for s in sets]
+    n_lack, n_extra = (np.array([len(x) for x in part]) for part in (lacks, extras))
+    answers = len(p) - n_lack  # of the pivot: its overlap with each set
+    differ = n_lack + n_extra
+
+    # index lists of the differences that two or more sets share, each in the order of the sets' sizes
+    _, number = np.unique(np.concatenate(extras), return_inverse=True)
+    items = np.concatenate([*lacks, number + len(p)]).astype(np.int64)
+    owners = np.concatenate([np.repeat(np.arange(g), n_lack), np.repeat(np.arange(g), n_extra)])
+    shared = np.bincount(items, minlength=1)[items] > 1
+    items, owners = items[shared], owners[shared]
+    own = np.argsort(owners, kind="stable")
+    own_items, own_ends = items[own], np.searchsorted(owners[own], np.arange(g + 1))
+    places = np.sort(items * g + owners)  # (item, set) as one number: a list is a stretch of these
+
+    _, label = np.unique(known, return_inverse=True)
     for i in range(1, g):
         # a set is compared with those before it, which are no larger: sizes bound the stretch
         low = int(np.searchsorted(sizes, -(-num * sizes[i] // den)))
@@ -194,35 +199,46 @@ def link_group(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num:
         before = before[((left[low:i] & right[i]) | (right[low:i] & left[i])) & (label[low:i] != label[i])]
         if not len(before):
             continue
-        both = len(pivot) - np.bitwise_count(bits[before] | bits[i]).sum(axis=1).astype(np.int64)
-        mine = number[own_ends[i] : own_ends[i + 1]]
-        if len(mine):
-            met = np.concatenate([listed[ends[k] : ends[k + 1]] for k in mine])
-            both += np.bincount(met, minlength=g)[before]
-        linked = before[(den + num) * both >= num * (sizes[before] + sizes[i])]
-        if len(linked):
-            labels = np.unique(np.append(label[linked], label[i]))
-            label[np.isin(label, labels)] = labels[0]
+        least = answers[before] - n_lack[i]
+        need = -(-num * (sizes[before] + sizes[i]) // (den + num))
+        linked = least >= need
+        unsure = ~linked & (least + np.minimum(differ[before], differ[i]) >= need)
+        if look_all:
+            linked, unsure = np.zeros_like(linked), np.ones_like(unsure)
+        if unsure.any():
+            lists = own_items[own_ends[i] : own_ends[i + 1]] * g
+            first, stop = np.searchsorted(places, lists + low), np.searchsorted(places, lists + i)
+            count = stop - first
+            at = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+            common = np.bincount(places[at] % g, minlength=g)[before]
+            linked |= unsure & (least + common >= need)
+        if linked.any():
+            joined = np.unique(np.append(label[before[linked]], label[i]))
+            label[np.isin(label, joined)] = joined[0]
+    first_of = np.full(label.max() + 1, -1)
+    first_of[label[::-1]] = np.arange(g)[::-1]
     out = np.empty(g, np.int64)
-    out[order] = order[label]
+    out[order] = order[first_of[label]]
     return out
 
 
 def _links(carried: DataFrame, multi: DataFrame, num: int, den: int) -> DataFrame:
     """Links (u, v) between classes, enough to connect all that are connected."""
     spark = carried.sparkSession
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = carried.where("carrier is not null")
-    on_lists = sets.select("class", F.explode("lists").alias("list"))
-    met = materialize(on_lists.join(multi, "list").select("class", "pivot").distinct(), "pivots")
-    sizes = materialize(met.groupBy("pivot").count().where("count > 1"), "pivot-sizes")
-    placed = met.join(sizes, "pivot").withColumn("parts", F.ceil(F.col("count") / GROUP).cast("int"))
+    on_lists = sets.select("class", "n", F.explode("lists").alias("list"))
+    met = materialize(on_lists.join(multi, "list").select("class", "n", "pivot").distinct(), "pivots")
+    # Parts are of even size by count, and by shingles as far as hashing deals these evenly.
+    parts = F.ceil(F.greatest(F.col("count") / GROUP, F.col("total") / GROUP_SHINGLES)).cast("int")
+    sizes = met.groupBy("pivot").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total")).where("count > 1")
+    sizes = materialize(sizes.select("pivot", parts.alias("parts"), F.ceil(F.col("count") / parts).cast("int").alias("most")), "pivot-sizes")
     first = sets.groupBy(F.col("class").alias("__class")).agg(F.min("carrier").alias("by"))  # tasks may carry the same class
-    placed = placed.join(first, F.col("class") == F.col("__class")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    placed = placed.select("class", "by", "pivot", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    placed = materialize(placed.select("class", "by", "pivot", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")), "placed")
+    members = met.join(sizes, "pivot").join(first, F.col("class") == F.col("__class"))
+    members = materialize(members.select("class", "by", "pivot", "parts", "most", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("own")), "members")
 
     # Only sets that some group needs are moved: all others but a few stop at a bitmap where they are read.
-    used = placed.select("by").distinct()
+    used = members.select("by").distinct()
     needed = spark.sparkContext.broadcast(KeyBitmaps(used.withColumn("key", F.xxhash64("by")), "key", used.count()))
 
     def only_needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,43 +246,97 @@ def _links(carried: DataFrame, multi: DataFrame, num: int, den: int) -> DataFram
         for batch in batches:
             yield batch.select(["carrier", "shingles"]).filter(pa.array(known.passes(batch.column(2).to_numpy(zero_copy_only=False))))
 
-    few = sets.select("carrier", "shingles", F.xxhash64("carrier").alias("key")).mapInArrow(only_needed, "carrier long, shingles binary")
-    rows = placed.join(few, F.col("by") == F.col("carrier")).drop("by", "carrier")
+    few = sets.select("carrier", "shingles", F.xxhash64("carrier").alias("key")).mapInArrow(in_worker(only_needed), "carrier long, shingles binary")
 
-    def compare(pdf):
+    def in_part(pdf):
+        """(pivot, own, most, class, root): each set of a part and the one that stands for its component, the pivot where it can be."""
         import pandas as pd
 
-        own = pdf["own"].to_numpy()
-        label = link_group([np.frombuffer(s, U64) for s in pdf["shingles"]], own == pdf["a"].to_numpy(), own == pdf["b"].to_numpy(), num, den)
-        c = pdf["class"].to_numpy()
+        c, pivot = pdf["class"].to_numpy(), pdf["pivot"].iloc[0]
+        everything = np.ones(len(pdf), bool)
+        at = int(np.flatnonzero(c == pivot)[0])
+        label = link_group([np.frombuffer(s, U64) for s in pdf["shingles"]], at, everything, everything, np.arange(len(pdf)), num, den)
+        label[label == label[at]] = at
+        return pd.DataFrame({"pivot": pivot, "parts": pdf["parts"], "most": pdf["most"], "own": pdf["own"], "class": c, "root": c[label]})
+
+    is_pivot = F.col("class") == F.col("pivot")
+    own = F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own")))
+    rows = members.select("class", "by", "pivot", "parts", "most", own.alias("own")).join(few, F.col("by") == F.col("carrier")).drop("carrier")
+    found = rows.repartition(n_tasks, "pivot", "own").groupBy("pivot", "own").applyInPandas(in_part, "pivot long, parts int, most int, own int, class long, root long")
+    found = materialize(found, "in-parts")
+    links = found.where("class <> root").select(F.col("class").alias("u"), F.col("root").alias("v"))
+
+    apart = found.where("parts > 1")
+    loose = materialize(apart.where("root <> pivot").groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.first("most")).cast("int").alias("blocks")), "loose")
+    if loose.isEmpty():
+        needed.unpersist()
+        return links
+
+    def across(pdf):
+        """Links between the loose sets of a block and the sets of a part."""
+        import pandas as pd
+
+        c, is_loose = pdf["class"].to_numpy(), pdf["loose"].to_numpy()
+        _, known = np.unique(pdf["root"].to_numpy(), return_inverse=True)
+        sets = [np.frombuffer(s, U64) for s in pdf["shingles"]]
+        label = link_group(sets, max(range(len(sets)), key=lambda i: len(sets[i])), is_loose, ~is_loose, known, num, den)
         return pd.DataFrame({"u": c, "v": c[label]})[c != c[label]]
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "pivot", "a", "b").groupBy("pivot", "a", "b").applyInPandas(compare, "u long, v long")
+    wide = apart.join(loose, "pivot").where((F.col("class") != F.col("pivot")) | (F.col("own") == 0))
+    block = F.pmod(F.xxhash64("class", F.lit("block")), F.col("blocks")).cast("int")
+    ours = wide.where("root <> pivot").select("pivot", "class", "root", F.lit(True).alias("loose"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"))
+    theirs = wide.select("pivot", "class", "root", F.lit(False).alias("loose"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "own")
+    both = ours.unionByName(theirs).join(first, F.col("class") == F.col("__class")).drop("__class").join(few, F.col("by") == F.col("carrier"))
+    more = materialize(both.repartition(n_tasks, "pivot", "block", "own").groupBy("pivot", "block", "own").applyInPandas(across, "u long, v long"), "across-parts")
+    needed.unpersist()
+    return links.unionByName(more)
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, class, component_id.
+def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, key: str = "doc_id") -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, key (another column of ``docs``, a long), n_shingles, class, component, component_id.
 
     Words are runs of anything but spaces and the control characters from tab to
     carriage return, A-Z lower-cased. A set holds the distinct ``width``-word
     shingles of the whole text; with fewer words, the sequence as one; null, empty
-    and wordless texts have an empty set (class null), are linked with nothing and
-    keep their doc_id as component. Two documents link when den * |intersection|
-    >= num * |union|; component_id is the least doc_id that links lead to. Repeated
-    rows are equal sets. Null doc_ids count last and only name a component if it
-    has no other. An empty table gives an empty result; other columns are not read.
+    and wordless texts have an empty set (class and component null), are linked
+    with nothing and keep their doc_id as component_id. Two documents link when
+    den * |intersection| >= num * |union|; component_id is the least doc_id that
+    links lead to. Repeated rows are equal sets. Null doc_ids count last and only
+    name a component if it has no other. An empty table gives an empty result;
+    other columns are not read.
     """
     spark = docs.sparkSession
-    multi = _index(docs, width, num, den).groupBy("list").agg(F.min("class").alias("pivot"), F.max("class").alias("high")).where("pivot <> high").select("list", "pivot")
-    multi = materialize(multi, "lists")
-    bitmaps = spark.sparkContext.broadcast(KeyBitmaps(multi, "list", multi.count()))
-    carried = materialize(_carry(docs, width, num, den, bitmaps), "sets")
-    components = connected_components(_links(carried, multi, num, den))
-    classes = carried.where("class is not null").groupBy(F.col("class").alias("node")).agg(F.min("doc_id").alias("least"))
-    named = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = materialize(named, "classes")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    least = materialize(named.join(least, "component").select("node", "component_id"), "class-components")
-    rows = carried.select("doc_id", F.col("n").alias("n_shingles"), "class")
-    return rows.join(least, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    with scratch_scope(spark) as scope:
+        multi = _index(docs, width, num, den).groupBy("list").agg(F.min("class").alias("pivot"), F.max("class").alias("high")).where("pivot <> high").select("list", "pivot")
+        multi = materialize(multi, "lists")
+        bitmaps = spark.sparkContext.broadcast(KeyBitmaps(multi, "list", multi.count()))
+        carried = materialize(_carry(docs, width, num, den, bitmaps, key), "sets")
+        bitmaps.unpersist()
+        components = connected_components(_links(carried, multi, num, den))
+        rows = scope.keep(materialize(carried.select("doc_id", "key", F.col("n").alias("n_shingles"), "class"), "rows"))
+        classes = rows.where("class is not null").groupBy(F.col("class").alias("node")).agg(F.min("doc_id").alias("least"))
+        named = materialize(classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
+        least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+        least = scope.keep(materialize(named.join(least, "component").select("node", "component", "component_id"), "class-components"))
+    met = rows.join(least, F.col("class") == F.col("node"), "left")
+    return met.select("doc_id", "key", "n_shingles", "class", "component", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_copies(rows: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The places (__lost) of rows of a :func:`placed` table to drop: of each group of linked rows one stays.
+
+    That is the row with the least doc_id, of several the first in the table; null
+    doc_ids come last. Rows without words are in no group, so all of them stay.
+    """
+    found = jaccard_components(rows, width, num, den, "__place").where("component is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("place"))
+    first = found.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("component").alias("__of"), F.col("first.place").alias("stays"))
+    return found.join(first, F.col("component") == F.col("__of")).where("key <> stays").select(F.col("key").alias("__lost"))
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` without the rows that :func:`near_copies` names; all columns stay, and repeated rows count as copies of each other. An empty table stays empty."""
+    rows = placed(docs)
+    with scratch_scope(docs.sparkSession) as scope:  # sets and lists go as soon as it is known what is lost
+        lost = scope.keep(materialize(near_copies(rows, width, num, den), "near-copies"))
+    return rows.join(lost, F.col("__place") == F.col("__lost"), "left_anti").select(*docs.columns)

@@ -8,8 +8,12 @@ of keys. Up to ``MOST_SEGMENTS`` segments it is broadcast; a larger one stays on
 the executors, and the keys of the texts go to the segments that answer for them.
 Both ways give the same scores.
 
-A word w after v has the probability (c(v, w) - 1 + PRIOR * p(w)) / (c(v) + PRIOR),
-with p(w) = (c(w) + 1) / (N + V + 1); pairs seen once add nothing and are not held.
+A word w after v has the probability (max(c(v, w) - 1, 0) + T(v) p(w)) / c(v), where
+T(v) is the number of different words after v and p(w) = (c(w) + 1) / (N + V + 1):
+what absolute discounting takes from the pairs goes to the single words, so the
+probabilities after v sum to 1, up to the quantisation of counts. Pairs seen once
+add nothing and are not held; T(v) = c(v) - sum of (c(v, w) - 1) follows from the
+others, and is in the filter too. After a word never seen, p(w) holds.
 
 The base score needs exact counts of single words: those of the most frequent
 words, at most ``FREQUENT``, are broadcast; the others are joined.
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_crc, drop_materialized, materialize
+from tessera.llm.common import doc_crc, drop_materialized, in_worker, materialize
 from tessera.llm.kernels import U64, chunks, mix, word_hashes
 
 BITS_A_KEY, PROBES = 10, 5
@@ -34,14 +38,21 @@ SEGMENT_BITS = 1 << 23
 MOST_SEGMENTS, FREQUENT = 128, 1 << 19
 #: Bytes of text whose distinct keys are asked for together where the filter is not broadcast, but for a longer single text.
 ASKED_AT_ONCE = 8 << 20
-PRIOR = float(1 << 17)
 TOKENS_AT_ONCE = 1 << 21
 
+#: Keys of words are 63 bits; of a pair the top bit, CONTEXT bits of its first word's key, and a hash; of T(v) these bits of v's key, and a mark.
 WORD_BITS, PAIR_BIT = U64((1 << 63) - 1), U64(1 << 63)
+LOW = 33
+LOW_BITS, TYPE_MARK = U64((1 << LOW) - 1), 0x15A5A5A5A
 END = mix(np.array([0xE0D], U64)) & WORD_BITS
 START = mix(np.array([0x57A], U64)) & WORD_BITS
 
 
+def type_keys(words: np.ndarray) -> np.ndarray:
+    """The keys under which the filter has T(v)."""
+    return (words & ~LOW_BITS) | U64(TYPE_MARK)
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the texts' words with an end after each text, keys of the pairs that each token ends, and the text of each token."""
     words, bounds = word_hashes(texts)
@@ -55,7 +66,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.empty_like(out)
     before[1:], before[:1] = out[:-1], START
     before[1:][is_end[:-1]] = START
-    return out, mix(before * U64(3) + mix(out)) | PAIR_BIT, own
+    return out, (mix(before * U64(3) + mix(out)) & LOW_BITS) | (before & ~LOW_BITS) | PAIR_BIT, own
 
 
 def gather(train: DataFrame) -> DataFrame:
@@ -79,12 +90,21 @@ def gather(train: DataFrame) -> DataFrame:
         if held:
             yield out(held)
 
-    counted = train.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = train.select("text").mapInArrow(in_worker(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return materialize(counted.where("key >= 0 or n > 1"), "counts")
 
 
+def types_after(counts: DataFrame) -> DataFrame:
+    """Rows (key, n) with T(v), for all v that occur."""
+    as_context = F.when(F.col("key") == int(END[0]), F.lit(int(START[0]))).otherwise(F.col("key"))
+    context = F.shiftright(as_context.bitwiseAND(F.lit(int(WORD_BITS))), LOW)
+    taken = F.when(F.col("key") >= 0, F.col("n")).otherwise(1 - F.col("n"))
+    left = counts.groupBy(context.alias("context")).agg(F.sum(taken).alias("n")).where("n > 0")
+    return left.select(F.shiftleft("context", LOW).bitwiseOR(F.lit(TYPE_MARK)).alias("key"), "n")
+
+
 def steps(key: Column, n: Column) -> Column:
-    """Words: 1 + floor(2 log2 n). Pairs: floor(log2 n)."""
+    """Words and T(v): 1 + floor(2 log2 n). Pairs: floor(log2 n)."""
     lb = F.log2(n.cast("double")) + 1e-12
     return F.when(key >= 0, F.floor(2 * lb) + 1).otherwise(F.floor(lb)).cast("int")
 
@@ -141,7 +161,7 @@ def segment_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def filter_segments(counts: DataFrame) -> tuple[int, DataFrame]:
-    """How many segments the filter of all rows of ``counts`` has, and rows (segment, bits) of those that hold keys."""
+    """How many segments the filter of all rows of ``counts`` (key, n) has, and rows (segment, bits) of those that hold keys."""
     stepped = counts.select("key", steps(F.col("key"), F.col("n")).alias("step"))
     total = stepped.agg(F.sum("step")).first()[0] or 0
     n = max(1, -(-total * BITS_A_KEY // SEGMENT_BITS))
@@ -196,7 +216,8 @@ def ask_segments(pieces: DataFrame, n: int, segments: DataFrame) -> DataFrame:
                 now = int(groups[a])
                 for _, texts in chunks(batch.column(1).slice(a, b - a)):
                     words, pairs, _ = tokens(texts)
-                    held += [np.unique(words), np.unique(pairs)]
+                    own_words = np.unique(words)
+                    held += [own_words, np.unique(pairs), type_keys(own_words), type_keys(START)]
                     size += len(words)
         if held:
             yield out(now, held)
@@ -215,10 +236,10 @@ def ask_segments(pieces: DataFrame, n: int, segments: DataFrame) -> DataFrame:
                     if len(keys):
                         yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([step.tobytes()], pa.binary())], names=["group", "keys", "steps"])
 
-    asked = pieces.select("group", "text").mapInArrow(ask, "segment long, group long, keys binary")
+    asked = pieces.select("group", "text").mapInArrow(in_worker(ask), "segment long, group long, keys binary")
     own = segments.select("segment", F.lit(-1).cast("long").alias("group"), F.col("bits").alias("keys"))
     met = own.unionByName(asked).repartition("segment").sortWithinPartitions("segment", "group")
-    return met.mapInArrow(probe, "group long, keys binary, steps binary")
+    return met.mapInArrow(in_worker(probe), "group long, keys binary, steps binary")
 
 
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +275,7 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     of_words = counts.where("key >= 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     n_train, vocabulary = of_words[0] or 0, of_words[1]
     scale = float(n_train + vocabulary + 1)
-    n_segments, segments = filter_segments(counts)
+    n_segments, segments = filter_segments(counts.unionByName(types_after(counts)))
     frequent = sc.broadcast(frequent_words(counts))
 
     def of_texts(rows: np.ndarray, ids: pa.Array, texts: list[bytes], look: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -270,14 +291,17 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
         base = np.bincount(own, np.log10(exact + 1.0)[back], g)
         n_known = np.bincount(own, found[back], g)
 
-        c = word_count(look(distinct))
+        c, types = word_count(look(distinct)), word_count(look(type_keys(distinct)))
         p = ((c + 1) / scale)[back]
-        before = np.empty(len(words))
-        before[1:] = c[back][:-1]
+        before, after = np.empty(len(words)), np.empty(len(words))
+        before[1:], after[1:] = c[back][:-1], types[back][:-1]
         first_of = np.flatnonzero(np.diff(own, prepend=-1))
         before[first_of] = c[np.searchsorted(distinct, END)[0]]  # as many starts as ends
-        both = np.maximum(np.minimum(pair_count(look(pairs)), before) - 1, 0)
-        logs = np.log10((both + PRIOR * p) / (before + PRIOR)) if n_train else np.zeros(len(words))
+        after[first_of] = word_count(look(type_keys(START)))[0]
+        after = np.minimum(after, before)
+        both = np.clip(pair_count(look(pairs)) - 1, 0, before - after)
+        seen = (before > 0) & (after > 0)
+        logs = np.log10(np.where(seen, (both + after * p) / np.where(seen, before, 1), p)) if n_train else np.zeros(len(words))
         total = np.bincount(own, logs, g)
 
         nothing = pa.nulls(g, pa.int64())
@@ -304,7 +328,7 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
                     yield from of_texts(row + first + np.arange(len(texts)), ids.slice(first, len(texts)), texts, filter_.value.steps)
                 row += len(ids)
 
-        scored = materialize(texts_of.mapInArrow(score, out), "scored")
+        scored = materialize(texts_of.mapInArrow(in_worker(score), out), "scored")
     else:
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,14 +371,15 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
                     for first, texts in chunks(batch.column(3).slice(a, b - a)):
                         yield from of_texts(rows[a + first : a + first + len(texts)], ids.slice(first, len(texts)), texts, look)
 
-        pieces = materialize(texts_of.mapInArrow(deal, "group long, row long, doc_id long, text binary"), "pieces")  # so that both passes see the same groups
+        pieces = materialize(texts_of.mapInArrow(in_worker(deal), "group long, row long, doc_id long, text binary"), "pieces")  # so that both passes see the same groups
         answers = ask_segments(pieces, n_segments, segments)
         met = pieces.unionByName(answers.withColumn("row", F.lit(-1).cast("long")), allowMissingColumns=True).select("group", "row", "doc_id", "text", "keys", "steps")
-        scored = materialize(met.repartition("group").sortWithinPartitions("group", "row").mapInArrow(score_groups, out), "scored")
+        scored = materialize(met.repartition("group").sortWithinPartitions("group", "row").mapInArrow(in_worker(score_groups), out), "scored")
         drop_materialized(pieces)
     rare = scored.where("key is not null").select("row", "key", F.col("n").alias("here"))
     rare = rare.join(counts.where("key >= 0"), "key").groupBy("row").agg(F.sum(F.col("here") * F.log10(F.col("n") + 1.0)).alias("rare_base"), F.sum("here").alias("rare_known"))
     texts = scored.where("key is null").join(rare.withColumnRenamed("row", "__row"), F.col("row") == F.col("__row"), "left")
+    frequent.unpersist()
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(log10(scale))
     return texts.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 

@@ -16,6 +16,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import in_worker
+
 #: In the order in which spans with the same start are listed. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
@@ -112,7 +114,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             out = [[{"kind": KINDS[k], "start": s, "stop": e} for s, k, e in find_spans(t.as_py() or "", cues)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, kind)], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, spans array<struct<kind:string,start:long,stop:long>>")
+    return docs.select("doc_id", "text").mapInArrow(in_worker(scan), "doc_id long, spans array<struct<kind:string,start:long,stop:long>>")
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:

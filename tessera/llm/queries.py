@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, exact_dedup, jaccard_join, lm_score, mixing, pii, repeated_bytes, sharding, toxicity, url_filter
-from tessera.llm.common import read
+from tessera.llm.common import materialize, positions, read
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +18,9 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    narrow = sharding.materialize(sharding.with_keys(docs).withColumn("text_crc32", crc).drop("text"), "shard-keys")
+    narrow = materialize(sharding.with_keys(docs).withColumn("text_crc32", crc).drop("text"), "shard-keys")
     placed = narrow.withColumn("shard", sharding.shard_of(sharding.plan_shards(narrow, 8)))
-    numbered = sharding.positions(placed, ["shard"], F.col("__sub_key"), ["__key", "__sub_key"], out="slot")
+    numbered = positions(placed, ["shard"], sharding.spread_of(), ["__key", "__sub_key"], out="slot")
     return numbered.select("doc_id", F.col("__size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -127,5 +127,72 @@ HAVING count(*) >= ceil(n_item * 0.8 - 1e-9)
 """
 
 
+
+_SHARDING = """
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, r: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i))
+), keyed AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size, hex(encode(coalesce(text, ''))) AS h,
+         ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS k, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS s
+  FROM documents
+), whole AS (SELECT sum(size)::DOUBLE AS total, count(*) AS n FROM keyed
+), by_text AS (SELECT k, sum(size)::DOUBLE AS b FROM keyed GROUP BY k
+), groups AS (SELECT k, b, sum(b) OVER (ORDER BY k) - b AS low FROM by_text
+), by_row AS (SELECT k, s, sum(size)::DOUBLE AS b FROM keyed GROUP BY k, s
+), rows_of AS (SELECT k, s, b, sum(b) OVER (PARTITION BY k ORDER BY s) - b AS low FROM by_row
+), cuts AS (
+  SELECT i, k, total / 8 * i - low AS under, low + b - total / 8 * i AS above, total / 8 * 0.005 AS near
+  FROM whole, range(1, 8) r(i), groups WHERE low <= total / 8 * i AND total / 8 * i < low + b
+), splitters AS (
+  SELECT CASE WHEN c.under = 0 OR (c.under <= c.above AND c.under <= near) THEN c.k WHEN c.above <= near THEN c.k + 1 ELSE c.k END AS k,
+         CASE WHEN c.under = 0 OR least(c.under, c.above) <= near THEN 0 WHEN c.under - r.low <= r.low + r.b - c.under THEN r.s ELSE r.s + 1 END AS s
+  FROM cuts c JOIN rows_of r ON r.k = c.k AND r.low <= c.under AND c.under < r.low + r.b
+), dealt AS (
+  SELECT keyed.*, (SELECT count(*) FROM splitters p WHERE keyed.k > p.k OR (keyed.k = p.k AND keyed.s >= p.s)) AS shard FROM keyed
+)
+SELECT doc_id, size::BIGINT AS size,
+       xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(size - 1), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) AS text_crc32,
+       'bytes' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY (k + s) % greatest(256, ceil(n / 20000.0)::BIGINT), k, s) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM dealt, whole, crc_table
+"""
+
+_JACCARD = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, hash(w[i : i + 2]) AS h, md5(array_to_string(w[i : i + 2], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT x.doc_id AS u, y.doc_id AS v FROM shingles x JOIN shingles y ON x.h = y.h AND x.s = y.s AND x.doc_id <> y.doc_id
+    JOIN sizes a ON a.doc_id = x.doc_id JOIN sizes b ON b.doc_id = y.doc_id
+  WHERE a.n * 10 >= b.n * 9 AND b.n * 10 >= a.n * 9
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM documents
+  UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT u, min(v) AS c FROM reach GROUP BY u) r ON r.u = d.doc_id
+"""
+
+_REPEATS = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS w FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 199)) AS p FROM texts WHERE length(h) >= 400)
+), hits AS (SELECT doc_id, p FROM windows QUALIFY count(*) OVER (PARTITION BY w) > 1
+), edges AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM hits
+), runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM edges) GROUP BY doc_id, g
+), cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs
+), kept AS (
+  SELECT t.doc_id, count(c.a) AS n_spans, coalesce(sum(c.b - c.a), 0) AS n_removed,
+         coalesce(string_agg(substr(t.h, 2 * c.since + 1, 2 * (c.a - c.since)), '' ORDER BY c.a), '') || substr(any_value(t.h), 2 * coalesce(max(c.b), 0) + 1) AS rest, any_value(length(t.h)) // 2 AS n
+  FROM texts t LEFT JOIN cuts c ON c.doc_id = t.doc_id GROUP BY t.doc_id
+)
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": _DECONTAMINATION, "op1_url_filters": _URL_PARTS, "op7_exact_dedup": _EXACT_DEDUP}
+    return {"op2_sharding": _SHARDING, "op4_jaccard_join": _JACCARD, "op6_repeated_bytes": _REPEATS, "op5_decontamination": _DECONTAMINATION, "op1_url_filters": _URL_PARTS, "op7_exact_dedup": _EXACT_DEDUP}

@@ -6,26 +6,32 @@
    by 199, so every window lies in exactly one phrase, and equal windows have equal
    triggers at equal places, wherever they are. Triggers that are alone in the
    corpus are dropped early.
-2. Dictionary. Equal phrases are counted: all windows of a phrase that occurs
-   twice are repeats.
+2. Dictionary and parse. The parse is the sequence of phrases of every text, the
+   dictionary holds each phrase once, with the number of its places in the parse:
+   all windows of a phrase that has two are repeats. As phrases overlap by a
+   window less one byte, the order of suffixes of the parse, which prefix-free
+   parsing needs for what lies beyond a phrase, is never asked for.
 3. Edges. A phrase that occurs once may still share windows with others that have
    its trigger. It is divided where the trigger's place in the window passes a
    multiple of 40. Only pieces whose core (the bytes that all windows with the
    trigger at these places have) occurs twice can share windows.
-4. Suffixes. Pieces with one core meet in one partition, and their suffixes, one
-   for each window, are put in classes by their first 200 bytes (what a suffix
-   array would be sorted for, as far as is asked here): windows of a class of two
-   or more are repeats. The suffixes of a core with more than ``HOT`` pieces are
-   dealt by class instead, one by one.
+4. Suffix arrays of the dictionary. Pieces with one core meet in one partition.
+   There the suffixes of the dictionary that begin after the core are sorted, and
+   so are the reversed prefixes that end before it, each with the length of what
+   neighbours have in common; a window is an interval of both orders, and windows
+   with the same two intervals are equal byte for byte. The windows of a core with
+   more than ``HOT`` pieces are dealt out one by one instead.
 5. The windows that were found are laid over the texts.
 
-Strings are compared by 64-bit hashes. The corpus is parsed again in each of the
-four passes, as that takes less room than keeping the parse.
+The corpus is parsed again in each of the four passes, as that takes less room than
+keeping the parse. Long texts are parsed in pieces that overlap by 199 bytes. Equal
+phrases are told by 64-bit digests, windows within a core by their bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +39,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bitmaps import KeyBitmaps
-from tessera.llm.common import materialize
-from tessera.llm.kernels import POWERS, U64, chunks, mix
+from tessera.llm.common import in_worker, materialize, placed, scratch_scope
+from tessera.llm.kernels import CHUNK, U64, digests, mix, segments
 
 LENGTH, TRIGGER = 200, 40
 PLACES = 40
-HOT = 200_000
-BLOCK = 32_768  # pieces whose suffixes are held at once, but for those of one core
+CORE = LENGTH - PLACES + 1
+HOT = 50_000
+BLOCK = 32_768  # pieces that are sorted at once, but for those of one core
 BYTES = mix(np.arange(1, 257, dtype=U64))
+BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, U64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=U64)
+
+
+#: Powers of the rolling hash's base and of its inverse, for the bytes of one chunk.
+UP, DOWN = _powers(BASE, CHUNK + 1), _powers(pow(BASE, -1, 1 << 64), CHUNK + 1)
 
 
 def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -54,55 +72,61 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
+@dataclass
+class Runs:
+    """Runs of windows: the text of each, its start there and in the chunk, how many windows, trigger, place of the trigger and where the core begins."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    begin: np.ndarray
+    windows: np.ndarray
+    trigger: np.ndarray
+    place: np.ndarray
+    core: np.ndarray
+
+
 class Parse:
-    """The phrases of some texts: arrays doc, start (in the text), windows, trigger, phrase, and the hash of each phrase's core. Without ``divide``, runs of one trigger are whole and there are no cores."""
+    """The triggers of all windows of some texts, together at most CHUNK bytes, and the runs of windows that share them."""
 
-    def __init__(self, texts: list[bytes], divide: bool):
-        raw = np.frombuffer(b"".join(texts), np.uint8)
+    def __init__(self, texts: list[bytes]):
+        self.data = b"".join(texts)
+        raw = np.frombuffer(self.data, np.uint8)
         lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.ends = np.cumsum(lengths)
-        self.n = len(raw)
-        empty = np.zeros(0, np.int64)
-        self.doc = self.begin = self.start = self.windows = empty
-        self.trigger = self.phrase = self.core = empty.view(U64)
-        if self.n < LENGTH:
+        self.starts = self.ends - lengths
+        n = len(raw)
+        self.at, self.valid, self.grams = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, U64)
+        if n < LENGTH:
             return
-        self.up, self.down = POWERS.get(self.n + 1)
-        self.sums = np.zeros(self.n + 1, U64)
-        np.cumsum(BYTES[raw] * self.up[: self.n], out=self.sums[1:])
-        grams = mix((self.sums[TRIGGER:] - self.sums[:-TRIGGER]) * self.down[: self.n - TRIGGER + 1])
-        keys = (grams & U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U64)
-        at = (_sliding_least(keys, LENGTH - TRIGGER + 1) & U64(0xFFFFFFFF)).astype(np.int64)
-        valid = np.zeros(len(at), bool)
-        starts = self.ends - lengths
-        for a, b in zip(starts[lengths >= LENGTH], self.ends[lengths >= LENGTH]):
-            valid[a : b - LENGTH + 1] = True
+        sums = np.zeros(n + 1, U64)
+        np.cumsum(BYTES[raw] * UP[:n], out=sums[1:])
+        self.grams = mix((sums[TRIGGER:] - sums[:-TRIGGER]) * DOWN[: n - TRIGGER + 1])
+        keys = (self.grams & U64(0xFFFFFFFF00000000)) | np.arange(len(self.grams), dtype=U64)
+        self.at = (_sliding_least(keys, LENGTH - TRIGGER + 1) & U64(0xFFFFFFFF)).astype(np.int64)
+        self.valid = np.zeros(len(self.at), bool)
+        for a, b in zip(self.starts[lengths >= LENGTH], self.ends[lengths >= LENGTH]):
+            self.valid[a : b - LENGTH + 1] = True
+
+    def runs(self, divide: bool) -> Runs:
+        """Phrases, or with ``divide`` their pieces."""
+        at, valid = self.at, self.valid
         change = at[1:] != at[:-1]
+        place = (at - np.arange(len(at))) // PLACES if divide else np.zeros(len(at), np.int64)
         if divide:
-            place = (at - np.arange(len(at))) // PLACES
             change |= place[1:] != place[:-1]
-        first = valid.copy()
+        first, last = valid.copy(), valid.copy()
         first[1:] &= change | ~valid[:-1]
-        begin = np.flatnonzero(first)
-        if not len(begin):
-            return
-        last = valid.copy()
         last[:-1] &= change | ~valid[1:]
-        stop = np.flatnonzero(last)
-        anchor = at[begin]
-        self.begin = begin
-        self.doc = np.searchsorted(self.ends, begin, "right")
-        self.start = begin - starts[self.doc]
-        self.windows = stop - begin + 1
-        self.trigger = grams[anchor]
-        self.phrase = self.hashes(begin, stop + LENGTH)
-        if divide:
-            place = place[begin]
-            low = anchor - place * PLACES
-            self.core = self.hashes(low, low - (PLACES - 1) + LENGTH) ^ mix(place.astype(U64))
+        begin, stop = np.flatnonzero(first), np.flatnonzero(last)
+        doc = np.searchsorted(self.ends, begin, "right")
+        return Runs(doc, begin - self.starts[doc], begin, stop - begin + 1, self.grams[at[begin]], place[begin], at[begin] - place[begin] * PLACES)
+
+    def digests(self, runs: Runs, some: np.ndarray) -> np.ndarray:
+        """Of the bytes of some of the runs."""
+        return digests(self.data, runs.begin[some], runs.begin[some] + runs.windows[some] - 1 + LENGTH)
 
-    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(U64))
+    def cores(self, runs: Runs, some: np.ndarray) -> np.ndarray:
+        return digests(self.data, runs.core[some], runs.core[some] + CORE) ^ mix(runs.place[some].astype(U64))
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -112,11 +136,11 @@ def _long(x: np.ndarray) -> pa.Array:
 def _triggers(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in chunks(batch.column(0)):
-                key, n = np.unique(Parse(part, False).trigger, return_counts=True)
+            for _, _, part in segments(batch.column(0), LENGTH - 1):
+                key, n = np.unique(Parse(part).runs(False).trigger, return_counts=True)
                 yield pa.RecordBatch.from_arrays([_long(key), pa.array(n.astype(np.int64))], names=["trigger", "n"])
 
-    return texts.select("text").mapInArrow(count, "trigger long, n long")
+    return texts.select("text").mapInArrow(in_worker(count), "trigger long, n long")
 
 
 def _phrases(texts: DataFrame, repeated) -> DataFrame:
@@ -125,98 +149,122 @@ def _phrases(texts: DataFrame, repeated) -> DataFrame:
         names = ["key", "start", "windows", "phrase"]
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, part in chunks(batch.column(1)):
-                p = Parse(part, False)
-                keep = np.flatnonzero(known.passes(p.trigger))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first + p.doc[keep]]), pa.array(p.start[keep]), pa.array(p.windows[keep]), _long(p.phrase[keep])], names=names)
+            for rows, offsets, part in segments(batch.column(1), LENGTH - 1):
+                p = Parse(part)
+                runs = p.runs(False)
+                keep = np.flatnonzero(known.passes(runs.trigger))
+                doc = runs.doc[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[rows[doc]]), pa.array(offsets[doc] + runs.start[keep]), pa.array(runs.windows[keep]), _long(p.digests(runs, keep))], names=names)
 
-    return texts.mapInArrow(parse, "key long, start long, windows long, phrase long")
+    return texts.mapInArrow(in_worker(parse), "key long, start long, windows long, phrase long")
 
 
-def _pieces(part: list[bytes], triggers, once) -> tuple[Parse, np.ndarray, np.ndarray]:
+def _pieces(p: Parse, triggers, once) -> tuple[Runs, np.ndarray, np.ndarray]:
     """The divided parse, which of its pieces have a repeated trigger, and which of them lie in a phrase that (nearly surely) occurs once."""
-    whole, p = Parse(part, False), Parse(part, True)
-    keep = np.flatnonzero(triggers.passes(p.trigger))
+    whole, cut = p.runs(False), p.runs(True)
+    keep = np.flatnonzero(triggers.passes(cut.trigger))
     if not len(keep):
-        return p, keep, np.zeros(0, bool)
-    parent = np.searchsorted(whole.begin, p.begin[keep], "right") - 1
-    return p, keep, once.passes(whole.phrase[parent])
+        return cut, keep, np.zeros(0, bool)
+    parent, back = np.unique(np.searchsorted(whole.begin, cut.begin[keep], "right") - 1, return_inverse=True)
+    return cut, keep, once.passes(p.digests(whole, parent))[back]
 
 
 def _cores(texts: DataFrame, triggers, once) -> DataFrame:
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in chunks(batch.column(0)):
-                p, keep, single = _pieces(part, triggers.value, once.value)
-                core, at, n = np.unique(p.core[keep], return_inverse=True, return_counts=True)
+            for _, _, part in segments(batch.column(0), LENGTH - 1):
+                p = Parse(part)
+                cut, keep, single = _pieces(p, triggers.value, once.value)
+                core, at, n = np.unique(p.cores(cut, keep), return_inverse=True, return_counts=True)
                 some = np.bincount(at, single, len(core)) > 0
                 yield pa.RecordBatch.from_arrays([_long(core), pa.array(n.astype(np.int64)), pa.array(some)], names=["core", "n", "once"])
 
-    return texts.select("text").mapInArrow(cores, "core long, n long, once boolean")
+    return texts.select("text").mapInArrow(in_worker(cores), "core long, n long, once boolean")
 
 
 def _edges(texts: DataFrame, triggers, once, wanted) -> DataFrame:
-    """The bytes of all pieces with a wanted core; of those in repeated phrases one of each kind in a task, without a key, as a witness."""
+    """The bytes of all pieces with a wanted core, and how many of them lie before it; of pieces in repeated phrases one of each kind in a task, without a key, as a witness."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        names = ["core", "key", "start", "lead", "data"]
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, part in chunks(batch.column(1)):
-                p, keep, single = _pieces(part, triggers.value, once.value)
-                left = wanted.value.passes(p.core[keep])
-                core, key, start, data = [], [], [], []
-                raw = b"".join(part)
-                for k, alone in zip(keep[left], single[left]):
-                    if not alone:
-                        if (name := int(p.phrase[k])) in seen:
-                            continue
-                        seen.add(name)
-                    core.append(p.core[k])
-                    key.append(int(keys[first + p.doc[k]]) if alone else None)
-                    start.append(int(p.start[k]))
-                    data.append(raw[p.begin[k] : p.begin[k] + p.windows[k] - 1 + LENGTH])
-                if core:
-                    yield pa.RecordBatch.from_arrays([_long(np.array(core, U64)), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(data, pa.binary())], names=["core", "key", "start", "data"])
-
-    return texts.mapInArrow(edges, "core long, key long, start long, data binary")
-
-
-def _suffix_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of the pieces, and the piece of each."""
+            for rows, offsets, part in segments(batch.column(1), LENGTH - 1):
+                p = Parse(part)
+                cut, keep, single = _pieces(p, triggers.value, once.value)
+                core = p.cores(cut, keep)
+                left = wanted.value.passes(core)
+                keep, single, core = keep[left], single[left], core[left]
+                known = ~single
+                known[known] = [name in seen or seen.add(name) is not None for name in p.digests(cut, keep[~single]).tolist()]
+                keep, single, core = keep[~known], single[~known], core[~known]
+                if len(keep):
+                    begin, doc = cut.begin[keep], cut.doc[keep]
+                    data = [p.data[a:b] for a, b in zip(begin.tolist(), (begin + cut.windows[keep] - 1 + LENGTH).tolist())]
+                    key = pa.array(keys[rows[doc]], mask=~single)
+                    yield pa.RecordBatch.from_arrays([_long(core), key, pa.array(offsets[doc] + cut.start[keep]), pa.array((cut.core[keep] - begin).astype(np.int32)), pa.array(data, pa.binary())], names=names)
+
+    return texts.mapInArrow(in_worker(edges), "core long, key long, start long, lead int, data binary")
+
+
+def _sorted_contexts(raw: np.ndarray, first: np.ndarray, step: int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the contexts (``size`` bytes from ``first`` on, forwards or backwards), and what each has in common with the one before it in that order."""
+    j = np.arange(PLACES - 1)
+    inside = j < size[:, None]
+    held = np.where(inside, raw[np.where(inside, first[:, None] + step * j, 0)], 0)
+    wide = np.zeros((len(first), PLACES), np.uint8)
+    wide[:, : PLACES - 1] = held
+    words = wide.view(">u8").astype(U64)
+    order = np.lexsort(words.T[::-1])
+    differ = wide[order[1:]] != wide[order[:-1]]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), PLACES)
+    return order, np.concatenate([[0], common])
+
+
+def equal_windows(data: list[bytes], lead: np.ndarray) -> np.ndarray:
+    """For every piece and every of its at most PLACES windows, whether another piece has the same bytes there around the same core."""
+    n = len(data)
     raw = np.frombuffer(b"".join(data), np.uint8)
-    up, down = POWERS.get(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, U64)
-    np.cumsum(BYTES[raw] * up[: len(raw)], out=sums[1:])
-    lengths = np.fromiter((len(t) for t in data), np.int64, len(data))
-    windows = lengths - LENGTH + 1
-    own = np.repeat(np.arange(len(data)), windows)
-    at = np.arange(len(own)) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(windows) - windows), windows)
-    return mix((sums[at + LENGTH] - sums[at]) * down[at]), own
+    lengths = np.fromiter((len(t) for t in data), np.int64, n)
+    core = np.cumsum(lengths) - lengths + lead
+    tail = lengths - lead - CORE
+    bytes_of = np.ascontiguousarray(raw[core[:, None] + np.arange(CORE)]).view(f"V{CORE}").ravel()
+    _, group = np.unique(bytes_of, return_inverse=True)
+    (left, left_common), (right, right_common) = _sorted_contexts(raw, core - 1, -1, lead), _sorted_contexts(raw, core + CORE, 1, tail)
+    hit = np.zeros((n, PLACES), bool)
+    before, after = np.empty(n, np.int64), np.empty(n, np.int64)
+    for e in range(PLACES):  # windows with e bytes before the core
+        has = np.flatnonzero((lead >= e) & (tail >= PLACES - 1 - e))
+        if len(has) < 2:
+            continue
+        before[left], after[right] = np.cumsum(left_common < e), np.cumsum(right_common < PLACES - 1 - e)
+        _, back, times = np.unique((group[has] * (n + 1) + before[has]) * (n + 1) + after[has], return_inverse=True, return_counts=True)
+        hit[has, lead[has] - e] = times[back] > 1
+    return hit
 
 
 def _repeated_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, start, stop) of the runs of repeated windows of the pieces (core, key, start, data), which come in the order of their cores."""
-
-    def settle(core: list, key: list, start: list, data: list) -> pa.RecordBatch:
-        suffix, own = _suffix_hashes(data)
-        _, at, n = np.unique(suffix, return_inverse=True, return_counts=True)
-        hit = (n[at] > 1) & np.array([k is not None for k in key])[own]
-        place = np.arange(len(own))
-        place -= np.searchsorted(own, own)  # the window's number in its piece
-        edge = np.ones(len(own) + 1, bool)
-        edge[1:-1] = (own[1:] != own[:-1]) | (hit[1:] != hit[:-1])
-        bounds = np.flatnonzero(edge)
-        runs = [(key[own[a]], start[own[a]] + place[a], start[own[a]] + place[b - 1] + LENGTH) for a, b in zip(bounds[:-1], bounds[1:]) if hit[a]]
-        return pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in runs], pa.int64()) for i in range(3)], names=["key", "start", "stop"])
+    """(key, start, stop) of the runs of repeated windows of the pieces (core, key, start, lead, data), which come in the order of their cores."""
+
+    def settle(key: list, start: list, lead: list, data: list) -> pa.RecordBatch:
+        hit = equal_windows(data, np.array(lead, np.int64))
+        hit[[k is None for k in key]] = False
+        edge = np.diff(hit.view(np.int8), axis=1, prepend=0, append=0)
+        piece, first = np.nonzero(edge == 1)
+        _, stop = np.nonzero(edge == -1)
+        begin = np.array(start, np.int64)[piece]
+        return pa.RecordBatch.from_arrays([pa.array([key[k] for k in piece], pa.int64()), pa.array(begin + first), pa.array(begin + stop - 1 + LENGTH)], names=["key", "start", "stop"])
 
     held: list[list] = [[], [], [], []]
+    last = None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if len(held[0]) >= BLOCK and row[0] != held[0][-1]:
+            if len(held[0]) >= BLOCK and row[0] != last:
                 yield settle(*held)
                 held = [[], [], [], []]
-            for h, v in zip(held, row):
+            last = row[0]
+            for h, v in zip(held, row[1:]):
                 h.append(v)
     if held[0]:
         yield settle(*held)
@@ -225,16 +273,20 @@ def _repeated_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of the pieces: (key, start, suffix)."""
     for batch in batches:
-        for a in range(0, batch.num_rows, BLOCK):
-            _, key, start, data = (c.to_pylist() for c in batch.slice(a, BLOCK).columns)
-            suffix, own = _suffix_hashes(data)
-            place = np.arange(len(own)) - np.searchsorted(own, own)
-            yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in own], pa.int64()), pa.array(np.array(start)[own] + place), _long(suffix)], names=["key", "start", "suffix"])
+        for a in range(0, batch.num_rows, BLOCK // PLACES):
+            _, key, start, _, data = (c.to_pylist() for c in batch.slice(a, BLOCK // PLACES).columns)
+            windows = np.array([len(t) - LENGTH + 1 for t in data])
+            own = np.repeat(np.arange(len(data)), windows)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
+            at = place + np.repeat(np.cumsum([0, *map(len, data)])[:-1], windows)
+            yield pa.RecordBatch.from_arrays([pa.array([key[i] for i in own], pa.int64()), pa.array(np.array(start)[own] + place), _long(digests(b"".join(data), at, at + LENGTH))], names=["key", "start", "suffix"])
 
 
 def repeated_intervals(texts: DataFrame, hot: int = HOT) -> DataFrame:
-    """Rows (key, spans) for each text with repeats; spans are (start, stop) byte ranges that repeats cover, not merged. ``texts`` is (key, text); equal keys mean the same row."""
-    sc = texts.sparkSession.sparkContext
+    """Rows (key, spans) for each text with repeats; spans are (start, stop) byte ranges that repeats cover, not merged. ``texts`` is (key, text) with keys of their own."""
+    spark = texts.sparkSession
+    sc = spark.sparkContext
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(_triggers(texts).groupBy("trigger").agg(F.sum("n").alias("n")).where("n > 1").select("trigger"), "triggers")
     triggers = sc.broadcast(KeyBitmaps(found, "trigger", found.count()))
     phrases = materialize(_phrases(texts, triggers), "phrases")
@@ -248,20 +300,20 @@ def repeated_intervals(texts: DataFrame, hot: int = HOT) -> DataFrame:
     wanted = sc.broadcast(KeyBitmaps(cores, "core", cores.count()))
     edges = _edges(texts, triggers, once, wanted)
     span = "key long, start long, stop long"
-    large = cores.where(F.col("n") > hot).select("core")
-    found = whole
+    large = materialize(cores.where(F.col("n") > hot).select("core"), "large-cores")
+    settle = lambda rows: rows.repartition(n_tasks, "core").sortWithinPartitions("core").mapInArrow(in_worker(_repeated_suffixes), span)
     if large.isEmpty():
-        n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        found = found.union(edges.repartition(n, "core").sortWithinPartitions("core").mapInArrow(_repeated_suffixes, span))
+        found = whole.union(settle(edges))
     else:
         edges = materialize(edges, "edges")
-        n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        large = F.broadcast(large)  # at most one core for every ``hot`` pieces
-        found = found.union(edges.join(large, "core", "left_anti").repartition(n, "core").sortWithinPartitions("core").mapInArrow(_repeated_suffixes, span))
-        each = materialize(edges.join(large, "core", "left_semi").mapInArrow(_suffixes, "key long, start long, suffix long"), "suffixes")
+        each = materialize(edges.join(large, "core", "left_semi").select(*edges.columns).mapInArrow(in_worker(_suffixes), "key long, start long, suffix long"), "suffixes")
         classes = materialize(each.groupBy("suffix").count().where("count > 1").select("suffix"), "suffix-classes")
-        found = found.union(each.where("key is not null").join(classes, "suffix", "left_semi").select("key", "start", (F.col("start") + LENGTH).alias("stop")))
-    return found.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        dealt = each.where("key is not null").join(classes, "suffix", "left_semi").select("key", "start", (F.col("start") + LENGTH).alias("stop"))
+        found = whole.union(settle(edges.join(large, "core", "left_anti").select(*edges.columns))).union(dealt)
+    found = materialize(found.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    for held in (triggers, once, wanted):
+        held.unpersist()
+    return found
 
 
 def merge(spans: list[dict]) -> list[tuple[int, int]]:
@@ -284,8 +336,10 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     text repeat each other. An empty table gives an empty result; other columns
     are not read.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    found = repeated_intervals(rows.select("key", "text")).withColumnRenamed("key", "__key")
+    rows = placed(docs, ["doc_id", "text"]).withColumnRenamed("__place", "key")
+    with scratch_scope(docs.sparkSession) as scope:
+        found = scope.keep(repeated_intervals(rows.select("key", "text")))
+    found = found.withColumnRenamed("key", "__key")
     joined = rows.join(found, F.col("key") == F.col("__key"), "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,6 +358,4 @@ def find_repeats(docs: DataFrame) -> DataFrame:
                 kept.append(b"".join(parts))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, pair), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
-
-
+    return joined.mapInArrow(in_worker(cut), "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")

@@ -1,7 +1,7 @@
 """Sharding by histogram sort, with DataFrame operations only.
 
-Rows are ordered by (hash of the text, hash of the doc_id), so that equal texts
-are neighbours. The splitters between shards are found by counting the exact
+Rows are ordered by (digest of the text, digest of the doc_id), so that equal
+texts are neighbours. The splitters between shards are found by counting the exact
 bytes below candidate boundaries, in rounds: each round divides the bracket of
 every splitter into ``probes`` bins and keeps the bin that holds its target.
 Rows then move once, to their final shard.
@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, positions
+from tessera.llm.common import materialize, placed, positions
 
-BITS = 62  # of a key: half the range of a long, so that differences of keys fit
+BITS = 60  # of a key: under half the range of a long, so that differences of keys fit
 
 
 @dataclass
@@ -27,11 +27,16 @@ class Splitter:
     sub_key: int = 0
 
 
+def key_of(text: Column) -> Column:
+    """The first BITS bits of the MD5 of a text."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+
+
 def with_keys(docs: DataFrame) -> DataFrame:
     """``docs`` and the columns __key, __sub_key and __size (bytes of the text plus 1)."""
     return docs.withColumns({
-        "__key": F.shiftrightunsigned(F.xxhash64("text"), 64 - BITS),
-        "__sub_key": F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("shard")), 64 - BITS),
+        "__key": key_of(F.coalesce("text", F.lit(""))),
+        "__sub_key": key_of(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
         "__size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1,
     })
 
@@ -84,11 +89,11 @@ def find_splitters(keyed: DataFrame, column: str, targets: list[float], toleranc
     return [done[i] for i in range(len(targets))]
 
 
-def plan_shards(keyed: DataFrame, n_shards: int, tolerance: float = 0.001, group_tolerance: float = 0.005, probes: int = 256) -> list[Splitter]:
+def plan_shards(keyed: DataFrame, n_shards: int, tolerance: float = 0.0, group_tolerance: float = 0.005, probes: int = 256) -> list[Splitter]:
     """The splitters of ``keyed`` (with the columns of :func:`with_keys`), one fewer than shards.
 
     A splitter is final when the bytes below it are within ``tolerance`` of a
-    shard's share. It moves to the edge of a group of equal texts if that costs
+    shard's share; with 0, when its bin holds one text. It moves to the edge of a group of equal texts if that costs
     at most ``group_tolerance`` of a share; a larger group is divided by the hash
     of its doc_ids, in the same way.
     """
@@ -117,33 +122,24 @@ def shard_of(splitters: list[Splitter]) -> Column:
 
 
 def in_order(docs: DataFrame, per_bucket: int = 20_000) -> DataFrame:
-    """``docs`` and the columns __place (of the row in the order of the table, from 0) and __bucket (stretches of ``per_bucket`` places).
+    """``docs`` and the columns __place (see :func:`placed`) and __bucket (stretches of ``per_bucket`` places)."""
+    return placed(docs).withColumn("__bucket", F.floor(F.col("__place") / per_bucket).cast("long"))
 
-    The order of a table of Parquet files is that of its parts and of the rows in them; anything else is written first.
-    """
-    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
-        docs = materialize(docs, "in-order")
-    names = docs.columns
-    part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1)
-    part = F.when(part != "", part.cast("long"))
-    rows = docs.select(*names, part.alias("__part"), F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
-    counts = rows.groupBy("__part", "__path").count()
-    before = Window.orderBy("__part", "__path").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    starts = counts.select(F.col("__path").alias("__of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    placed = rows.join(F.broadcast(starts), F.col("__path") == F.col("__of"))
-    place = F.col("__start") + F.col("__row")
-    return placed.select(*names, place.alias("__place"), F.floor(place / per_bucket).cast("long").alias("__bucket"))
-
-
-def shard_documents(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.001, keep_order: bool = False) -> DataFrame:
+
+def spread_of() -> Column:
+    """An even hash of a row, by which the slots of a shard are numbered in parts."""
+    return F.col("__key") + F.col("__sub_key")
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.0, keep_order: bool = False) -> DataFrame:
     """``docs`` and the columns shard (0 to n_shards - 1) and slot (gapless from 0 in each shard).
 
     The law is `bytes`: the shards' sums of UTF-8 bytes plus 1 a row are as near
     to equal as whole rows (and small groups of equal texts) allow. A null text
-    counts as no bytes; null doc_ids share a sub-key; rows that repeat a doc_id
-    and text are placed one by one but only divided where a whole key ends. An
-    empty table gives an empty result, and there may be fewer rows than shards.
-    Columns named shard or slot in ``docs`` are replaced; others stay. With
+    counts as no bytes, and as equal to an empty one; rows that repeat both a
+    doc_id and a text are placed one by one but only divided where all of them
+    end. An empty table gives an empty result, and there may be fewer rows than
+    shards. Columns named shard or slot in ``docs`` are replaced; others stay. With
     ``keep_order`` the slots of a shard follow the order of ``docs`` (see
     :func:`in_order`), else that of the keys.
     """
@@ -153,8 +149,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.001
         order, spread = ["__place"], F.col("__bucket")
     else:
         keyed = with_keys(docs.select(*keep))
-        order, spread = ["__key", "__sub_key"], F.col("__sub_key")
+        order, spread = ["__key", "__sub_key"], spread_of()
     narrow = materialize(keyed.select("__key", "__sub_key", "__size"), "shard-keys")
-    placed = keyed.withColumn("shard", shard_of(plan_shards(narrow, n_shards, tolerance)))
+    dealt = keyed.withColumn("shard", shard_of(plan_shards(narrow, n_shards, tolerance)))
     # There are at least as many of positions()' sub-buckets as stretches of places, so that those stay in order.
-    return positions(placed, ["shard"], spread, order, out="slot").select(*keep, "shard", "slot")
+    return positions(dealt, ["shard"], spread, order, out="slot").select(*keep, "shard", "slot")

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import in_worker
+
 #: (host, path, verdict); a host stands for itself and for all its subdomains.
 HOST_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Globs that decide where no host rule fits; any match blocks.
@@ -165,4 +167,4 @@ def filter_urls(pages: DataFrame, host_rules=HOST_RULES, block_globs=BLOCK_GLOBS
             verdict = [verdicts[k] if k >= 0 else "block" if b else default for k, b in zip(best, blocked)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
-    return pages.select("page_id", "url").mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string")
+    return pages.select("page_id", "url").mapInArrow(in_worker(judge), "page_id long, host string, path string, rule string, verdict string")

@@ -91,8 +91,7 @@ def test_mixing(odd, nothing):
     got = mixing.mix_sources(odd, block=2)
     assert sorted(r[0] for r in got.select("mix_position").collect()) == list(range(len(ODD)))
     assert mixing.mix_sources(nothing).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix_sources(odd, max_sources=2)
+    assert sorted(r[0] for r in mixing.mix_sources(odd, block=2, max_sources=2).select("mix_position").collect()) == list(range(len(ODD)))
 
 
 def test_urls(spark):
@@ -114,6 +113,6 @@ def test_stages(spark, odd, nothing, labels, benchmark, tmp_path, name):
     got = stage(spark, docs, str(tmp_path))
     extra = ["shard", "slot"] if name == "sharding" else []
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra]
-    lost = {"ngram_jaccard_join": 2, "benchmark_decontamination": 4}.get(name, 0)
+    lost = {"ngram_jaccard_join": 2, "benchmark_decontamination": 4}.get(name, 0)  # the two rows of document 2 link with document 1
     assert got.count() == len(ODD) - lost
     assert stage(spark, spark.createDataFrame([], DOCS), str(tmp_path)).count() == 0

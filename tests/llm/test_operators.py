@@ -11,7 +11,7 @@ import ahocorasick  # noqa: F401
 import numpy as np
 import pytest
 
-from tessera.llm import components, jaccard_join, lm_score, mixing, pii, queries, repeated_bytes, sharding, toxicity, url_filter
+from tessera.llm import common, components, decontaminate, exact_dedup, jaccard_join, lm_score, mixing, pii, queries, repeated_bytes, sharding, toxicity, url_filter
 from tessera.llm.kernels import shingle_sets, word_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -83,23 +83,121 @@ def test_jaccard_components(spark, width, num, den):
     assert {r["doc_id"]: r["component_id"] for r in got} == components_of(sets, num, den)
 
 
-def test_jaccard_large_groups_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "GROUP", 4)
+@pytest.mark.parametrize("group,shingles", [(4, 1 << 22), (2048, 900)])
+def test_jaccard_large_groups_in_parts(spark, monkeypatch, group, shingles):
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
+    monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", shingles)
     rows = near_copies(seed=9)
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == components_of(sets_of(rows, 3), 90, 100)
 
 
 def test_index_lists_meet_for_every_link():
-    """Any two sets at the threshold share a list."""
+    """Any two sets at the threshold share a list, also where all differing shingles lie in blocks of their own."""
     r = np.random.default_rng(1)
     for num, den in ((90, 100), (80, 100)):
-        for n in (9, 12, 20, 47, 48, 60, 130, 400, 2000):
+        for n in (9, 12, 20, 47, 48, 60, 130, 400, 2000, 20_000):
             for _ in range(20):
                 a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
                 lose = int(len(a) * (den - num) / den)
                 b = a[lose:]
                 assert len(np.intersect1d(jaccard_join.list_keys(a, num, den), jaccard_join.list_keys(b, num, den)))
+    for level in range(60):
+        starts = jaccard_join.level_starts(90, 100)
+        blocks, empty = jaccard_join.level_plan(level, 90, 100)
+        if blocks:  # more blocks than can be touched or empty, for every pair of sizes that meets at this level
+            worst = max(a + b - 2 * -(-90 * (a + b) // 190) for a in range(starts[level], starts[level + 1]) for b in range(a, a * 10 // 9 + 1)) if starts[level] < 2000 else 0
+            assert blocks - empty > worst
+
+
+def test_answers_are_derived_without_a_look():
+    """Bounds from the pivot's answers give the same components as counting along the lists, and as brute force."""
+    r = random.Random(12)
+    for trial in range(30):
+        base = r.sample(range(1 << 40), r.choice((20, 90, 300)))
+        sets = []
+        for _ in range(40):
+            s = set(base)
+            for _ in range(r.randrange(0, len(base) // 5)):
+                s.discard(r.choice(base))
+                s.add(r.randrange(1 << 40))
+            sets.append(np.array(sorted(s), np.uint64))
+        everything = np.ones(len(sets), bool)
+        args = (sets, r.randrange(len(sets)), everything, everything, np.arange(len(sets)), 90, 100)
+        derived = jaccard_join.link_group(*args)
+        assert derived.tolist() == jaccard_join.link_group(*args, look_all=True).tolist()
+        wanted = components_of({i: frozenset(s.tolist()) for i, s in enumerate(sets)}, 90, 100)
+        assert len({(a, b) for a, b in zip(derived.tolist(), [wanted[i] for i in range(len(sets))])}) == len(set(wanted.values())) == len(set(derived.tolist()))
+
+
+def thue_morse(letters):
+    """The first 1,024 letters of the Thue-Morse word, which breaks polynomial hashes modulo powers of two."""
+    return "".join(letters[bin(k).count("1") % 2] for k in range(1024))
+
+
+def test_words_are_told_apart_by_more_than_a_polynomial(spark):
+    a, b = thue_morse("ab"), thue_morse("ba")
+    hashes, _ = word_hashes([f"{a} {b} a\0 a".encode()])
+    assert len(set(hashes.tolist())) == 4
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == {1, 2}
+    scored = {r["doc_id"]: r["n_known"] for r in lm_score.score_texts(docs, docs.where("doc_id = 1")).collect()}
+    assert scored == {1: 2, 2: 1}
+    assert all(len(r["kept"]) == 1024 for r in repeated_bytes.find_repeats(docs).collect() if brute_repeats([(1, a), (2, b)])[r["doc_id"]][1] == 0)
+    assert {r["doc_id"]: r["n_bytes"] - len(r["kept"]) for r in repeated_bytes.find_repeats(docs).collect()} == {i: x[1] for i, x in brute_repeats([(1, a), (2, b)]).items()}
+
+
+def test_long_texts_are_worked_through_in_windows(spark, monkeypatch):
+    from tessera.llm import kernels
+
+    text = " ".join(f"w{k % 5000}x" for k in range(40_000))
+    whole, _ = word_hashes([text.encode()])
+    monkeypatch.setattr(kernels, "CHUNK", 5000)
+    parts, bounds = word_hashes([text.encode()])
+    assert (whole == parts).all() and bounds.tolist() == [0, 40_000]
+    column = __import__("pyarrow").array([None, "x" * 12_000, "short"])
+    held = [(r, o, p) for rows, offsets, part in kernels.segments(column, 199) for r, o, p in zip(rows, offsets, part)]
+    assert [len(p) for r, _, p in held if r == 1] == [5000, 5000, 2398] and [o for r, o, _ in held if r == 1] == [0, 4801, 9602]
+
+
+def test_drop_duplicates_keeps_every_text(spark):
+    rows = [(1, "same text"), (1, "other text"), (2, "same text"), (2, "Same text"), (None, "same text"), (None, None), (None, ""), (5, "zz")]
+    got = exact_dedup.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", __import__("pyspark").sql.functions.lit(1))).collect()
+    assert sorted((r["doc_id"] or 0, lower(r["text"])) for r in got) == [(0, ""), (1, "other text"), (2, "same text"), (5, "zz")]
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (1, "something else that stays as it is here"), (2, text + " more"), (2, text + " more"), (None, text), (None, "alone without an id but with words"), (None, text), (7, ""), (7, None)]
+    got = jaccard_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(str(x) for x in (rows[0], rows[1], rows[5], rows[7], rows[8]))
+    one = jaccard_join.drop_near_copies(spark.createDataFrame([(None, text)] * 3, "doc_id long, text string")).collect()
+    assert len(one) == 1
+
+
+def test_containment_is_found_wherever_it_lies(spark):
+    """Every document with exactly enough shingles of an item, scattered over a long text, is found, and none with one fewer."""
+    r = random.Random(6)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    items, docs = [], []
+    for n in (1, 3, 5, 6, 9, 14, 40, 200):
+        words = [r.choice(vocabulary) for _ in range(n)]
+        items.append((n, " ".join(words)))
+        grams = [words[k : k + 5] for k in range(n - 4)] if n >= 5 else [words]
+        need = math.ceil(len({tuple(g) for g in grams}) * 0.8 - 1e-9)
+        for lack in (0, 1):
+            some = r.sample(grams, need - lack)
+            filler = lambda: [r.choice(vocabulary) + "f" for _ in range(r.randrange(1, 60))]
+            docs.append((len(docs), " ".join(w for g in some for w in (*g, *filler())) + " " + " ".join(filler())))
+    grams_of = lambda t, n: (lambda w: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)})(re.findall(r"[^\W_]+", t.lower()))
+    wanted = set()
+    for i, t in docs:
+        for j, item in items:
+            own = grams_of(item, min(5, len(item.split())))
+            if len(own & grams_of(t, min(5, len(item.split())))) >= math.ceil(len(own) * 0.8 - 1e-9):
+                wanted.add((i, j))
+    got = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == wanted and len(wanted) >= 8
 
 
 def test_components_of_a_chain(spark):
@@ -193,6 +291,90 @@ def test_lm_base_is_exact_and_model_is_better(spark, monkeypatch):
     assert sum(r["score"] - r["base_score"] for r in got.values()) > 0
 
 
+def test_lm_scores_against_brute_force(spark):
+    """Every probability comes from the quantised counts; those after a word sum to about 1."""
+    r = random.Random(4)
+    train = [(k, " ".join(r.choices("the a of cat dog bird sits runs on mat".split(), [9, 8, 7, 3, 3, 2, 2, 2, 5, 1], k=r.randrange(1, 30)))) for k in range(80)]
+    docs = [(900, "the cat sits on the mat"), (901, "unseen the words"), (902, ""), (903, None), *train[:10]]
+    count, pairs = Counter(), Counter()
+    for _, t in train:
+        w = [*WORD.findall(t), None]
+        count.update(w)
+        pairs.update(zip(["", *w], w))
+    n, v = sum(count.values()), len(count)
+    step = lambda c: math.floor(2 * math.log2(c) + 1e-9) + 1 if c else 0
+    quantised = lambda c: float(lm_score.word_count(np.array([step(c)]))[0])
+    of_pair = lambda c: float(lm_score.pair_count(np.array([int(math.log2(c)) if c > 1 else 0]))[0])
+
+    def p(before, w):
+        single = (quantised(count[w]) + 1) / (n + v + 1)
+        total = count[None] if before == "" else count[before]
+        kinds = sum(a == before for a, _ in pairs)
+        c, t = quantised(total), min(quantised(kinds), quantised(total))
+        if not c or not t:
+            return single
+        return (min(max(of_pair(pairs[before, w]) - 1, 0), c - t) + t * single) / c
+
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(train, "doc_id long, text string")).collect()}
+    for i, t in docs:
+        w = [*WORD.findall(lower(t)), None]
+        assert got[i] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["", *w], w)), rel=1e-6)
+    for before in ("", "the", "cat", "on"):
+        assert 0.7 < sum(p(before, w) for w in count) < 1.3
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    rows = spark.createDataFrame(rows_of(spark), "doc_id long, text string")
+    scores = [{r["doc_id"]: r["score"] for r in lm_score.score_texts(rows.repartition(n), rows.repartition(n)).collect()} for n in (1, 23)]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-12)
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs, labels = docs_of(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    learned = [toxicity.fit(docs.repartition(n), labels.repartition(n)) for n in (1, 23)]
+    assert learned[0]["markers"] == learned[1]["markers"] and learned[0]["letters"] == learned[1]["letters"]
+    assert learned[0]["weights"] == pytest.approx(learned[1]["weights"])
+
+
+def test_toxicity_scoring_against_the_formula(spark):
+    docs, labels = docs_of(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    learned = toxicity.fit(docs, labels)
+    evidence = toxicity.Evidence(learned["markers"], toxicity.CharModel(learned["letters"]))
+    evidence.leads_to_marker = lambda form: True  # decode every token
+    texts = dict(rows_of(spark))
+    for r in toxicity.score_toxicity(docs, labels).collect():
+        x = np.array(evidence.row(texts[r["doc_id"]] or "")) / learned["scale"]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-float(x @ learned["weights"]))), rel=1e-9)
+
+
+def test_long_tokens_take_time_in_proportion():
+    import time
+
+    markers = {"idiot$": 3.0, "scum$": 2.0}
+    evidence = toxicity.Evidence(markers, toxicity.CharModel.of_words({"idiot": 50, "scum": 50}))
+    for token in ("!" * 1_000_000 + "x", "x" * 1_000_000, "a!" * 500_000, "?" * 1_000_000):
+        began = time.perf_counter()
+        evidence.of(token)
+        assert time.perf_counter() - began < 5
+    assert toxicity.without_tail("scum!!!") == "scum" and toxicity.without_tail("scum!!") == "scum!!" and toxicity.without_tail("ha___") == "ha___"
+
+
+def test_scratch_of_one_thread_is_not_another_s(spark):
+    import threading
+
+    kept = []
+    with common.scratch_scope(spark) as scope:
+        own = common.materialize(spark.range(3), "own")
+        other = threading.Thread(target=lambda: kept.append(common.materialize(spark.range(4), "other")))
+        other.start()
+        other.join()
+        scope.keep(own)
+        gone = common.materialize(spark.range(5), "gone")
+    assert own.count() == 3 and kept[0].count() == 4
+    with pytest.raises(Exception):
+        gone.count()
+
+
 def test_lm_filter_holds_steps(spark):
     counts = spark.createDataFrame([(i * 7919 + 1, 1 + i % 50) for i in range(5000)] + [(-i * 104729 - 1, 2 + i % 9) for i in range(5000)], "key long, n long")
     held = lm_score.build_filter(counts)
@@ -285,6 +467,25 @@ def test_mixing_of_equal_sources_stays_equal(spark):
     assert len(seen) == sources and all(abs(k - n / 2 / sources) < block for k in seen.values())
 
 
+def test_many_sources_are_pooled(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('s', id % 500) as source")
+    got = mixing.mix_sources(docs, block=2, max_sources=8).orderBy("mix_position").select("doc_id", "source", "mix_position").collect()
+    assert [r["mix_position"] for r in got] == list(range(3000)) and len({r["doc_id"] for r in got}) == 3000
+    given = mixing.mix_sources(docs, {"s1": 0.5, "s2": 0.1}, block=2, max_sources=8)
+    assert sorted(r[0] for r in given.select("mix_position").collect()) == list(range(3000))
+
+
+def test_op3_against_brute_force(spark):
+    docs = docs_of(spark)
+    narrow = spark.createDataFrame(docs.select("doc_id", "source").collect(), "doc_id long, source string")
+    got = queries.op3_mixing(spark, SF).orderBy("mix_position").collect()
+    of = {}
+    for r in got:
+        of.setdefault(r["source"], []).append(r["doc_id"])
+    order = brute_mixed([(i, s) for s, ids in of.items() for i in ids])
+    assert [r["doc_id"] for r in got] == order and len(order) == narrow.count()
+
+
 def test_shift_and_against_regex():
     r = random.Random(4)
     patterns = ["net/**", "**.net/**", "*.a?c/x*", "**spam**", "a" * 70 + "*", "*", "**", "", "x**y*z"]
@@ -304,7 +505,7 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_decoding_disguised_words():
-    model = toxicity.CharModel({w: 50 for w in "idiot moron pathetic loser scum worthless the and with from stupid".split()})
+    model = toxicity.CharModel.of_words({w: 50 for w in "idiot moron pathetic loser scum worthless the and with from stupid".split()})
     for disguised, word in (("1d10t", "idiot"), ("m0r0n", "moron"), ("p@thet1c", "pathetic"), ("l-o-s-e-r", "loser"), ("$cum", "scum"), ("stuuupid", "stupid")):
         assert toxicity.decode(disguised, model) == word
     assert "idiot" in toxicity.restored_words("1d10t", model) and toxicity.restored_words("plain", model) == ["plain"]
@@ -313,7 +514,7 @@ def test_decoding_disguised_words():
 
 def test_disguises_of_every_form_are_found():
     vocabulary = "idiot moron pathetic loser scum worthless the and with from stupid you are a such what letter good book".split()
-    model = toxicity.CharModel({w: 50 for w in vocabulary})
+    model = toxicity.CharModel.of_words({w: 50 for w in vocabulary})
     markers = {f"{w}$": 3.0 for w in ("idiot", "moron", "loser", "scum", "stupid")}
     evidence = toxicity.Evidence(markers, model)
     found = lambda text: max(map(evidence.of, toxicity.tokens_of(text.lower())))
@@ -376,7 +577,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert {r[0] for r in unseen.select("doc_id").collect()} == left
 
     mixed = written("mixed", pipeline.mix(spark, unseen, SF))
-    dealt = unseen.selectExpr("doc_id", "source", "shiftrightunsigned(xxhash64(doc_id, 17), 2) as spread").collect()
+    dealt = common.placed(unseen).selectExpr("doc_id", "source", "shiftrightunsigned(xxhash64(doc_id, __place, 17), 2) as spread").collect()
     n = max(256, -(-len(dealt) // 20_000))
     order = brute_mixed([(r["doc_id"], r["source"]) for r in sorted(dealt, key=lambda r: (r["spread"] % n, r["spread"], r["doc_id"]))])
     assert [r[0] for r in mixed.select("doc_id").orderBy("_metadata.file_name", "_metadata.row_index").collect()] == order
