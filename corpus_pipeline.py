@@ -11,39 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
-from tessera.llm.common import materialize, read, release_scratch, scratch_mark
+from tessera.llm.common import materialize, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the threshold."""
+    """Rows whose text scores under the toxicity threshold; null and empty texts, and all rows where no labels of both classes are, stay."""
     learned = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, learned).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of links (five-word shingles, similarity 0.8 or more): the one with the least doc_id; texts without words all stay."""
-    mark = scratch_mark()
-    groups = jaccard_join.jaccard_components(docs, 5, 80, 100)
-    lost = groups.where("class is not null and doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct()
-    lost = materialize(lost, "near-duplicates")
-    release_scratch(spark, mark)  # the sets and lists: later stages need the room
-    return docs.join(lost, F.col("doc_id") == F.col("__lost"), "left_anti").select(*COLUMNS)
+    """One row of each group of links (five-word shingles, similarity 0.8 or more): the one with the least doc_id, null last, and of several the first; texts without words all stay."""
+    return jaccard_join.drop_near_copies(docs, 5, 80, 100).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold less than 0.8 of the five-word shingles of every benchmark item."""
+    """Rows whose text holds less than 0.8 of the five-word shingles of every benchmark item; null and empty texts stay."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which the sources are mixed: rows lie in that order, in files and across them."""
+    """All rows, in the order in which the sources are mixed: rows lie in that order, in files and across them. A null source is one of its own, and repeated rows have a place each."""
     return mixing.in_mix_order(docs).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard (0 to 7, near equal in bytes) and slot; the slots of a shard follow the mixed order."""
+    """All rows with their shard (0 to 7, near equal in bytes, a null text counting as none) and slot; the slots of a shard follow the mixed order."""
     return sharding.shard_documents(docs, 8, keep_order=True).select(*COLUMNS, "shard", "slot")
 
 
