@@ -17,6 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: Rows and bytes that go to a Python worker at once, unless the session says otherwise: documents can be long.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Files of a table whose names and first places are broadcast; those of a table of more files are shuffled.
 BROADCAST_FILES = 100_000
 
@@ -116,7 +117,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     if scopes := _open.__dict__.get("scopes"):
         scopes[-1].made.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")  # what this write shuffled goes with it, not when the driver next collects garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -175,8 +175,14 @@ def link_group(sets: list[np.ndarray], pivot: int, left: np.ndarray, right: np.n
     p, sets = sets[pivot], [sets[i] for i in order]
     sizes, left, right, known = sizes[order], left[order], right[order], known[order]
     g = len(sets)
-    lacks = [np.flatnonzero(~np.isin(p, s, assume_unique=True)) for s in sets]
-    extras = [np.setdiff1d(s, p, assume_unique=True) for s in sets]
+    lacks, extras = [], []
+    for s in sets:
+        at = np.searchsorted(p, s)
+        at[at == len(p)] = 0
+        here, lacked = p[at] == s, np.ones(len(p), bool)
+        lacked[at[here]] = False
+        lacks.append(np.flatnonzero(lacked))
+        extras.append(s[~here])
     n_lack, n_extra = (np.array([len(x) for x in part]) for part in (lacks, extras))
     answers = len(p) - n_lack  # of the pivot: its overlap with each set
     differ = n_lack + n_extra

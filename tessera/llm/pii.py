@@ -21,7 +21,7 @@ from tessera.llm.common import in_worker
 #: In the order in which spans with the same start are listed. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
-#: Identifier words; each is looked for in lower, upper and title case.
+#: Identifier words, in letters of either case.
 ID_CUES = ("iban", "ssn", "account", "acct", "passport", "token", "secret", "api_key", "password")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -30,9 +30,12 @@ IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-LOGIN_URL = re.compile(r"://[^\s/?#@:]{1,256}:[^\s/?#@]{1,256}@[A-Za-z0-9.-]+")
-ACCOUNT = re.compile(r"""[\x20]{0,3}(?:number|no\.?|key)?[\x20]{0,3}[:=#]?[\x20]{0,3}["']?((?=[A-Za-z0-9-]{0,63}[0-9])[A-Za-z0-9][A-Za-z0-9-]{5,63})(?![A-Za-z0-9])""")
+LOGIN_URL = re.compile(r"://[^\s/?#@:]+:[^\s/?#@]+@[A-Za-z0-9.-]+")
+ACCOUNT = re.compile(r"""[\x20]{0,3}(?:number|no\.?|key)?[\x20]{0,3}[:=#]?[\x20]{0,3}["']?([A-Za-z0-9](?:[A-Za-z0-9_.+/~-]*[A-Za-z0-9])?={0,2})""")
+#: Characters of an account value or secret at least; there must be a digit too.
+LEAST_VALUE = 6
 DIGITS = "0123456789"
+HAS_DIGIT = re.compile("[0-9]")
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -40,12 +43,17 @@ def automaton() -> ahocorasick.Automaton:
     for word in ("@", "+", "://", *DIGITS):
         cues.add_word(word, (word if word not in DIGITS else "0", len(word)))
     for word in ID_CUES:
-        for form in {word, word.upper(), word.capitalize()}:
-            cues.add_word(form, ("id", len(form)))
+        cues.add_word(word, ("id", len(word)))
     cues.make_automaton()
     return cues
 
 
+def lower_same_length(text: str) -> str:
+    """Lower case; only A-Z where a letter would become two."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -59,8 +67,8 @@ def luhn(digits: str) -> bool:
 def find_spans(text: str, cues: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(start, kind, end) in code points, by start and kind."""
     spans: list[tuple[int, int, int]] = []
-    email_from = ip_from = card_from = phone_from = other_from = 0
-    for end, (cue, width) in cues.iter(text):
+    email_from = ip_from = card_from = phone_from = other_from = no_value_to = 0
+    for end, (cue, width) in cues.iter(lower_same_length(text)):
         at = end - width + 1
         if cue == "0":
             if at >= ip_from and (at == 0 or text[at - 1] not in DIGITS):
@@ -87,14 +95,17 @@ def find_spans(text: str, cues: ahocorasick.Automaton) -> list[tuple[int, int, i
                     spans.append((at, 3, m.end()))
         elif cue == "://":
             start = at
-            while start > max(other_from, at - 16) and text[start - 1].isalpha():
+            while start > other_from and text[start - 1].isalpha():
                 start -= 1
             if start < at and (m := LOGIN_URL.match(text, at)):
                 other_from = m.end()
                 spans.append((start, 4, m.end()))
-        elif at >= other_from and (at == 0 or not text[at - 1].isalnum()) and (m := ACCOUNT.match(text, end + 1)):
-            other_from = m.end(1)
-            spans.append((m.start(1), 5, m.end(1)))
+        elif at >= other_from and end + 1 >= no_value_to and (at == 0 or not text[at - 1].isalnum()) and (m := ACCOUNT.match(text, end + 1)):
+            if len(m[1]) >= LEAST_VALUE and HAS_DIGIT.search(m[1]):
+                other_from = m.end(1)
+                spans.append((m.start(1), 5, m.end(1)))
+            else:
+                no_value_to = m.start(1) + len(m[1].rstrip("="))  # cues inside lead to the rest of the same run
     spans.sort()
     return spans
 

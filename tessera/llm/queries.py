@@ -93,7 +93,7 @@ WITH parts AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
             WHEN rule IN ('example.com/de/', 'net/') THEN 'block'
-            WHEN regexp_matches(host || path, 'spam|pills|casino|xxx') THEN 'block'
+            WHEN regexp_matches(host || path, 'spam|pills|casino|xxx|/ad[^/]/|/track[^/]*/[^/]*\.gif$|^[^/]*\.biz/|^ads[^/]*\.[^/]*\.[^/]*/', 's') THEN 'block'
             ELSE 'allow' END AS verdict
 FROM ruled
 """

@@ -22,9 +22,12 @@ from tessera.llm.common import in_worker
 #: (host, path, verdict); a host stands for itself and for all its subdomains.
 HOST_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Globs that decide where no host rule fits; any match blocks.
-BLOCK_GLOBS = ("**spam**", "**pills**", "**casino**", "**xxx**")
+BLOCK_GLOBS = ("**spam**", "**pills**", "**casino**", "**xxx**", "*.biz/**", "ads*.*.*/**", "**/ad?/**", "**/track*/*.gif")
 DEFAULT_VERDICT = "allow"
-STEP = 2048  # URLs that advance together: bounds the memory of a batch
+#: URLs that advance together, and words of 64 pattern items that an automaton has unless one pattern is longer: bounds of a batch's memory.
+STEP, WORDS = 2048, 64
+#: Rules of a table at most: they are sent to all workers.
+MOST_RULES = 100_000
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -132,6 +135,33 @@ class ShiftAnd:
         return out
 
 
+class Automata:
+    """Any number of patterns, packed into automata of at most WORDS words each."""
+
+    def __init__(self, patterns: list[str]):
+        self.parts: list[ShiftAnd] = []
+        held, items = [], 0
+        for pattern in patterns:
+            n = len(pattern.encode()) + 1
+            if held and items + n > 64 * WORDS:
+                self.parts.append(ShiftAnd(held))
+                held, items = [], 0
+            held.append(pattern)
+            items += n
+        self.parts.append(ShiftAnd(held))
+
+    def match(self, keys: list[bytes]) -> np.ndarray:
+        return np.concatenate([part.match(keys) for part in self.parts], axis=1)
+
+
+def rules_of(table: DataFrame) -> list[tuple[str, str, str]]:
+    """The rules of a table (host, path, verdict), by host and path; rows with a null are left out. More than ``MOST_RULES`` are an error."""
+    rows = table.where("host is not null and path is not null and verdict is not null").select("host", "path", "verdict").distinct().limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return sorted(tuple(r) for r in rows)
+
+
 def filter_urls(pages: DataFrame, host_rules=HOST_RULES, block_globs=BLOCK_GLOBS, default: str = DEFAULT_VERDICT) -> DataFrame:
     """Judge every row of ``pages`` (page_id, url).
 
@@ -139,8 +169,11 @@ def filter_urls(pages: DataFrame, host_rules=HOST_RULES, block_globs=BLOCK_GLOBS
     The longest fitting host rule decides; without one, any matching glob blocks;
     else ``default`` holds. A null or malformed url has an empty host and path,
     and fits no host rule. Repeated rows are judged one by one; an empty table
-    gives an empty result. Other columns are not read.
+    gives an empty result. Other columns are not read. ``host_rules`` may be a
+    table, see :func:`rules_of`; of rules with one host and path the last counts.
     """
+    if isinstance(host_rules, DataFrame):
+        host_rules = rules_of(host_rules)
     patterns, rule_of, names = [], [], [f"{h}{p}" for h, p, _ in host_rules]
     for k, (host, path, _) in enumerate(host_rules):
         patterns += [f"{host}{path}**", f"**.{host}{path}**" if "/" not in path else f"*.{host}{path}**"]
@@ -151,10 +184,10 @@ def filter_urls(pages: DataFrame, host_rules=HOST_RULES, block_globs=BLOCK_GLOBS
     by_length = sorted(range(len(host_rules)), key=lambda k: len(names[k]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ShiftAnd(patterns)
+        automata = Automata(patterns)
         for batch in batches:
             split = [split_url(u) for u in batch.column(1).to_pylist()]
-            hit = automaton.match([(h + p).encode("utf-8", "surrogatepass") for h, p in split])
+            hit = automata.match([(h + p).encode("utf-8", "surrogatepass") for h, p in split])
             best = np.full(len(split), -1)
             for k in by_length:  # longer rules overwrite shorter ones
                 fits = np.zeros(len(split), bool)

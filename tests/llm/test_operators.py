@@ -276,6 +276,40 @@ def test_pii(spark, tmp_path):
     assert pii.redact("x a@b.co y", [("email", 2, 8)]) == "x <email> y"
 
 
+def test_pii_finds_what_is_planted(spark):
+    """Recall by kind over documents with personal data and secrets."""
+    cues, found, planted = pii.automaton(), Counter(), Counter()
+    forms = {0: r"[\w.]+@[\w.]+\w", 1: r"(?<![\d.])\d+\.\d+\.\d+\.\d+(?![\d.])", 3: r"\+1 \(\d{3}\) \d{3}-\d{4}", 5: r"(?i)(?<=token = \")[0-9a-f]{40}(?=\")"}
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect():
+        spans = {(s, k, e) for s, k, e in pii.find_spans(r[0] or "", cues)}
+        for kind, form in forms.items():
+            for m in re.finditer(form, r[0] or ""):
+                planted[kind] += 1
+                found[kind] += (m.start(), kind, m.end()) in spans
+    assert all(n > 100 for n in planted.values()) and all(found[k] >= 0.97 * n for k, n in planted.items())
+
+
+def test_account_values_of_any_length(spark):
+    cues = pii.automaton()
+    of = lambda t: [t[s:e] for s, k, e in pii.find_spans(t, cues) if k == 5]
+    assert of("secret = " + "a1" * 64) == ["a1" * 64] and of("api_key=sk_live_4f.9/x+Y==, next") == ["sk_live_4f.9/x+Y=="]
+    assert of("passWord: hunter2x and API_key 123456.") == ["hunter2x", "123456"] and of("token secret=abc123") == ["abc123"] and of("token of thanks") == []
+    text = "token/" * 200_000
+    began = __import__("time").perf_counter()
+    assert of(text) == [] and __import__("time").perf_counter() - began < 5
+
+
+def test_url_rules_from_a_table(spark, monkeypatch):
+    rules = spark.createDataFrame([("net", "/", "block"), ("a.net", "/en/", "allow"), (None, "/", "block"), *((f"h{k}.org", "/", "block") for k in range(300))], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.net/en/x"), (2, "http://b.net/"), (3, "http://q.h77.org/"), (4, "http://free.org/"), (5, "http://ads1.x.com/a"), (6, "http://x.com/q/ad1/z"), (7, "http://x.biz/"), (8, "http://x.com/track1/p.gif")], "page_id long, url string")
+    monkeypatch.setattr(url_filter, "WORDS", 2)
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, url_filter.rules_of(rules)).collect()}
+    assert got == {1: ("a.net/en/", "allow"), 2: ("net/", "block"), 3: ("h77.org/", "block"), 4: (None, "allow"), **{k: (None, "block") for k in (5, 6, 7, 8)}}
+    many = [p for h in range(40) for p in (f"h{h}*/x", f"**{h}**")]
+    keys = [f"h{h}.z/x".encode() for h in range(45)]
+    assert (url_filter.Automata(many).match(keys) == url_filter.ShiftAnd(many).match(keys)).all()
+
+
 def test_lm_base_is_exact_and_model_is_better(spark, monkeypatch):
     monkeypatch.setattr(lm_score.frequent_words, "__defaults__", (1 << 9,))
     rows = rows_of(spark)
