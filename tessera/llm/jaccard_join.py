@@ -20,10 +20,14 @@ Sets hold 64-bit hashes of shingles:
    the rest are counted along the index lists of X's differences alone, which are
    ordered by the size of their sets, so that their blocks of too small sets are
    skipped by position.
-4. A large group is dealt into parts, each with the pivot. Only the sets that are
+4. Most lists meet by a shared passage only. So before sets move, the members of a
+   group are held against each other by short histograms of their shingles: these
+   differ by no more than the sets do, and a set that differs from all others of
+   its group by more than a link may is skipped.
+5. A large group is dealt into parts, each with the pivot. Only the sets that are
    not connected to the pivot in their part meet the other parts, so a group of
    near copies costs work in proportion to its size, however large it is.
-5. The links that were found are joined to components.
+6. The links that were found are joined to components.
 """
 
 from __future__ import annotations
@@ -43,6 +47,8 @@ from tessera.llm.kernels import U64, chunks, mix, mix_one, shingle_sets
 
 #: Sets, and shingles of sets, in one part of a group.
 GROUP, GROUP_SHINGLES = 2_048, 4 << 20
+#: Buckets of a set's histogram, for sets under and from MANY shingles, and rows of members whose histograms are compared at once.
+FEW_BUCKETS, BUCKETS, MANY, COMPARED = 128, 2_048, 512, 4_096
 
 
 @cache
@@ -131,7 +137,7 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def _carry(docs: DataFrame, width: int, num: int, den: int, bitmaps, key: str) -> DataFrame:
-    """Rows (doc_id, key, class, n, carrier, lists, shingles): each document; the last three only where the set, the first of its class in the task, is on a list that is left. ``carrier`` tells rows apart."""
+    """Rows (doc_id, key, class, n, carrier, lists, sketch, shingles): each document; the last four only where the set, the first of its class in the task, is on a list that is left. ``carrier`` tells rows apart."""
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -140,27 +146,56 @@ def _carry(docs: DataFrame, width: int, num: int, den: int, bitmaps, key: str) -
         seen: set[int] = set()
         for batch in batches:
             for start, texts in chunks(batch.column(1)):
-                classes, sizes, carriers, lists, sets = [], [], [], [], []
+                classes, sizes, carriers, lists, sketches, sets = [], [], [], [], [], []
                 for s in shingle_sets(texts, width):
                     c = class_of(s) if len(s) else None
-                    left = bytes_of = by = None
+                    left = bytes_of = by = sketch = None
                     if c is not None and c not in seen:
                         seen.add(c)
                         k = list_keys(s, num, den).view(np.int64)
                         k = k[left_over.passes(k)]
                         if len(k):
-                            left, bytes_of, by = k.tolist(), s.tobytes(), carrier
+                            left, bytes_of, by, sketch = k.tolist(), s.tobytes(), carrier, histogram(s)
                             carrier += 1
                     classes.append(c)
                     sizes.append(len(s))
                     carriers.append(by)
                     lists.append(left)
+                    sketches.append(sketch)
                     sets.append(bytes_of)
                 ids = batch.column(0).cast(pa.int64()).slice(start, len(texts))
                 keys = batch.column(2).cast(pa.int64()).slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(carriers, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "key", "class", "n", "carrier", "lists", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(carriers, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "key", "class", "n", "carrier", "lists", "sketch", "shingles"])
 
-    return docs.select("doc_id", "text", F.col(key).cast("long").alias("key")).mapInArrow(in_worker(carry), "doc_id long, key long, class long, n long, carrier long, lists array<long>, shingles binary")
+    return docs.select("doc_id", "text", F.col(key).cast("long").alias("key")).mapInArrow(in_worker(carry), "doc_id long, key long, class long, n long, carrier long, lists array<long>, sketch binary, shingles binary")
+
+
+def histogram(shingles: np.ndarray) -> bytes:
+    """How many shingles have the same last bits."""
+    buckets = FEW_BUCKETS if len(shingles) < MANY else BUCKETS
+    return np.minimum(np.bincount((shingles & U64(buckets - 1)).astype(np.int64), minlength=buckets), 0xFFFF).astype("<u2").tobytes()
+
+
+def with_partner(sizes: np.ndarray, sketches: list[bytes], num: int, den: int) -> np.ndarray:
+    """Which sets of a group may link with another, as far as sizes and histograms tell."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, fine = sizes[order], [np.frombuffer(sketches[i], "<u2").astype(np.int32) for i in order]
+    coarse = np.array([v.reshape(-1, FEW_BUCKETS).sum(axis=0) for v in fine])
+    keep = np.zeros(len(sizes), bool)
+    for i in range(1, len(sizes)):
+        low = int(np.searchsorted(sizes, -(-num * sizes[i] // den)))
+        if keep[i] and keep[low:i].all():
+            continue
+        total = sizes[low:i] + sizes[i]
+        most = total - 2 * -(-num * total // (den + num))
+        near = low + np.flatnonzero(np.abs(coarse[low:i] - coarse[i]).sum(axis=1) <= most)
+        if len(fine[i]) == BUCKETS:
+            near = np.array([j for j in near if len(fine[j]) < BUCKETS or np.abs(fine[j] - fine[i]).sum() <= most[j - low]], np.int64)
+        keep[near] = True
+        keep[i] |= len(near) > 0
+    out = np.empty_like(keep)
+    out[order] = keep
+    return out
 
 
 def link_group(sets: list[np.ndarray], pivot: int, left: np.ndarray, right: np.ndarray, known: np.ndarray, num: int, den: int, look_all: bool = False) -> np.ndarray:
@@ -241,7 +276,42 @@ def _links(carried: DataFrame, multi: DataFrame, num: int, den: int) -> DataFram
     sizes = materialize(sizes.select("pivot", parts.alias("parts"), F.ceil(F.col("count") / parts).cast("int").alias("most")), "pivot-sizes")
     first = sets.groupBy(F.col("class").alias("__class")).agg(F.min("carrier").alias("by"))  # tasks may carry the same class
     members = met.join(sizes, "pivot").join(first, F.col("class") == F.col("__class"))
-    members = materialize(members.select("class", "by", "pivot", "parts", "most", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("own")), "members")
+    members = materialize(members.select("class", "by", "pivot", "parts", "most", "n", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("own")), "members")
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of members in the order of their pivots, those that may link in their group, and the pivots of these."""
+        names = ["class", "by", "pivot", "parts", "most", "n", "own"]
+
+        def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            pivot, c, n, sketches = rows["pivot"].to_numpy(), rows["class"].to_numpy(), rows["n"].to_numpy(), rows["sketch"].to_pylist()
+            bounds = [0, *(np.flatnonzero(np.diff(pivot)) + 1).tolist(), len(pivot)]
+            keep = np.zeros(len(pivot), bool)
+            for a, b in zip(bounds, bounds[1:]):
+                own = with_partner(n[a:b], sketches[a:b], num, den)
+                keep[a:b] = own | ((c[a:b] == pivot[a:b]) & own.any())
+            return rows.filter(pa.array(keep)).select(names)
+
+        held, size, last = [], 0, None
+        for batch in batches:
+            pivot = batch["pivot"].to_numpy()
+            at = 0
+            for edge in [*(np.flatnonzero(np.diff(pivot, prepend=pivot[:1] if last is None else [last]))).tolist(), len(pivot)]:
+                if edge > at:
+                    held.append(batch.slice(at, edge - at))
+                    size += edge - at
+                    at = edge
+                if edge < len(pivot) and size >= COMPARED:
+                    yield settle(held)
+                    held, size = [], 0
+            last = pivot[-1] if len(pivot) else last
+        if held:
+            yield settle(held)
+
+    sketched = members.where("parts = 1").join(sets.select("carrier", "sketch"), F.col("by") == F.col("carrier")).drop("carrier")
+    fields = "class long, by long, pivot long, parts int, most int, n long, own int"
+    close = sketched.repartition(n_tasks, "pivot").sortWithinPartitions("pivot").mapInArrow(in_worker(plausible), fields)
+    members = materialize(close.unionByName(members.where("parts > 1")), "close-members")
 
     # Only sets that some group needs are moved: all others but a few stop at a bitmap where they are read.
     used = members.select("by").distinct()

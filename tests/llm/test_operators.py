@@ -130,6 +130,22 @@ def test_answers_are_derived_without_a_look():
         assert len({(a, b) for a, b in zip(derived.tolist(), [wanted[i] for i in range(len(sets))])}) == len(set(wanted.values())) == len(set(derived.tolist()))
 
 
+def test_histograms_skip_no_link():
+    r = np.random.default_rng(3)
+    for n in (3, 30, 300, 700, 5000):
+        base = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        sets = []
+        for lose in range(0, max(1, n // 6), max(1, n // 40)):
+            own = np.union1d(r.permutation(base)[lose:], r.integers(0, 1 << 63, lose // 2, dtype=np.uint64))
+            sets.append(own)
+        sets += [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(5)]
+        kept = jaccard_join.with_partner(np.array([len(s) for s in sets]), [jaccard_join.histogram(s) for s in sets], 80, 100)
+        linked = components_of({i: frozenset(s.tolist()) for i, s in enumerate(sets)}, 80, 100)
+        alone = [i for i in linked if sum(c == linked[i] for c in linked.values()) == 1]
+        assert all(kept[i] for i in linked if i not in alone)
+        assert n < 100 or not any(kept[i] for i in alone if i >= len(sets) - 5)
+
+
 def thue_morse(letters):
     """The first 1,024 letters of the Thue-Morse word, which breaks polynomial hashes modulo powers of two."""
     return "".join(letters[bin(k).count("1") % 2] for k in range(1024))
