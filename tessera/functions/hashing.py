@@ -27,15 +27,18 @@ def unit(seed: int, salt: np.ndarray, extra_step: bool = False) -> np.ndarray:
     return (scramble(np.uint64(seed & MASK) + np.uint64(GOLDEN) * steps) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def unit_hash(seed: int, salt: Column, extra_step: bool = False) -> Column:
-    """A number in [0, 1) for each salt; null for null."""
+def unit_hash(seed: int | Column, salt: Column, extra_step: bool = False) -> Column:
+    """A number in [0, 1) for each salt, of one seed or of the row's own; null for a null salt."""
 
     @F.pandas_udf("double")
-    def draw(s: pd.Series) -> pd.Series:
+    def draw(seeds: pd.Series, s: pd.Series) -> pd.Series:
         held = s.fillna(0).to_numpy(np.int64)
-        return pd.Series(unit(seed, held, extra_step)).where(s.notna().to_numpy())
+        steps = held.astype(np.uint64) + np.uint64(2 if extra_step else 1)
+        start = seeds.to_numpy(np.int64).astype(np.uint64)
+        drawn = (scramble(start + np.uint64(GOLDEN) * steps) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        return pd.Series(drawn).where(s.notna().to_numpy())
 
-    return draw(salt.cast("long"))
+    return draw(F.lit(seed).cast("long") if isinstance(seed, int) else seed.cast("long"), salt.cast("long"))
 
 
 def tile_shifts(seed: int, tile: int) -> tuple[int, int]:
@@ -62,3 +65,13 @@ def content_seed(shape: tuple[int, ...], values: np.ndarray, base: int = 0) -> i
     rounded = np.round(np.clip(values.astype(np.float32), 0, 1) * np.float32(255)).astype(np.uint8)
     parts = (str(base).encode(), str(tuple(int(v) for v in shape)).encode(), rounded.tobytes())
     return int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=8, person=b"gaussify").digest(), "little") & 0x7FFFFFFF
+
+
+def content_seeds(pixels, width: int, height: int, base: int = 0):
+    """(image_id, seed): the content seed of each image of ``pixels`` (image_id, pix, r, g, b) as a [3, height, width] array."""
+
+    def seed(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf.sort_values("pix")[["r", "g", "b"]].to_numpy(np.float32).T.reshape(3, height, width)
+        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "seed": [content_seed(values.shape, values, base)]})
+
+    return pixels.select("image_id", "pix", "r", "g", "b").groupBy("image_id").applyInPandas(seed, "image_id long, seed long")

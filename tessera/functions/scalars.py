@@ -148,3 +148,22 @@ def parse_size(text: Column) -> dict[str, Column]:
     h = F.when(second != "", second.cast("int")).otherwise(w)
     good = (w > 0) & (h > 0)
     return {"width": F.when(good, w), "height": F.when(good, h)}
+
+
+def order_key(value: Column, index: Column) -> Column:
+    """A long that orders like (value as a 32-bit float, index): the bits of the float, turned so that they order as integers, above the index (0 to 2^31 - 1). Minus zero is zero."""
+    bits = float_bits(value)
+    turned = F.when(bits >= F.lit(1 << 31), F.lit((1 << 32) - 1) - bits).otherwise(bits + F.lit(1 << 31))
+    return F.shiftleft(turned - F.lit(1 << 31), 31).bitwiseOR(index.cast("long"))
+
+
+def float_bits(value: Column) -> Column:
+    """The 32 bits of a float as a long from 0, by arithmetic on its parts; for finite values."""
+    v = value.cast("float").cast("double")
+    size = F.abs(v)
+    least = 2.0**-126
+    exponent = F.when(size < least, F.lit(-126)).otherwise(F.floor(F.log2(F.greatest(size, F.lit(least))))).cast("int")
+    exponent = exponent + F.when(size >= F.pow(F.lit(2.0), exponent + 1), 1).when((size < F.pow(F.lit(2.0), exponent)) & (size >= least), -1).otherwise(0)
+    fraction = size / F.pow(F.lit(2.0), exponent)
+    parts = F.when(size < least, F.rint(size * 2.0**149)).otherwise((exponent + 127) * float(1 << 23) + F.rint((fraction - 1) * float(1 << 23)))
+    return (parts + F.when(v < 0, float(1 << 31)).otherwise(0.0)).cast("long")

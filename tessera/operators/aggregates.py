@@ -14,15 +14,15 @@ EMPTY = 1e-8
 def density_from_logits(pixels: DataFrame, logit: str = "logit") -> DataFrame:
     """``pixels`` with density: exponentials with a mean of 1 in each image. Two aggregations, joined by image."""
     top = pixels.groupBy("image_id").agg(F.max(logit).alias("top"))
-    raised = pixels.join(F.broadcast(top), "image_id").withColumn("raised", F.exp(F.col(logit) - F.col("top")))
+    raised = pixels.join(top, "image_id").withColumn("raised", F.exp(F.col(logit) - F.col("top")))
     mean = raised.groupBy("image_id").agg(F.avg("raised").alias("mean"))
-    return raised.join(F.broadcast(mean), "image_id").withColumn("density", F.col("raised") / (F.col("mean") + 1e-8)).drop("top", "raised", "mean")
+    return raised.join(mean, "image_id").withColumn("density", F.col("raised") / (F.col("mean") + 1e-8)).drop("top", "raised", "mean")
 
 
 def auto_counts(pixels: DataFrame, width: int, height: int, logit: str = "logit") -> DataFrame:
     """The number of points each image asks for, as the profiles count them."""
     total = F.sum(S.rate(F.col(logit)))
-    out = pixels.groupBy("image_id").agg(total.alias("rate_sum"), (F.exp(F.max(logit)) * F.lit(1.0)).alias("peak"), F.sum(F.exp(F.col(logit))).alias("plain_sum"))
+    out = pixels.groupBy("image_id").agg(total.alias("rate_sum"), F.sum(F.exp(F.col(logit))).alias("plain_sum"))
     most = min(1_000_000, max(1, int(0.40 * width * height)))
     one = F.lit(1).cast("long")
     return out.select(
@@ -35,13 +35,13 @@ def auto_counts(pixels: DataFrame, width: int, height: int, logit: str = "logit"
     )
 
 
-def sampling_density(pixels: DataFrame, n: int, anisotropy: Column | None = None) -> DataFrame:
+def sampling_density(pixels: DataFrame, n: int | Column, anisotropy: Column | None = None) -> DataFrame:
     """Density scaled so that it sums to ``n`` in each image, after weighting by anisotropy if given; unchanged if there is none."""
     d = S.positive_or_zero(F.col("density"))
     weighted = d * F.greatest(anisotropy, F.lit(1.0)) if anisotropy is not None else d
     totals = pixels.groupBy("image_id").agg(F.sum(weighted).alias("total"))
-    scaled = F.when(F.col("total") > EMPTY, weighted * F.lit(float(n)) / F.col("total")).otherwise(weighted)
-    return pixels.join(F.broadcast(totals), "image_id").withColumn("sampling", scaled).drop("total")
+    scaled = F.when(F.col("total") > EMPTY, weighted * (F.lit(float(n)) if isinstance(n, int) else n.cast("double")) / F.col("total")).otherwise(weighted)
+    return pixels.join(totals, "image_id").withColumn("sampling", scaled).drop("total")
 
 
 def tile_mass(pixels: DataFrame, tile: Column) -> DataFrame:
@@ -81,7 +81,7 @@ def lloyd_centroids(points: DataFrame, owned: DataFrame, width: int, height: int
 def normalised_weights(cells: DataFrame) -> DataFrame:
     """``cells`` with weight: mass over the mean mass of the image's cells."""
     totals = cells.groupBy("image_id").agg(F.sum("mass").alias("total"), F.count(F.lit(1)).alias("n"))
-    return cells.join(F.broadcast(totals), "image_id").withColumn("weight", F.col("mass") * F.col("n") / F.greatest(F.col("total"), F.lit(EMPTY))).drop("total", "n")
+    return cells.join(totals, "image_id").withColumn("weight", F.col("mass") * F.col("n") / F.greatest(F.col("total"), F.lit(EMPTY))).drop("total", "n")
 
 
 def hard_counts(points: DataFrame, grid: DataFrame, pixel: Column) -> DataFrame:

@@ -43,11 +43,12 @@ def crop(pixels: DataFrame, width: int, height: int) -> DataFrame:
     return pixels.where((F.col("x") < width) & (F.col("y") < height)).withColumn("pix", (F.col("y") * width + F.col("x")).cast("int"))
 
 
-def tile_of(x: Column, y: Column, width: int, height: int, tile: int, shift_y: int, shift_x: int) -> Column:
+def tile_of(x: Column, y: Column, width: int, height: int, tile: int | Column, shift_y: int | Column, shift_x: int | Column) -> Column:
     """The shifted tile of a pixel; the last tile of a row or column also takes what is left over."""
-    tx, ty = -(-width // tile), -(-height // tile)
-    along = lambda v, shift, size, n: F.least(F.floor(((v + shift) % size) / tile), F.lit(n - 1))
-    return (along(y, shift_y, height, ty) * tx + along(x, shift_x, width, tx)).cast("int")
+    tile, shift_y, shift_x = (F.lit(v) if isinstance(v, int) else v for v in (tile, shift_y, shift_x))
+    across = lambda size: F.ceil(F.lit(size) / tile)
+    along = lambda v, shift, size: F.least(F.floor(((v + shift) % size) / tile), across(size) - 1)
+    return (along(y, shift_y, height) * across(width) + along(x, shift_x, width)).cast("int")
 
 
 def pixel_of(x: Column, y: Column, width: int, height: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,6 +35,19 @@ def oversample_count(n: int, profile: str = "fused") -> int:
     return max(n + 1, P.half_up(n * OVERSAMPLE) if profile == "fused" else round(n * OVERSAMPLE))
 
 
+def oversampled(n: Column, profile: str = "fused") -> Column:
+    """:func:`oversample_count` of a column."""
+    if profile == "web":
+        return F.greatest(n, F.ceil(n * OVERSAMPLE)).cast("long")
+    return F.greatest(n + 1, F.floor(n * OVERSAMPLE + 0.5) if profile == "fused" else F.rint(n * OVERSAMPLE)).cast("long")
+
+
+def removal(n_now: Column, n: Column, last: bool) -> Column:
+    """How many points a round removes, as :func:`merge_plan` counts them."""
+    excess = F.greatest(F.lit(0), n_now - n)
+    return (excess if last else F.least(excess, F.greatest(F.lit(1), F.floor(n_now * FRACTION + 1e-9)))).cast("long")
+
+
 def match_cells(idx: np.ndarray, mass: np.ndarray, table: np.ndarray, remove: int) -> np.ndarray:
     """The row each row merges into, or -1. ``table`` holds rows of neighbours, -1 where there is none.
 
@@ -58,21 +71,21 @@ def match_cells(idx: np.ndarray, mass: np.ndarray, table: np.ndarray, remove: in
     return target
 
 
-def match_round(cells: DataFrame, table: DataFrame, remove: int) -> DataFrame:
-    """(image_id, idx, target) of the cells that merge; one group an image, which has at most a million points."""
+def match_round(cells: DataFrame, table: DataFrame, remove: DataFrame | int) -> DataFrame:
+    """(image_id, idx, target) of the cells that merge; one group an image, which has at most a million points. ``remove`` is a number, or a table (image_id, remove)."""
     rows = table.groupBy("image_id", F.col("src").alias("idx")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "dst"))), lambda s: s["dst"]).alias("near"))
-    joined = cells.select("image_id", "idx", "mass").join(rows, ["image_id", "idx"], "left")
+    filled = F.concat(F.coalesce("near", F.array().cast("array<int>")), F.array_repeat(F.lit(-1), NEIGHBOURS))
+    joined = cells.select("image_id", "idx", "mass").join(rows, ["image_id", "idx"], "left").withColumn("near", F.slice(filled, 1, NEIGHBOURS))
+    joined = joined.withColumn("remove", F.lit(remove)) if isinstance(remove, int) else joined.join(remove, "image_id")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", ignore_index=True)
-        row_of = {i: r for r, i in enumerate(pdf["idx"])}
-        table = np.full((len(pdf), NEIGHBOURS), -1)
-        for r, near in enumerate(pdf["near"]):
-            if near is not None:
-                table[r, : len(near)] = [row_of[i] for i in near]
-        target = match_cells(pdf["idx"].to_numpy(), pdf["mass"].to_numpy(), table, remove)
+        idx = pdf["idx"].to_numpy()
+        near = np.stack(pdf["near"].to_numpy()) if len(pdf) else np.zeros((0, NEIGHBOURS), int)
+        table = np.where(near >= 0, np.minimum(np.searchsorted(idx, near), len(idx) - 1), -1)
+        target = match_cells(idx, pdf["mass"].to_numpy(), table, int(pdf["remove"].iloc[0]))
         won = target >= 0
-        return pd.DataFrame({"image_id": pdf["image_id"][won], "idx": pdf["idx"][won], "target": pdf["idx"].to_numpy()[target[won]]})
+        return pd.DataFrame({"image_id": pdf["image_id"][won], "idx": idx[won], "target": idx[target[won]]})
 
     return joined.groupBy("image_id").applyInPandas(match, "image_id long, idx int, target int")
 
@@ -92,11 +105,12 @@ def renumber(points: DataFrame) -> DataFrame:
     return points.withColumn("idx", (F.row_number().over(order) - 1).cast("int"))
 
 
-def drop_empty(cells: DataFrame, most: int) -> DataFrame:
+def drop_empty(cells: DataFrame, most: Column | int) -> DataFrame:
     """Without up to ``most`` cells of no mass, in order of idx; at least one cell of an image stays."""
     empty = F.col("mass") <= A.EMPTY
     ranked = cells.withColumns({"__rank": F.row_number().over(W.partitionBy("image_id", empty).orderBy("idx")), "__n": F.count(F.lit(1)).over(W.partitionBy("image_id"))})
-    return ranked.where(~(empty & (F.col("__rank") <= F.least(F.lit(most), F.col("__n") - 1)))).drop("__rank", "__n")
+    most = F.lit(most) if isinstance(most, int) else most
+    return ranked.where(~(empty & (F.col("__rank") <= F.least(most, F.col("__n") - 1)))).drop("__rank", "__n")
 
 
 def _cells(pixels: DataFrame, points: DataFrame, width: int, height: int, n: int) -> tuple[DataFrame, DataFrame]:
@@ -104,24 +118,40 @@ def _cells(pixels: DataFrame, points: DataFrame, width: int, height: int, n: int
     return owned, A.cell_mass(points.select("image_id", "idx", "x", "y"), owned)
 
 
-def merge_round(pixels: DataFrame, points: DataFrame, remove: int, n_now: int, width: int, height: int) -> DataFrame:
-    """Remove exactly ``remove`` points of each image and keep the mass: empty cells first, then matches, then forced merges."""
+def _excess(points: DataFrame, goals: DataFrame) -> DataFrame:
+    """(image_id, remove) of the images that still have more points than their goal."""
+    left = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("__left")).join(goals, "image_id")
+    return N.scratch(left.select("image_id", (F.col("__left") - F.col("goal")).cast("long").alias("remove")).where("remove > 0"), "excess")
+
+
+def merge_round(pixels: DataFrame, points: DataFrame, remove: int | DataFrame, n_now: int, width: int, height: int) -> DataFrame:
+    """Remove exactly ``remove`` points of each image and keep the mass: empty cells first, then matches, then forced merges.
+
+    ``remove`` is a number, or a table (image_id, goal) of how many points are to be
+    left; ``n_now``, the points of an image, only sizes the search. Every image goes
+    through the steps it needs, whatever the others need.
+    """
+    if isinstance(remove, int):
+        goals = points.groupBy("image_id").agg((F.count(F.lit(1)) - remove).alias("goal"))
+    else:
+        goals = remove.select("image_id", "goal")
+    goals = N.scratch(goals, "goals")
     owned, cells = _cells(pixels, points, width, height, n_now)
-    kept = N.scratch(renumber(drop_empty(cells, remove).select("image_id", "idx", "x", "y")), "kept")
-    left = {r[0]: r[1] for r in kept.groupBy("image_id").count().collect()}
-    goal = n_now - remove
-    if all(n <= goal for n in left.values()):
+    excess = cells.join(_excess(points, goals), "image_id", "left").fillna(0, ["remove"])
+    kept = N.scratch(renumber(drop_empty(excess, F.col("remove")).select("image_id", "idx", "x", "y")), "kept")
+    left = _excess(kept, goals)
+    if left.isEmpty():
         return kept
     owned, cells = _cells(pixels, kept, width, height, n_now)
     table = N.lightest_neighbours(N.adjacency(owned), cells, NEIGHBOURS)
-    matched = N.scratch(match_round(cells, table, max(left.values()) - goal), "matched")
+    matched = N.scratch(match_round(cells, table, left), "matched")
     points = N.scratch(merge_into(cells, matched), "merged")
-    left = {r[0]: r[1] for r in points.groupBy("image_id").count().collect()}
-    if all(n <= goal for n in left.values()):
+    left = _excess(points, goals)
+    if left.isEmpty():
         return points
     owned, cells = _cells(pixels, points, width, height, n_now)
     order = W.partitionBy("image_id").orderBy("mass", "idx")
-    state = cells.withColumn("rank", F.row_number().over(order)).withColumn("alive", F.col("rank") > F.count(F.lit(1)).over(W.partitionBy("image_id")) - goal)
+    state = cells.join(left, "image_id", "left").fillna(0, ["remove"]).withColumn("alive", F.row_number().over(order) > F.col("remove"))
     sources = state.where("not alive")
     table = N.lightest_neighbours(N.adjacency(owned), cells, NEIGHBOURS)
     alive = state.where("alive").select("image_id", F.col("idx").alias("dst"))
@@ -140,21 +170,28 @@ def polish(pixels: DataFrame, points: DataFrame, n: int, width: int, height: int
     return points
 
 
-def equal_mass_voronoi(pixels: DataFrame, n: int, width: int, height: int, seed: int = 12345, rounds: int = ROUNDS) -> DataFrame:
+def equal_mass_voronoi(pixels: DataFrame, n: int | DataFrame, width: int, height: int, seed: int = 12345, rounds: int = ROUNDS) -> DataFrame:
     """``n`` points of each image (image_id, idx, x, y, mass, n_pixels, weight) whose nearest-point cells have nearly equal mass.
 
-    ``pixels`` has image_id, pix, x, y and density. The count is exact or an error.
+    ``pixels`` has image_id, pix, x, y and density. ``n`` is one count for all
+    images, or a table (image_id, n and, if wanted, seed). Each image comes out as
+    it would alone. The count is exact or an error.
     """
-    n_now = oversample_count(n)
-    points = N.scratch(P.sample_points(pixels, n_now, width, height, seed), "points")
-    for remove in merge_plan(n_now, n, rounds):
-        if remove:
-            points = merge_round(pixels, points, remove, n_now, width, height)
-            n_now -= remove
-    points = polish(pixels, points, n, width, height)
-    _, cells = _cells(pixels, points, width, height, n)
+    if isinstance(n, int):
+        plan = pixels.select("image_id").distinct().withColumn("n", F.lit(n).cast("long"))
+    else:
+        plan = n.select("image_id", F.col("n").cast("long").alias("n"), *([F.col("seed").cast("long").alias("seed")] if "seed" in n.columns else []))
+    plan = plan if "seed" in plan.columns else plan.withColumn("seed", F.lit(seed).cast("long"))
+    plan = N.scratch(plan.withColumn("now", oversampled(F.col("n"))), "plan")
+    hint = int(plan.agg(F.avg("now")).first()[0] or 1)  # sizes the cells of the search, and nothing else
+    points = N.scratch(P.sample_points(pixels, plan.select("image_id", F.col("now").alias("n"), "seed"), width, height), "points")
+    for k in range(rounds):
+        plan = plan.withColumn("now", F.col("now") - removal(F.col("now"), F.col("n"), k == rounds - 1))
+        points = merge_round(pixels, points, plan.select("image_id", F.col("now").alias("goal")), hint, width, height)
+    points = polish(pixels, points, hint, width, height)
+    _, cells = _cells(pixels, points, width, height, hint)
     out = A.normalised_weights(cells)
-    wrong = [r for r in out.groupBy("image_id").count().collect() if r["count"] != n]
-    if wrong:
-        raise ValueError(f"placement has {wrong[0]['count']} points, not {n}")
+    counts = plan.select("image_id", "n").join(out.groupBy("image_id").agg(F.count(F.lit(1)).alias("found")), "image_id", "left").where("n <> coalesce(found, 0)")
+    if wrong := counts.first():
+        raise ValueError(f"placement has {wrong['found'] or 0} points, not {wrong['n']}")
     return out

@@ -14,13 +14,23 @@ NUDGE = 1e-3
 def scratch(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage of a loop's state: written to the shared folder that the session names."""
     spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", "file:///tmp/checkpoints")
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names; only where driver and executors are one process may it be unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = "file:///tmp/checkpoints"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def assign_nearest(pixels: DataFrame, points: DataFrame, width: int, height: int, n_hint: int, offset: float = 0.5, penalty: str | None = None, most_penalty: float = 0.0) -> DataFrame:
     """``pixels`` with owner (idx of the nearest point of the image) and d2.
 
@@ -75,6 +85,7 @@ def assign_nearest(pixels: DataFrame, points: DataFrame, width: int, height: int
 def nearest_alive(sources: DataFrame, points: DataFrame) -> DataFrame:
     """(image_id, idx, target): for each source the nearest point with alive, in normalised distance; ties to the least idx. Sources are few, alive points are broadcast only if Spark finds them small."""
     alive = points.where("alive").select("image_id", F.col("idx").alias("target"), F.col("x").alias("__x"), F.col("y").alias("__y"))
+    sources = sources.select("image_id", "idx", "x", "y")
     d2 = (F.col("x") - F.col("__x")) * (F.col("x") - F.col("__x")) + (F.col("y") - F.col("__y")) * (F.col("y") - F.col("__y"))
     best = sources.join(alive, "image_id").groupBy("image_id", "idx").agg(F.min(F.struct(d2.alias("d2"), F.col("target"))).alias("best"))
     return best.select("image_id", "idx", F.col("best.target").alias("target"))
@@ -124,3 +135,19 @@ def nearest_owned_pixel(targets: DataFrame, owned: DataFrame, forbid: Column | N
 def without_pixels(points: DataFrame, owned: DataFrame) -> DataFrame:
     """Points that own no pixel."""
     return points.join(owned.select("image_id", F.col("owner").alias("idx")).distinct(), ["image_id", "idx"], "left_anti")
+
+
+def priority_rank(cells: DataFrame) -> DataFrame:
+    """``cells`` with rank: the place of each in its image by (mass, idx), from 0."""
+    return cells.withColumn("rank", (F.row_number().over(W.partitionBy("image_id").orderBy("mass", "idx")) - 1).cast("long"))
+
+
+def look_up(now: DataFrame, history: DataFrame) -> DataFrame:
+    """``now`` (slot, ...) with the history (slot, ...) of each slot; null for births."""
+    return now.join(history, "slot", "left")
+
+
+def points_not_in(points: DataFrame, others: DataFrame, places: int = 6) -> DataFrame:
+    """The distinct positions of ``points``, rounded, that ``others`` has not."""
+    exact = lambda df: df.select(F.round("x", places).alias("x"), F.round("y", places).alias("y")).distinct()
+    return exact(points).join(exact(others), ["x", "y"], "left_anti")

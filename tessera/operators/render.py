@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators.aggregates import image_error
+from tessera.operators.aggregates import hard_counts, image_error
+from tessera.operators.grid import pixel_of
 from tessera.operators.nearest import scratch
 
 CHANNELS = ("r", "g", "b")
@@ -88,24 +89,32 @@ def correction_rounds(splats: DataFrame, image: DataFrame, deltas: Callable[[int
     """``k`` renders and up to k - 1 updates: the splats of every state (column k) and the score of every state.
 
     ``deltas`` is a table with a column k, or a function of the round and its
-    render. With ``target`` or ``least_gain`` the loop stops once every image is
-    good enough, or from the second render on no image gains enough.
+    render, which also has n_points, how many splats lie in each pixel now. With
+    ``target`` or ``least_gain`` each image stops for itself once it is good enough,
+    or from the second render on gains too little.
     """
     renderer = renderer or render
-    states, scores, before = None, None, {}
+    states, scores, before = None, None, None
     for at in range(k):
         shown = renderer(splats, image.select("image_id", "pix", "x", "y"), width, height)
         score = scratch(image_error(shown, image).withColumn("k", F.lit(at)), "score")
         state = splats.withColumn("k", F.lit(at))
         states = state if states is None else states.unionByName(state)
         scores = score if scores is None else scores.unionByName(score)
-        now = {r["image_id"]: r["psnr"] for r in score.select("image_id", "psnr").collect()}
-        if at == k - 1 or (target is not None and now and min(now.values()) >= target):
+        if at == k - 1:
             break
-        if least_gain is not None and at >= 1 and all(now[i] - before[i] < least_gain for i in now):
-            break
-        before = now
-        delta = deltas(at, shown) if callable(deltas) else deltas.where(F.col("k") == at).drop("k")
+        if target is not None or least_gain is not None:
+            now = score.select("image_id", "psnr")
+            more = F.lit(True) if target is None else F.col("psnr") < target
+            if least_gain is not None and before is not None:
+                now = now.join(before.select("image_id", F.col("psnr").alias("was")), "image_id")
+                more = more & (F.col("psnr") - F.col("was") >= least_gain)
+            before = score.select("image_id", "psnr")
+            going = scratch(now.where(more).select("image_id"), "going")
+            if going.isEmpty():
+                break
+            splats, image, shown = (df.join(going, "image_id", "left_semi") for df in (splats, image, shown))
+        delta = deltas(at, hard_counts(splats, shown, pixel_of(F.col("x"), F.col("y"), width, height))) if callable(deltas) else deltas.where(F.col("k") == at).drop("k")
         splats = scratch(update(splats, delta, width, height), "splats")
     return states, scores
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import floor, sqrt
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,7 +34,19 @@ def offset_of(seed: int) -> float:
     return float(H.unit(seed, np.array([H.SALT_OFFSET]))[0])
 
 
-def tile_counts(tiles: DataFrame, n: int, offset: float) -> DataFrame:
+def draws(plan: DataFrame, width: int, height: int, tile: int | None = None) -> DataFrame:
+    """``plan`` (image_id, n, seed) with what the draws of an image need: tile size, shifts of the tile grid, offset of the rounding."""
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = [tile or tile_size(width, height, n) for n in pdf["n"]]
+            shifts = [H.tile_shifts(int(s), t) for s, t in zip(pdf["seed"], sizes)]
+            yield pdf.assign(size=sizes, shift_y=[y for y, _ in shifts], shift_x=[x for _, x in shifts], offset=[offset_of(int(s)) for s in pdf["seed"]])
+
+    return plan.select("image_id", F.col("n").cast("long").alias("n"), F.col("seed").cast("long").alias("seed")).mapInPandas(drawn, "image_id long, n long, seed long, size int, shift_y int, shift_x int, offset double")
+
+
+def tile_counts(tiles: DataFrame, n: int | Column, offset: float | Column) -> DataFrame:
     """Points for each tile (image_id, tile, mass), ``n`` in all: differences of rounded prefix sums, then single repairs.
 
     A repair goes to the tiles with the largest residuals (or the smallest, to
@@ -40,39 +54,42 @@ def tile_counts(tiles: DataFrame, n: int, offset: float) -> DataFrame:
     evenly. An image's tiles are ordered in one task: there are far fewer tiles
     than pixels.
     """
+    n, offset = (F.lit(v) if isinstance(v, (int, float)) else v for v in (n, offset))
     by_tile = W.partitionBy("image_id").orderBy("tile")
     whole = W.partitionBy("image_id")
     t = tiles.withColumns({"cum": F.sum("mass").over(by_tile.rowsBetween(W.unboundedPreceding, 0)), "total": F.sum("mass").over(whole), "n_tiles": F.count(F.lit(1)).over(whole), "i": F.row_number().over(by_tile)})
-    scale = F.when(F.col("total") > 0, F.lit(float(n)) / F.when(F.col("total") > 0, F.col("total")))
-    even = F.lit(float(n)) / F.col("n_tiles")
+    scale = F.when(F.col("total") > 0, n.cast("double") / F.when(F.col("total") > 0, F.col("total")))
+    even = n.cast("double") / F.col("n_tiles")
     t = t.withColumn("edge", F.floor(F.coalesce(F.col("cum") * scale, even * F.col("i")) + offset + ROUNDING))
-    t = t.withColumn("base", F.greatest(F.lit(0), F.col("edge") - F.lag("edge", 1, floor(offset)).over(by_tile)))
+    t = t.withColumn("base", F.greatest(F.lit(0), F.col("edge") - F.coalesce(F.lag("edge", 1).over(by_tile), F.floor(offset))))
     share = F.coalesce(F.col("mass") * scale, even)
-    t = t.withColumns({"residual": share - F.floor(share), "missing": F.lit(n) - F.sum("base").over(whole)})
+    t = t.withColumns({"residual": share - F.floor(share), "missing": n - F.sum("base").over(whole)})
     can_lose = F.when(F.col("base") > 0, 0).otherwise(1)
     t = t.withColumns({"up": F.row_number().over(whole.orderBy(F.desc("residual"), "tile")), "down": F.row_number().over(whole.orderBy(can_lose, "residual", "tile"))})
     fixed = F.col("base") + F.when((F.col("missing") > 0) & (F.col("up") <= F.col("missing")), 1).when((F.col("missing") < 0) & (F.col("down") <= -F.col("missing")) & (F.col("base") > 0), -1).otherwise(0)
     return t.select("image_id", "tile", "mass", fixed.cast("int").alias("n_points"))
 
 
-def sample_points(pixels: DataFrame, n: int, width: int, height: int, seed: int, tile: int | None = None, extra_step: bool = False) -> DataFrame:
+def sample_points(pixels: DataFrame, n: int | DataFrame, width: int, height: int, seed: int = 12345, tile: int | None = None, extra_step: bool = False) -> DataFrame:
     """``n`` points (image_id, idx, x, y) of each image from ``pixels`` (image_id, pix, x, y, density).
 
-    Within a tile the pixels with the highest ln(u) / density are taken, as many
-    as the tile has points; pixels without density come last. Points lie inside
+    ``n`` is a number for all images, drawn with ``seed``, or a table (image_id, n,
+    seed). Within a tile the pixels with the highest ln(u) / density are taken, as
+    many as the tile has points; pixels without density come last. Points lie inside
     their pixel at a seeded place; a tile with more points than pixels uses its
     pixels again, at other places.
     """
-    tile = tile or tile_size(width, height, n)
-    sy, sx = H.tile_shifts(seed, tile)
-    pixels = pixels.select("image_id", "pix", "x", "y", S.positive_or_zero(F.col("density")).alias("density"))
-    tiled = pixels.withColumn("tile", tile_of(F.col("x"), F.col("y"), width, height, tile, sy, sx))
-    counts = tile_counts(tiled.groupBy("image_id", "tile").agg(F.sum("density").alias("mass")), n, offset_of(seed))
+    plan = n if isinstance(n, DataFrame) else pixels.select("image_id").distinct().select("image_id", F.lit(n).alias("n"), F.lit(seed).cast("long").alias("seed"))
+    plan = draws(plan, width, height, tile)
+    pixels = pixels.select("image_id", "pix", "x", "y", S.positive_or_zero(F.col("density")).alias("density")).join(plan.withColumnRenamed("n", "__n"), "image_id")
+    tiled = pixels.withColumn("tile", tile_of(F.col("x"), F.col("y"), width, height, F.col("size"), F.col("shift_y"), F.col("shift_x")))
+    masses = tiled.groupBy("image_id", "tile").agg(F.sum("density").alias("mass"), F.first("__n").alias("__n"), F.first("offset").alias("offset"))
+    counts = tile_counts(masses, F.col("__n"), F.col("offset"))
     total = F.sum("mass").over(W.partitionBy("image_id"))
     counts = counts.withColumns({"even": total <= 0, "first": F.sum("n_points").over(W.partitionBy("image_id").orderBy("tile")) - F.col("n_points")})
-    u = H.unit_hash(seed, F.col("pix") + H.SALT_RANK, extra_step)
+    u = H.unit_hash(F.col("seed"), F.col("pix") + H.SALT_RANK, extra_step)
     w = F.when(F.col("even"), 1.0).otherwise(F.col("density"))
-    blank = H.unit_hash(seed, F.col("pix") + H.SALT_ZERO, extra_step) - 1.0
+    blank = H.unit_hash(F.col("seed"), F.col("pix") + H.SALT_ZERO, extra_step) - 1.0
     priority = F.when(w > 0, F.log(F.greatest(u, F.lit(1e-300))) / F.when(w > 0, w)).otherwise(blank)
     raced = tiled.join(counts.select("image_id", "tile", "n_points", "even", "first"), ["image_id", "tile"]).where("n_points > 0").withColumn("priority", priority)
     in_tile = W.partitionBy("image_id", "tile")
@@ -82,8 +99,8 @@ def sample_points(pixels: DataFrame, n: int, width: int, height: int, seed: int,
     again = F.floor((F.col("n_points") - 1 - F.col("rank")) / take).cast("int")  # how often the pixel is used once more
     again = F.when(F.col("n_points") > F.col("cells"), again).otherwise(0)
     spots = taken.withColumn("take", take).select("*", F.explode(F.sequence(F.lit(0), again)).alias("use"))
-    ox = 0.25 + 0.5 * H.unit_hash(seed, F.col("pix").cast("long") * 2 + H.SALT_X, extra_step)
-    oy = 0.25 + 0.5 * H.unit_hash(seed, F.col("pix").cast("long") * 2 + H.SALT_Y, extra_step)
+    ox = 0.25 + 0.5 * H.unit_hash(F.col("seed"), F.col("pix").cast("long") * 2 + H.SALT_X, extra_step)
+    oy = 0.25 + 0.5 * H.unit_hash(F.col("seed"), F.col("pix").cast("long") * 2 + H.SALT_Y, extra_step)
     spots = spots.withColumns({"ox": ox, "oy": oy, "slot": F.col("rank") + (F.col("use") - 1) * F.col("take") + 1})
     fract = lambda v: v - F.floor(v)
     place = lambda o, step: F.when(F.col("use") == 0, F.col(o)).otherwise(0.1 + 0.8 * fract(F.col(o) + F.col("slot") * step))

@@ -26,6 +26,16 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
     return filled.withColumns({"lc_xx": of(7, 3, 0.1), "lc_xy": of(5, 2, 0.05), "lc_yy": of(9, 4, 0.1), "map_r": of(11, 0, 0.1), "map_g": of(13, 0, 0.0625), "map_b": of(17, 0, 0.0625), "logit": of(19, 12, 0.5)})
 
 
+def batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Three images of different density, one of them nearly empty, and the count and seed of each."""
+    image, pix = (F.col("l_suppkey") % 3).alias("image_id"), (F.col("l_orderkey") % (WIDTH * HEIGHT)).cast("int").alias("pix")
+    corner = (F.col("l_suppkey") % 3 != 2) | (F.col("l_orderkey") % 1024 < 200)
+    sums = table(spark, d, "lineitem").select(image, pix, F.when(corner, F.col("l_quantity")).otherwise(0.0).alias("q")).groupBy("image_id", "pix").agg(F.sum("q").alias("density"))
+    grid = G.pixel_grid(spark.range(3).withColumnRenamed("id", "image_id"), WIDTH, HEIGHT)
+    counts = spark.range(3).select(F.col("id").alias("image_id"), (40 + 25 * F.col("id")).alias("n"), (12345 + F.col("id")).alias("seed"))
+    return G.fill_grid(grid, sums, ["density"]), counts
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     """A point for each customer."""
     i = F.col("c_custkey").cast("int")

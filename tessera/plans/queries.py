@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,25 +16,14 @@ from tessera.operators import render as R
 from tessera.operators import sampling as P
 from tessera.plans import fixtures as X
 from tessera.plans import sampler
+from tessera.plans.registry import QUERIES, SQL, query  # noqa: F401
 from tessera.sources import manifests
 from tessera.streaming import tracks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 SIZE = (X.WIDTH, X.HEIGHT)
 SEED = 12345
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def r6(**columns: Column) -> list[Column]:
     """Columns rounded to six places, as engines differ in the last bits of transcendental functions."""
     return [(F.round(c, 6) + 0.0).alias(n) for n, c in columns.items()]
@@ -132,7 +119,7 @@ def parse_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {X.PIXELS} SELECT x, round(sum(floor((density * 0.125 + 0.1) * 4294967296.0)::HUGEINT)::DOUBLE / 4294967296.0, 6) + 0.0 AS total FROM pixels GROUP BY x")
 def fixed_point_sums(spark: SparkSession, d: str) -> DataFrame:
-    """Sums that do not depend on their order."""
+    """sums that do not depend on their order."""
     return X.pixels(spark, d).groupBy("x").agg(F.sum(S.fixed_point(F.col("density") * 0.125 + 0.1)).alias("t")).select("x", *r6(total=S.from_fixed_point(F.col("t"))))
 
 
@@ -261,7 +248,7 @@ def systematic_counts(spark: SparkSession, d: str) -> DataFrame:
 starts AS (SELECT tile, sum(n_points) OVER (ORDER BY tile) - n_points AS first FROM counts)
 SELECT (first + rank)::INTEGER AS idx, """ + _r(x=f"(x + 0.25 + 0.5 * {_sql_unit('3000003 + 2 * pix')}) / 32", y=f"(y + 0.25 + 0.5 * {_sql_unit('3000004 + 2 * pix')}) / 32") + " FROM ranked JOIN starts USING (tile) WHERE rank < n_points")
 def weighted_samples(spark: SparkSession, d: str) -> DataFrame:
-    """W4, W5 (no tile has more points than pixels here; tests cover that)."""
+    """W4."""
     s = P.sample_points(X.pixels(spark, d), 150, *SIZE, SEED)
     return s.select("idx", *r6(x=F.col("x"), y=F.col("y")))
 
@@ -346,8 +333,7 @@ def lightest_neighbours(spark: SparkSession, d: str) -> DataFrame:
 @query(_CELLS + " SELECT idx, row_number() OVER (ORDER BY mass, idx) - 1 AS rank FROM cells")
 def priority_rank(spark: SparkSession, d: str) -> DataFrame:
     """W6, T1, T2."""
-    cells = _cells(spark, d)
-    return cells.select("idx", (F.row_number().over(W.partitionBy("image_id").orderBy("mass", "idx")) - 1).cast("long").alias("rank"))
+    return N.priority_rank(_cells(spark, d)).select("idx", "rank")
 
 
 @query(_CELLS + " SELECT idx FROM cells WHERE n_pixels = 0")
@@ -389,20 +375,18 @@ def bilinear_attributes(spark: SparkSession, d: str) -> DataFrame:
     return found.select("idx", *r6(**{c: F.col(c) for c in ("density", "lc_xx", "map_r")}))
 
 
-@query("SELECT o_custkey AS id, o_orderkey, c_acctbal AS before FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 > 0")
+@query("SELECT p_partkey AS id, c_acctbal AS before FROM part LEFT JOIN customer ON c_custkey = p_partkey")
 def history_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Births (here a third of the customers) have no history."""
-    history = X.table(spark, d, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("slot"), F.col("c_acctbal").alias("before"))
-    now = X.table(spark, d, "orders").select(F.col("o_custkey").alias("slot"), "o_orderkey")
-    return now.join(history, "slot", "left").select(F.col("slot").alias("id"), "o_orderkey", "before")
+    """What is known of each part's slot; parts beyond the last customer have no history."""
+    history = X.table(spark, d, "customer").select(F.col("c_custkey").alias("slot"), F.col("c_acctbal").alias("before"))
+    return N.look_up(X.table(spark, d, "part").select(F.col("p_partkey").alias("slot")), history).select(F.col("slot").alias("id"), "before")
 
 
 @query(f"WITH {X.POINTS}, {X.SPLATS} SELECT DISTINCT round(x, 6) AS x, round(y, 6) AS y FROM points EXCEPT SELECT round(x + 1e-9, 6), round(y, 6) FROM points WHERE idx % 2 = 0")
 def point_difference(spark: SparkSession, d: str) -> DataFrame:
     """J12."""
-    p = X.points(spark, d)
-    exact = lambda df: df.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
-    return exact(p).distinct().exceptAll(exact(p.where("idx % 2 = 0").withColumn("x", F.col("x") + 1e-9)).distinct())
+    p = X.points(spark, d).select("x", "y", "idx")
+    return N.points_not_in(p, p.where("idx % 2 = 0").withColumn("x", F.col("x") + 1e-9))
 
 
 # ---------------------------------------------------------------- rendering
@@ -452,9 +436,12 @@ def correction_rounds(spark: SparkSession, d: str) -> DataFrame:
     return scores.select("k", "squared_error", "psnr")
 
 
-@query()
+_CORNERS = "t AS (SELECT idx, px::INTEGER AS px, py::INTEGER AS py, w FROM (SELECT idx, floor(x * 32 - 0.5) + dx AS px, floor(y * 32 - 0.5) + dy AS py, CASE WHEN dx = 1 THEN x * 32 - 0.5 - floor(x * 32 - 0.5) ELSE 1 - (x * 32 - 0.5 - floor(x * 32 - 0.5)) END * CASE WHEN dy = 1 THEN y * 32 - 0.5 - floor(y * 32 - 0.5) ELSE 1 - (y * 32 - 0.5 - floor(y * 32 - 0.5)) END AS w FROM splats, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(dx, dy)))"
+
+
+@query(f"WITH RECURSIVE {X.PIXELS}, {X.SPLATS}, {_CORNERS}, dl AS (SELECT idx, k, " + ", ".join(f"sum(w * ((pix * {i + 3} + k) % 9 - 4) * 0.0078125) AS d{i}" for i in (3, 4, 5)) + " FROM t JOIN pixels p ON p.x = px AND p.y = py, range(3) s(k) GROUP BY idx, k), st AS (SELECT idx, 0 AS k, r, g, b FROM splats UNION ALL SELECT st.idx, st.k + 1, greatest(0.0, least(1.0, r + d3)), greatest(0.0, least(1.0, g + d4)), greatest(0.0, least(1.0, b + d5)) FROM st JOIN dl ON dl.idx = st.idx AND dl.k = st.k) SELECT idx, k, " + _r("r", "g", "b") + " FROM st")
 def latent_replay(spark: SparkSession, d: str) -> DataFrame:
-    """M10 (no SQL: a clamped fold)."""
+    """M10."""
     first = X.splats(spark, d)
     looked = None
     for k in range(3):
@@ -463,12 +450,13 @@ def latent_replay(spark: SparkSession, d: str) -> DataFrame:
     return R.replay_latent(first, looked).select("idx", "k", *r6(**{c: F.col(c) for c in "rgb"}))
 
 
-@query(_RENDER + f", {X.POINTS}, c AS (SELECT (least(31, greatest(0, floor(y * 32))) * 32 + least(31, greatest(0, floor(x * 32))))::INTEGER AS pix, count(*)::DOUBLE AS n FROM points GROUP BY 1) SELECT p.pix, " + _r(diff_r="p.pix % 8 / 8.0::DOUBLE - s.r", render_g="s.g", n_points="coalesce(c.n, 0.0)", map_b="p.map_b") + " FROM pixels p JOIN shown s USING (pix) LEFT JOIN c USING (pix)")
+@query(_RENDER + f", {X.POINTS}, c AS (SELECT (least(31, greatest(0, floor(y * 32))) * 32 + least(31, greatest(0, floor(x * 32))))::INTEGER AS pix, count(*)::DOUBLE AS n FROM points GROUP BY 1), i AS (SELECT pix, pix % 8 / 8.0::DOUBLE AS r, pix % 16 / 16.0::DOUBLE AS g, pix % 32 / 32.0::DOUBLE AS b FROM pixels) SELECT p.pix, " + _r(r="i.r", g="i.g", b="i.b", render_r="s.r", render_g="s.g", render_b="s.b", diff_r="i.r - s.r", diff_g="i.g - s.g", diff_b="i.b - s.b", density="p.density", lc_xx="p.lc_xx", lc_xy="p.lc_xy", lc_yy="p.lc_yy", map_r="p.map_r", map_g="p.map_g", map_b="p.map_b", n_points="coalesce(c.n, 0.0)") + " FROM pixels p JOIN i USING (pix) JOIN shown s USING (pix) LEFT JOIN c USING (pix)")
 def feature_stack(spark: SparkSession, d: str) -> DataFrame:
-    """P9 (four of its 17 columns)."""
+    """All 17 columns."""
     pixels = X.pixels(spark, d).join(X.image(spark).select("image_id", "pix", "r", "g", "b"), ["image_id", "pix"])
     counts = A.hard_counts(X.points(spark, d), X.empty_grid(spark), G.pixel_of(F.col("x"), F.col("y"), *SIZE))
-    return R.features(pixels, _shown(spark, d), counts).select("pix", *r6(**{c: F.col(c) for c in ("diff_r", "render_g", "n_points", "map_b")}))
+    found = R.features(pixels, _shown(spark, d), counts)
+    return found.select("pix", *r6(**{c: F.col(c) for c in found.columns if c not in ("image_id", "pix")}))
 
 
 # ---------------------------------------------------------------- placement and streams
@@ -489,10 +477,22 @@ def equal_mass_placement(spark: SparkSession, d: str) -> DataFrame:
     return M.equal_mass_voronoi(X.pixels(spark, d), 100, *SIZE, SEED).select("idx", "x", "y", "mass", "weight")
 
 
+_BATCH = """WITH p AS (SELECT l_suppkey % 3 AS image_id, l_orderkey % 1024 AS pix, sum(CASE WHEN l_suppkey % 3 <> 2 OR l_orderkey % 1024 < 200 THEN l_quantity ELSE 0 END) AS density FROM lineitem GROUP BY 1, 2)"""
+
+
+@query(_BATCH + " SELECT image_id, (40 + 25 * image_id)::BIGINT AS n_points, sum(density) AS mass, round(40 + 25 * image_id, 6)::DOUBLE AS weight, 0::BIGINT AS outside FROM p GROUP BY image_id")
+def placement_of_a_batch(spark: SparkSession, d: str) -> DataFrame:
+    """M3, M4, M6: images of different density with counts and seeds of their own; the counts are exact, and the cells keep all of the mass."""
+    pixels, counts = X.batch(spark, d)
+    placed = M.equal_mass_voronoi(pixels, counts, *SIZE)
+    outside = ~(F.col("x").between(0.0, 1.0) & F.col("y").between(0.0, 1.0))
+    return placed.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_points"), F.sum("mass").alias("mass"), F.round(F.sum("weight"), 6).alias("weight"), F.sum(outside.cast("long")).alias("outside"))
+
+
 @query()
 def sampled_splats(spark: SparkSession, d: str) -> DataFrame:
     """The composite of placement, look-up, renders and corrections (no SQL: iterations)."""
-    states, _ = sampler.sample(X.pixels(spark, d), X.image(spark), *SIZE, X.deltas(spark, 1), count=64, states=2)
+    states, _ = sampler.sample(X.pixels(spark, d), X.image(spark), *SIZE, X.deltas(spark, 6))
     return sampler.label_states(states).select("label", "idx", "x", "y", "lc_xx", "lc_xy", "lc_yy", *"rgb", "weight")
 
 

@@ -209,9 +209,7 @@ def save_scene(arrays: dict[str, np.ndarray], meta: dict, width: int, height: in
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Write (name, content) rows as files under ``folder``, through Hadoop's file systems, each by the task that holds it."""
-    from pyspark.sql.types import BinaryType  # noqa: F401
-
+    """Write (name, content) rows as files under ``folder``, through Hadoop's file systems. For exports: files pass the driver one by one."""
     spark = files.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for row in files.toLocalIterator():  # a file at a time passes the driver, which alone reaches Hadoop's writers
@@ -246,8 +244,96 @@ def render_files(rendered: DataFrame, width: int, height: int) -> DataFrame:
     return rendered.groupBy("image_id").applyInPandas(dump, "name string, content binary")
 
 
+def sample_files(points: DataFrame, density: DataFrame) -> DataFrame:
+    """(name, content) of an NPZ of each image: points and density, and of points with init_ or final_ columns what is there."""
+    there = [p for p in ("init", "final") if f"{p}_lc_xx" in points.columns]
+    maps = density.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pix", "density"))), lambda s: s["density"]).alias("density"), (F.max("y") + 1).alias("height"))
+
+    def dump(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        h = int(pdf["height"].iloc[0])
+        arrays = {"points": pdf[["x", "y"]].to_numpy("<f4"), "density": np.array(pdf["density"].iloc[0], "<f4").reshape(h, -1)}
+        for p in there:
+            arrays[f"{p}_cov"] = pdf[[f"{p}_lc_xx", f"{p}_lc_xy", f"{p}_lc_yy"]].to_numpy("<f4")
+            arrays[f"{p}_rgb"] = pdf[[f"{p}_r", f"{p}_g", f"{p}_b"]].to_numpy("<f4")
+        return pd.DataFrame({"name": [f"{pdf['image_id'].iloc[0]}.npz"], "content": [dump_npz(arrays)]})
+
+    return points.join(maps, "image_id").groupBy("image_id").applyInPandas(dump, "name string, content binary")
+
+
+STATE = ("x", "y", "lc_xx", "lc_xy", "lc_yy", "r", "g", "b")
+
+
+def scene_files(states: DataFrame, width: int, height: int, meta: dict) -> DataFrame:
+    """(name, content) of a scene NPZ of each image, from its splats of every state (image_id, k, idx, ...)."""
+
+    def dump(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["k", "idx"])
+        k = pdf["k"].nunique()
+        stack = lambda names: np.ascontiguousarray(pdf[list(names)].to_numpy("<f4").reshape(k, -1, len(names)))
+        arrays = {"states_points": stack(STATE[:2]), "states_cov": stack(STATE[2:5]), "states_rgb": stack(STATE[5:])}
+        return pd.DataFrame({"name": [f"{pdf['image_id'].iloc[0]}.npz"], "content": [save_scene(arrays, meta, width, height)]})
+
+    return states.groupBy("image_id").applyInPandas(dump, "name string, content binary")
+
+
+def read_scenes(spark: SparkSession, path: str) -> DataFrame:
+    """Splats of every state of the scene NPZ files, with the scene's frame size and notes (JSON)."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, data in zip(batch["path"], batch["content"]):
+                arrays, meta = load_scene(bytes(data))
+                width, height = frame_size(arrays, meta)
+                out = scene_states(arrays)
+                yield pd.DataFrame({"path": p, "width": width, "height": height, "meta": json.dumps(meta), **{c: out[c] for c in ("k", "idx", *STATE)}})
+
+    fields = ", ".join(f"{c} float" for c in STATE)
+    return binary(spark, path, "*.npz").select("path", "content").mapInPandas(rows, f"path string, width int, height int, meta string, k int, idx int, {fields}")
+
+
+def packed_files(splats: DataFrame, width: int, height: int, crop: tuple[int, int] | None = None) -> DataFrame:
+    """(name, content) of the packed form of each image's splats (x, y, s1, s2, theta, r, g, b)."""
+
+    def dump(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        return pd.DataFrame({"name": [f"{pdf['image_id'].iloc[0]}.splat2d"], "content": [dump_splats(pdf[["x", "y"]], pdf[["s1", "s2"]], pdf["theta"], pdf[["r", "g", "b"]], width, height, crop)]})
+
+    return splats.groupBy("image_id").applyInPandas(dump, "name string, content binary")
+
+
+def map_files(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """(name, content) of the layers that :func:`external_maps` reads, for each image."""
+    layers = {"density": ("density",), "log_cov": ("lc_xx", "lc_xy", "lc_yy"), "rgb": ("map_r", "map_g", "map_b"), "rate": ("rate",)}
+
+    def dump(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pix")
+        held = {f"{pdf['image_id'].iloc[0]}.{layer}.npy": dump_npy(np.ascontiguousarray(pdf[list(names)].to_numpy("<f4").T.reshape(len(names), height, width))) for layer, names in layers.items()}
+        return pd.DataFrame({"name": list(held), "content": list(held.values())})
+
+    return pixels.groupBy("image_id").applyInPandas(dump, "name string, content binary")
+
+
+def dump_bmp(rgb: np.ndarray) -> bytes:
+    """An uncompressed 24-bit BMP of a [height, width, 3] byte array."""
+    h, w, _ = rgb.shape
+    rows = np.zeros((h, -(-w * 3 // 4) * 4), np.uint8)
+    rows[:, : w * 3] = rgb[::-1, :, ::-1].reshape(h, w * 3)
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, w, h, 1, 24, 0, rows.size, 0, 0, 0, 0) + rows.tobytes()
+
+
+def bmp_files(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """(name, content) of a BMP of each image's bytes r8, g8, b8."""
+
+    def dump(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf.sort_values("pix")[["r8", "g8", "b8"]].to_numpy(np.uint8).reshape(height, width, 3)
+        return pd.DataFrame({"name": [f"{pdf['image_id'].iloc[0]}.bmp"], "content": [dump_bmp(a)]})
+
+    return pixels.groupBy("image_id").applyInPandas(dump, "name string, content binary")
+
+
 def read_encoded(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels (path, pix, x, y, r, g, b) of JPEG, PNG, GIF or BMP files, by Spark's image source; files it can't decode are left out, greys are spread over the channels."""
+    """Pixels (path, pix, x, y, r, g, b) of JPEG, PNG, GIF or BMP files, by Spark's image source; a file it can't decode is an error, greys are spread over the channels."""
 
     def pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -257,5 +343,7 @@ def read_encoded(spark: SparkSession, path: str) -> DataFrame:
                 pix = np.arange(h * w)
                 yield pd.DataFrame({"path": p, "pix": pix, "x": pix % w, "y": pix // w, "r": a[:, 0], "g": a[:, 1], "b": a[:, 2]})
 
-    held = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    held = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    bad = F.raise_error(F.concat(F.lit("not an image: "), "origin")).cast("int")
+    held = held.withColumn("nChannels", F.when(F.col("nChannels") > 0, F.col("nChannels")).otherwise(bad))
     return held.mapInPandas(pixels, "path string, pix int, x int, y int, r float, g float, b float")

@@ -33,12 +33,22 @@ def frames_in_order(files: DataFrame, streams: Column | None = None) -> DataFram
 
 
 def bundle_files(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
-    """(path, sha256, good): the files a JSON bundle manifest lists, held against what is in ``folder``."""
+    """(path, sha256, bytes, good, problem): the files a JSON bundle manifest lists by their paths in ``folder``, held against what is there; problem is null if all is well.
+
+    A manifest without a name or a list of files, and a path that leaves the folder, are errors.
+    """
     text = spark.read.text(manifest, wholetext=True).select(F.from_json("value", BUNDLE_SCHEMA).alias("m"))
-    wanted = text.select(F.explode("m.files").alias("f")).select("f.path", "f.sha256")
+    whole = F.col("m.name").isNotNull() & F.col("m.files").isNotNull()
+    files = F.when(whole, F.col("m.files")).otherwise(F.raise_error(F.lit("bundle manifest lacks its name or files")).cast("array<struct<path:string,sha256:string,bytes:long>>"))
+    wanted = text.select(F.explode(files).alias("f")).select("f.path", "f.sha256", "f.bytes")
+    outside = F.col("path").isNull() | F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)")
+    wanted = wanted.withColumn("path", F.when(outside, F.raise_error(F.concat(F.lit("bundle path: "), F.coalesce("path", F.lit("null")))).cast("string")).otherwise(F.col("path")))
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
     there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    there = there.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("found"))
-    return wanted.join(there, "path", "left").select("path", "sha256", F.coalesce(F.col("sha256") == F.col("found"), F.lit(False)).alias("good"))
+    there = there.select(F.substring("path", len(root) + 2, 1 << 30).alias("__path"), F.sha2("content", 256).alias("__found"), F.col("length").alias("__length"))
+    problem = F.when(F.col("__found").isNull(), "missing").when(F.col("bytes").isNotNull() & (F.col("bytes") != F.col("__length")), "size").when(~F.col("sha256").eqNullSafe(F.col("__found")), "digest")
+    return wanted.join(there, F.col("path") == F.col("__path"), "left").select("path", "sha256", "bytes", problem.isNull().alias("good"), problem.alias("problem"))
 
 
 def planar(rgba: DataFrame) -> DataFrame:
@@ -59,7 +69,7 @@ def density_preview(pixels: DataFrame) -> DataFrame:
     tops = pixels.groupBy("image_id").agg(F.percentile(d, F.lit(0.995)).alias("hi"), F.max(d).alias("top"))
     hi = F.when(F.col("hi") > 0, F.col("hi")).otherwise(F.coalesce("top", F.lit(1.0)))
     grey = F.floor(S.clamp(d / F.greatest(hi, F.lit(1e-8)), 0.0, 1.0) * 255.0 + 0.5).cast("int")
-    return pixels.join(F.broadcast(tops), "image_id").withColumn("grey", grey).drop("hi", "top")
+    return pixels.join(tops, "image_id").withColumn("grey", grey).drop("hi", "top")
 
 
 def point_preview(grid: DataFrame, points: DataFrame, pixel: Column) -> DataFrame:

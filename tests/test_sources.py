@@ -109,6 +109,15 @@ def test_bundles_and_files(spark, tmp_path):
     (tmp_path / "bundle.json").write_text(json.dumps({"name": "n", "profile": "p", "files": files}))
     got = {r["path"]: r["good"] for r in L.bundle_files(spark, f"{tmp_path}/bundle.json", f"{tmp_path}/files").collect()}
     assert got == {"x.bin": True, "y.bin": False, "z.bin": False}
+    S.write_files(spark.createDataFrame([("a/x.bin", b"one"), ("b/x.bin", b"other"), ("b/y.bin", b"two")], "name string, content binary"), f"file://{tmp_path}/deep")
+    files = [{"path": p, "sha256": hashlib.sha256(c).hexdigest(), "bytes": n} for p, c, n in (("a/x.bin", b"one", 3), ("b/x.bin", b"one", 5), ("b/y.bin", b"two", 4), ("x.bin", b"one", 3))]
+    (tmp_path / "deep.json").write_text(json.dumps({"name": "n", "files": files}))
+    got = {r["path"]: r["problem"] for r in L.bundle_files(spark, f"{tmp_path}/deep.json", f"{tmp_path}/deep").collect()}
+    assert got == {"a/x.bin": None, "b/x.bin": "digest", "b/y.bin": "size", "x.bin": "missing"}
+    for bad in ({"files": files}, {"name": "n", "files": [{"path": "../x.bin", "sha256": "0", "bytes": 1}]}):
+        (tmp_path / "bad.json").write_text(json.dumps(bad))
+        with pytest.raises(Exception, match="bundle"):
+            L.bundle_files(spark, f"{tmp_path}/bad.json", f"{tmp_path}/deep").collect()
 
 
 def test_splat_and_render_files(spark):
@@ -127,3 +136,6 @@ def test_encoded_images(spark, tmp_path):
     (tmp_path / "a.bmp").write_bytes(head + body + bytes([255, 0, 0, 0, 255, 0, 0, 0, 0, 0, 255, 255, 255, 255, 0, 0]))
     got = {(r["x"], r["y"]): (r["r"], r["g"], r["b"]) for r in S.read_encoded(spark, str(tmp_path)).collect()}
     assert got == {(0, 1): (0, 0, 1), (1, 1): (0, 1, 0), (0, 0): (1, 0, 0), (1, 0): (1, 1, 1)}
+    (tmp_path / "b.png").write_bytes(b"no image")
+    with pytest.raises(Exception, match="not an image"):
+        S.read_encoded(spark, str(tmp_path)).collect()

@@ -121,6 +121,54 @@ def test_concentrated_density_never_collapses(spark):
     assert got["mass"].std() / got["mass"].mean() < 0.5
 
 
+def test_a_batch_comes_out_as_its_images_alone(spark):
+    r = np.random.default_rng(3)
+    dense, corner = r.random((24, 24)) + 0.1, np.zeros((24, 24))
+    corner[:6, :6] = 1
+    images = [image(spark, d).withColumn("image_id", F.lit(i).cast("long")) for i, d in enumerate((dense, corner, np.zeros((24, 24))))]
+    both = images[0].union(images[1]).union(images[2])
+    counts = spark.createDataFrame([(0, 40, 7), (1, 25, 8), (2, 10, 7)], "image_id long, n long, seed long")
+    whole = M.equal_mass_voronoi(both, counts, 24, 24).toPandas().sort_values(["image_id", "idx"])
+    for i, (n, seed) in enumerate(((40, 7), (25, 8), (10, 7))):
+        alone = M.equal_mass_voronoi(images[i], n, 24, 24, seed).toPandas().sort_values("idx")
+        mine = whole[whole["image_id"] == i]
+        assert len(alone) == len(mine) == n
+        np.testing.assert_allclose(mine[["x", "y", "mass"]].to_numpy(), alone[["x", "y", "mass"]].to_numpy(), atol=1e-9)
+    same = M.equal_mass_voronoi(both, 40, 24, 24, 5).groupBy("image_id").count().collect()
+    assert {x["image_id"]: x["count"] for x in same} == {0: 40, 1: 40, 2: 40}
+
+
+def test_images_stop_for_themselves(spark):
+    grid = image(spark, np.zeros((16, 16)))
+    splat = spark.createDataFrame([(0, 0, 0.5, 0.5, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0)], "image_id long, idx int, x double, y double, lc_xx double, lc_xy double, lc_yy double, r double, g double, b double, weight double")
+    good = R.render(splat, grid, 16, 16)
+    bad = good.withColumns({"image_id": F.lit(1).cast("long"), "r": F.lit(0.9)})
+    both = splat.union(splat.withColumn("image_id", F.lit(1).cast("long")))
+    seen = []
+
+    def still(at, shown):
+        seen.append(sorted(x["n"] for x in shown.groupBy("image_id").agg(F.sum("n_points").alias("n")).collect()))
+        return shown.select("image_id", "pix", *[F.lit(0.0).alias(f"d{i}") for i in range(8)])
+
+    scores = R.correction_rounds(both, good.unionByName(bad), still, 3, 16, 16, target=50.0)[1].groupBy("image_id").count().collect()
+    assert {x["image_id"]: x["count"] for x in scores} == {0: 1, 1: 3} and seen == [[1], [1]]
+
+
+def test_float_keys_order_like_floats(spark):
+    values = [0.0, -0.0, 1.5, -1.5, 1e-40, -1e-40, 3.4e38, -3.4e38, 1.0000001, 1.0, 2**-126, 0.1]
+    got = {r["i"]: r["key"] for r in spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", S.order_key(F.col("v"), F.col("i")).alias("key")).collect()}
+    assert sorted(got, key=got.get) == sorted(range(len(values)), key=lambda i: (np.float32(values[i]), i))
+    bits = spark.createDataFrame([(float(np.float32(v)),) for v in values], "v double").select("v", S.float_bits(F.col("v")).alias("b")).collect()
+    assert all(r["b"] == int(np.float32(r["v"] + 0.0).view(np.uint32)) for r in bits if r["v"])
+
+
+def test_content_seeds_of_a_table(spark):
+    a = np.random.default_rng(2).random((3, 4, 5)).astype(np.float32)
+    rows = [(0, p, *(float(a[c].ravel()[p]) for c in range(3))) for p in range(20)]
+    got = H.content_seeds(spark.createDataFrame(rows, "image_id long, pix int, r float, g float, b float"), 5, 4, 7).collect()
+    assert [(x["image_id"], x["seed"]) for x in got] == [(0, H.content_seed((3, 4, 5), a, 7))]
+
+
 def test_one_round_splat_has_its_closed_form(spark):
     grid = image(spark, np.zeros((8, 8)))
     lc = math.log(1.5**2)
