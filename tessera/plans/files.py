@@ -43,7 +43,8 @@ def colours(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumns({"r": F.col("density") % 8 / 8, "g": F.col("density") % 16 / 16, "b": F.col("density") % 32 / 32})
 
 
-_COLOURS = f"WITH {X.PIXELS}, colours AS (SELECT *, (density % 256)::INTEGER AS r8, ((density * 3) % 256)::INTEGER AS g8, (pix % 256)::INTEGER AS b8, density % 8 / 8 AS r, density % 16 / 16 AS g, density % 32 / 32 AS b FROM pixels) "
+_COLOURS_ONLY = f"WITH {X.PIXELS}, colours AS (SELECT *, (density % 256)::INTEGER AS r8, ((density * 3) % 256)::INTEGER AS g8, (pix % 256)::INTEGER AS b8, density % 8 / 8 AS r, density % 16 / 16 AS g, density % 32 / 32 AS b FROM pixels)"
+_COLOURS = _COLOURS_ONLY + " "
 
 
 @query(_COLOURS + "SELECT pix, x, y, r::FLOAT::DOUBLE AS r, g::FLOAT::DOUBLE AS g, b::FLOAT::DOUBLE AS b FROM colours")
@@ -126,6 +127,25 @@ def encoded_images(spark: SparkSession, d: str) -> DataFrame:
     return found.select("pix", "x", "y", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in "rgb"])
 
 
+@query(_COLOURS + """, tx AS (
+  SELECT g AS to_, src, CASE WHEN sh < 0 THEN ceil(sh - 0.5) ELSE floor(sh + 0.5) END::BIGINT AS tap FROM (
+    SELECT g, src, raw / sum(raw) OVER (PARTITION BY g) * 4194304.0::DOUBLE AS sh FROM (
+      SELECT g, src, CASE WHEN q < 1 THEN (1.5::DOUBLE * q - 2.5::DOUBLE) * q * q + 1 WHEN q < 2 THEN (((q - 5) * q + 8) * q - 4) * -0.5::DOUBLE ELSE 0.0::DOUBLE END AS raw FROM (
+        SELECT g, src, abs((src - c + 0.5::DOUBLE) / w) AS q FROM (SELECT g, (g + 0.5::DOUBLE) * (32::DOUBLE / 20) AS c, greatest(32::DOUBLE / 20, 1.0::DOUBLE) AS w FROM range(20) t(g)) o, range(32) s(src)
+        WHERE src >= floor(c - 2 * w + 0.5::DOUBLE) AND src < floor(c + 2 * w + 0.5::DOUBLE))))), ty AS (
+  SELECT g AS to_, src, CASE WHEN sh < 0 THEN ceil(sh - 0.5) ELSE floor(sh + 0.5) END::BIGINT AS tap FROM (
+    SELECT g, src, raw / sum(raw) OVER (PARTITION BY g) * 4194304.0::DOUBLE AS sh FROM (
+      SELECT g, src, CASE WHEN q < 1 THEN (1.5::DOUBLE * q - 2.5::DOUBLE) * q * q + 1 WHEN q < 2 THEN (((q - 5) * q + 8) * q - 4) * -0.5::DOUBLE ELSE 0.0::DOUBLE END AS raw FROM (
+        SELECT g, src, abs((src - c + 0.5::DOUBLE) / w) AS q FROM (SELECT g, (g + 0.5::DOUBLE) * (32::DOUBLE / 48) AS c, greatest(32::DOUBLE / 48, 1.0::DOUBLE) AS w FROM range(48) t(g)) o, range(32) s(src)
+        WHERE src >= floor(c - 2 * w + 0.5::DOUBLE) AND src < floor(c + 2 * w + 0.5::DOUBLE))))), h AS (SELECT y, to_ AS x, greatest(0, least(255, (sum(r8 * tap) + 2097152) >> 22))::INTEGER AS r8, greatest(0, least(255, (sum(g8 * tap) + 2097152) >> 22))::INTEGER AS g8, greatest(0, least(255, (sum(b8 * tap) + 2097152) >> 22))::INTEGER AS b8 FROM colours JOIN tx ON x = src GROUP BY y, to_), v AS (SELECT x, to_ AS y, greatest(0, least(255, (sum(r8 * tap) + 2097152) >> 22))::INTEGER AS r8, greatest(0, least(255, (sum(g8 * tap) + 2097152) >> 22))::INTEGER AS g8, greatest(0, least(255, (sum(b8 * tap) + 2097152) >> 22))::INTEGER AS b8 FROM h JOIN ty ON y = src GROUP BY x, to_) SELECT (y * 20 + x)::INTEGER AS pix, x::INTEGER AS x, y::INTEGER AS y, r8, g8, b8 FROM v""")
+def resized_images(spark: SparkSession, d: str) -> DataFrame:
+    """An encoded image, resized to a given size as it is read."""
+    width, height = 20, 48
+    read = arrays.read_encoded(spark, exported(arrays.bmp_files(colours(spark, d), *SIZE), "to-resize"))
+    held = read.select(F.lit(0).cast("long").alias("image_id"), "x", "y", *[F.rint(F.col(c) * 255).cast("int").alias(f"{c}8") for c in "rgb"])
+    return G.resize_bicubic(held, *SIZE, width, height, ["r8", "g8", "b8"]).select("pix", "x", "y", "r8", "g8", "b8")
+
+
 @query(_COLOURS + "SELECT (py * 40 + px)::INTEGER AS pix, px::INTEGER AS x, py::INTEGER AS y, r8 / 255.0::DOUBLE AS r, g8 / 255.0::DOUBLE AS g, b8 / 255.0::DOUBLE AS b FROM range(40) a(px), range(40) c(py) JOIN colours ON pix = least(py, 31) * 32 + least(px, 31)")
 def planar_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Bytes as floats, padded to a multiple."""

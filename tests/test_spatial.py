@@ -249,5 +249,28 @@ def test_stream_equals_batch(spark, tmp_path):
     pd.testing.assert_frame_equal(got.sort_values(keys, ignore_index=True), want.sort_values(keys, ignore_index=True), check_dtype=False)
 
 
+def test_streams_close_and_blend_attributes(spark):
+    maps = lambda v: [float(v)] * (6 * 120)
+    rows = [(0, f, 12, blob(f, 12, 10).tolist(), maps(f), False) for f in range(3)]
+    schema = "stream_id long, frame long, n long, density array<double>, maps array<double>, close boolean"
+    got = T.track_frames(spark.createDataFrame(rows + [(0, 3, None, None, None, True)], schema), 12, 10, T.Options(patience=99, lloyd=0)).toPandas()
+    assert got.groupby("frame").size().index.tolist() == [0, 1, 2]
+    inside = got[(got["x"].between(0.1, 0.9)) & (got["y"].between(0.1, 0.9))]
+    for f, value in ((0, 0.0), (1, 0.9), (2, 0.1 * 0.9 + 0.9 * 2)):
+        np.testing.assert_allclose(inside[inside["frame"] == f]["lc_xx"], value)
+    assert got["r"].max() <= 1
+    with pytest.raises(Exception, match="closed"):
+        T.track_frames(spark.createDataFrame([(0, 0, None, None, None, True), rows[1]], schema), 12, 10).collect()
+
+
+def test_bicubic_of_constants_and_ramps(spark):
+    flat = image(spark, np.full((9, 7), 200.0)).withColumn("v", F.col("density").cast("int"))
+    assert [r["v"] for r in G.resize_bicubic(flat, 7, 9, 16, 4, ["v"]).select("v").distinct().collect()] == [200]
+    ramp = image(spark, np.tile(np.arange(0, 160, 10), (4, 1)).astype(float)).withColumn("v", F.col("density").cast("int"))
+    got = {r["x"]: r["v"] for r in G.resize_bicubic(ramp, 16, 4, 8, 4, ["v"]).where("y = 1").collect()}
+    assert [got[x] for x in range(2, 6)] == [45, 65, 85, 105]
+    assert G.resize_bicubic(ramp, 16, 4, 16, 4, ["v"]).where("x = 3 and v = 30").count() == 4
+
+
 def test_packed_layout_is_stated():
     assert struct.calcsize("<IHH") == 8
