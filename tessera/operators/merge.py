@@ -135,9 +135,11 @@ def merge_round(pixels: DataFrame, points: DataFrame, remove: int | DataFrame, n
         goals = points.groupBy("image_id").agg((F.count(F.lit(1)) - remove).alias("goal"))
     else:
         goals = remove.select("image_id", "goal")
-    goals = N.scratch(goals, "goals")
+    over = _excess(points, goals)
+    if over.isEmpty():
+        return points
     owned, cells = _cells(pixels, points, width, height, n_now)
-    excess = cells.join(_excess(points, goals), "image_id", "left").fillna(0, ["remove"])
+    excess = cells.join(over, "image_id", "left").fillna(0, ["remove"])
     kept = N.scratch(renumber(drop_empty(excess, F.col("remove")).select("image_id", "idx", "x", "y")), "kept")
     left = _excess(kept, goals)
     if left.isEmpty():
