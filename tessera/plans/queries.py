@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -427,14 +429,30 @@ def correction_update(spark: SparkSession, d: str) -> DataFrame:
     return new.select("idx", *r6(**{c: F.col(c) for c in ("lc_xx", "lc_xy", "lc_yy", "r", "g", "b", "x", "y")}))
 
 
-@query()
-def correction_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """M7, M9, A11 by state (no SQL: an iteration)."""
-    _, scores = R.correction_rounds(X.splats(spark, d), X.image(spark), X.deltas(spark, 3), 4, *SIZE)
-    return scores.select("k", "squared_error", "psnr")
+_CORNERS = "t AS (SELECT idx, px::INTEGER AS px, py::INTEGER AS py, w FROM (SELECT idx, floor(x * 32 - 0.5) + dx AS px, floor(y * 32 - 0.5) + dy AS py, CASE WHEN dx = 1 THEN x * 32 - 0.5 - floor(x * 32 - 0.5) ELSE 1 - (x * 32 - 0.5 - floor(x * 32 - 0.5)) END * CASE WHEN dy = 1 THEN y * 32 - 0.5 - floor(y * 32 - 0.5) ELSE 1 - (y * 32 - 0.5 - floor(y * 32 - 0.5)) END AS w FROM splats, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(dx, dy)))"
 
 
-_CORNERS = "t AS (SELECT idx, px::INTEGER AS px, py::INTEGER AS py, w FROM (SELECT idx, floor(x * 32 - 0.5) + dx AS px, floor(y * 32 - 0.5) + dy AS py, CASE WHEN dx = 1 THEN x * 32 - 0.5 - floor(x * 32 - 0.5) ELSE 1 - (x * 32 - 0.5 - floor(x * 32 - 0.5)) END * CASE WHEN dy = 1 THEN y * 32 - 0.5 - floor(y * 32 - 0.5) ELSE 1 - (y * 32 - 0.5 - floor(y * 32 - 0.5)) END AS w FROM splats, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(dx, dy)))"
+def _rounds_sql(states: int) -> str:
+    """The renders, scores and updates of :func:`correction_rounds`, one state after the other."""
+    steps = _RENDER[_RENDER.index("base AS (") : _RENDER.index(", pixels AS (")].rstrip() + ", " + _RENDER[_RENDER.index("pr AS (") :].rstrip()
+    of = lambda text, k: re.sub(r"\b(splats|base|sr|cv|pr|bx|al|shown|t|dl)\b(?!\()", rf"\g<1>{k}", text)
+    parts, scores = [X.SPLATS.replace("splats AS", "splats0 AS", 1), X.PIXELS], []
+    clamp = lambda e: f"greatest(0.0, least(1.0, {e}))"
+    for k in range(states):
+        parts.append(of(steps, k))
+        scores.append(f"SELECT {k} AS k, round(sum(e), 3) AS squared_error, round(-10 * log10(greatest(sum(e) / (count(*) * 3), 1e-10)), 3) AS psnr FROM (SELECT (r - pix % 8 / 8.0::DOUBLE) ** 2 + (g - pix % 16 / 16.0::DOUBLE) ** 2 + (b - pix % 32 / 32.0::DOUBLE) ** 2 AS e FROM shown{k})")
+        if k + 1 < states:
+            parts.append(of(_CORNERS, k))
+            parts.append(f"dl{k} AS (SELECT idx, " + ", ".join(f"sum(w * ((pix * {i + 3} + {k}) % 9 - 4) * 0.0078125) AS d{i}" for i in range(8)) + f" FROM t{k} JOIN pixels p ON p.x = px AND p.y = py GROUP BY idx)")
+            parts.append(f"splats{k + 1} AS (SELECT image_id, idx, {clamp('x + d6 * 2.56 / 32')} AS x, {clamp('y + d7 * 2.56 / 32')} AS y, lc_xx + d0 AS lc_xx, lc_xy + d1 AS lc_xy, lc_yy + d2 AS lc_yy, {clamp('r + d3')} AS r, {clamp('g + d4')} AS g, {clamp('b + d5')} AS b, weight FROM splats{k} JOIN dl{k} USING (idx))")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(scores)
+
+
+@query(_rounds_sql(4))
+def correction_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """M7, M9, A11 by state."""
+    _, scores = R.correction_rounds(X.splats(spark, d), X.image(spark), X.deltas(spark, 3), 4, *SIZE)
+    return scores.select("k", F.round("squared_error", 3).alias("squared_error"), F.round("psnr", 3).alias("psnr"))
 
 
 @query(f"WITH RECURSIVE {X.PIXELS}, {X.SPLATS}, {_CORNERS}, dl AS (SELECT idx, k, " + ", ".join(f"sum(w * ((pix * {i + 3} + k) % 9 - 4) * 0.0078125) AS d{i}" for i in (3, 4, 5)) + " FROM t JOIN pixels p ON p.x = px AND p.y = py, range(3) s(k) GROUP BY idx, k), st AS (SELECT idx, 0 AS k, r, g, b FROM splats UNION ALL SELECT st.idx, st.k + 1, greatest(0.0, least(1.0, r + d3)), greatest(0.0, least(1.0, g + d4)), greatest(0.0, least(1.0, b + d5)) FROM st JOIN dl ON dl.idx = st.idx AND dl.k = st.k) SELECT idx, k, " + _r("r", "g", "b") + " FROM st")
@@ -460,9 +478,20 @@ def feature_stack(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- placement and streams
 
 
-@query()
+def _matching_sql() -> str:
+    """Eight columns of proposals, one after the other: of those to one cell the lightest wins."""
+    found = SQL["lightest_neighbours"]
+    at = found.rindex("SELECT src, dst, (rank - 1)")
+    out = found[:at] + f", near AS ({found[at:]}), ranked AS (SELECT idx, row_number() OVER (ORDER BY mass, idx) - 1 AS rk, count(*) OVER () // 3 AS most FROM cells WHERE n_pixels > 0), m0 AS (SELECT idx, idx AS target FROM ranked WHERE false)"
+    for c in range(8):
+        out += f""", m{c + 1} AS (SELECT * FROM m{c} UNION ALL SELECT idx, dst FROM (SELECT idx, dst, row_number() OVER (PARTITION BY dst ORDER BY rk) AS k FROM ranked JOIN near ON src = idx AND rank = {c}
+  WHERE rk < most AND idx NOT IN (SELECT idx FROM m{c}) AND dst NOT IN (SELECT idx FROM m{c})) WHERE k = 1)"""
+    return out + " SELECT idx, target FROM m8"
+
+
+@query(_matching_sql())
 def merge_matching(spark: SparkSession, d: str) -> DataFrame:
-    """M2 (no SQL: rounds of proposals; tests hold it against a sequential version)."""
+    """M2."""
     owned = _owned(spark, d)
     cells = N.scratch(A.cell_mass(X.points(spark, d), owned).where("n_pixels > 0"), "cells")
     table = N.lightest_neighbours(N.adjacency(owned), cells)
