@@ -194,5 +194,36 @@ SELECT doc_id, n::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BI
 """
 
 
+#: Matches are set between two private characters, so that the lengths of what lies between give their places.
+_PII = r"""
+WITH kinds(kind, ord, pattern, marked) AS (VALUES
+  ('email', 0, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', '<\1>'),
+  ('ip', 1, '([0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+))', '<\1>'),
+  ('card', 2, '([0-9](?:[\x20-]?[0-9])+)', '<\1>'),
+  ('phone', 3, '(\+[0-9][\x20().0-9-]+[0-9])', '<\1>'),
+  ('url', 4, '([\p{L}]+://[^\s/?#@:]+:[^\s/?#@]+@[A-Za-z0-9.-]+)', '<\1>'),
+  ('account', 5, '(^|[^\p{L}\p{N}])((?i:iban|ssn|account|acct|passport|token|secret|api_key|password)[\x20]{0,3}(?:number|no\.?|key)?[\x20]{0,3}[:=#]?[\x20]{0,3}["'']?)([A-Za-z0-9](?:[A-Za-z0-9_.+/~-]*[A-Za-z0-9])?={0,2})', '\1\2<\3>')
+), pieces AS (
+  SELECT doc_id, kind, ord, string_split(regexp_replace(coalesce(text, ''), pattern, replace(replace(marked, '<', chr(57344)), '>', chr(57345)), 'g'), chr(57344)) AS p FROM documents, kinds
+), places AS (
+  SELECT doc_id, kind, ord, split_part(p[i], chr(57345), 1) AS m, length(p[1]) + coalesce(list_sum(list_transform(p[2 : i - 1], lambda x: length(x) - 1)), 0) AS a
+  FROM (SELECT *, unnest(range(2, len(p) + 1)) AS i FROM pieces)
+), digits AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM places
+), valid AS (
+  SELECT * FROM digits WHERE CASE kind
+    WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0
+    WHEN 'card' THEN length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(d)), lambda j: CASE WHEN j % 2 = 0 THEN substr(d, length(d) - j, 1)::INTEGER ELSE substr(d, length(d) - j, 1)::INTEGER * 2 - CASE WHEN substr(d, length(d) - j, 1)::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 'phone' THEN length(d) BETWEEN 10 AND 15
+    WHEN 'account' THEN length(m) >= 6 AND d <> '' ELSE true END
+), named AS (SELECT doc_id, kind, ord, a, kind || ':' || a || ':' || (a + length(m)) AS s FROM valid
+), held AS (
+  SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+         string_agg(s, ',' ORDER BY a, ord) FILTER (ord < 4) AS base, string_agg(s, ',' ORDER BY a, ord) AS spans FROM named GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN held h ON h.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": _SHARDING, "op4_jaccard_join": _JACCARD, "op6_repeated_bytes": _REPEATS, "op5_decontamination": _DECONTAMINATION, "op1_url_filters": _URL_PARTS, "op7_exact_dedup": _EXACT_DEDUP}
+    return {"op8_pii": _PII, "op2_sharding": _SHARDING, "op4_jaccard_join": _JACCARD, "op6_repeated_bytes": _REPEATS, "op5_decontamination": _DECONTAMINATION, "op1_url_filters": _URL_PARTS, "op7_exact_dedup": _EXACT_DEDUP}
