@@ -117,7 +117,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     if scopes := _open.__dict__.get("scopes"):
         scopes[-1].made.append(path)
-    before = spark.conf.get(CLEAN_SHUFFLES)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")  # what this write shuffled goes with it, not when the driver next collects garbage
     try:
         df.write.parquet(path)
