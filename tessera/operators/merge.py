@@ -160,7 +160,7 @@ def merge_round(pixels: DataFrame, points: DataFrame, remove: int | DataFrame, n
     beside = table.join(alive, ["image_id", "dst"]).groupBy("image_id", F.col("src").alias("idx")).agg(F.min(F.struct("rank", F.col("dst").alias("target"))).alias("b")).select("image_id", "idx", F.col("b.target").alias("target"))
     beside = sources.select("image_id", "idx").join(beside, ["image_id", "idx"])
     stuck = sources.join(beside, ["image_id", "idx"], "left_anti")
-    forced = beside.unionByName(N.nearest_alive(stuck, state))
+    forced = beside if stuck.isEmpty() else beside.unionByName(N.nearest_alive(stuck, state, n_now))
     return N.scratch(merge_into(cells, forced), "forced")
 
 

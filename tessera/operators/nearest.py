@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil, sqrt
+from math import ceil, log2, sqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -37,33 +37,50 @@ def assign_nearest(pixels: DataFrame, points: DataFrame, width: int, height: int
     The owner is the least idx among the points at the least distance d2 (less
     ``penalty``, a column of ``points`` with values up to ``most_penalty``, for a
     power diagram). Points are normalised and are moved into the image first.
-    Pixel centres lie at x + ``offset``.
-
-    Points are binned into square cells of the mean spacing. A pixel meets the
-    points of its 3 x 3 cells by an equi-join; where the best of them is not
-    strictly nearer than the edge of what was searched, the ring is doubled.
-    Without points owner is -1 and d2 is null.
+    Pixel centres lie at x + ``offset``. Without points owner is -1 and d2 is null.
     """
     side = max(2, 2 * ceil(sqrt(width * height / max(1, n_hint)) / 2))
-    wide, high = -(-width // side), -(-height // side)
     inside = lambda v, n: F.greatest(F.lit(0.0), F.least(F.lit(n - NUDGE), v * F.lit(float(n))))
     price = F.col(penalty) if penalty else F.lit(0.0)
-    seeds = points.select(F.col("image_id").alias("__im"), F.col("idx"), inside(F.col("x"), width).alias("__px"), inside(F.col("y"), height).alias("__py"), price.alias("__w"))
-    seeds = seeds.groupBy("__im", "__px", "__py", "__w").agg(F.min("idx").alias("idx"))  # of equal points the first can win only
-    cell = lambda x, y: F.floor(y / side).cast("int") * wide + F.floor(x / side).cast("int")
-    seeds = scratch(seeds.withColumn("__cell", cell(F.col("__px"), F.col("__py"))), "seeds")
-    columns = pixels.columns
-    left = pixels.withColumns({"__x": F.col("x") + offset, "__y": F.col("y") + offset})
-    left = left.withColumns({"__cx": F.least(F.lit(wide - 1), F.floor(F.col("__x") / side)).cast("int"), "__cy": F.least(F.lit(high - 1), F.floor(F.col("__y") / side)).cast("int")})
-    done, ring, whole = None, 1, max(wide, high)
+    seeds = points.select("image_id", "idx", inside(F.col("x"), width).alias("x"), inside(F.col("y"), height).alias("y"), price.alias("w"))
+    return _by_rings(pixels, "pix", F.col("x") + offset, F.col("y") + offset, seeds, side, -(-width // side), -(-height // side), most_penalty)
+
+
+def nearest_alive(sources: DataFrame, points: DataFrame, n_hint: int | None = None) -> DataFrame:
+    """(image_id, idx, target): for each source the nearest point with alive, in normalised distance; ties to the least idx. A source whose image has none alive has no row."""
+    n_hint = points.count() if n_hint is None else n_hint
+    cells = 1 << max(0, round(log2(max(1, n_hint)) / 2))  # a power of two, by which distances are scaled exactly
+    seeds = points.where("alive").select("image_id", "idx", (F.col("x") * cells).alias("x"), (F.col("y") * cells).alias("y"), F.lit(0.0).alias("w"))
+    found = _by_rings(sources.select("image_id", "idx", "x", "y"), "idx", F.col("x") * cells, F.col("y") * cells, seeds, 1, cells, cells)
+    return found.where("owner >= 0").select("image_id", "idx", F.col("owner").alias("target"))
+
+
+def _by_rings(rows: DataFrame, key: str, at_x: Column, at_y: Column, seeds: DataFrame, side: int, wide: int, high: int, most_penalty: float = 0.0) -> DataFrame:
+    """``rows``, told apart by image_id and ``key``, with owner and d2 of the nearest of ``seeds`` (image_id, idx, x, y, w), d2 - w counting.
+
+    Seeds are binned into ``wide`` x ``high`` cells of ``side``; those outside belong to
+    the cells at the edge. A row meets the seeds of its 3 x 3 cells by an equi-join; where
+    the best of them is not strictly nearer than the edge of what was searched, the ring
+    is doubled, and the row meets the cells that are new and keeps the best so far.
+    """
+    seeds = seeds.groupBy(F.col("image_id").alias("__im"), F.col("x").alias("__px"), F.col("y").alias("__py"), F.col("w").alias("__w")).agg(F.min("idx").alias("idx"))  # of equal points the first can win only
+    cell = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v / side))).cast("int")
+    seeds = scratch(seeds.withColumn("__cell", cell(F.col("__py"), high) * wide + cell(F.col("__px"), wide)), "seeds")
+    columns = rows.columns
     d2 = (F.col("__x") - F.col("__px")) * (F.col("__x") - F.col("__px")) + (F.col("__y") - F.col("__py")) * (F.col("__y") - F.col("__py"))
+    offer = F.struct((d2 - F.col("__w")).alias("score"), F.col("idx").alias("owner"), d2.alias("d2"))
+    left = rows.withColumns({"__x": at_x, "__y": at_y}).withColumns({"__cx": cell(F.col("__x"), wide), "__cy": cell(F.col("__y"), high)})
+    left = left.withColumn("__best", F.lit(None).cast(f"struct<score:double,owner:{seeds.schema['idx'].dataType.simpleString()},d2:double>"))
+    done, ring, before, whole = None, 1, -1, max(wide, high)
     while True:
-        rows = F.sequence(F.greatest(F.lit(0), F.col("__cy") - ring), F.least(F.lit(high - 1), F.col("__cy") + ring))
-        cols = F.sequence(F.greatest(F.lit(0), F.col("__cx") - ring), F.least(F.lit(wide - 1), F.col("__cx") + ring))
-        keys = left.select("image_id", "pix", "__x", "__y", F.explode(F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: r * wide + c)))).alias("__key"))
-        met = keys.join(seeds, (F.col("image_id") == F.col("__im")) & (F.col("__key") == F.col("__cell")))
-        best = met.groupBy("image_id", "pix").agg(F.min(F.struct((d2 - F.col("__w")).alias("score"), F.col("idx").alias("owner"), d2.alias("d2"))).alias("__best"))
-        found = left.join(best, ["image_id", "pix"], "left")
+        ys = F.sequence(F.greatest(F.lit(0), F.col("__cy") - ring), F.least(F.lit(high - 1), F.col("__cy") + ring))
+        xs = F.sequence(F.greatest(F.lit(0), F.col("__cx") - ring), F.least(F.lit(wide - 1), F.col("__cx") + ring))
+        new = lambda y: xs if before < 0 else F.filter(xs, lambda x: F.greatest(F.abs(x - F.col("__cx")), F.abs(y - F.col("__cy"))) > before)  # noqa: B023, E731
+        cells = F.flatten(F.transform(ys, lambda y: F.transform(new(y), lambda x: y * wide + x)))
+        keys = left.select("image_id", key, "__x", "__y", F.explode(cells).alias("__key"))
+        met = keys.join(seeds.withColumnRenamed("idx", "__idx"), (F.col("image_id") == F.col("__im")) & (F.col("__key") == F.col("__cell"))).withColumnRenamed(key, "__id").withColumnRenamed("__idx", "idx")
+        best = met.groupBy("image_id", F.col("__id").alias(key)).agg(F.min(offer).alias("__now"))
+        found = left.join(best, ["image_id", key], "left").withColumn("__best", F.least("__best", "__now")).drop("__now")
         if ring >= whole:
             last = found.select(*columns, F.coalesce("__best.owner", F.lit(-1)).alias("owner"), F.col("__best.d2").alias("d2"))
             return last if done is None else done.unionByName(last)
@@ -76,19 +93,10 @@ def assign_nearest(pixels: DataFrame, points: DataFrame, width: int, height: int
         found = scratch(found.withColumn("__sure", sure), "nearest")
         won = found.where("__sure").select(*columns, F.col("__best.owner").alias("owner"), F.col("__best.d2").alias("d2"))
         done = won if done is None else done.unionByName(won)
-        left = found.where("not __sure").drop("__best", "__sure")
+        left = found.where("not __sure").drop("__sure")
         if left.isEmpty():
             return done
-        ring *= 2
-
-
-def nearest_alive(sources: DataFrame, points: DataFrame) -> DataFrame:
-    """(image_id, idx, target): for each source the nearest point with alive, in normalised distance; ties to the least idx. Sources are few, alive points are broadcast only if Spark finds them small."""
-    alive = points.where("alive").select("image_id", F.col("idx").alias("target"), F.col("x").alias("__x"), F.col("y").alias("__y"))
-    sources = sources.select("image_id", "idx", "x", "y")
-    d2 = (F.col("x") - F.col("__x")) * (F.col("x") - F.col("__x")) + (F.col("y") - F.col("__y")) * (F.col("y") - F.col("__y"))
-    best = sources.join(alive, "image_id").groupBy("image_id", "idx").agg(F.min(F.struct(d2.alias("d2"), F.col("target"))).alias("best"))
-    return best.select("image_id", "idx", F.col("best.target").alias("target"))
+        before, ring = ring, ring * 2
 
 
 def adjacency(owned: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
@@ -13,6 +13,10 @@ from tessera.operators.grid import pixel_of
 from tessera.operators.nearest import scratch
 
 CHANNELS = ("r", "g", "b")
+#: Parts into which the footprints of a tile are dealt.
+PARTS = 8
+#: A covariance whose determinant is less than this share of its diagonal's product has no extent to rely on.
+SOUND, INFINITE = 1e-9, float("inf")
 
 
 def bilinear(points: DataFrame, maps: DataFrame, columns: list[str], width: int, height: int) -> DataFrame:
@@ -47,21 +51,32 @@ def tile_pairs(projected: DataFrame, width: int) -> DataFrame:
     return rows.withColumn("tx", F.explode(F.sequence("tx0", F.col("tx1") - 1))).withColumn("tile", F.col("ty") * tiles + F.col("tx"))
 
 
+def reach_in_tile(axis: str, size: int) -> tuple[Column, Column]:
+    """First and last pixel of the tile along one axis that the footprint can reach before it is cut off; all of the tile where the covariance hardly has an inverse."""
+    tile, var, det = F.col(f"t{axis}"), F.col(f"s_{axis}{axis}"), F.col("s_xx") * F.col("s_yy") - F.col("s_xy") * F.col("s_xy")
+    sound = (F.col("s_xx") < INFINITE) & (F.col("s_yy") < INFINITE) & (det < INFINITE) & (det > SOUND * F.col("s_xx") * F.col("s_yy"))
+    reach = S.cutoff_extent(F.when(sound, var)) + 1.0
+    first, last = tile * S.TILE, F.least(tile * S.TILE + S.TILE, F.lit(size)) - 1
+    return F.greatest(first, F.ceil(F.col(f"c{axis}") - reach)).cast("int"), F.least(last, F.floor(F.col(f"c{axis}") + reach)).cast("int")
+
+
 def render(splats: DataFrame, grid: DataFrame, width: int, height: int) -> DataFrame:
     """``grid`` (image_id, pix, x, y) with r, g, b: at each pixel the sum of colour times weight times alpha, held in [0, 1].
 
-    Splats and pixels meet by tile, an equi-join. Pixels are sampled at whole
-    coordinates. ``splats`` needs r, g, b and weight besides the shape; the weight
-    is applied here and only here.
+    Footprints are dealt by tile and, as a tile can hold any number of them, by a part
+    of it; there each meets the pixels that it reaches, and the sums of a part are one
+    row a pixel. Pixels are sampled at whole coordinates. ``splats`` needs r, g, b and
+    weight besides the shape; the weight is applied here and only here.
     """
     colour = {c: S.clamp(F.col(c) * F.col("weight"), 0.0, 1.0) for c in CHANNELS}
     # written, as filters on footprints would else be expanded down to the log-covariances, beyond what can be compiled
     footprints = scratch(project(splats, width, height), "footprints")
-    held = tile_pairs(footprints, width).select("image_id", "tile", "cx", "cy", "q_xx", "q_xy", "q_yy", *[v.alias(f"__{c}") for c, v in colour.items()])
-    tiles = -(-width // S.TILE)
-    places = grid.select("image_id", "pix", "x", "y", F.expr(f"(y div {S.TILE}) * {tiles} + x div {S.TILE}").cast("int").alias("tile"))
-    a = S.alpha(F.col("cx") - F.col("x"), F.col("cy") - F.col("y"), F.col("q_xx"), F.col("q_xy"), F.col("q_yy"))
-    met = places.join(held, ["image_id", "tile"]).withColumn("__a", a).where("__a > 0")
+    (x0, x1), (y0, y1) = reach_in_tile("x", width), reach_in_tile("y", height)
+    pairs = tile_pairs(footprints, width).withColumns({"__x0": x0, "__x1": x1, "__y0": y0, "__y1": y1, "__part": F.pmod("idx", F.lit(PARTS))}).where("__x1 >= __x0 and __y1 >= __y0")
+    held = pairs.select("image_id", "tile", "__part", "cx", "cy", "q_xx", "q_xy", "q_yy", "__x0", "__x1", "__y0", "__y1", *[v.alias(f"__{c}") for c, v in colour.items()]).repartition("image_id", "tile", "__part")
+    met = held.withColumn("__y", F.explode(F.sequence("__y0", "__y1"))).withColumn("__x", F.explode(F.sequence("__x0", "__x1")))
+    a = S.alpha(F.col("cx") - F.col("__x"), F.col("cy") - F.col("__y"), F.col("q_xx"), F.col("q_xy"), F.col("q_yy"))
+    met = met.select("image_id", (F.col("__y") * width + F.col("__x")).cast("int").alias("pix"), a.alias("__a"), *[f"__{c}" for c in CHANNELS]).where("__a > 0")
     sums = met.groupBy("image_id", "pix").agg(*[F.sum(F.col("__a") * F.col(f"__{c}")).alias(c) for c in CHANNELS])
     out = grid.select("image_id", "pix", "x", "y").join(sums, ["image_id", "pix"], "left").fillna(0.0, list(CHANNELS))
     return out.withColumns({c: S.clamp(F.col(c), 0.0, 1.0) for c in CHANNELS})
