@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NUDGE = 1e-3
+#: What rounding may add to a bound.
+SLACK = 1e-9
 
 
 def scratch(df: DataFrame, label: str) -> DataFrame:
@@ -61,11 +63,15 @@ def _by_rings(rows: DataFrame, key: str, at_x: Column, at_y: Column, seeds: Data
     Seeds are binned into ``wide`` x ``high`` cells of ``side``; those outside belong to
     the cells at the edge. A row meets the seeds of its 3 x 3 cells by an equi-join; where
     the best of them is not strictly nearer than the edge of what was searched, the ring
-    is doubled, and the row meets the cells that are new and keeps the best so far.
+    is doubled, and the row meets the cells that are new and keeps the best so far. Of
+    those it meets the seeds of cells only that can hold a better one than some other
+    cell, or the best so far, is certain to: many seeds far off are not all compared.
     """
     seeds = seeds.groupBy(F.col("image_id").alias("__im"), F.col("x").alias("__px"), F.col("y").alias("__py"), F.col("w").alias("__w")).agg(F.min("idx").alias("idx"))  # of equal points the first can win only
     cell = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v / side))).cast("int")
     seeds = scratch(seeds.withColumn("__cell", cell(F.col("__py"), high) * wide + cell(F.col("__px"), wide)), "seeds")
+    bottom, top = [F.min(c).alias(f"{c}0") for c in ("__px", "__py", "__w")], [F.max(c).alias(f"{c}1") for c in ("__px", "__py", "__w")]
+    boxes = seeds.groupBy(F.col("__im").alias("__bim"), F.col("__cell").alias("__bcell")).agg(*bottom, *top)
     columns = rows.columns
     d2 = (F.col("__x") - F.col("__px")) * (F.col("__x") - F.col("__px")) + (F.col("__y") - F.col("__py")) * (F.col("__y") - F.col("__py"))
     offer = F.struct((d2 - F.col("__w")).alias("score"), F.col("idx").alias("owner"), d2.alias("d2"))
@@ -77,7 +83,9 @@ def _by_rings(rows: DataFrame, key: str, at_x: Column, at_y: Column, seeds: Data
         xs = F.sequence(F.greatest(F.lit(0), F.col("__cx") - ring), F.least(F.lit(wide - 1), F.col("__cx") + ring))
         new = lambda y: xs if before < 0 else F.filter(xs, lambda x: F.greatest(F.abs(x - F.col("__cx")), F.abs(y - F.col("__cy"))) > before)  # noqa: B023, E731
         cells = F.flatten(F.transform(ys, lambda y: F.transform(new(y), lambda x: y * wide + x)))
-        keys = left.select("image_id", key, "__x", "__y", F.explode(cells).alias("__key"))
+        keys = left.select("image_id", key, "__x", "__y", F.col("__best.score").alias("__score"), F.explode(cells).alias("__key"))
+        if ring > 1:
+            keys = _promising(keys, key, boxes)
         met = keys.join(seeds.withColumnRenamed("idx", "__idx"), (F.col("image_id") == F.col("__im")) & (F.col("__key") == F.col("__cell"))).withColumnRenamed(key, "__id").withColumnRenamed("__idx", "idx")
         best = met.groupBy("image_id", F.col("__id").alias(key)).agg(F.min(offer).alias("__now"))
         found = left.join(best, ["image_id", key], "left").withColumn("__best", F.least("__best", "__now")).drop("__now")
@@ -99,6 +107,17 @@ def _by_rings(rows: DataFrame, key: str, at_x: Column, at_y: Column, seeds: Data
         before, ring = ring, ring * 2
 
 
+def _promising(keys: DataFrame, key: str, boxes: DataFrame) -> DataFrame:
+    """Of ``keys`` those whose cell has seeds of which one can be nearest, by the boxes around the seeds of each cell."""
+    near = keys.join(boxes, (F.col("image_id") == F.col("__bim")) & (F.col("__key") == F.col("__bcell")))
+    least = lambda v, a, b: F.greatest(F.lit(0.0), F.col(a) - F.col(v), F.col(v) - F.col(b))
+    most = lambda v, a, b: F.greatest(F.col(v) - F.col(a), F.col(b) - F.col(v))
+    square = lambda f: f("__x", "__px0", "__px1") * f("__x", "__px0", "__px1") + f("__y", "__py0", "__py1") * f("__y", "__py0", "__py1")
+    bound = F.least("__score", F.min(square(most) - F.col("__w0")).over(W.partitionBy("image_id", key)))
+    near = near.withColumn("__bound", bound)
+    return near.where(square(least) - F.col("__w1") <= F.col("__bound") + F.abs("__bound") * SLACK + SLACK).select(*keys.columns)
+
+
 def adjacency(owned: DataFrame) -> DataFrame:
     """Distinct (image_id, src, dst) of cells that share a pixel edge, both ways."""
     row = W.partitionBy("image_id", "y").orderBy("x")
