@@ -94,16 +94,18 @@ def hilbert_seeds(density: np.ndarray, width: int, height: int, n: int) -> np.nd
     return np.clip(out, 0, 1)
 
 
-def owners(xy: np.ndarray, width: int, height: int, step: int = 2048) -> np.ndarray:
-    """The nearest point of each pixel centre, ties to the lower row; in blocks of pixels."""
+def owners(xy: np.ndarray, width: int, height: int, tile: int = 16) -> np.ndarray:
+    """The nearest point of each pixel centre, ties to the lower row. A tile compares the points only that are near enough to its centre to be nearest anywhere in it."""
     seeds = np.minimum(np.maximum(xy * [width, height], 0), [width - 1e-3, height - 1e-3])
-    p = np.arange(width * height)
-    out = np.empty(len(p), np.int64)
-    for a in range(0, len(p), step):
-        part = p[a : a + step]
-        d = (part[:, None] % width + 0.5 - seeds[None, :, 0]) ** 2 + (part[:, None] // width + 0.5 - seeds[None, :, 1]) ** 2
-        out[a : a + step] = d.argmin(axis=1)
-    return out
+    out = np.empty((height, width), np.int64)
+    for y0 in range(0, height, tile):
+        for x0 in range(0, width, tile):
+            y, x = np.arange(y0, min(y0 + tile, height)) + 0.5, np.arange(x0, min(x0 + tile, width)) + 0.5
+            from_centre = np.hypot(seeds[:, 0] - x.mean(), seeds[:, 1] - y.mean())
+            near = np.flatnonzero(from_centre <= from_centre.min() + np.hypot(np.ptp(x), np.ptp(y)) + 1e-9)
+            d = (x[None, :, None] - seeds[near, 0]) ** 2 + (y[:, None, None] - seeds[near, 1]) ** 2
+            out[y0 : y0 + tile, x0 : x0 + tile] = near[d.argmin(axis=2)]
+    return out.ravel()
 
 
 def lloyd(xy: np.ndarray, density: np.ndarray, width: int, height: int, steps: int) -> np.ndarray:

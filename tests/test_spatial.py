@@ -53,6 +53,28 @@ def test_nearest_is_exact(spark, n, spread):
         assert got[p][0] == int(np.argmin(d)) and got[p][1] == pytest.approx(d.min())
 
 
+def test_survivors_are_nearest_ties_to_the_least(spark):
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.random((40, 2)) / 16, np.full((3, 2), 0.75), [[1.0, 1.0], [0.0, 1.0]]]).tolist()
+    alive = [i % 3 > 0 for i in range(len(xy))]
+    table = spark.createDataFrame([(0, i, x, y, a) for i, ((x, y), a) in enumerate(zip(xy, alive))], "image_id long, idx int, x double, y double, alive boolean")
+    got = {r["idx"]: r["target"] for r in N.nearest_alive(table.where("not alive"), table).collect()}
+    dist = lambda i, j: (xy[i][0] - xy[j][0]) ** 2 + (xy[i][1] - xy[j][1]) ** 2
+    assert got == {i: min((j for j in range(len(xy)) if alive[j]), key=lambda j: (dist(i, j), j)) for i in range(len(xy)) if not alive[i]}
+    assert N.nearest_alive(table.where("not alive"), table.withColumn("alive", F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("n, shape", [(1, (16, 16)), (300, (37, 50)), (40, (16, 16))])
+def test_owners_of_a_frame_are_exact(n, shape):
+    height, width = shape
+    xy = np.random.default_rng(n).random((n, 2)) ** 2
+    xy[-1] = xy[0]
+    seeds = np.minimum(xy * [width, height], [width - 1e-3, height - 1e-3])
+    p = np.arange(width * height)
+    d = (p[:, None] % width + 0.5 - seeds[:, 0]) ** 2 + (p[:, None] // width + 0.5 - seeds[:, 1]) ** 2
+    assert (T.owners(xy, width, height) == d.argmin(axis=1)).all()
+
+
 def test_nearest_without_points(spark):
     got = N.assign_nearest(image(spark, np.ones((4, 4))), points(spark, []), 4, 4, 1).select("owner").distinct().collect()
     assert [g["owner"] for g in got] == [-1]
