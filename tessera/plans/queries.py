@@ -268,6 +268,12 @@ def nearest_owner(spark: SparkSession, d: str) -> DataFrame:
     return _owned(spark, d).select("pix", "owner", *r6(d2=F.col("d2")))
 
 
+@query(f"WITH s AS ({X.SHAPE_SQL}), q AS (SELECT g::INTEGER AS pix, g % 128 + 0.5::DOUBLE AS x, g // 128 + 0.5::DOUBLE AS y FROM range(16384) t(g)) SELECT pix, arg_min(idx, ((q.x - s.x * 128) * (q.x - s.x * 128) + (q.y - s.y * 128) * (q.y - s.y * 128), idx)) AS owner FROM q, s GROUP BY pix")
+def nearest_owner_128(spark: SparkSession, d: str) -> DataFrame:
+    """J1 at a published shape: 128 x 128 pixels and 5,695 points."""
+    return N.assign_nearest(X.empty_grid(spark, 128, 128), X.shape_points(spark), 128, 128, X.SHAPE_POINTS).select("pix", "owner")
+
+
 @query(f"WITH {X.PIXELS}, {X.POINTS}, s AS (SELECT pix, idx, (p.x - least(31.999::DOUBLE, q.x * 32.0)) * (p.x - least(31.999::DOUBLE, q.x * 32.0)) + (p.y - least(31.999::DOUBLE, q.y * 32.0)) * (p.y - least(31.999::DOUBLE, q.y * 32.0)) AS d FROM pixels p, points q) SELECT pix, arg_min(idx, (d, idx)) AS owner FROM s GROUP BY pix")
 def viewer_owner(spark: SparkSession, d: str) -> DataFrame:
     """J1'': pixels sampled at whole coordinates."""
