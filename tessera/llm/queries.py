@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, jaccard_join, lm_score, mixing, pii, repeated_bytes, sharding, toxicity, url_filter
-from tessera.llm.common import materialize, positions, read
+from tessera.llm import covering_simhash, decontaminate, exact_dedup, jaccard_join, lm_score, mixing, periodic_runs, pii, repeated_bytes, sharding, toxicity, url_filter, whitening
+from tessera.llm.common import SPACES, doc_crc, materialize, positions, read
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,43 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the rows, by crc32 of the doc_id, the words from a place on repeat with a period. Rows without a doc_id stay as they are."""
+    chosen = F.col("doc_id").isNotNull() & (doc_crc(F.col("doc_id")) % 10 == 0)
+    words = docs.select("doc_id", "text", F.when(chosen, F.filter(F.split("text", SPACES), lambda w: w != "")).alias("w"))
+    sized = words.withColumns({"n": F.size("w"), "g": F.floor(doc_crc(F.col("doc_id")) / 10)})
+    placed = sized.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    period = placed.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    repeats = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), repeats))
+    changed = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), F.lit(1), F.col("n")), " ")
+    return period.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted_periods(read(spark, sf_dir, "documents")))
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("a"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    best = found.withColumns({"best": F.when(F.size("runs") > 0, longest), "lines": lines})
+    length = -F.col("best.a")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+        F.floor(length * 1000 / F.col("best.period")).alias("exponent_milli"), F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = covering_simhash.simhash_components(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_sharding, op3_mixing, op4_jaccard_join, op5_decontamination, op6_repeated_bytes, op7_exact_dedup, op8_pii, op9_toxicity, op10_lm_score]
+    found = [op1_url_filters, op2_sharding, op3_mixing, op4_jaccard_join, op5_decontamination, op6_repeated_bytes, op7_exact_dedup, op8_pii, op9_toxicity, op10_lm_score, op11_periodic_runs, op12_whitening, op13_simhash_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -225,5 +260,37 @@ FROM documents d LEFT JOIN held h ON h.doc_id = d.doc_id
 """
 
 
+#: The runs are the islands, among all pairs of equal words a lag apart, that are long enough.
+_PERIODIC_RUNS = r"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, r: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i))
+), words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) AS h
+  FROM documents, crc_table
+), sized AS (SELECT doc_id, w, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS chosen FROM words
+), placed AS (SELECT *, CASE WHEN chosen THEN g % n END AS a FROM sized
+), period AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed
+), texts AS (
+  SELECT doc_id, n, CASE WHEN chosen THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM period
+), tokens AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS x FROM texts
+), pairs AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND b.i - a.i <= a.n // 4
+), lags AS (SELECT doc_id, q FROM pairs GROUP BY doc_id, q HAVING count(*) >= greatest(6 - q, 3 * q)
+), numbered AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pairs SEMI JOIN lags USING (doc_id, q)
+), islands AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM numbered GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (SELECT doc_id, s, len, min(q) AS q FROM islands GROUP BY doc_id, s, len
+), dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs
+), kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM tokens ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+), held AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', len, ',', q, chr(10)), '' ORDER BY s, q) AS lines,
+         list({'s': s, 'len': len, 'q': q} ORDER BY len DESC, s, q)[1] AS best
+  FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.len::BIGINT AS length, best.q::BIGINT AS period,
+       (1000 * best.len // best.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN held USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_pii": _PII, "op2_sharding": _SHARDING, "op4_jaccard_join": _JACCARD, "op6_repeated_bytes": _REPEATS, "op5_decontamination": _DECONTAMINATION, "op1_url_filters": _URL_PARTS, "op7_exact_dedup": _EXACT_DEDUP}
+    return {"op11_periodic_runs": _PERIODIC_RUNS, "op8_pii": _PII, "op2_sharding": _SHARDING, "op4_jaccard_join": _JACCARD, "op6_repeated_bytes": _REPEATS, "op5_decontamination": _DECONTAMINATION, "op1_url_filters": _URL_PARTS, "op7_exact_dedup": _EXACT_DEDUP}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontaminate, exact_dedup, jaccard_join, lm_score, mixing, pii, repeated_bytes, sharding, toxicity, url_filter
+from tessera.llm import covering_simhash, decontaminate, exact_dedup, jaccard_join, lm_score, mixing, periodic_runs, pii, queries, repeated_bytes, sharding, toxicity, url_filter, whitening
 
 from .conftest import DOCS, ODD
 
@@ -94,6 +94,44 @@ def test_mixing(odd, nothing):
     assert sorted(r[0] for r in mixing.mix_sources(odd, block=2, max_sources=2).select("mix_position").collect()) == list(range(len(ODD)))
 
 
+def test_periodic_runs(odd, nothing):
+    got = periodic_runs.find_runs(odd).collect()
+    assert len(got) == len(ODD)
+    by = {r["doc_id"]: r for r in got if r["doc_id"]}
+    assert [tuple(r) for r in by[6]["runs"]] == [(0, 60_000, 1)] and by[6]["collapsed"] == "lorem"
+    assert all(by[i]["n_words"] == 0 and by[i]["runs"] == [] and by[i]["collapsed"] == "" for i in (3, 4, 5))
+    assert by[8]["n_words"] == 7 and by[8]["collapsed"] == " ".join(ODD[10][1].split(" "))
+    assert periodic_runs.find_runs(nothing).count() == 0 and periodic_runs.collapse(nothing).count() == 0
+    cut = periodic_runs.collapse(odd)
+    assert cut.columns == odd.columns and {r["text"] for r in cut.where("doc_id in (3, 5, 6)").collect()} == {None, " \t\n ", "lorem"}
+    assert queries.planted_periods(odd).count() == len(ODD) and queries.planted_periods(nothing).count() == 0
+
+
+def test_simhash(odd, nothing):
+    got = covering_simhash.simhash_components(odd).collect()
+    assert len(got) == len(ODD)
+    by = {r["doc_id"]: r for r in got if r["doc_id"]}
+    assert by[1]["component_id"] == by[2]["component_id"] == 1
+    assert {(r["fp"], r["component_id"]) for r in got if r["doc_id"] in (3, 4, 5)} == {(0, 3)}  # so is the row without anything
+    assert sorted(r["component_id"] or 0 for r in got if r["doc_id"] is None) == [0, 3]
+    assert by[6]["component_id"] == 6 and covering_simhash.simhash_components(nothing).count() == 0
+
+
+def test_whitening(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, -1.0]), (None, [0.5, 0.25]), (3, None), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, []), (8, [1.0]), (9, [1e300, -1e300])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("theirs") for c in ("component", "n", "__y", "whitened")})
+    got = whitening.whiten(table).collect()
+    assert sorted(str(r["vec_id"]) for r in got if r["component"] == 1) == ["1", "1", "2", "9", "None"]
+    assert {r["n"] for r in got} == {4} and {r["component"] for r in got} == {1, 2}
+    assert {r["deviation"] for r in got if r["vec_id"] == 9} == {None}  # beyond 64 bits
+    assert whitening.whiten(table.limit(0)).count() == 0 and whitening.whiten(table.where("vec_id in (3, 4, 7)")).count() == 0
+    one = whitening.whiten(table.where("vec_id = 1")).collect()  # no variance at all
+    assert len(one) == 4 and {(r["n"], r["deviation"], r["whitened"], r["explained"], r["identity_error"]) for r in one} == {(1, 0, 0.0, 0.0, 0.0)}
+    # Of two dimensions the one of more distinct vectors counts.
+    assert {r["vec_id"] for r in whitening.whiten(table.where("vec_id in (1, 2, 8)")).collect()} == {1, 2}
+
+
 def test_urls(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://"), (None, "https://A.Example.NET/en/x?y"), (5, "http://x.org/fr/" + "a" * 50_000), (5, "x://net"), (5, "x://net/#/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1))
