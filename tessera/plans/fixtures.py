@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import grid as G
+from tessera.session import ship
 
 WIDTH = HEIGHT = 32
 SHAPE_POINTS = 5695
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
