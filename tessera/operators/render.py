@@ -13,8 +13,10 @@ from tessera.operators.grid import pixel_of
 from tessera.operators.nearest import scratch
 
 CHANNELS = ("r", "g", "b")
-#: Parts into which the footprints of a tile are dealt.
-PARTS = 8
+#: Least number of parts into which the footprints of a tile are dealt, and how many a part may hold.
+PARTS, FULL = 8, 50_000
+#: Footprints of more tiles are met from the pixels' side, the pixels of a square being dealt into SHARES.
+LARGE, SHARES = 32, 16
 #: A covariance whose determinant is less than this share of its diagonal's product has no extent to rely on.
 SOUND, INFINITE = 1e-9, float("inf")
 
@@ -44,6 +46,11 @@ def project(splats: DataFrame, width: int, height: int) -> DataFrame:
     return out.drop("__s1", "__s2", "__t")
 
 
+def footprint_tiles() -> Column:
+    """How many tiles a footprint touches."""
+    return F.greatest(F.lit(0), F.col("tx1") - F.col("tx0")) * F.greatest(F.lit(0), F.col("ty1") - F.col("ty0"))
+
+
 def tile_pairs(projected: DataFrame, width: int) -> DataFrame:
     """A row for each tile that a footprint touches."""
     tiles = -(-width // S.TILE)
@@ -60,23 +67,61 @@ def reach_in_tile(axis: str, size: int) -> tuple[Column, Column]:
     return F.greatest(first, F.ceil(F.col(f"c{axis}") - reach)).cast("int"), F.least(last, F.floor(F.col(f"c{axis}") + reach)).cast("int")
 
 
+def _small_sums(footprints: DataFrame, width: int, height: int, parts: int) -> DataFrame:
+    """What footprints of few tiles give each pixel: dealt by tile and part of a tile, and there spread over the pixels they reach."""
+    (x0, x1), (y0, y1) = reach_in_tile("x", width), reach_in_tile("y", height)
+    pairs = tile_pairs(footprints, width).withColumns({"__x0": x0, "__x1": x1, "__y0": y0, "__y1": y1, "__part": F.pmod("idx", F.lit(parts))}).where("__x1 >= __x0 and __y1 >= __y0")
+    held = pairs.select("image_id", "tile", "__part", "cx", "cy", "q_xx", "q_xy", "q_yy", "__x0", "__x1", "__y0", "__y1", *[f"__{c}" for c in CHANNELS]).repartition("image_id", "tile", "__part")
+    return held.withColumn("__y", F.explode(F.sequence("__y0", "__y1"))).withColumn("__x", F.explode(F.sequence("__x0", "__x1"))).withColumn("pix", (F.col("__y") * width + F.col("__x")).cast("int"))
+
+
+def _large_sums(footprints: DataFrame, grid: DataFrame, width: int, parts: int) -> DataFrame:
+    """What footprints of many tiles give each pixel, from the pixels' side.
+
+    A footprint lies in at most 2 x 2 of the squares of 2^level tiles that are as
+    wide as it is; it is copied once for each of these and for each share into which
+    the squares' pixels are dealt, whatever its size. Pixels meet it by level, square and share.
+    """
+    across = F.greatest(F.col("tx1") - F.col("tx0"), F.col("ty1") - F.col("ty0"))
+    held = footprints.where("q_xx is not null").withColumn("__level", F.ceil(F.log2(across.cast("double"))).cast("int"))
+    square = lambda c: F.expr(f"shiftright({c}, __level)")
+    held = held.withColumn("__sy", F.explode(F.sequence(square("ty0"), square("ty1 - 1")))).withColumn("__sx", F.explode(F.sequence(square("tx0"), square("tx1 - 1"))))
+    held = held.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).withColumn("__part", F.pmod("idx", F.lit(parts)))
+    names = ["cx", "cy", "q_xx", "q_xy", "q_yy", "tx0", "tx1", "ty0", "ty1", *[f"__{c}" for c in CHANNELS]]
+    held = held.select(F.col("image_id").alias("__im"), "__level", "__sx", "__sy", "__share", "__part", *names)
+    keys = held.select("__im", F.col("__level").alias("__lv"), F.col("__part").alias("__pt")).distinct()  # few a picture
+    tx, ty = F.expr(f"x div {S.TILE}").cast("int"), F.expr(f"y div {S.TILE}").cast("int")
+    rows = grid.select("image_id", "pix", F.col("x").alias("__x"), F.col("y").alias("__y"), tx.alias("__tx"), ty.alias("__ty")).join(keys, F.col("image_id") == F.col("__im")).drop("__im")
+    share = F.pmod(F.xxhash64("pix"), F.lit(SHARES)).cast("int")
+    rows = rows.withColumns({"__px": F.expr("shiftright(__tx, __lv)"), "__py": F.expr("shiftright(__ty, __lv)"), "__ps": share})
+    on = (F.col("image_id") == F.col("__im")) & (F.col("__lv") == F.col("__level")) & (F.col("__pt") == F.col("__part")) & (F.col("__px") == F.col("__sx")) & (F.col("__py") == F.col("__sy")) & (F.col("__ps") == F.col("__share"))
+    inside = (F.col("__tx") >= F.col("tx0")) & (F.col("__tx") < F.col("tx1")) & (F.col("__ty") >= F.col("ty0")) & (F.col("__ty") < F.col("ty1"))
+    return rows.join(held, on & inside).select("image_id", "pix", "__x", "__y", *names)
+
+
 def render(splats: DataFrame, grid: DataFrame, width: int, height: int) -> DataFrame:
     """``grid`` (image_id, pix, x, y) with r, g, b: at each pixel the sum of colour times weight times alpha, held in [0, 1].
 
-    Footprints are dealt by tile and, as a tile can hold any number of them, by a part
-    of it; there each meets the pixels that it reaches, and the sums of a part are one
-    row a pixel. Pixels are sampled at whole coordinates. ``splats`` needs r, g, b and
-    weight besides the shape; the weight is applied here and only here.
+    Footprints of up to LARGE tiles are dealt by tile and spread over the pixels that
+    they reach; larger ones are met by the pixels. As a tile can hold any number of
+    footprints, they are dealt into PARTS, or as many parts as leave FULL of them in
+    each; the sums of a part are one row a pixel. Pixels are sampled at whole
+    coordinates. ``splats`` needs r, g, b and weight besides the shape; the weight is
+    applied here and only here.
     """
-    colour = {c: S.clamp(F.col(c) * F.col("weight"), 0.0, 1.0) for c in CHANNELS}
+    colour = {f"__{c}": S.clamp(F.col(c) * F.col("weight"), 0.0, 1.0) for c in CHANNELS}
     # written, as filters on footprints would else be expanded down to the log-covariances, beyond what can be compiled
-    footprints = scratch(project(splats, width, height), "footprints")
-    (x0, x1), (y0, y1) = reach_in_tile("x", width), reach_in_tile("y", height)
-    pairs = tile_pairs(footprints, width).withColumns({"__x0": x0, "__x1": x1, "__y0": y0, "__y1": y1, "__part": F.pmod("idx", F.lit(PARTS))}).where("__x1 >= __x0 and __y1 >= __y0")
-    held = pairs.select("image_id", "tile", "__part", "cx", "cy", "q_xx", "q_xy", "q_yy", "__x0", "__x1", "__y0", "__y1", *[v.alias(f"__{c}") for c, v in colour.items()]).repartition("image_id", "tile", "__part")
-    met = held.withColumn("__y", F.explode(F.sequence("__y0", "__y1"))).withColumn("__x", F.explode(F.sequence("__x0", "__x1")))
+    footprints = scratch(project(splats, width, height).withColumns(colour), "footprints")
+    large = footprint_tiles() > LARGE
+    seen = footprints.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(large, 1)).alias("large")).first()
+    parts = max(PARTS, -(-seen["n"] // FULL))
+    met = _small_sums(footprints.where(~large), width, height, parts)
+    names = ["image_id", "pix", "cx", "cy", "q_xx", "q_xy", "q_yy", "__x", "__y", *[f"__{c}" for c in CHANNELS]]
+    met = met.select(*names)
+    if seen["large"]:
+        met = met.unionByName(_large_sums(footprints.where(large), grid, width, max(1, -(-seen["large"] // FULL))).select(*names))
     a = S.alpha(F.col("cx") - F.col("__x"), F.col("cy") - F.col("__y"), F.col("q_xx"), F.col("q_xy"), F.col("q_yy"))
-    met = met.select("image_id", (F.col("__y") * width + F.col("__x")).cast("int").alias("pix"), a.alias("__a"), *[f"__{c}" for c in CHANNELS]).where("__a > 0")
+    met = met.select("image_id", "pix", a.alias("__a"), *[f"__{c}" for c in CHANNELS]).where("__a > 0")
     sums = met.groupBy("image_id", "pix").agg(*[F.sum(F.col("__a") * F.col(f"__{c}")).alias(c) for c in CHANNELS])
     out = grid.select("image_id", "pix", "x", "y").join(sums, ["image_id", "pix"], "left").fillna(0.0, list(CHANNELS))
     return out.withColumns({c: S.clamp(F.col(c), 0.0, 1.0) for c in CHANNELS})

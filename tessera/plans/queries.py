@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import hashing as H
 from tessera.functions import scalars as S
 from tessera.operators import aggregates as A
+from tessera.operators import flooding as J
 from tessera.operators import grid as G
 from tessera.operators import merge as M
 from tessera.operators import nearest as N
@@ -288,6 +289,36 @@ def power_owner(spark: SparkSession, d: str) -> DataFrame:
     return N.assign_nearest(X.pixels(spark, d), points, *SIZE, points.count(), penalty="w", most_penalty=1.0).select("pix", "owner")
 
 
+def _flood_sql(side: int = 32) -> str:
+    """The rounds of jump flooding, one after the other, and the recovery; over seeds (idx, px, py)."""
+    near = lambda s, p: f"(({p}.x + 0.5::DOUBLE - {s}.px) * ({p}.x + 0.5::DOUBLE - {s}.px) + ({p}.y + 0.5::DOUBLE - {s}.py) * ({p}.y + 0.5::DOUBLE - {s}.py))"
+    out = f", snapped AS (SELECT *, floor(px)::INTEGER AS x, floor(py)::INTEGER AS y FROM seeds), f0 AS (SELECT x, y, arg_min(idx, ({near('s', 's')}, idx)) AS idx FROM snapped s GROUP BY x, y)"
+    for k, step in enumerate(J.schedule(side, side)):
+        out += f", o{k} AS (SELECT f.x + a * {step} AS x, f.y + b * {step} AS y, s.idx, s.px, s.py FROM f{k} f JOIN seeds s USING (idx), (VALUES (-1), (0), (1)) u(a), (VALUES (-1), (0), (1)) v(b)), f{k + 1} AS (SELECT x, y, arg_min(idx, ({near('o', 'o')}, idx)) AS idx FROM o{k} o WHERE x BETWEEN 0 AND {side - 1} AND y BETWEEN 0 AND {side - 1} GROUP BY x, y)"
+    out += f", flooded AS (SELECT p.pix, p.x, p.y, f.idx AS owner, {near('s', 'p')} AS d2 FROM pixels p LEFT JOIN f{k + 1} f ON f.x = p.x AND f.y = p.y LEFT JOIN seeds s ON s.idx = f.idx)"
+    out += ", lost AS (SELECT * FROM seeds WHERE idx NOT IN (SELECT owner FROM flooded WHERE owner IS NOT NULL) OR EXISTS (SELECT 1 FROM flooded WHERE owner IS NULL))"
+    return out + f", recovered AS (SELECT p.pix, p.owner AS first, p.d2 AS d1, arg_min(l.idx, ({near('l', 'p')}, l.idx)) AS other, min({near('l', 'p')}) AS d3 FROM flooded p LEFT JOIN lost l ON true GROUP BY p.pix, p.owner, p.d2), jumped AS (SELECT pix, first, CASE WHEN d3 IS NOT NULL AND (d1 IS NULL OR d3 < d1) THEN other ELSE first END AS owner, CASE WHEN d3 IS NOT NULL AND (d1 IS NULL OR d3 < d1) THEN d3 ELSE d1 END AS d2 FROM recovered)"
+
+
+@query(_CELLS + _flood_sql() + " SELECT pix, first, owner, round(d2, 6) + 0.0 AS d2 FROM jumped")
+def jump_flooding(spark: SparkSession, d: str) -> DataFrame:
+    """J1': the owners after the rounds and after the recovery."""
+    points, pixels = X.points(spark, d), X.pixels(spark, d)
+    flooded = N.scratch(J.flood(points, *SIZE), "flooded")
+    found = J.recover(flooded, pixels, points, *SIZE, points.count())
+    return found.join(flooded.select("image_id", "pix", F.col("owner").alias("first")), ["image_id", "pix"], "left").select("pix", "first", "owner", *r6(d2=F.col("d2")))
+
+
+@query(_CELLS + _flood_sql() + " SELECT count(*) AS n_pixels, count(*) FILTER (j.d2 > o.d2 + 1e-9) AS farther, count(*) FILTER (j.d2 < o.d2 - 1e-9) AS nearer, count(DISTINCT j.owner) - count(DISTINCT j.first) AS recovered FROM jumped j JOIN owned o USING (pix)")
+def jump_flooding_error(spark: SparkSession, d: str) -> DataFrame:
+    """J1' against J1: pixels with a farther point than the nearest, and points that the recovery put back."""
+    exact = _owned(spark, d).select("pix", F.col("d2").alias("least"))
+    points, pixels = X.points(spark, d), X.pixels(spark, d)
+    flooded = N.scratch(J.flood(points, *SIZE), "flooded")
+    both = J.recover(flooded, pixels, points, *SIZE, points.count()).join(exact, "pix").join(flooded.select("pix", F.col("owner").alias("first")), "pix", "left")
+    return both.agg(F.count(F.lit(1)).alias("n_pixels"), F.count(F.when(F.col("d2") > F.col("least") + 1e-9, 1)).alias("farther"), F.count(F.when(F.col("d2") < F.col("least") - 1e-9, 1)).alias("nearer"), (F.countDistinct("owner") - F.countDistinct("first")).alias("recovered"))
+
+
 @query(_CELLS + ", c AS (SELECT owner, sum(density) AS m, sum(density * (x + 0.5)) AS mx, sum(density * (y + 0.5)) AS my FROM owned GROUP BY owner) SELECT idx, " + _r(x="CASE WHEN m > 1e-8 THEN greatest(0.0, least(1.0, mx / m / 32)) ELSE x END", y="CASE WHEN m > 1e-8 THEN greatest(0.0, least(1.0, my / m / 32)) ELSE y END") + " FROM points LEFT JOIN c ON owner = idx")
 def lloyd_step(spark: SparkSession, d: str) -> DataFrame:
     """A7, M5."""
@@ -420,6 +451,19 @@ def splat_render(spark: SparkSession, d: str) -> DataFrame:
     return _shown(spark, d).select("pix", *r6(**{c: F.col(c) for c in "rgb"}))
 
 
+#: A splat for each part; every fiftieth covers most of a picture of 128 x 128.
+_LARGE = "CASE WHEN p_partkey % 50 = 0 THEN 6.5::DOUBLE ELSE 0.0 END"
+_LARGE_RENDER = _RENDER.replace("(p_partkey % 7) * 0.25::DOUBLE - 0.5::DOUBLE", f"(p_partkey % 7) * 0.25::DOUBLE - 0.5::DOUBLE + {_LARGE}").replace("(p_partkey % 11) * 0.125::DOUBLE - 0.5::DOUBLE", f"(p_partkey % 11) * 0.125::DOUBLE - 0.5::DOUBLE + {_LARGE}").replace("x * 32 AS cx, y * 32 AS cy", "x * 128 AS cx, y * 128 AS cy").replace("least(2, greatest", "least(8, greatest").replace(f", {X.PIXELS}", ", pixels AS (SELECT g::INTEGER AS pix, (g % 128)::INTEGER AS x, (g // 128)::INTEGER AS y FROM range(16384) t(g))")
+
+
+@query(_LARGE_RENDER + "SELECT pix, " + _r("r", "g", "b") + " FROM shown")
+def large_splat_render(spark: SparkSession, d: str) -> DataFrame:
+    """Footprints over 32 tiles come from the pixels' side."""
+    more = F.when(F.col("idx") % 50 == 0, 6.5).otherwise(0.0)
+    splats = X.splats(spark, d).withColumns({"lc_xx": F.col("lc_xx") + more, "lc_yy": F.col("lc_yy") + more})
+    return R.render(splats, X.empty_grid(spark, 128, 128), 128, 128).select("pix", *r6(**{c: F.col(c) for c in "rgb"}))
+
+
 @query(_RENDER + "SELECT CASE WHEN part = 0 THEN 'all' ELSE 'crop' END AS area, round(sum(e), 4) AS squared_error, round(-10 * log10(greatest(sum(e) / (count(*) * 3), 1e-10)), 4) AS psnr FROM (SELECT pix, (r - pix % 8 / 8.0::DOUBLE) ** 2 + (g - pix % 16 / 16.0::DOUBLE) ** 2 + (b - pix % 32 / 32.0::DOUBLE) ** 2 AS e FROM shown), range(2) t(part) WHERE part = 0 OR (pix % 32 < 20 AND pix // 32 < 12) GROUP BY part")
 def image_scores(spark: SparkSession, d: str) -> DataFrame:
     """A11, A12, F18."""
