@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.operators.select import at_ranks, quantiles
 
 EMPTY = 1e-8
 
@@ -100,16 +100,24 @@ def image_error(a: DataFrame, b: DataFrame, channels: tuple[str, ...] = ("r", "g
     return out.withColumn("mse", F.col("squared_error") / (F.col("n") * len(channels))).withColumn("psnr", S.psnr(F.col("mse")))
 
 
+def _with(aggregates: DataFrame, more: DataFrame, groups: list[str]) -> DataFrame:
+    """The columns of both, by group; null groups are groups."""
+    named = more.select(*[F.col(g).alias(f"__{g}") for g in groups], *[c for c in more.columns if c not in groups])
+    on = F.lit(True)
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return aggregates.join(named, on, "left").drop(*[f"__{g}" for g in groups])
+
+
 def quantile_envelope(df: DataFrame, value: str, groups: list[str], limit: float = 0.5) -> DataFrame:
-    """Median, high percentiles, maximum and the share over ``limit``; exact."""
-    at = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(*groups).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max(value).alias("top"), F.avg((F.col(value) > limit).cast("double")).alias("share_over"))
+    """Median, high percentiles, maximum and the share over ``limit``; exact, by radix selection."""
+    sums = df.groupBy(*groups).agg(F.max(value).alias("top"), F.avg((F.col(value) > limit).cast("double")).alias("share_over"))
+    return _with(sums, quantiles(df, groups, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), groups)
 
 
 def latency_stats(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
-    """Mean, extremes, population deviation, median, deciles and the 99th percentile by rank (rounded up)."""
-    rank = W.partitionBy(*groups).orderBy(value)
-    ranked = df.withColumns({"__rank": F.row_number().over(rank), "__n": F.count(F.lit(1)).over(W.partitionBy(*groups))})
-    high = F.max(F.when(F.col("__rank") == F.ceil(F.col("__n") * 0.99), F.col(value)))
-    at = lambda p: F.percentile(value, F.lit(p))
-    return ranked.groupBy(*groups).agg(F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("top"), F.stddev_pop(value).alias("deviation"), at(0.5).alias("median"), at(0.1).alias("p10"), at(0.9).alias("p90"), high.alias("p99"))
+    """Mean, extremes, population deviation, median, deciles and the 99th percentile by rank (rounded up); exact, by radix selection."""
+    sums = df.groupBy(*groups).agg(F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("top"), F.stddev_pop(value).alias("deviation"))
+    ranks = df.groupBy(*groups).agg(F.ceil(F.count(value) * F.lit(0.99)).cast("long").alias("rank")).where("rank > 0")
+    high = at_ranks(df, groups, value, ranks).select(*groups, F.col("value").alias("p99"))
+    return _with(_with(sums, quantiles(df, groups, value, {"median": 0.5, "p10": 0.1, "p90": 0.9}), groups), high, groups)

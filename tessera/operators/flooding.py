@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.nearest import NUDGE, assign_nearest, scratch, without_pixels
+from tessera.operators.nearest import NUDGE, assign_nearest, without_pixels
+from tessera.session import scratch
 
 
 def schedule(width: int, height: int) -> list[int]:

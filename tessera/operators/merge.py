@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as A
 from tessera.operators import nearest as N
 from tessera.operators import sampling as P
+from tessera.operators.scan import running
+from tessera.operators.select import mark_least
+from tessera.session import scratch
 
 FRACTION, ROUNDS, OVERSAMPLE, NEIGHBOURS, POLISH = 1 / 3, 2, 1.5, 8, 3
+#: Points of an image, unless it is known how many: how deep running counts go.
+MOST = 1 << 20
 
 
 def merge_plan(n_now: int, n: int, rounds: int = ROUNDS, fraction: float = FRACTION, last_takes_all: bool = True) -> list[int]:
@@ -48,80 +50,62 @@ def removal(n_now: Column, n: Column, last: bool) -> Column:
     return (excess if last else F.least(excess, F.greatest(F.lit(1), F.floor(n_now * FRACTION + 1e-9)))).cast("long")
 
 
-def match_cells(idx: np.ndarray, mass: np.ndarray, table: np.ndarray, remove: int) -> np.ndarray:
-    """The row each row merges into, or -1. ``table`` holds rows of neighbours, -1 where there is none.
-
-    The ``remove`` lightest rows (ties to the least idx) propose to their
-    neighbours in turn; of the proposals to one row the lightest wins, and the
-    others try their next neighbour. A row that has merged takes no proposals.
-    """
-    n = len(idx)
-    rank = np.empty(n, np.int64)
-    rank[np.lexsort((idx, mass))] = np.arange(n)
-    target = np.full(n, -1)
-    free = rank < remove
-    for c in range(table.shape[1]):
-        to = table[:, c]
-        asks = np.flatnonzero(free & (target < 0) & (to >= 0))
-        asks = asks[target[to[asks]] < 0]
-        best = np.full(n, n)
-        np.minimum.at(best, to[asks], rank[asks])
-        wins = asks[best[to[asks]] == rank[asks]]
-        target[wins] = to[wins]
-    return target
-
-
 def match_round(cells: DataFrame, table: DataFrame, remove: DataFrame | int) -> DataFrame:
-    """(image_id, idx, target) of the cells that merge; one group an image, which has at most a million points. ``remove`` is a number, or a table (image_id, remove)."""
-    rows = table.groupBy("image_id", F.col("src").alias("idx")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "dst"))), lambda s: s["dst"]).alias("near"))
-    filled = F.concat(F.coalesce("near", F.array().cast("array<int>")), F.array_repeat(F.lit(-1), NEIGHBOURS))
-    joined = cells.select("image_id", "idx", "mass").join(rows, ["image_id", "idx"], "left").withColumn("near", F.slice(filled, 1, NEIGHBOURS))
-    joined = joined.withColumn("remove", F.lit(remove)) if isinstance(remove, int) else joined.join(remove, "image_id")
+    """(image_id, idx, target) of the cells that merge. ``remove`` is a number, or a table (image_id, remove).
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", ignore_index=True)
-        idx = pdf["idx"].to_numpy()
-        near = np.stack(pdf["near"].to_numpy()) if len(pdf) else np.zeros((0, NEIGHBOURS), int)
-        table = np.where(near >= 0, np.minimum(np.searchsorted(idx, near), len(idx) - 1), -1)
-        target = match_cells(idx, pdf["mass"].to_numpy(), table, int(pdf["remove"].iloc[0]))
-        won = target >= 0
-        return pd.DataFrame({"image_id": pdf["image_id"][won], "idx": idx[won], "target": idx[target[won]]})
-
-    return joined.groupBy("image_id").applyInPandas(match, "image_id long, idx int, target int")
-
-
-def merge_into(cells: DataFrame, merged: DataFrame) -> DataFrame:
+    The ``remove`` lightest cells of an image (ties to the least idx) propose to
+    their neighbours in ``table`` in turn, one rank a round; of the proposals to one cell the
+    lightest wins, and the others try their next neighbour. A cell that has merged
+    takes no more proposals.
+    """
+    need = cells.select("image_id").distinct().withColumn("need", F.lit(remove)) if isinstance(remove, int) else remove.select("image_id", F.col("remove").alias("need"))
+    free = mark_least(cells.select("image_id", "idx", "mass"), ["image_id"], "mass", "idx", need).where("taken")
+    asks = scratch(table.join(free.select("image_id", F.col("idx").alias("src"), "mass"), ["image_id", "src"]).select("image_id", "src", "dst", "rank", "mass"), "asks")
+    merged = None
+    for rank in range(NEIGHBOURS):
+        now = asks.where(F.col("rank") == rank)
+        if merged is not None:
+            for end in ("src", "dst"):
+                now = now.join(merged.select("image_id", F.col("idx").alias(end)), ["image_id", end], "left_anti")
+        won = now.groupBy("image_id", "dst").agg(F.min(F.struct("mass", "src")).alias("best"))
+        won = scratch(won.select("image_id", F.col("best.src").alias("idx"), F.col("dst").alias("target")), "won")
+        merged = won if merged is None else merged.unionByName(won)
+    return merged
+
+
+def merge_into(cells: DataFrame, merged: DataFrame, most: int = MOST) -> DataFrame:
     """Survivors at the mass-weighted mean of themselves and what merged into them, numbered anew in order."""
     root = cells.join(merged, ["image_id", "idx"], "left").withColumn("to", F.coalesce("target", "idx"))
     sums = root.groupBy("image_id", "to").agg(F.sum("mass").alias("m"), F.sum(F.col("mass") * F.col("x")).alias("mx"), F.sum(F.col("mass") * F.col("y")).alias("my"))
     alive = cells.join(merged.select("image_id", "idx"), ["image_id", "idx"], "left_anti").join(sums.withColumnRenamed("to", "idx"), ["image_id", "idx"])
     some = F.col("m") > A.EMPTY
     mean = lambda s, c: F.when(some, F.col(s) / F.when(some, F.col("m"))).otherwise(F.col(c))
-    return renumber(alive.select("image_id", "idx", mean("mx", "x").alias("x"), mean("my", "y").alias("y")))
+    return renumber(scratch(alive.select("image_id", "idx", mean("mx", "x").alias("x"), mean("my", "y").alias("y")), "alive"), most)
 
 
-def renumber(points: DataFrame) -> DataFrame:
-    order = W.partitionBy("image_id").orderBy("idx")
-    return points.withColumn("idx", (F.row_number().over(order) - 1).cast("int"))
+def renumber(points: DataFrame, most: int = MOST) -> DataFrame:
+    """``points`` with idx from 0 without gaps, in the old order."""
+    return running(points, ["image_id"], "idx", {"__i": (F.sum, F.lit(1))}, most).withColumn("idx", (F.col("__i") - 1).cast("int")).drop("__i")
 
 
-def drop_empty(cells: DataFrame, most: Column | int) -> DataFrame:
+def drop_empty(cells: DataFrame, most: Column | int, most_idx: int = MOST) -> DataFrame:
     """Without up to ``most`` cells of no mass, in order of idx; at least one cell of an image stays."""
     empty = F.col("mass") <= A.EMPTY
-    ranked = cells.withColumns({"__rank": F.row_number().over(W.partitionBy("image_id", empty).orderBy("idx")), "__n": F.count(F.lit(1)).over(W.partitionBy("image_id"))})
+    sizes = cells.groupBy("image_id").agg(F.count(F.lit(1)).alias("__n"))
+    placed = running(cells, ["image_id"], "idx", {"__rank": (F.sum, empty.cast("int"))}, most_idx).join(sizes, "image_id")
     most = F.lit(most) if isinstance(most, int) else most
-    return ranked.where(~(empty & (F.col("__rank") <= F.least(most, F.col("__n") - 1)))).drop("__rank", "__n")
+    return placed.where(~(empty & (F.col("__rank") <= F.least(most, F.col("__n") - 1)))).drop("__rank", "__n")
 
 
 def _cells(pixels: DataFrame, points: DataFrame, width: int, height: int, n: int) -> tuple[DataFrame, DataFrame]:
-    owned = N.scratch(N.assign_nearest(pixels, points, width, height, n), "owned")
+    owned = scratch(N.assign_nearest(pixels, points, width, height, n), "owned")
     return owned, A.cell_mass(points.select("image_id", "idx", "x", "y"), owned)
 
 
 def _excess(points: DataFrame, goals: DataFrame) -> DataFrame:
     """(image_id, remove) of the images that still have more points than their goal."""
     left = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("__left")).join(goals, "image_id")
-    return N.scratch(left.select("image_id", (F.col("__left") - F.col("goal")).cast("long").alias("remove")).where("remove > 0"), "excess")
+    return scratch(left.select("image_id", (F.col("__left") - F.col("goal")).cast("long").alias("remove")).where("remove > 0"), "excess")
 
 
 def merge_round(pixels: DataFrame, points: DataFrame, remove: int | DataFrame, n_now: int, width: int, height: int) -> DataFrame:
@@ -139,21 +123,21 @@ def merge_round(pixels: DataFrame, points: DataFrame, remove: int | DataFrame, n
     if over.isEmpty():
         return points
     owned, cells = _cells(pixels, points, width, height, n_now)
-    excess = cells.join(over, "image_id", "left").fillna(0, ["remove"])
-    kept = N.scratch(renumber(drop_empty(excess, F.col("remove")).select("image_id", "idx", "x", "y")), "kept")
+    excess = scratch(cells.join(over, "image_id", "left").fillna(0, ["remove"]), "excess")
+    kept = scratch(renumber(drop_empty(excess, F.col("remove"), n_now).select("image_id", "idx", "x", "y"), n_now), "kept")
     left = _excess(kept, goals)
     if left.isEmpty():
         return kept
     owned, cells = _cells(pixels, kept, width, height, n_now)
     table = N.lightest_neighbours(N.adjacency(owned), cells, NEIGHBOURS)
-    matched = N.scratch(match_round(cells, table, left), "matched")
-    points = N.scratch(merge_into(cells, matched), "merged")
+    cells = scratch(cells, "cells")
+    matched = match_round(cells, table, left)
+    points = scratch(merge_into(cells, matched, n_now), "merged")
     left = _excess(points, goals)
     if left.isEmpty():
         return points
     owned, cells = _cells(pixels, points, width, height, n_now)
-    order = W.partitionBy("image_id").orderBy("mass", "idx")
-    state = cells.join(left, "image_id", "left").fillna(0, ["remove"]).withColumn("alive", F.row_number().over(order) > F.col("remove"))
+    state = mark_least(cells, ["image_id"], "mass", "idx", left.select("image_id", F.col("remove").alias("need"))).withColumn("alive", ~F.col("taken"))
     sources = state.where("not alive")
     table = N.lightest_neighbours(N.adjacency(owned), cells, NEIGHBOURS)
     alive = state.where("alive").select("image_id", F.col("idx").alias("dst"))
@@ -161,14 +145,14 @@ def merge_round(pixels: DataFrame, points: DataFrame, remove: int | DataFrame, n
     beside = sources.select("image_id", "idx").join(beside, ["image_id", "idx"])
     stuck = sources.join(beside, ["image_id", "idx"], "left_anti")
     forced = beside if stuck.isEmpty() else beside.unionByName(N.nearest_alive(stuck, state, n_now))
-    return N.scratch(merge_into(cells, forced), "forced")
+    return scratch(merge_into(cells, forced, n_now), "forced")
 
 
 def polish(pixels: DataFrame, points: DataFrame, n: int, width: int, height: int, steps: int = POLISH) -> DataFrame:
     """Move every point to its cell's centroid, ``steps`` times."""
     for _ in range(steps):
         owned = N.assign_nearest(pixels, points, width, height, n)
-        points = N.scratch(A.lloyd_centroids(points.select("image_id", "idx", "x", "y"), owned, width, height), "polished")
+        points = scratch(A.lloyd_centroids(points.select("image_id", "idx", "x", "y"), owned, width, height), "polished")
     return points
 
 
@@ -184,9 +168,9 @@ def equal_mass_voronoi(pixels: DataFrame, n: int | DataFrame, width: int, height
     else:
         plan = n.select("image_id", F.col("n").cast("long").alias("n"), *([F.col("seed").cast("long").alias("seed")] if "seed" in n.columns else []))
     plan = plan if "seed" in plan.columns else plan.withColumn("seed", F.lit(seed).cast("long"))
-    plan = N.scratch(plan.withColumn("now", oversampled(F.col("n"))), "plan")
+    plan = scratch(plan.withColumn("now", oversampled(F.col("n"))), "plan")
     hint = int(plan.agg(F.avg("now")).first()[0] or 1)  # sizes the cells of the search, and nothing else
-    points = N.scratch(P.sample_points(pixels, plan.select("image_id", F.col("now").alias("n"), "seed"), width, height), "points")
+    points = scratch(P.sample_points(pixels, plan.select("image_id", F.col("now").alias("n"), "seed"), width, height), "points")
     for k in range(rounds):
         plan = plan.withColumn("now", F.col("now") - removal(F.col("now"), F.col("n"), k == rounds - 1))
         points = merge_round(pixels, points, plan.select("image_id", F.col("now").alias("goal")), hint, width, height)

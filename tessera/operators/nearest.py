@@ -4,35 +4,18 @@ from __future__ import annotations
 
 from math import ceil, log2, sqrt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import ranked
+from tessera.session import scratch
+
 NUDGE = 1e-3
 #: What rounding may add to a bound.
 SLACK = 1e-9
 
 
-def scratch(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage of a loop's state: written to the shared folder that the session names."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names; only where driver and executors are one process may it be unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def assign_nearest(pixels: DataFrame, points: DataFrame, width: int, height: int, n_hint: int, offset: float = 0.5, penalty: str | None = None, most_penalty: float = 0.0) -> DataFrame:
     """``pixels`` with owner (idx of the nearest point of the image) and d2.
 
@@ -166,7 +149,7 @@ def without_pixels(points: DataFrame, owned: DataFrame) -> DataFrame:
 
 def priority_rank(cells: DataFrame) -> DataFrame:
     """``cells`` with rank: the place of each in its image by (mass, idx), from 0."""
-    return cells.withColumn("rank", (F.row_number().over(W.partitionBy("image_id").orderBy("mass", "idx")) - 1).cast("long"))
+    return ranked(cells, ["image_id"], ["mass", "idx"])
 
 
 def look_up(now: DataFrame, history: DataFrame) -> DataFrame:

@@ -75,20 +75,19 @@ def _small_sums(footprints: DataFrame, width: int, height: int, parts: int) -> D
     return held.withColumn("__y", F.explode(F.sequence("__y0", "__y1"))).withColumn("__x", F.explode(F.sequence("__x0", "__x1"))).withColumn("pix", (F.col("__y") * width + F.col("__x")).cast("int"))
 
 
-def _large_sums(footprints: DataFrame, grid: DataFrame, width: int, parts: int) -> DataFrame:
-    """What footprints of many tiles give each pixel, from the pixels' side.
-
-    A footprint lies in at most 2 x 2 of the squares of 2^level tiles that are as
-    wide as it is; it is copied once for each of these and for each share into which
-    the squares' pixels are dealt, whatever its size. Pixels meet it by level, square and share.
-    """
+def large_copies(footprints: DataFrame, parts: int) -> DataFrame:
+    """Footprints by level, square, share and part. A footprint lies in at most 2 x 2 of the squares of 2^level tiles that are as wide as it is; it is copied once for each of these and for each share into which the squares' pixels are dealt, whatever its size."""
     across = F.greatest(F.col("tx1") - F.col("tx0"), F.col("ty1") - F.col("ty0"))
-    held = footprints.where("q_xx is not null").withColumn("__level", F.ceil(F.log2(across.cast("double"))).cast("int"))
+    held = footprints.where("q_xx is not null and tx1 > tx0 and ty1 > ty0").withColumn("__level", F.ceil(F.log2(across.cast("double"))).cast("int"))
     square = lambda c: F.expr(f"shiftright({c}, __level)")
     held = held.withColumn("__sy", F.explode(F.sequence(square("ty0"), square("ty1 - 1")))).withColumn("__sx", F.explode(F.sequence(square("tx0"), square("tx1 - 1"))))
-    held = held.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).withColumn("__part", F.pmod("idx", F.lit(parts)))
+    return held.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).withColumn("__part", F.pmod("idx", F.lit(parts)))
+
+
+def _large_sums(footprints: DataFrame, grid: DataFrame, width: int, parts: int) -> DataFrame:
+    """What footprints of many tiles give each pixel, from the pixels' side: pixels meet them by level, square and share."""
     names = ["cx", "cy", "q_xx", "q_xy", "q_yy", "tx0", "tx1", "ty0", "ty1", *[f"__{c}" for c in CHANNELS]]
-    held = held.select(F.col("image_id").alias("__im"), "__level", "__sx", "__sy", "__share", "__part", *names)
+    held = large_copies(footprints, parts).select(F.col("image_id").alias("__im"), "__level", "__sx", "__sy", "__share", "__part", *names)
     keys = held.select("__im", F.col("__level").alias("__lv"), F.col("__part").alias("__pt")).distinct()  # few a picture
     tx, ty = F.expr(f"x div {S.TILE}").cast("int"), F.expr(f"y div {S.TILE}").cast("int")
     rows = grid.select("image_id", "pix", F.col("x").alias("__x"), F.col("y").alias("__y"), tx.alias("__tx"), ty.alias("__ty")).join(keys, F.col("image_id") == F.col("__im")).drop("__im")

@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 from tessera.functions import hashing as H
 from tessera.functions import scalars as S
 from tessera.operators.grid import tile_of
+from tessera.operators.scan import running
+from tessera.operators.select import mark_least
+from tessera.session import scratch
 
 # Steps of the low-discrepancy offsets.
 STEP_X, STEP_Y = 0.7548776662466927, 0.5698402909980532
 ROUNDING = 1e-12
+#: Tiles of an image, unless its size says how many: how deep the prefix sums go.
+MOST_TILES = 1 << 20
 
 
 def half_up(v: float) -> int:
@@ -46,28 +51,34 @@ def draws(plan: DataFrame, width: int, height: int, tile: int | None = None) ->
     return plan.select("image_id", F.col("n").cast("long").alias("n"), F.col("seed").cast("long").alias("seed")).mapInPandas(drawn, "image_id long, n long, seed long, size int, shift_y int, shift_x int, offset double")
 
 
-def tile_counts(tiles: DataFrame, n: int | Column, offset: float | Column) -> DataFrame:
+def tile_counts(tiles: DataFrame, n: int | Column, offset: float | Column, most: int = MOST_TILES) -> DataFrame:
     """Points for each tile (image_id, tile, mass), ``n`` in all: differences of rounded prefix sums, then single repairs.
 
     A repair goes to the tiles with the largest residuals (or the smallest, to
     take points away), one each, ties to the lower tile. Images without mass deal
-    evenly. An image's tiles are ordered in one task: there are far fewer tiles
-    than pixels.
+    evenly. Prefix sums go by blocks of tiles, of which an image has up to ``most``;
+    the tiles for repairs are selected by radix, and only if there are any.
     """
     n, offset = (F.lit(v) if isinstance(v, (int, float)) else v for v in (n, offset))
-    by_tile = W.partitionBy("image_id").orderBy("tile")
-    whole = W.partitionBy("image_id")
-    t = tiles.withColumns({"cum": F.sum("mass").over(by_tile.rowsBetween(W.unboundedPreceding, 0)), "total": F.sum("mass").over(whole), "n_tiles": F.count(F.lit(1)).over(whole), "i": F.row_number().over(by_tile)})
-    scale = F.when(F.col("total") > 0, n.cast("double") / F.when(F.col("total") > 0, F.col("total")))
-    even = n.cast("double") / F.col("n_tiles")
-    t = t.withColumn("edge", F.floor(F.coalesce(F.col("cum") * scale, even * F.col("i")) + offset + ROUNDING))
-    t = t.withColumn("base", F.greatest(F.lit(0), F.col("edge") - F.coalesce(F.lag("edge", 1).over(by_tile), F.floor(offset))))
+    dealt = scratch(tiles.select("image_id", "tile", "mass", n.cast("long").alias("goal"), offset.cast("double").alias("offset")), "tiles")
+    totals = dealt.groupBy("image_id").agg(F.sum("mass").alias("total"), F.count(F.lit(1)).alias("n_tiles"))
+    t = running(dealt, ["image_id"], "tile", {"cum": (F.sum, F.col("mass")), "i": (F.sum, F.lit(1))}, most).join(totals, "image_id")
+    goal = F.col("goal").cast("double")
+    scale = F.when(F.col("total") > 0, goal / F.when(F.col("total") > 0, F.col("total")))
+    even = goal / F.col("n_tiles")
+    t = t.withColumn("edge", F.floor(F.coalesce(F.col("cum") * scale, even * F.col("i")) + F.col("offset") + ROUNDING))
     share = F.coalesce(F.col("mass") * scale, even)
-    t = t.withColumns({"residual": share - F.floor(share), "missing": n - F.sum("base").over(whole)})
-    can_lose = F.when(F.col("base") > 0, 0).otherwise(1)
-    t = t.withColumns({"up": F.row_number().over(whole.orderBy(F.desc("residual"), "tile")), "down": F.row_number().over(whole.orderBy(can_lose, "residual", "tile"))})
-    fixed = F.col("base") + F.when((F.col("missing") > 0) & (F.col("up") <= F.col("missing")), 1).when((F.col("missing") < 0) & (F.col("down") <= -F.col("missing")) & (F.col("base") > 0), -1).otherwise(0)
-    return t.select("image_id", "tile", "mass", fixed.cast("int").alias("n_points"))
+    t = running(t.withColumn("residual", share - F.floor(share)), ["image_id"], "tile", {"before": (F.max, F.col("edge"))}, most, exclusive=True)
+    t = scratch(t.withColumn("base", F.greatest(F.lit(0), F.col("edge") - F.coalesce("before", F.floor("offset")))).select("image_id", "tile", "mass", "goal", "base", "residual"), "edges")
+    missing = t.groupBy("image_id").agg((F.first("goal") - F.sum("base")).alias("missing")).where("missing <> 0")
+    fixed = F.lit(0)
+    if not missing.isEmpty():
+        ranks = {"__up": -F.col("residual"), "__down": F.when(F.col("base") > 0, F.col("residual")).otherwise(2.0)}  # residuals are under 1: what can't lose comes last
+        t = scratch(t.withColumns(ranks), "residuals")
+        for name, need in (("__up", F.col("missing")), ("__down", -F.col("missing"))):
+            t = mark_least(t, ["image_id"], name, "tile", missing.select("image_id", need.alias("need")), f"{name}_taken")
+        fixed = F.when(F.col("__up_taken"), 1).when(F.col("__down_taken") & (F.col("base") > 0), -1).otherwise(0)
+    return t.select("image_id", "tile", "mass", (F.col("base") + fixed).cast("int").alias("n_points"))
 
 
 def sample_points(pixels: DataFrame, n: int | DataFrame, width: int, height: int, seed: int = 12345, tile: int | None = None, extra_step: bool = False) -> DataFrame:
@@ -84,9 +95,9 @@ def sample_points(pixels: DataFrame, n: int | DataFrame, width: int, height: int
     pixels = pixels.select("image_id", "pix", "x", "y", S.positive_or_zero(F.col("density")).alias("density")).join(plan.withColumnRenamed("n", "__n"), "image_id")
     tiled = pixels.withColumn("tile", tile_of(F.col("x"), F.col("y"), width, height, F.col("size"), F.col("shift_y"), F.col("shift_x")))
     masses = tiled.groupBy("image_id", "tile").agg(F.sum("density").alias("mass"), F.first("__n").alias("__n"), F.first("offset").alias("offset"))
-    counts = tile_counts(masses, F.col("__n"), F.col("offset"))
-    total = F.sum("mass").over(W.partitionBy("image_id"))
-    counts = counts.withColumns({"even": total <= 0, "first": F.sum("n_points").over(W.partitionBy("image_id").orderBy("tile")) - F.col("n_points")})
+    counts = tile_counts(masses, F.col("__n"), F.col("offset"), width * height)
+    blank_images = counts.groupBy("image_id").agg((F.sum("mass") <= 0).alias("even"))
+    counts = running(counts, ["image_id"], "tile", {"first": (F.sum, F.col("n_points"))}, width * height).withColumn("first", F.col("first") - F.col("n_points")).join(blank_images, "image_id")
     u = H.unit_hash(F.col("seed"), F.col("pix") + H.SALT_RANK, extra_step)
     w = F.when(F.col("even"), 1.0).otherwise(F.col("density"))
     blank = H.unit_hash(F.col("seed"), F.col("pix") + H.SALT_ZERO, extra_step) - 1.0

@@ -1,4 +1,4 @@
-"""The package on the workers of a session."""
+"""What a session has to offer: the package on its workers, and the folder that its executors share."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HERE = os.path.dirname(os.path.abspath(__file__))
 
@@ -24,3 +24,23 @@ def ship(spark: SparkSession) -> None:
                 out.write(full, os.path.relpath(full, os.path.dirname(HERE)))
     context.addPyFile(path)
     context._tessera_shipped = True
+
+
+def scratch(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage of a loop's state: written to the shared folder that the session names."""
+    spark: SparkSession = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint(eager=True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names; only where driver and executors are one process may it be unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = "file:///tmp/checkpoints"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.operators.scan import ranked
+from tessera.operators.select import quantiles
 
 BUNDLE_SCHEMA = "name string, profile string, files array<struct<path:string,sha256:string,bytes:long>>"
 # Limits of what is accepted.
@@ -27,9 +29,8 @@ def read_manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFr
 
 def frames_in_order(files: DataFrame, streams: Column | None = None) -> DataFrame:
     """``files`` (path) with frame: their place in lexical order, for each stream if given."""
-    from pyspark.sql import Window as W
-
-    return files.withColumn("frame", F.row_number().over(W.partitionBy(F.lit(0) if streams is None else streams).orderBy("path")) - 1)
+    keyed = files if streams is None else files.withColumn("__stream", streams)
+    return ranked(keyed, [] if streams is None else ["__stream"], ["path"], "frame").drop("__stream")
 
 
 def bundle_files(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
@@ -66,7 +67,7 @@ def check_sizes(jobs: DataFrame) -> DataFrame:
 def density_preview(pixels: DataFrame) -> DataFrame:
     """``pixels`` with grey (0 to 255): density over its 99.5th percentile of the image, or its maximum if that is not positive."""
     d = F.when(F.col("density").isNull() | F.isnan("density") | (F.abs("density") == float("inf")), 0.0).otherwise(F.col("density").cast("double"))
-    tops = pixels.groupBy("image_id").agg(F.percentile(d, F.lit(0.995)).alias("hi"), F.max(d).alias("top"))
+    tops = quantiles(pixels.select("image_id", d.alias("__d")), ["image_id"], "__d", {"hi": 0.995}).join(pixels.groupBy("image_id").agg(F.max(d).alias("top")), "image_id")
     hi = F.when(F.col("hi") > 0, F.col("hi")).otherwise(F.coalesce("top", F.lit(1.0)))
     grey = F.floor(S.clamp(d / F.greatest(hi, F.lit(1e-8)), 0.0, 1.0) * 255.0 + 0.5).cast("int")
     return pixels.join(tops, "image_id").withColumn("grey", grey).drop("hi", "top")

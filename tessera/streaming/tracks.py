@@ -13,6 +13,10 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators.scan import ranked, recurrence
+from tessera.session import scratch
 
 
 @dataclass
@@ -289,13 +293,16 @@ def track_frames(frames: DataFrame, width: int, height: int, options: Options |
     return frames.groupBy("stream_id").applyInPandasWithState(step, _schema(mapped), "state string", "append", "NoTimeout")
 
 
-def smooth_counts(frames: DataFrame, options: Options | None = None) -> DataFrame:
-    """(stream_id, frame, n, smoothed, n_target): the count recurrence alone, folded over each stream's frames."""
-    from pyspark.sql import functions as F
+def smooth_counts(frames: DataFrame, options: Options | None = None, most: int = 1 << 24) -> DataFrame:
+    """(stream_id, frame, n, smoothed, n_target): the count recurrence alone.
 
-    keep = (options or Options()).ema
-    seq = frames.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("frame", F.col("n").cast("double").alias("n")))).alias("s"))
-    empty = F.array().cast("array<double>")
-    fold = F.aggregate("s", empty, lambda acc, v: F.concat(acc, F.array(F.when(F.size(acc) == 0, v["n"]).otherwise(F.lit(keep) * F.try_element_at(acc, F.lit(-1)) + F.lit(1 - keep) * v["n"]))))
-    rows = seq.select("stream_id", F.posexplode(F.arrays_zip("s", fold.alias("e"))).alias("i", "v"))
-    return rows.select("stream_id", F.col("v.s.frame").alias("frame"), F.col("v.s.n").cast("long").alias("n"), F.col("v.e").alias("smoothed"), F.greatest(F.lit(1), F.rint("v.e").cast("long")).alias("n_target"))
+    A frame's step is a map s -> a s + b, and such maps compose: frames are numbered and
+    folded by blocks, so a stream of any length is spread over tasks. ``most`` frames of a
+    stream are expected, which sets how deep the blocks go.
+    """
+    keep = F.lit((options or Options()).ema)
+    placed = scratch(ranked(frames.select("stream_id", "frame", F.col("n").cast("long").alias("n")), ["stream_id"], ["frame"], "__i"), "frames")
+    first = F.col("__i") == 0
+    steps = placed.withColumns({"a": F.when(first, 0.0).otherwise(keep), "b": F.when(first, F.lit(1.0)).otherwise(1 - keep) * F.col("n")})
+    found = recurrence(steps, ["stream_id"], "__i", most, "smoothed")
+    return found.select("stream_id", "frame", "n", "smoothed", F.greatest(F.lit(1), F.rint("smoothed").cast("long")).alias("n_target"))

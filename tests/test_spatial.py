@@ -117,13 +117,18 @@ def brute_match(idx, mass, table, remove):
     return target
 
 
-def test_matching_against_a_sequential_version():
+def test_matching_against_a_sequential_version(spark):
+    """Twenty images at once; each comes out as its own sequential rounds."""
     r = np.random.default_rng(8)
+    n, tables, masses = 40, [], []
     for _ in range(20):
-        n = 40
-        table = np.array([[t if t != i else -1 for t in r.choice(n, 8, False)] for i in range(n)])
-        mass = r.integers(0, 9, n).astype(float)
-        assert M.match_cells(np.arange(n), mass, table, 15).tolist() == brute_match(np.arange(n), mass, table, 15)
+        tables.append(np.array([[t if t != i else -1 for t in r.choice(n, 8, False)] for i in range(n)]))
+        masses.append(r.integers(0, 9, n).astype(float))
+    cells = spark.createDataFrame([(g, i, float(m)) for g, mass in enumerate(masses) for i, m in enumerate(mass)], "image_id long, idx int, mass double")
+    near = spark.createDataFrame([(g, i, int(t), k) for g, table in enumerate(tables) for i, row in enumerate(table) for k, t in enumerate(row) if t >= 0], "image_id long, src int, dst int, rank int")
+    got = {(r["image_id"], r["idx"]): r["target"] for r in M.match_round(cells, near, 15).collect()}
+    for g, (table, mass) in enumerate(zip(tables, masses)):
+        assert [got.get((g, i), -1) for i in range(n)] == brute_match(np.arange(n), mass, table, 15)
 
 
 def test_merging_keeps_the_mass_and_the_count(spark):
