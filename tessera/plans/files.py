@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import hashing as H
 from tessera.functions import scalars as S
 from tessera.operators import aggregates as A
+from tessera.operators import curves as C
 from tessera.operators import grid as G
 from tessera.operators import merge as M
 from tessera.operators import nearest as N
@@ -18,14 +19,16 @@ from tessera.plans import fixtures as X
 from tessera.plans import sampler
 from tessera.plans.queries import r6
 from tessera.plans.registry import query
-from tessera.sources import arrays, manifests
+from tessera.session import shared_dir
+from tessera.sources import arrays, blobs, manifests
+from tessera.streaming import counts
 
 SIZE = (X.WIDTH, X.HEIGHT)
 
 
 def folder(spark: SparkSession, label: str) -> str:
     """A new folder in the shared one, deleted when the driver's JVM ends."""
-    path = f"{N.shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
@@ -33,7 +36,7 @@ def folder(spark: SparkSession, label: str) -> str:
 
 def exported(files: DataFrame, label: str) -> str:
     at = folder(files.sparkSession, label)
-    arrays.write_files(files, at)
+    blobs.write_files(files, at)
     return at
 
 
@@ -236,3 +239,53 @@ def repeated_pixels(spark: SparkSession, d: str) -> DataFrame:
     drawn = P.sample_points(few, 80, 4, 4, 12345, tile=4).select("idx", "x", "y", G.pixel_of(F.col("x"), F.col("y"), 4, 4).alias("pix"))
     uses = drawn.groupBy("pix").agg(F.countDistinct("x", "y").alias("uses"))
     return uses.agg(F.sum("uses").alias("n_points"), F.count(F.lit(1)).alias("pixels"), F.max("uses").alias("uses"))
+
+
+@query("""WITH v AS (SELECT p_partkey % 5 AS tensor, CASE WHEN p_partkey % 5 % 3 = 2 THEN p_size ELSE (p_size % 13) * 0.25::DOUBLE - 1 END AS value, row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) - 1 AS i FROM part)
+SELECT 'tensor' || tensor AS name, ['f16', 'f32', 'u8'][(tensor % 3 + 1)::INTEGER] AS kind, (count(*) OVER (PARTITION BY tensor))::INTEGER AS n, i, value::DOUBLE AS value FROM v WHERE tensor <> 3""")
+def blob_tensors(spark: SparkSession, d: str) -> DataFrame:
+    """A weight blob, written and read again by ranges of bytes; of one tensor nothing is read."""
+    tensor = F.col("p_partkey") % 5
+    value = F.when(tensor % 3 == 2, F.col("p_size").cast("double")).otherwise(F.col("p_size") % 13 * 0.25 - 1)
+    held = X.table(spark, d, "part").groupBy(tensor.cast("int").alias("tensor")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", value.alias("v")))).alias("s"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in blobs.KINDS]), F.col("tensor") % 3 + 1)
+    at = exported(blobs.blob_files(held.select(F.lit("weights").alias("blob"), "tensor", kind.alias("kind"), F.transform("s", lambda x: x["v"]).alias("values"))), "blobs")
+    found = blobs.read_blobs(spark, at).where(F.col("name").isin("tensor0", "tensor1", "tensor2", "tensor4"))
+    return found.select("name", "kind", F.element_at("shape", 1).alias("n"), "i", "value")
+
+
+@query("""WITH RECURSIVE c AS (SELECT user_id % 4 AS stream_id, ts::DATE AS day, count(DISTINCT user_id) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT stream_id, n, row_number() OVER (PARTITION BY stream_id ORDER BY day) - 1 AS frame FROM c),
+w AS (SELECT stream_id, frame, n, n::DOUBLE AS s FROM o WHERE frame = 0 UNION ALL SELECT o.stream_id, o.frame, o.n, 0.9::DOUBLE * w.s + (1 - 0.9::DOUBLE) * o.n FROM w JOIN o ON o.stream_id = w.stream_id AND o.frame = w.frame + 1)
+SELECT stream_id, frame, n, round(s, 6) AS smoothed, greatest(1, round_even(s, 0))::BIGINT AS n_target FROM w""")
+def streamed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """S12, V1, V2, V13 as a stream: a file a day and stream, taken in the order of their paths by two queries with one checkpoint; files of the later half of the days come between."""
+    at = folder(spark, "frames")
+    e = X.table(spark, d, "events").where("user_id is not null")
+    daily = N.scratch(e.groupBy((F.col("user_id") % 4).alias("stream_id"), F.to_date("ts").alias("day")).agg(F.countDistinct("user_id").alias("n")), "daily")
+    middle = daily.agg(F.date_add(F.min("day"), (F.datediff(F.max("day"), F.min("day")) / 2).cast("int"))).first()[0]
+    for part in (F.col("day") <= F.lit(middle), F.col("day") > F.lit(middle)):
+        daily.where(part).withColumns({"stream": F.col("stream_id"), "date": F.col("day")}).repartition("stream_id", "day").write.mode("append").partitionBy("stream", "date").json(f"{at}/in")
+        frames = counts.frame_files(spark, f"{at}/in", "stream_id long, n long")
+        counts.smooth_stream(frames, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return counts.smoothed_frames(spark, f"{at}/out").select("stream_id", "frame", "n", F.round("smoothed", 6).alias("smoothed"), "n_target")
+
+
+_WALK = """walk AS (
+  SELECT pix, 0::BIGINT AS d, x::BIGINT AS x, y::BIGINT AS y, 16::BIGINT AS s FROM pixels
+  UNION ALL
+  SELECT pix, d + s * s * CASE WHEN x & s > 0 THEN CASE WHEN y & s > 0 THEN 2 ELSE 3 END WHEN y & s > 0 THEN 1 ELSE 0 END,
+         CASE WHEN y & s > 0 THEN x WHEN x & s > 0 THEN s - 1 - y ELSE y END, CASE WHEN y & s > 0 THEN y WHEN x & s > 0 THEN s - 1 - x ELSE x END, s // 2
+  FROM walk WHERE s > 0
+)"""
+
+
+@query(f"""WITH RECURSIVE {X.PIXELS}, {_WALK}, o AS (
+  SELECT p.x, p.y, p.density AS m, sum(p.density) OVER (ORDER BY d) AS cum, sum(p.density) OVER () AS total, row_number() OVER (ORDER BY d) - 1 AS j FROM pixels p JOIN walk w ON w.pix = p.pix AND w.s = 0
+), cuts AS (SELECT i::INTEGER AS i, CASE WHEN i = 0 THEN 0 WHEN i = 700 THEN 1024 ELSE (SELECT count(*) FROM o WHERE cum <= total * i / 700) END AS a FROM range(701) t(i)
+), stretches AS (SELECT i, a, lead(a) OVER (ORDER BY i) AS b FROM cuts
+), sums AS (SELECT i, a, sum(m) AS mass, sum(m * (x + 0.5)) AS mx, sum(m * (y + 0.5)) AS my FROM stretches LEFT JOIN o ON j >= a AND j < b WHERE i < 700 GROUP BY i, a)
+SELECT i AS idx, round(CASE WHEN mass > 1e-12 THEN mx / mass ELSE o.x + 0.5 END / 32, 6) + 0.0 AS x, round(CASE WHEN mass > 1e-12 THEN my / mass ELSE o.y + 0.5 END / 32, 6) + 0.0 AS y FROM sums JOIN o ON o.j = least(a, 1023)""")
+def hilbert_seeding(spark: SparkSession, d: str) -> DataFrame:
+    """700 points at the centroids of stretches of equal mass along the curve; pixels with several shares give several points."""
+    return C.hilbert_seeds(X.pixels(spark, d), 700, *SIZE).select("idx", *r6(x=F.col("x"), y=F.col("y")))

@@ -208,17 +208,6 @@ def save_scene(arrays: dict[str, np.ndarray], meta: dict, width: int, height: in
     return dump_npz(head | arrays)
 
 
-def write_files(files: DataFrame, folder: str) -> None:
-    """Write (name, content) rows as files under ``folder``, through Hadoop's file systems. For exports: files pass the driver one by one."""
-    spark = files.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for row in files.toLocalIterator():  # a file at a time passes the driver, which alone reaches Hadoop's writers
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['name']}")
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(row["content"]))
-        out.close()
-
-
 def splat_files(splats: DataFrame) -> DataFrame:
     """(name, content) of the array files of each image's splats: .points .cov .rgb .color .weights, and .ids .slots where there are tracks."""
     tracked = "track_id" in splats.columns
