@@ -81,12 +81,13 @@ def tile_counts(tiles: DataFrame, n: int | Column, offset: float | Column, most:
     return t.select("image_id", "tile", "mass", (F.col("base") + fixed).cast("int").alias("n_points"))
 
 
-def sample_points(pixels: DataFrame, n: int | DataFrame, width: int, height: int, seed: int = 12345, tile: int | None = None, extra_step: bool = False) -> DataFrame:
+def sample_points(pixels: DataFrame, n: int | DataFrame, width: int, height: int, seed: int = 12345, tile: int | None = None, extra_step: bool = False, skip_blank: bool = False) -> DataFrame:
     """``n`` points (image_id, idx, x, y) of each image from ``pixels`` (image_id, pix, x, y, density).
 
     ``n`` is a number for all images, drawn with ``seed``, or a table (image_id, n,
     seed). Within a tile the pixels with the highest ln(u) / density are taken, as
-    many as the tile has points; pixels without density come last. Points lie inside
+    many as the tile has points; pixels without density come last, or with
+    ``skip_blank`` only in tiles that have nothing else. Points lie inside
     their pixel at a seeded place; a tile with more points than pixels uses its
     pixels again, at other places.
     """
@@ -104,6 +105,9 @@ def sample_points(pixels: DataFrame, n: int | DataFrame, width: int, height: int
     priority = F.when(w > 0, F.log(F.greatest(u, F.lit(1e-300))) / F.when(w > 0, w)).otherwise(blank)
     raced = tiled.join(counts.select("image_id", "tile", "n_points", "even", "first"), ["image_id", "tile"]).where("n_points > 0").withColumn("priority", priority)
     in_tile = W.partitionBy("image_id", "tile")
+    if skip_blank:
+        some = F.col("even") | (F.col("density") > 0)
+        raced = raced.withColumn("__some", F.max(some).over(in_tile)).where(some | ~F.col("__some")).drop("__some")
     ranked = raced.withColumns({"rank": F.row_number().over(in_tile.orderBy(F.desc("priority"), "pix")) - 1, "cells": F.count(F.lit(1)).over(in_tile)})
     taken = ranked.where(F.col("rank") < F.col("n_points"))
     take = F.least("cells", "n_points")

@@ -254,6 +254,21 @@ def weighted_samples(spark: SparkSession, d: str) -> DataFrame:
     return s.select("idx", *r6(x=F.col("x"), y=F.col("y")))
 
 
+_THIRD = "CASE WHEN pix % 3 = 0 OR x < 10 AND y < 10 THEN 0.0 ELSE density END"
+
+
+@query((_TILED + _COUNTS).replace("SELECT pix, x, y, density, (least", f"SELECT pix, x, y, {_THIRD} AS density, (least") + f""", raced AS (
+  SELECT t.*, n_points, max(density) OVER (PARTITION BY tile) AS top, CASE WHEN density > 0 THEN ln(greatest({_sql_unit('pix + 1000003')}, 1e-300)) / density ELSE {_sql_unit('pix + 2000003')} - 1.0 END AS priority FROM tiled t JOIN counts USING (tile) WHERE n_points > 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY priority DESC, pix) - 1 AS rank FROM raced WHERE density > 0 OR top <= 0),
+starts AS (SELECT tile, sum(n_points) OVER (ORDER BY tile) - n_points AS first FROM counts)
+SELECT (first + rank)::INTEGER AS idx, pix FROM ranked JOIN starts USING (tile) WHERE rank < n_points""")
+def blank_pixels_skipped(spark: SparkSession, d: str) -> DataFrame:
+    """W4': a third of the pixels and a corner without density, of which only tiles that have nothing else take any."""
+    blank = (F.col("pix") % 3 == 0) | ((F.col("x") < 10) & (F.col("y") < 10))
+    s = P.sample_points(X.pixels(spark, d).withColumn("density", F.when(blank, 0.0).otherwise(F.col("density"))), 150, *SIZE, SEED, skip_blank=True)
+    return s.select("idx", G.pixel_of(F.col("x"), F.col("y"), *SIZE).alias("pix"))
+
+
 _CELLS = f"WITH {X.PIXELS}, {X.POINTS}, {X.OWNED}"
 
 
@@ -398,6 +413,16 @@ def owned_pixel_nearest(spark: SparkSession, d: str) -> DataFrame:
     return N.nearest_owned_pixel(targets, _owned(spark, d)).select("idx", "pix")
 
 
+@query(_CELLS + ", r AS (SELECT q.idx, o.pix, row_number() OVER (PARTITION BY q.idx ORDER BY (o.x + 0.5 - q.x * 32) * (o.x + 0.5 - q.x * 32) + (o.y + 0.5 - q.y * 32) * (o.y + 0.5 - q.y * 32), o.pix) AS k FROM points q JOIN owned o ON o.owner = q.idx) SELECT a.idx, a.pix AS parent, b.pix AS child FROM r a LEFT JOIN r b ON b.idx = a.idx AND b.k = 2 WHERE a.k = 1")
+def owned_pixel_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """J11 with a forbidden pixel: the two pixels of each cell that are nearest to its point; null where it has only one."""
+    owned = _owned(spark, d)
+    targets = X.points(spark, d).select("image_id", "idx", (F.col("x") * 32).alias("tx"), (F.col("y") * 32).alias("ty"))
+    parent = N.scratch(N.nearest_owned_pixel(targets, owned).withColumnRenamed("pix", "parent"), "parents")
+    child = N.nearest_owned_pixel(targets.join(parent, ["image_id", "idx"]), owned, F.col("parent")).select("image_id", "idx", F.col("pix").alias("child"))
+    return parent.join(child, ["image_id", "idx"], "left").select("idx", "parent", "child")
+
+
 @query(_CELLS + " SELECT idx, target FROM (SELECT s.idx, a.idx AS target, row_number() OVER (PARTITION BY s.idx ORDER BY (s.x - a.x) * (s.x - a.x) + (s.y - a.y) * (s.y - a.y), a.idx) AS k FROM cells s, cells a WHERE s.n_pixels = 0 AND a.n_pixels > 0) WHERE k = 1")
 def nearest_survivor(spark: SparkSession, d: str) -> DataFrame:
     """J6."""
@@ -505,6 +530,23 @@ def correction_rounds(spark: SparkSession, d: str) -> DataFrame:
     return scores.select("k", F.round("squared_error", 3).alias("squared_error"), F.round("psnr", 3).alias("psnr"))
 
 
+@query("WITH all_states AS (" + _rounds_sql(4).replace("round(sum(e), 3)", "sum(e)").replace("round(-10 * log10(greatest(sum(e) / (count(*) * 3), 1e-10)), 3)", "-10 * log10(greatest(sum(e) / (count(*) * 3), 1e-10))") + """), t AS (SELECT (min(psnr) + max(psnr)) / 2 AS target, (max(psnr) - min(psnr)) / 100 AS gain FROM all_states
+), s AS (SELECT k, squared_error, psnr, psnr - lag(psnr) OVER (ORDER BY k) AS more FROM all_states)
+SELECT 'target' AS rule, k, round(squared_error, 3) AS squared_error, round(psnr, 3) AS psnr FROM s, t WHERE k <= coalesce((SELECT min(k) FROM s, t WHERE psnr >= target), 3)
+UNION ALL SELECT 'gain', k, round(squared_error, 3), round(psnr, 3) FROM s WHERE k <= coalesce((SELECT min(k) FROM s, t WHERE more < gain), 3)""")
+def adaptive_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """M9: rounds that end with the first state at or over a target, half-way between the worst and the best of four, or with the first that gains less than a hundredth of that range."""
+    splats, image, deltas = X.splats(spark, d), X.image(spark), X.deltas(spark, 3)
+    _, every = R.correction_rounds(splats, image, deltas, 4, *SIZE)
+    low, high = every.agg(F.min("psnr"), F.max("psnr")).first()
+    out = None
+    for rule, limits in (("target", {"target": (low + high) / 2}), ("gain", {"least_gain": (high - low) / 100})):
+        _, scores = R.correction_rounds(splats, image, deltas, 4, *SIZE, **limits)
+        part = scores.select(F.lit(rule).alias("rule"), "k", F.round("squared_error", 3).alias("squared_error"), F.round("psnr", 3).alias("psnr"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query(f"WITH RECURSIVE {X.PIXELS}, {X.SPLATS}, {_CORNERS}, dl AS (SELECT idx, k, " + ", ".join(f"sum(w * ((pix * {i + 3} + k) % 9 - 4) * 0.0078125) AS d{i}" for i in (3, 4, 5)) + " FROM t JOIN pixels p ON p.x = px AND p.y = py, range(3) s(k) GROUP BY idx, k), st AS (SELECT idx, 0 AS k, r, g, b FROM splats UNION ALL SELECT st.idx, st.k + 1, greatest(0.0, least(1.0, r + d3)), greatest(0.0, least(1.0, g + d4)), greatest(0.0, least(1.0, b + d5)) FROM st JOIN dl ON dl.idx = st.idx AND dl.k = st.k) SELECT idx, k, " + _r("r", "g", "b") + " FROM st")
 def latent_replay(spark: SparkSession, d: str) -> DataFrame:
     """M10."""
