@@ -9,7 +9,6 @@ from tessera.operators import grid as G
 from tessera.session import ship
 
 WIDTH = HEIGHT = 32
-SHAPE_POINTS = 5695
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -46,12 +45,6 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.lit(0).cast("long").alias("image_id"), i.alias("idx"), place(37, 101).alias("x"), place(59, 103).alias("y"))
 
 
-def shape_points(spark: SparkSession) -> DataFrame:
-    """SHAPE_POINTS points over the whole image, of which no table is needed."""
-    i = F.col("id").cast("int")
-    return spark.range(SHAPE_POINTS).select(F.lit(0).cast("long").alias("image_id"), i.alias("idx"), ((i * 37) % 5701 / F.lit(5701.0)).alias("x"), ((i * 5923) % 5711 / F.lit(5711.0)).alias("y"))
-
-
 def splats(spark: SparkSession, d: str) -> DataFrame:
     """A splat for each part."""
     i = F.col("p_partkey").cast("int")
@@ -96,7 +89,6 @@ PIXELS = """pixels AS (
   FROM range(1024) t(g) LEFT JOIN (SELECT l_orderkey % 1024 AS p, sum(l_quantity) AS d FROM lineitem GROUP BY 1) s ON s.p = g)"""
 POINTS = """points AS (
   SELECT 0::BIGINT AS image_id, c_custkey::INTEGER AS idx, ((c_custkey * 37) % 101 + 0.5::DOUBLE) / 101 AS x, ((c_custkey * 59) % 103 + 0.5::DOUBLE) / 103 AS y FROM customer)"""
-SHAPE_SQL = f"SELECT g::INTEGER AS idx, (g * 37) % 5701 / 5701.0::DOUBLE AS x, (g * 5923) % 5711 / 5711.0::DOUBLE AS y FROM range({SHAPE_POINTS}) t(g)"
 SPLATS = """splats AS (
   SELECT 0::BIGINT AS image_id, p_partkey::INTEGER AS idx, ((p_partkey * 41) % 97 + 0.5::DOUBLE) / 97 AS x, ((p_partkey * 53) % 89 + 0.5::DOUBLE) / 89 AS y,
          (p_partkey % 7) * 0.25::DOUBLE - 0.5::DOUBLE AS lc_xx, (p_partkey % 5 - 2) * 0.125::DOUBLE AS lc_xy, (p_partkey % 11) * 0.125::DOUBLE - 0.5::DOUBLE AS lc_yy,

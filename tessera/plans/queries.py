@@ -91,24 +91,26 @@ def scalar_matrix_exp(spark: SparkSession, d: str) -> DataFrame:
     return X.splats(spark, d).select("idx", *r6(**S.exp_symmetric(F.col("lc_xx"), F.col("lc_xy"), F.col("lc_yy"))))
 
 
-@query(f"WITH {X.PIXELS} SELECT pix, " + _r(u=_sql_unit("pix"), u_extra=_sql_unit("pix", steps=2), jitter_x="0.25 + 0.5 * " + _sql_unit("3000003 + 2 * pix"), jitter_y="0.25 + 0.5 * " + _sql_unit("3000004 + 2 * pix")) + " FROM pixels")
+@query("WITH o AS (SELECT o_orderkey AS id, o_orderkey AS pix FROM orders) SELECT id, " + _r(u=_sql_unit("pix"), u_extra=_sql_unit("pix", steps=2), jitter_x="0.25 + 0.5 * " + _sql_unit("3000003 + 2 * pix"), jitter_y="0.25 + 0.5 * " + _sql_unit("3000004 + 2 * pix")) + " FROM o")
 def scalar_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """F9, F9', F10."""
-    pix = F.col("pix").cast("long")
-    return X.empty_grid(spark).select("pix", *r6(u=H.unit_hash(SEED, pix), u_extra=H.unit_hash(SEED, pix, True), jitter_x=0.25 + 0.5 * H.unit_hash(SEED, pix * 2 + H.SALT_X), jitter_y=0.25 + 0.5 * H.unit_hash(SEED, pix * 2 + H.SALT_Y)))
+    """F9, F9', F10: for each order."""
+    k = F.col("o_orderkey").cast("long")
+    return X.table(spark, d, "orders").select(k.alias("id"), *r6(u=H.unit_hash(SEED, k), u_extra=H.unit_hash(SEED, k, True), jitter_x=0.25 + 0.5 * H.unit_hash(SEED, k * 2 + H.SALT_X), jitter_y=0.25 + 0.5 * H.unit_hash(SEED, k * 2 + H.SALT_Y)))
 
 
-@query(f"""WITH RECURSIVE {X.PIXELS}, walk AS (
-  SELECT pix, 0::BIGINT AS d, x::BIGINT AS x, y::BIGINT AS y, 16::BIGINT AS s FROM pixels
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey AS id, (o_orderkey % 1024)::BIGINT AS x, (o_orderkey * 37 + o_custkey) % 1024 AS y FROM orders), walk AS (
+  SELECT id, 0::BIGINT AS d, x, y::BIGINT AS y, 512::BIGINT AS s FROM o
   UNION ALL
-  SELECT pix, d + s * s * CASE WHEN x & s > 0 THEN CASE WHEN y & s > 0 THEN 2 ELSE 3 END WHEN y & s > 0 THEN 1 ELSE 0 END,
+  SELECT id, d + s * s * CASE WHEN x & s > 0 THEN CASE WHEN y & s > 0 THEN 2 ELSE 3 END WHEN y & s > 0 THEN 1 ELSE 0 END,
          CASE WHEN y & s > 0 THEN x WHEN x & s > 0 THEN s - 1 - y ELSE y END, CASE WHEN y & s > 0 THEN y WHEN x & s > 0 THEN s - 1 - x ELSE x END, s // 2
   FROM walk WHERE s > 0
-) SELECT p.pix, w.d AS hilbert, ((p.x & 1) | ((p.y & 1) << 1) | ((p.x & 2) << 1) | ((p.y & 2) << 2) | ((p.x & 4) << 2) | ((p.y & 4) << 3) | ((p.x & 8) << 3) | ((p.y & 8) << 4) | ((p.x & 16) << 4) | ((p.y & 16) << 5))::INTEGER AS morton
-FROM pixels p JOIN walk w ON w.pix = p.pix AND w.s = 0""")
+) SELECT o.id, w.d AS hilbert, (""" + " | ".join(f"(((o.x >> {k}) & 1) << {2 * k}) | (((o.y >> {k}) & 1) << {2 * k + 1})" for k in range(10)) + """)::INTEGER AS morton
+FROM o JOIN walk w ON w.id = o.id AND w.s = 0""")
 def scalar_curves(spark: SparkSession, d: str) -> DataFrame:
-    """F14, F15."""
-    return X.empty_grid(spark).select("pix", S.hilbert(F.col("x"), F.col("y"), 32).alias("hilbert"), S.morton(F.col("x"), F.col("y")).alias("morton"))
+    """for a place of each order in a square of 1024."""
+    x, y = (F.col("o_orderkey") % 1024).cast("int"), ((F.col("o_orderkey") * 37 + F.col("o_custkey")) % 1024).cast("int")
+    o = X.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), x.alias("x"), y.alias("y"))
+    return o.select("id", S.hilbert(F.col("x"), F.col("y"), 1024).alias("hilbert"), S.morton(F.col("x"), F.col("y"), 10).alias("morton"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size > 0 AND p_partkey % 4 <> 3 THEN p_size END AS width, CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN p_partkey % 4 = 0 THEN CASE WHEN p_size > 0 THEN p_size END WHEN p_size > 0 THEN 7 END AS height FROM part")
@@ -284,10 +286,11 @@ def nearest_owner(spark: SparkSession, d: str) -> DataFrame:
     return _owned(spark, d).select("pix", "owner", *r6(d2=F.col("d2")))
 
 
-@query(f"WITH s AS ({X.SHAPE_SQL}), q AS (SELECT g::INTEGER AS pix, g % 128 + 0.5::DOUBLE AS x, g // 128 + 0.5::DOUBLE AS y FROM range(16384) t(g)) SELECT pix, arg_min(idx, ((q.x - s.x * 128) * (q.x - s.x * 128) + (q.y - s.y * 128) * (q.y - s.y * 128), idx)) AS owner FROM q, s GROUP BY pix")
+@query(f"WITH {X.POINTS}, s AS (SELECT DISTINCT ON (x, y) idx, x, y FROM points ORDER BY x, y, idx), q AS (SELECT g::INTEGER AS pix, g % 128 + 0.5::DOUBLE AS x, g // 128 + 0.5::DOUBLE AS y FROM range(16384) t(g)) SELECT pix, arg_min(idx, ((q.x - s.x * 128) * (q.x - s.x * 128) + (q.y - s.y * 128) * (q.y - s.y * 128), idx)) AS owner FROM q, s GROUP BY pix")
 def nearest_owner_128(spark: SparkSession, d: str) -> DataFrame:
-    """J1 at a published shape: 128 x 128 pixels and 5,695 points."""
-    return N.assign_nearest(X.empty_grid(spark, 128, 128), X.shape_points(spark), 128, 128, X.SHAPE_POINTS).select("pix", "owner")
+    """J1 at a published size, 128 x 128 pixels, with a point for each customer."""
+    points = X.points(spark, d)
+    return N.assign_nearest(X.empty_grid(spark, 128, 128), points, 128, 128, points.count()).select("pix", "owner")
 
 
 @query(f"WITH {X.PIXELS}, {X.POINTS}, s AS (SELECT pix, idx, (p.x - least(31.999::DOUBLE, q.x * 32.0)) * (p.x - least(31.999::DOUBLE, q.x * 32.0)) + (p.y - least(31.999::DOUBLE, q.y * 32.0)) * (p.y - least(31.999::DOUBLE, q.y * 32.0)) AS d FROM pixels p, points q) SELECT pix, arg_min(idx, (d, idx)) AS owner FROM s GROUP BY pix")
