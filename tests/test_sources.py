@@ -9,6 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from tessera.sources import arrays as S
+from tessera.sources import blobs as B
 from tessera.sources import manifests as L
 
 
@@ -104,12 +105,12 @@ def test_manifests(spark, tmp_path):
 
 
 def test_bundles_and_files(spark, tmp_path):
-    S.write_files(spark.createDataFrame([("x.bin", b"one"), ("y.bin", b"two")], "name string, content binary"), f"file://{tmp_path}/files")
+    B.write_files(spark.createDataFrame([("x.bin", b"one"), ("y.bin", b"two")], "name string, content binary"), f"file://{tmp_path}/files")
     files = [{"path": "x.bin", "sha256": hashlib.sha256(b"one").hexdigest(), "bytes": 3}, {"path": "y.bin", "sha256": "0", "bytes": 3}, {"path": "z.bin", "sha256": "0", "bytes": 3}]
     (tmp_path / "bundle.json").write_text(json.dumps({"name": "n", "profile": "p", "files": files}))
     got = {r["path"]: r["good"] for r in L.bundle_files(spark, f"{tmp_path}/bundle.json", f"{tmp_path}/files").collect()}
     assert got == {"x.bin": True, "y.bin": False, "z.bin": False}
-    S.write_files(spark.createDataFrame([("a/x.bin", b"one"), ("b/x.bin", b"other"), ("b/y.bin", b"two")], "name string, content binary"), f"file://{tmp_path}/deep")
+    B.write_files(spark.createDataFrame([("a/x.bin", b"one"), ("b/x.bin", b"other"), ("b/y.bin", b"two")], "name string, content binary"), f"file://{tmp_path}/deep")
     files = [{"path": p, "sha256": hashlib.sha256(c).hexdigest(), "bytes": n} for p, c, n in (("a/x.bin", b"one", 3), ("b/x.bin", b"one", 5), ("b/y.bin", b"two", 4), ("x.bin", b"one", 3))]
     (tmp_path / "deep.json").write_text(json.dumps({"name": "n", "files": files}))
     got = {r["path"]: r["problem"] for r in L.bundle_files(spark, f"{tmp_path}/deep.json", f"{tmp_path}/deep").collect()}
