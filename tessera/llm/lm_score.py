@@ -8,12 +8,17 @@ of keys. Up to ``MOST_SEGMENTS`` segments it is broadcast; a larger one stays on
 the executors, and the keys of the texts go to the segments that answer for them.
 Both ways give the same scores.
 
-A word w after v has the probability (max(c(v, w) - 1, 0) + T(v) p(w)) / c(v), where
-T(v) is the number of different words after v and p(w) = (c(w) + 1) / (N + V + 1):
-what absolute discounting takes from the pairs goes to the single words, so the
-probabilities after v sum to 1, up to the quantisation of counts. Pairs seen once
-add nothing and are not held; T(v) = c(v) - sum of (c(v, w) - 1) follows from the
-others, and is in the filter too. After a word never seen, p(w) holds.
+A word w after v has the probability (d(v, w) + T(v) p(w)) / (S(v) + T(v)). d(v, w) stands
+for c(v, w) - 1 and depends on the quantised count of the pair only; S(v) is the sum of
+d(v, w) over all w; T(v) is the number of different words after v, so what absolute
+discounting takes from the pairs goes to the single words; p(w) = (q(w) + 1) / Z with the
+quantised counts q(w), and Z makes p sum to 1 over all words and one unknown. So the
+probabilities after v sum to 1 whatever the steps of pairs, words and T(v): only the
+steps of S(v) matter, which are exact up to FINE and 1/FINE of an octave beyond.
+Pairs seen once add nothing and are not held, nor is T(v) where S(v) is 0; there, and
+after a word never seen, p(w) holds. A pair that the filter claims wrongly would add to
+the sum after v, and the more so the more words there are: a pair's first step has as
+many probes as keep the expected number of such words under a fourth.
 
 The base score needs exact counts of single words: those of the most frequent
 words, at most ``FREQUENT``, are broadcast; the others are joined.
@@ -22,7 +27,7 @@ words, at most ``FREQUENT``, are broadcast; the others are joined.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import log10
+from math import ceil, log2, log10
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import doc_crc, drop_materialized, in_worker, materialize
 from tessera.llm.kernels import U64, chunks, mix, word_hashes
 
-BITS_A_KEY, PROBES = 10, 5
+#: Probes of every step but a pair's first (see :func:`pair_probes`), and bits for each, at which half of the filter is set.
+PROBES, BITS_A_PROBE = 8, 1.4427
 SEGMENT_BITS = 1 << 23
 #: Bounds of what is broadcast: 128 MB of filter, and 8 MB of exact counts.
 MOST_SEGMENTS, FREQUENT = 128, 1 << 19
@@ -40,21 +46,23 @@ MOST_SEGMENTS, FREQUENT = 128, 1 << 19
 ASKED_AT_ONCE = 8 << 20
 TOKENS_AT_ONCE = 1 << 21
 
-#: Keys of words are 63 bits; of a pair the top bit, CONTEXT bits of its first word's key, and a hash; of T(v) these bits of v's key, and a mark.
+#: Keys of words are 63 bits; those of pairs have the top bit and 63 more; T(v) and S(v) are under v's key with a mark.
 WORD_BITS, PAIR_BIT = U64((1 << 63) - 1), U64(1 << 63)
-LOW = 33
-LOW_BITS, TYPE_MARK = U64((1 << LOW) - 1), 0x15A5A5A5A
+TYPE_MARK, SUM_MARK = 0x15A5A5A5A5A5A5A5, 0x2C3C3C3C3C3C3C3C
+#: S(v) up to FINE is exact; beyond, an octave has FINE steps.
+FINE = 32
+#: More steps than any count has.
+MOST_STEPS = 4096
 END = mix(np.array([0xE0D], U64)) & WORD_BITS
 START = mix(np.array([0x57A], U64)) & WORD_BITS
 
 
-def type_keys(words: np.ndarray) -> np.ndarray:
-    """The keys under which the filter has T(v)."""
-    return (words & ~LOW_BITS) | U64(TYPE_MARK)
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return (mix(before * U64(3) + mix(words)) & WORD_BITS) | PAIR_BIT
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the texts' words with an end after each text, keys of the pairs that each token ends, and the text of each token."""
+    """Keys of the texts' words with an end after each text, of what is before each token, and the text of each token."""
     words, bounds = word_hashes(texts)
     own = np.repeat(np.arange(len(texts)), np.diff(bounds) + 1)
     ends = np.cumsum(np.diff(bounds) + 1) - 1
@@ -66,68 +74,100 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.empty_like(out)
     before[1:], before[:1] = out[:-1], START
     before[1:][is_end[:-1]] = START
-    return out, (mix(before * U64(3) + mix(out)) & LOW_BITS) | (before & ~LOW_BITS) | PAIR_BIT, own
+    return out, before, own
 
 
 def gather(train: DataFrame) -> DataFrame:
-    """Rows (key, n): exact counts of words (key from 0) and of pairs (key below 0) that occur twice or more."""
+    """Rows (key, context, n): exact counts of words (key from 0, no context) and of pairs (key below 0, context the first word's key) that occur twice or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: list[np.ndarray]) -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-        held: list[np.ndarray] = []
+        def out(words: list[np.ndarray], befores: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            word, before = np.concatenate(words), np.concatenate(befores)
+            pair, first, n = np.unique(pair_keys(before, word), return_index=True, return_counts=True)
+            yield of(pair, pa.array(before[first].view(np.int64)), n)
+            word, n = np.unique(word, return_counts=True)
+            yield of(word, pa.nulls(len(word), pa.int64()), n)
+
+        def of(key: np.ndarray, context: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), context, pa.array(n.astype(np.int64))], names=["key", "context", "n"])
+
+        words: list[np.ndarray] = []
+        befores: list[np.ndarray] = []
         size = 0
         for batch in batches:
             for _, texts in chunks(batch.column(0)):
-                words, pairs, _ = tokens(texts)
-                held += [words, pairs]
-                size += len(words)
+                word, before, _ = tokens(texts)
+                words.append(word)
+                befores.append(before)
+                size += 2 * len(word)
                 if size > TOKENS_AT_ONCE:
-                    yield out(held)
-                    held, size = [], 0
-        if held:
-            yield out(held)
+                    yield from out(words, befores)
+                    words, befores, size = [], [], 0
+        if words:
+            yield from out(words, befores)
 
-    counted = train.select("text").mapInArrow(in_worker(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = train.select("text").mapInArrow(in_worker(count), "key long, context long, n long").groupBy("key").agg(F.min("context").alias("context"), F.sum("n").alias("n"))
     return materialize(counted.where("key >= 0 or n > 1"), "counts")
 
 
-def types_after(counts: DataFrame) -> DataFrame:
-    """Rows (key, n) with T(v), for all v that occur."""
-    as_context = F.when(F.col("key") == int(END[0]), F.lit(int(START[0]))).otherwise(F.col("key"))
-    context = F.shiftright(as_context.bitwiseAND(F.lit(int(WORD_BITS))), LOW)
-    taken = F.when(F.col("key") >= 0, F.col("n")).otherwise(1 - F.col("n"))
-    left = counts.groupBy(context.alias("context")).agg(F.sum(taken).alias("n")).where("n > 0")
-    return left.select(F.shiftleft("context", LOW).bitwiseOR(F.lit(TYPE_MARK)).alias("key"), "n")
+def word_steps(n: Column) -> Column:
+    """Words and T(v): 1 + floor(2 log2 n)."""
+    return (F.floor(2 * F.log2(n.cast("double")) + 1e-12) + 1).cast("int")
+
+
+def pair_steps(n: Column) -> Column:
+    """Pairs: floor(log2 n)."""
+    return F.floor(F.log2(n.cast("double")) + 1e-12).cast("int")
 
 
-def steps(key: Column, n: Column) -> Column:
-    """Words and T(v): 1 + floor(2 log2 n). Pairs: floor(log2 n)."""
-    lb = F.log2(n.cast("double")) + 1e-12
-    return F.when(key >= 0, F.floor(2 * lb) + 1).otherwise(F.floor(lb)).cast("int")
+def sum_steps(s: Column) -> Column:
+    """S(v): each value up to FINE, then FINE steps an octave."""
+    return F.when(s <= FINE, s).otherwise(F.floor(FINE * F.log2(s / FINE) + 1e-9) + FINE).cast("int")
+
+
+def filter_keys(counts: DataFrame) -> DataFrame:
+    """Rows (key, step) of all that the filter holds: words, pairs, and T(v) and S(v) of all v with repeated pairs."""
+    is_pair = F.col("key") < 0
+    own = counts.select("key", F.when(is_pair, pair_steps(F.col("n"))).otherwise(word_steps(F.col("n"))).alias("step"))
+    as_context = F.when(F.col("key") == int(END[0]), F.lit(int(START[0]))).otherwise(F.col("key"))  # as many starts as ends
+    low = F.pow(F.lit(2.0), pair_steps(F.col("n")))
+    less = F.floor(F.sqrt(low * (2 * low - 1)) + 0.5) - 1
+    rows = counts.select(F.when(is_pair, F.col("context")).otherwise(as_context).alias("context"), F.when(is_pair, less).otherwise(0).alias("s"), F.when(is_pair, 1 - F.col("n")).otherwise(F.col("n")).alias("t"))
+    after = rows.groupBy("context").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).where("s > 0 and t > 0")
+    both = F.array(
+        F.struct(F.col("context").bitwiseXOR(F.lit(SUM_MARK)).alias("key"), sum_steps(F.col("s")).alias("step")),
+        F.struct(F.col("context").bitwiseXOR(F.lit(TYPE_MARK)).alias("key"), word_steps(F.col("t")).alias("step")),
+    )
+    return own.unionByName(after.select(F.inline(both)))
+
+
+def pair_probes(vocabulary: int) -> int:
+    """Probes of a pair's first step: of ``vocabulary`` words, a fourth of one at most is expected to pass for a follower of v."""
+    return max(PROBES, ceil(log2(max(1, vocabulary))) + 2)
 
 
 class Filter:
     """A log-frequency Bloom filter in segments of SEGMENT_BITS."""
 
-    def __init__(self, segments: list[np.ndarray]):
+    def __init__(self, segments: list[np.ndarray], first: int):
+        self.first = first
         self.held = np.concatenate(segments) if segments else np.zeros(SEGMENT_BITS // 8, np.uint8)
         self.n = max(1, len(segments))
 
-    @staticmethod
-    def places(keys: np.ndarray, step: int | np.ndarray) -> Iterator[np.ndarray]:
-        h = mix(keys + U64(0x9E37) * np.asarray(step, U64))
-        d = mix(h) | U64(1)
-        for i in range(PROBES):
-            yield ((h + U64(i) * d) & U64(SEGMENT_BITS - 1)).astype(np.int64)
-
     def has(self, keys: np.ndarray, step: int) -> np.ndarray:
-        base = segment_of(keys, self.n) * (SEGMENT_BITS // 8)
-        out = np.ones(len(keys), bool)
-        for at in self.places(keys, step):
-            out &= ((self.held[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+        out = np.zeros(len(keys), bool)
+        left, base = np.arange(len(keys)), segment_of(keys, self.n) * (SEGMENT_BITS // 8)
+        h, d = hashed(keys, step)
+        pairs = keys >= PAIR_BIT
+        for i in range(self.first if step == 1 else PROBES):
+            if i == PROBES:  # more probes for pairs only
+                out[left[~pairs]] = True
+                left, base, h, d, pairs = (a[pairs] for a in (left, base, h, d, pairs))
+            at = place(h, d, i)
+            hit = ((self.held[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+            if not hit.all():
+                left, base, h, d, pairs = (a[hit] for a in (left, base, h, d, pairs))
+        out[left] = True
         return out
 
     def steps(self, keys: np.ndarray) -> np.ndarray:
@@ -135,15 +175,23 @@ class Filter:
         out = np.zeros(len(keys), np.int64)
         left = np.arange(len(keys))
         step = 1
-        while len(left):
+        while len(left) and step < MOST_STEPS:
             left = left[self.has(keys[left], step)]
             out[left] = step
             step += 1
-            if step > 140:
-                break
         return out
 
 
+def hashed(keys: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(keys + U64(0x9E37) * U64(step))
+    return h, mix(h) | U64(1)
+
+
+def place(h: np.ndarray, d: np.ndarray, probe: int) -> np.ndarray:
+    """The bit of a segment that a probe looks at."""
+    return ((h + U64(probe) * d) & U64(SEGMENT_BITS - 1)).astype(np.int64)
+
+
 def word_count(step: np.ndarray) -> np.ndarray:
     """The middle of the counts with this step."""
     low = np.ceil(2 ** ((step - 1) / 2) - 1e-9)
@@ -151,20 +199,38 @@ def word_count(step: np.ndarray) -> np.ndarray:
     return np.where(step > 0, np.sqrt(low * high), 0.0)
 
 
-def pair_count(step: np.ndarray) -> np.ndarray:
+def pair_less(step: np.ndarray) -> np.ndarray:
+    """d(v, w): the middle of the counts with this step, rounded, less 1."""
     low = 2.0**step
-    return np.where(step > 0, np.sqrt(low * (2 * low - 1)), 0.0)
+    return np.where(step > 0, np.floor(np.sqrt(low * (2 * low - 1)) + 0.5) - 1, 0.0)
+
+
+def sum_value(step: np.ndarray) -> np.ndarray:
+    """S(v) of this step."""
+    return np.where(step <= FINE, step, FINE * 2.0 ** ((step - FINE + 0.5) / FINE))
+
+
+def probabilities(look: Callable[[np.ndarray], np.ndarray], scale: float, words: np.ndarray, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The model's probability of each token: ``word`` is its place in the distinct keys ``words``, ``before`` that of what is before it, or len(words) for the start of a text. ``look`` gives the steps of keys."""
+    contexts = np.append(words, START)
+    p = ((word_count(look(words)) + 1) / scale)[word]
+    sums = sum_value(look(contexts ^ U64(SUM_MARK)))
+    types = np.where(sums > 0, word_count(look(contexts ^ U64(TYPE_MARK))), 0.0)
+    some = np.flatnonzero((types > 0)[before])
+    s, t = sums[before[some]], types[before[some]]
+    p[some] = (pair_less(look(pair_keys(contexts[before[some]], words[word[some]]))) + t * p[some]) / (s + t)
+    return p
 
 
 def segment_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> U64(20)) % U64(n)).astype(np.int64)
 
 
-def filter_segments(counts: DataFrame) -> tuple[int, DataFrame]:
-    """How many segments the filter of all rows of ``counts`` (key, n) has, and rows (segment, bits) of those that hold keys."""
-    stepped = counts.select("key", steps(F.col("key"), F.col("n")).alias("step"))
-    total = stepped.agg(F.sum("step")).first()[0] or 0
-    n = max(1, -(-total * BITS_A_KEY // SEGMENT_BITS))
+def filter_segments(stepped: DataFrame, first: int) -> tuple[int, DataFrame]:
+    """How many segments the filter of all rows of ``stepped`` (key, step) has, and rows (segment, bits) of those that hold keys. ``first`` is the probes of a pair's first step."""
+    probes = F.col("step") * PROBES + F.when(F.col("key") < 0, first - PROBES).otherwise(0)
+    total = stepped.agg(F.sum(probes)).first()[0] or 0
+    n = max(1, ceil(total * BITS_A_PROBE / SEGMENT_BITS))
 
     def build(pdf):
         import pandas as pd
@@ -172,25 +238,31 @@ def filter_segments(counts: DataFrame) -> tuple[int, DataFrame]:
         bits = np.zeros(SEGMENT_BITS, bool)
         keys, step = pdf["key"].to_numpy().view(U64), pdf["step"].to_numpy()
         for s in range(1, int(step.max()) + 1):
-            for at in Filter.places(keys[step >= s], s):
-                bits[at] = True
+            keys, step = keys[step >= s], step[step >= s]
+            h, d = hashed(keys, s)
+            for i in range(PROBES):
+                bits[place(h, d, i)] = True
+            if s == 1:
+                h, d = h[keys >= PAIR_BIT], d[keys >= PAIR_BIT]
+                for i in range(PROBES, first):
+                    bits[place(h, d, i)] = True
         return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     placed = stepped.withColumn("segment", F.shiftrightunsigned("key", 20) % n)
     return n, placed.groupBy("segment").applyInPandas(build, "segment long, bits binary")
 
 
-def collect_filter(n: int, segments: DataFrame) -> Filter:
+def collect_filter(n: int, segments: DataFrame, first: int) -> Filter:
     rows = {r["segment"]: r["bits"] for r in segments.collect()}
-    return Filter([np.frombuffer(rows[i], np.uint8) if i in rows else np.zeros(SEGMENT_BITS // 8, np.uint8) for i in range(n)])
+    return Filter([np.frombuffer(rows[i], np.uint8) if i in rows else np.zeros(SEGMENT_BITS // 8, np.uint8) for i in range(n)], first)
 
 
-def build_filter(counts: DataFrame) -> Filter:
-    """The whole filter of ``counts``, on the driver."""
-    return collect_filter(*filter_segments(counts))
+def build_filter(stepped: DataFrame, first: int = PROBES) -> Filter:
+    """The whole filter of ``stepped``, on the driver."""
+    return collect_filter(*filter_segments(stepped, first), first)
 
 
-def ask_segments(pieces: DataFrame, n: int, segments: DataFrame) -> DataFrame:
+def ask_segments(pieces: DataFrame, n: int, segments: DataFrame, first: int) -> DataFrame:
     """Rows (group, keys, steps) of all keys of the texts of each group of ``pieces`` (group, text) for which step 1 succeeds."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,9 +287,10 @@ def ask_segments(pieces: DataFrame, n: int, segments: DataFrame) -> DataFrame:
                     held, size = [], 0
                 now = int(groups[a])
                 for _, texts in chunks(batch.column(1).slice(a, b - a)):
-                    words, pairs, _ = tokens(texts)
-                    own_words = np.unique(words)
-                    held += [own_words, np.unique(pairs), type_keys(own_words), type_keys(START)]
+                    words, before, _ = tokens(texts)
+                    distinct = np.unique(words)
+                    contexts = np.append(distinct, START)
+                    held += [distinct, np.unique(pair_keys(before, words)), contexts ^ U64(TYPE_MARK), contexts ^ U64(SUM_MARK)]
                     size += len(words)
         if held:
             yield out(now, held)
@@ -228,11 +301,11 @@ def ask_segments(pieces: DataFrame, n: int, segments: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 segment, group = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 if group < 0:  # the segment itself, before all who ask it
-                    at, model = segment, Filter([np.frombuffer(batch.column(2)[k].as_py(), np.uint8)])
+                    at, model = segment, Filter([np.frombuffer(batch.column(2)[k].as_py(), np.uint8)], first)
                 elif segment == at:
                     keys = np.frombuffer(batch.column(2)[k].as_py(), U64)
                     step = model.steps(keys)
-                    keys, step = keys[step > 0], step[step > 0].astype(np.uint8)
+                    keys, step = keys[step > 0], step[step > 0].astype(np.uint16)
                     if len(keys):
                         yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([step.tobytes()], pa.binary())], names=["group", "keys", "steps"])
 
@@ -242,10 +315,15 @@ def ask_segments(pieces: DataFrame, n: int, segments: DataFrame) -> DataFrame:
     return met.mapInArrow(in_worker(probe), "group long, keys binary, steps binary")
 
 
+def words_by_step(counts: DataFrame) -> list:
+    """How many different words have each step, and how often these occur: some dozens of rows."""
+    return counts.where("key >= 0").groupBy(word_steps(F.col("n")).alias("step")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()
+
+
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and counts of the most frequent words: all above a count such that there are at most ``most``."""
     words = counts.where("key >= 0")
-    by_step = sorted(((r[0], r[1]) for r in words.groupBy(steps(F.col("key"), F.col("n")).alias("step")).count().collect()), reverse=True)
+    by_step = sorted(((r["step"], r["words"]) for r in words_by_step(counts)), reverse=True)
     least, total = None, 0
     for step, n in by_step:
         if total + n > most:
@@ -253,7 +331,7 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
         least, total = step, total + n
     if least is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows = words.where(steps(F.col("key"), F.col("n")) >= least).toArrow()
+    rows = words.where(word_steps(F.col("n")) >= least).toArrow()
     key, n = rows["key"].to_numpy(), rows["n"].to_numpy()
     order = np.argsort(key)
     return key[order], n[order]
@@ -272,17 +350,19 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     """
     sc = docs.sparkSession.sparkContext
     counts = gather(train)
-    of_words = counts.where("key >= 0").agg(F.sum("n"), F.count(F.lit(1))).first()
-    n_train, vocabulary = of_words[0] or 0, of_words[1]
+    by_step = words_by_step(counts)
+    n_train, vocabulary = sum(r["n"] for r in by_step), sum(r["words"] for r in by_step)
     scale = float(n_train + vocabulary + 1)
-    n_segments, segments = filter_segments(counts.unionByName(types_after(counts)))
+    model_scale = 1 + sum(r["words"] * (float(word_count(np.array(r["step"]))) + 1) for r in by_step)
+    first = pair_probes(vocabulary)
+    n_segments, segments = filter_segments(filter_keys(counts), first)
     frequent = sc.broadcast(frequent_words(counts))
 
     def of_texts(rows: np.ndarray, ids: pa.Array, texts: list[bytes], look: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
         """A row for each text, and rows of its words that are not frequent; ``look`` gives the steps of keys."""
         known, times = frequent.value
         names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "key", "n"]
-        words, pairs, own = tokens(texts)
+        words, _, own = tokens(texts)
         g = len(texts)
         distinct, back = np.unique(words, return_inverse=True)
         at = np.minimum(np.searchsorted(known, distinct.view(np.int64)), max(0, len(known) - 1))
@@ -291,17 +371,10 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
         base = np.bincount(own, np.log10(exact + 1.0)[back], g)
         n_known = np.bincount(own, found[back], g)
 
-        c, types = word_count(look(distinct)), word_count(look(type_keys(distinct)))
-        p = ((c + 1) / scale)[back]
-        before, after = np.empty(len(words)), np.empty(len(words))
-        before[1:], after[1:] = c[back][:-1], types[back][:-1]
-        first_of = np.flatnonzero(np.diff(own, prepend=-1))
-        before[first_of] = c[np.searchsorted(distinct, END)[0]]  # as many starts as ends
-        after[first_of] = word_count(look(type_keys(START)))[0]
-        after = np.minimum(after, before)
-        both = np.clip(pair_count(look(pairs)) - 1, 0, before - after)
-        seen = (before > 0) & (after > 0)
-        logs = np.log10(np.where(seen, (both + after * p) / np.where(seen, before, 1), p)) if n_train else np.zeros(len(words))
+        before = np.empty(len(words), np.int64)
+        before[1:] = back[:-1]
+        before[np.flatnonzero(np.diff(own, prepend=-1))] = len(distinct)
+        logs = np.log10(probabilities(look, model_scale, distinct, back, before)) if n_train else np.zeros(len(words))
         total = np.bincount(own, logs, g)
 
         nothing = pa.nulls(g, pa.int64())
@@ -316,7 +389,7 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     out = "row long, doc_id long, n_tokens long, n_known long, base double, score double, key long, n long"
     texts_of = docs.select("doc_id", "text")
     if n_segments <= MOST_SEGMENTS:
-        filter_ = sc.broadcast(collect_filter(n_segments, segments))
+        filter_ = sc.broadcast(collect_filter(n_segments, segments, first))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -324,8 +397,8 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
             row = TaskContext.get().partitionId() << 40
             for batch in batches:
                 ids = batch.column(0).cast(pa.int64())
-                for first, texts in chunks(batch.column(1)):
-                    yield from of_texts(row + first + np.arange(len(texts)), ids.slice(first, len(texts)), texts, filter_.value.steps)
+                for at, texts in chunks(batch.column(1)):
+                    yield from of_texts(row + at + np.arange(len(texts)), ids.slice(at, len(texts)), texts, filter_.value.steps)
                 row += len(ids)
 
         scored = materialize(texts_of.mapInArrow(in_worker(score), out), "scored")
@@ -362,17 +435,17 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
                     if groups[a] != now:
                         now, held, keys, step = groups[a], [], np.zeros(0, U64), np.zeros(0, np.int64)
                     if rows[a] < 0:  # answers come before the texts of their group
-                        held += [(np.frombuffer(batch.column(4)[k].as_py(), U64), np.frombuffer(batch.column(5)[k].as_py(), np.uint8)) for k in range(a, b)]
+                        held += [(np.frombuffer(batch.column(4)[k].as_py(), U64), np.frombuffer(batch.column(5)[k].as_py(), np.uint16)) for k in range(a, b)]
                         continue
                     if held:
                         keys, at = np.unique(np.concatenate([k for k, _ in held]), return_index=True)
                         step, held = np.concatenate([s for _, s in held])[at].astype(np.int64), []
                     ids = batch.column(2).slice(a, b - a)
-                    for first, texts in chunks(batch.column(3).slice(a, b - a)):
-                        yield from of_texts(rows[a + first : a + first + len(texts)], ids.slice(first, len(texts)), texts, look)
+                    for at, texts in chunks(batch.column(3).slice(a, b - a)):
+                        yield from of_texts(rows[a + at : a + at + len(texts)], ids.slice(at, len(texts)), texts, look)
 
         pieces = materialize(texts_of.mapInArrow(in_worker(deal), "group long, row long, doc_id long, text binary"), "pieces")  # so that both passes see the same groups
-        answers = ask_segments(pieces, n_segments, segments)
+        answers = ask_segments(pieces, n_segments, segments, first)
         met = pieces.unionByName(answers.withColumn("row", F.lit(-1).cast("long")), allowMissingColumns=True).select("group", "row", "doc_id", "text", "keys", "steps")
         scored = materialize(met.repartition("group").sortWithinPartitions("group", "row").mapInArrow(in_worker(score_groups), out), "scored")
         drop_materialized(pieces)

@@ -342,7 +342,7 @@ def test_lm_base_is_exact_and_model_is_better(spark, monkeypatch):
 
 
 def test_lm_scores_against_brute_force(spark):
-    """Every probability comes from the quantised counts; those after a word sum to about 1."""
+    """Every probability comes from the quantised counts; those after a word sum to 1."""
     r = random.Random(4)
     train = [(k, " ".join(r.choices("the a of cat dog bird sits runs on mat".split(), [9, 8, 7, 3, 3, 2, 2, 2, 5, 1], k=r.randrange(1, 30)))) for k in range(80)]
     docs = [(900, "the cat sits on the mat"), (901, "unseen the words"), (902, ""), (903, None), *train[:10]]
@@ -351,26 +351,47 @@ def test_lm_scores_against_brute_force(spark):
         w = [*WORD.findall(t), None]
         count.update(w)
         pairs.update(zip(["", *w], w))
-    n, v = sum(count.values()), len(count)
-    step = lambda c: math.floor(2 * math.log2(c) + 1e-9) + 1 if c else 0
-    quantised = lambda c: float(lm_score.word_count(np.array([step(c)]))[0])
-    of_pair = lambda c: float(lm_score.pair_count(np.array([int(math.log2(c)) if c > 1 else 0]))[0])
+
+    def half_octave(c):
+        step = math.floor(2 * math.log2(c) + 1e-9) + 1
+        low = math.ceil(2 ** ((step - 1) / 2) - 1e-9)
+        return math.sqrt(low * max(low, math.ceil(2 ** (step / 2) - 1e-9) - 1))
+
+    def less(c):
+        low = 2 ** math.floor(math.log2(c)) if c > 1 else 0
+        return math.floor(math.sqrt(low * (2 * low - 1)) + 0.5) - 1 if low else 0
+
+    def of_sum(s):
+        return s if s <= 32 else 32 * 2 ** ((math.floor(32 * math.log2(s / 32) + 1e-9) + 0.5) / 32)
+
+    z = 1 + sum(half_octave(c) + 1 for c in count.values())
 
     def p(before, w):
-        single = (quantised(count[w]) + 1) / (n + v + 1)
-        total = count[None] if before == "" else count[before]
-        kinds = sum(a == before for a, _ in pairs)
-        c, t = quantised(total), min(quantised(kinds), quantised(total))
-        if not c or not t:
-            return single
-        return (min(max(of_pair(pairs[before, w]) - 1, 0), c - t) + t * single) / c
+        single = ((half_octave(count[w]) if count[w] else 0) + 1) / z
+        after = {b: c for (a, b), c in pairs.items() if a == before}
+        s = of_sum(sum(less(c) for c in after.values()))
+        t = half_octave(len(after)) if s else 0
+        return (less(after.get(w, 0)) + t * single) / (s + t) if s else single
 
     got = {r["doc_id"]: r["score"] for r in lm_score.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(train, "doc_id long, text string")).collect()}
     for i, t in docs:
         w = [*WORD.findall(lower(t)), None]
         assert got[i] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["", *w], w)), rel=1e-6)
     for before in ("", "the", "cat", "on"):
-        assert 0.7 < sum(p(before, w) for w in count) < 1.3
+        assert sum(p(before, w) for w in [*count, "unknown"]) == pytest.approx(1, abs=0.02)
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """After each of the 300 most frequent words, over all words of the corpus and one unknown, as the filter answers."""
+    docs = docs_of(spark)
+    counts = lm_score.gather(docs)
+    rows = sorted(((r["n"], r["key"]) for r in counts.where("key >= 0").collect()), reverse=True)
+    held = lm_score.build_filter(lm_score.filter_keys(counts), lm_score.pair_probes(len(rows)))
+    scale = 1 + sum(r["words"] * (float(lm_score.word_count(np.array(r["step"]))) + 1) for r in lm_score.words_by_step(counts))
+    words = np.unique(np.array([k for _, k in rows] + [12345], np.int64).view(np.uint64))
+    contexts = np.searchsorted(words, np.array([k for _, k in rows[:300]], np.int64).view(np.uint64))
+    sums = [lm_score.probabilities(held.steps, scale, words, np.arange(len(words)), np.full(len(words), c)).sum() for c in [*contexts, len(words)]]
+    assert max(abs(s - 1) for s in sums) < 0.02
 
 
 def test_lm_scores_do_not_depend_on_partitions(spark):
@@ -426,12 +447,13 @@ def test_scratch_of_one_thread_is_not_another_s(spark):
 
 
 def test_lm_filter_holds_steps(spark):
-    counts = spark.createDataFrame([(i * 7919 + 1, 1 + i % 50) for i in range(5000)] + [(-i * 104729 - 1, 2 + i % 9) for i in range(5000)], "key long, n long")
-    held = lm_score.build_filter(counts)
-    rows = counts.select("key", lm_score.steps(counts["key"], counts["n"]).alias("step")).collect()
-    found = held.steps(np.array([r["key"] for r in rows]).view(np.uint64))
-    wanted = np.array([r["step"] for r in rows])
+    rows = [(i * 7919 + 1, 1 + i % 50) for i in range(5000)] + [(-i * 104729 - 1, 1 + i % 4) for i in range(5000)]
+    held = lm_score.build_filter(spark.createDataFrame(rows, "key long, step int"), 20)
+    found = held.steps(np.array([k for k, _ in rows]).view(np.uint64))
+    wanted = np.array([s for _, s in rows])
     assert (found >= wanted).all() and (found > wanted).mean() < 0.02
+    others = np.arange(1 << 63, (1 << 63) + 10**6, dtype=np.uint64)
+    assert held.steps(others).astype(bool).mean() < 1e-5  # pairs that are not held
 
 
 def test_lm_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
@@ -443,7 +465,8 @@ def test_lm_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
         lines += 2 * [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
     train = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "doc_id long, text string")
     docs = train.limit(50).union(spark.createDataFrame([(9000 + k, " ".join(f"new{k}x{j}" for j in range(100))) for k in range(20)] + [(9500, None), (None, "w1 w2 new")], "doc_id long, text string"))
-    n, _ = lm_score.filter_segments(lm_score.gather(train))
+    counts = lm_score.gather(train)
+    n, _ = lm_score.filter_segments(lm_score.filter_keys(counts), lm_score.pair_probes(counts.where("key >= 0").count()))
     assert n > 2
     whole = sorted(map(str, lm_score.score_texts(docs, train).collect()))
     monkeypatch.setattr(lm_score, "MOST_SEGMENTS", 1)
