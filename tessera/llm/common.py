@@ -137,12 +137,20 @@ def drop_materialized(df: DataFrame) -> None:
     delete_path(df.sparkSession, df._scratch_path)
 
 
+def is_parquet_table(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a table of Parquet files as read, so that its rows have an index in their file."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
 def placed(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """All or some columns of ``docs`` and __place, the place of each row in the table, from 0: a key that tells repeated rows apart.
 
     The order of a table of Parquet files is that of its parts and of the rows in them; anything else is written first.
     """
-    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+    if not is_parquet_table(docs):
         docs = materialize(docs if columns is None else docs.select(*columns), "placed")
     columns = columns or docs.columns
     part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1)

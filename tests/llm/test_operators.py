@@ -446,6 +446,18 @@ def test_scratch_of_one_thread_is_not_another_s(spark):
         gone.count()
 
 
+def test_places_of_rows_in_tables_of_any_format(spark, tmp_path):
+    rows = [(i, f"text {i % 7}") for i in range(50)]
+    for form in ("parquet", "csv", "json"):
+        path = f"{tmp_path}/{form}"
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.format(form).save(path)
+        table = spark.read.schema("doc_id long, text string").format(form).load(path)
+        assert common.is_parquet_table(table) == (form == "parquet")
+        got = common.placed(table).collect()
+        assert sorted(r["__place"] for r in got) == list(range(50))
+        assert sorted((r["doc_id"], r["text"]) for r in got) == rows
+
+
 def test_lm_filter_holds_steps(spark):
     rows = [(i * 7919 + 1, 1 + i % 50) for i in range(5000)] + [(-i * 104729 - 1, 1 + i % 4) for i in range(5000)]
     held = lm_score.build_filter(spark.createDataFrame(rows, "key long, step int"), 20)
