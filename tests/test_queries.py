@@ -36,3 +36,10 @@ def test_query_gives_the_rows_of_its_sql(spark, sql, name):
 
 def test_flagship_query_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name, column, table", [("auto_counts", "l_quantity", "lineitem"), ("density_normalisation", "l_quantity", "lineitem"), ("labelled_states", "p_partkey", "part")])
+def test_query_scans_a_column_of_a_table(spark, name, column, table):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if f"{table}.parquet" in line]
+    assert any(column in line.split("ReadSchema")[-1] for line in scans)
