@@ -3,26 +3,40 @@
 from __future__ import annotations
 
 import ast
+import fnmatch
 import io
 import json
 import struct
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack, nullcontext
+from dataclasses import dataclass, replace
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from tessera.operators.scan import ranked
+from tessera.session import ship
+from tessera.sources.blobs import FileWriter, Written
 
 # Element types that are read, those that are written, and the head of a packed splat file.
 READ_TYPES = ("<f4", "<f8", "<i4", "<u4", "<i8", "|u1", "|b1", "|i1")
 WRITE_TYPES = ("<f4", "<i4", "<i8", "|u1")
 SPLAT_MAGIC = b"GS2D"
 LEAST_SCALE = 0.01
+#: Rows of a piece that is written, elements or rows of a partition and of a batch that are read, and bytes that hold the head of any array.
+PIECE, SPLIT, CHUNK, HEAD = 1 << 13, 1 << 20, 1 << 16, 1 << 17
 
 
-def parse_npy(data: bytes, types: tuple[str, ...] = READ_TYPES) -> np.ndarray:
-    """The array of an NPY file, versions 1 to 3; ValueError for another type, Fortran order or a wrong size."""
+def npy_head(data: bytes, types: tuple[str, ...] = READ_TYPES) -> tuple[np.dtype, tuple[int, ...], int]:
+    """Type and shape of an NPY file, versions 1 to 3, and where its elements begin; ValueError for another type or Fortran order. ``data`` has to hold the head."""
     if data[:6] != b"\x93NUMPY" or len(data) < 10:
         raise ValueError("not an NPY file")
     if data[6] not in (1, 2, 3):
@@ -41,7 +55,13 @@ def parse_npy(data: bytes, types: tuple[str, ...] = READ_TYPES) -> np.ndarray:
         raise ValueError(f"NPY type {dtype.str} is not supported")
     if fortran and len(shape) > 1:
         raise ValueError("NPY in Fortran order is not supported")
-    body = data[start + size :]
+    return dtype, shape, start + size
+
+
+def parse_npy(data: bytes, types: tuple[str, ...] = READ_TYPES) -> np.ndarray:
+    """The array of an NPY file; ValueError as for its head, or for a wrong size."""
+    dtype, shape, start = npy_head(data, types)
+    body = data[start:]
     if len(body) != int(np.prod(shape, dtype=np.int64)) * dtype.itemsize:
         raise ValueError("NPY payload has the wrong size")
     return np.frombuffer(body, dtype).reshape(shape)
@@ -124,18 +144,128 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataF
     return binary(spark, path, pattern).select("path", "content").mapInPandas(pixels, "path string, pix int, x int, y int, r float, g float, b float")
 
 
-def read_arrays(spark: SparkSession, path: str, pattern: str = "*.np[yz]") -> DataFrame:
-    """All elements (path, name, shape, dtype, i, value) of NPY and NPZ files; name is empty for NPY."""
+@dataclass
+class Held(InputPartition):
+    """An array in a file, or ``count`` of its elements from ``first`` on. Stored arrays begin at ``offset`` of the file; deflated ones (-1) at ``skip`` of their member."""
+
+    path: str
+    name: str
+    member: str
+    dtype: str
+    shape: list[int]
+    offset: int
+    skip: int
+    first: int = 0
+    count: int = 0
+
+    @property
+    def size(self) -> int:
+        return int(np.prod(self.shape, dtype=np.int64))
+
+    def chunks(self, files: fs.FileSystem) -> Iterator[np.ndarray]:
+        """The elements, at most CHUNK at once."""
+        item = np.dtype(self.dtype).itemsize
+        with files.open_input_file(self.path) as source, ExitStack() as more:
+            if self.offset < 0:
+                member = more.enter_context(more.enter_context(zipfile.ZipFile(source)).open(self.member))
+                left = self.skip + self.first * item
+                while left:
+                    left -= len(member.read(min(left, CHUNK)))
+            for at in range(self.first, self.first + self.count, CHUNK):
+                n = min(CHUNK, self.first + self.count - at)
+                data = source.read_at(n * item, self.offset + at * item) if self.offset >= 0 else member.read(n * item)
+                yield np.frombuffer(data, self.dtype)
+
+
+def listed(path: str, pattern: str) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
+    """The file ``path``, or the files of that folder that ``pattern`` fits, by name."""
+    files, root = fs.FileSystem.from_uri(path)
+    info = files.get_file_info(root)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    there = files.get_file_info(fs.FileSelector(root)) if info.type == fs.FileType.Directory else [info]
+    return files, sorted((i for i in there if i.type == fs.FileType.File and not i.base_name.startswith((".", "_")) and fnmatch.fnmatchcase(i.base_name, pattern)), key=lambda i: i.path)
+
+
+def held_arrays(files: fs.FileSystem, info: fs.FileInfo) -> list[Held]:
+    """The arrays of an NPY or NPZ file, from its heads alone."""
+    out = []
+
+    def add(member: str, head: bytes, size: int, offset: int) -> None:
+        dtype, shape, skip = npy_head(head)
+        if size - skip != int(np.prod(shape, dtype=np.int64)) * dtype.itemsize:
+            raise ValueError("NPY payload has the wrong size")
+        out.append(Held(info.path, member.removesuffix(".npy"), member, dtype.str, list(shape), offset + skip if offset >= 0 else -1, skip))
+
+    with files.open_input_file(info.path) as source:
+        try:
+            if source.read_at(2, 0) != b"PK":
+                add("", source.read_at(min(info.size, HEAD), 0), info.size, 0)
+                return out
+            with zipfile.ZipFile(source) as z:
+                for m in z.infolist():
+                    if m.filename.endswith(".npy"):
+                        with z.open(m) as member:
+                            head = member.read(HEAD)
+                        name, extra = struct.unpack("<HH", source.read_at(4, m.header_offset + 26))
+                        add(m.filename, head, m.file_size, m.header_offset + 30 + name + extra if m.compress_type == zipfile.ZIP_STORED else -1)
+        except (ValueError, zipfile.BadZipFile) as e:
+            raise ValueError(f"{info.path}: {e}") from e
+    return out
+
+
+def repeated(value, kind: pa.DataType, n: int) -> pa.Array:
+    return pa.array([value], kind).take(pa.array(np.zeros(n, np.int32)))
+
+
+class ArrayReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.pattern = options["path"], options["pattern"]
+
+    def partitions(self) -> list[Held]:
+        files, found = listed(self.path, self.pattern)
+        out = []
+        for info in found:
+            for h in held_arrays(files, info):
+                step = SPLIT if h.offset >= 0 else max(1, h.size)
+                out += [replace(h, first=at, count=min(step, h.size - at)) for at in range(0, h.size, step)]
+        return out or [Held("", "", "", "|u1", [0], 0, 0)]
+
+    def read(self, part: Held) -> Iterator[pa.RecordBatch]:
+        files, _ = fs.FileSystem.from_uri(self.path)
+        at = part.first
+        for v in part.chunks(files) if part.count else ():
+            n = len(v)
+            columns = [repeated(part.path, pa.string(), n), repeated(part.name, pa.string(), n), repeated(part.shape, pa.list_(pa.int32()), n), repeated(part.dtype, pa.string(), n), pa.array(np.arange(at, at + n)), pa.array(v.astype(np.float64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "name", "shape", "dtype", "i", "value"])
+            at += n
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for p, data in zip(batch["path"], batch["content"]):
-                data = bytes(data)
-                for name, a in (parse_npz(data) if data[:2] == b"PK" else {"": parse_npy(data)}).items():
-                    v = a.ravel().astype(np.float64)
-                    yield pd.DataFrame({"path": p, "name": name, "shape": [list(a.shape)] * len(v), "dtype": a.dtype.str, "i": np.arange(len(v)), "value": v})
 
-    return binary(spark, path, pattern).select("path", "content").mapInPandas(rows, "path string, name string, shape array<int>, dtype string, i long, value double")
+class ArraySource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "array_files"
+
+    def schema(self) -> str:
+        return "path string, name string, shape array<int>, dtype string, i long, value double"
+
+    def reader(self, schema) -> ArrayReader:
+        return ArrayReader(self.options)
+
+
+def _load(spark: SparkSession, source: type[DataSource], path: str, pattern: str) -> DataFrame:
+    ship(spark)
+    spark.dataSource.register(source)
+    return spark.read.format(source.name()).option("path", path).option("pattern", pattern).load()
+
+
+def read_arrays(spark: SparkSession, path: str, pattern: str = "*.np[yz]") -> DataFrame:
+    """All elements (path, name, shape, dtype, i, value) of the NPY and NPZ files of a folder, or of one file; name is empty for NPY.
+
+    The driver reads heads only; partitions are ranges of stored arrays, and whole
+    deflated ones, which are streamed. ``path`` is a URI that Arrow's file systems know.
+    """
+    return _load(spark, ArraySource, path, pattern)
 
 
 def read_splats(spark: SparkSession, path: str) -> DataFrame:
@@ -208,19 +338,60 @@ def save_scene(arrays: dict[str, np.ndarray], meta: dict, width: int, height: in
     return dump_npz(head | arrays)
 
 
-def splat_files(splats: DataFrame) -> DataFrame:
-    """(name, content) of the array files of each image's splats: .points .cov .rgb .color .weights, and .ids .slots where there are tracks."""
-    tracked = "track_id" in splats.columns
+def pieces(rows: DataFrame, order: list[str], label: Callable[[str], tuple[str, str, int]], arrays_of: Callable[[pd.DataFrame], dict[str, np.ndarray]], facts: dict[str, Column], lead: Callable[[pd.Series], tuple[int, ...]]) -> DataFrame:
+    """Array files of each image of ``rows`` by pieces (name, member, place, part, content) of PIECE rows, in ``order``; the head of an array is its part -1.
+
+    ``arrays_of`` gives the arrays of some rows, ``label`` file, member and place of
+    the member of an array, and ``lead`` the first lengths of an image's arrays from its ``facts``.
+    """
+    columns = [c for c in rows.columns if c != "image_id"]
+
+    def framed(image: int, part: int, contents: dict[str, bytes]) -> pd.DataFrame:
+        where = [label(n) for n in contents]
+        return pd.DataFrame({"name": [f"{image}.{w[0]}" for w in where], "member": [w[1] for w in where], "place": [w[2] for w in where], "part": part, "content": list(contents.values())})
 
     def dump(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
+        held = arrays_of(pdf.sort_values("rank"))
+        return framed(pdf["image_id"].iloc[0], pdf["rank"].iloc[0] // PIECE, {n: np.ascontiguousarray(a).tobytes() for n, a in held.items()})
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, image in batch.iterrows():
+                none = arrays_of(pd.DataFrame({c: np.zeros(0) for c in columns}))
+                yield framed(image["image_id"], -1, {n: npy_start(a.dtype, (*lead(image), *a.shape[1:])) for n, a in none.items()})
+
+    schema = "name string, member string, place int, part long, content binary"
+    body = ranked(rows, ["image_id"], order).groupBy("image_id", F.expr(f"rank div {PIECE}")).applyInPandas(dump, schema)
+    return body.unionByName(rows.groupBy("image_id").agg(*[c.alias(n) for n, c in facts.items()]).mapInPandas(heads, schema))
+
+
+def npy_start(dtype: np.dtype, shape: tuple[int, ...]) -> bytes:
+    """The head of an NPY file."""
+    if dtype.str not in WRITE_TYPES:
+        raise ValueError(f"NPY type {dtype.str} is not written")
+    out = io.BytesIO()
+    np.lib.format.write_array_header_1_0(out, {"descr": dtype.str, "fortran_order": False, "shape": tuple(int(n) for n in shape)})
+    return out.getvalue()
+
+
+def splat_pieces(splats: DataFrame) -> DataFrame:
+    """The array files of each image's splats by pieces: .points .cov .rgb .color .weights, and .ids .slots where there are tracks."""
+    tracked = "track_id" in splats.columns
+
+    def arrays_of(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         rgb, weight = pdf[["r", "g", "b"]].to_numpy("<f4"), pdf["weight"].to_numpy("<f4")
         arrays = {"points": pdf[["x", "y"]].to_numpy("<f4"), "cov": pdf[["lc_xx", "lc_xy", "lc_yy"]].to_numpy("<f4"), "rgb": rgb, "color": np.clip(rgb * weight[:, None], 0, 1).astype("<f4"), "weights": weight}
         if tracked:
             arrays |= {"ids": pdf["track_id"].to_numpy("<i8"), "slots": pdf["slot"].to_numpy("<i4")}
-        return pd.DataFrame({"name": [f"{pdf['image_id'].iloc[0]}.{n}.npy" for n in arrays], "content": [dump_npy(a) for a in arrays.values()]})
+        return arrays
 
-    return splats.groupBy("image_id").applyInPandas(dump, "name string, content binary")
+    return pieces(splats, ["idx"], lambda n: (f"{n}.npy", "", 0), arrays_of, {"n": F.count(F.lit(1))}, lambda image: (image["n"],))
+
+
+def splat_files(splats: DataFrame) -> DataFrame:
+    """(name, content) of :func:`splat_pieces`, whole: for files that fit a row."""
+    held = splat_pieces(splats).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("part", "content"))).alias("s"))
+    return held.select("name", F.aggregate("s", F.lit(b""), lambda all_, s: F.concat(all_, s["content"])).alias("content"))
 
 
 def render_files(rendered: DataFrame, width: int, height: int) -> DataFrame:
@@ -233,52 +404,158 @@ def render_files(rendered: DataFrame, width: int, height: int) -> DataFrame:
     return rendered.groupBy("image_id").applyInPandas(dump, "name string, content binary")
 
 
-def sample_files(points: DataFrame, density: DataFrame) -> DataFrame:
-    """(name, content) of an NPZ of each image: points and density, and of points with init_ or final_ columns what is there."""
+STATE = ("x", "y", "lc_xx", "lc_xy", "lc_yy", "r", "g", "b")
+
+
+def sample_pieces(points: DataFrame, density: DataFrame) -> DataFrame:
+    """An NPZ of each image by pieces: points and density, and of points with init_ or final_ columns what is there."""
     there = [p for p in ("init", "final") if f"{p}_lc_xx" in points.columns]
-    maps = density.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pix", "density"))), lambda s: s["density"]).alias("density"), (F.max("y") + 1).alias("height"))
+    names = ["points", "density", *[f"{p}_{n}" for p in there for n in ("cov", "rgb")]]
+    label = lambda n: ("npz", f"{n}.npy", names.index(n))
 
-    def dump(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        h = int(pdf["height"].iloc[0])
-        arrays = {"points": pdf[["x", "y"]].to_numpy("<f4"), "density": np.array(pdf["density"].iloc[0], "<f4").reshape(h, -1)}
+    def arrays_of(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        arrays = {"points": pdf[["x", "y"]].to_numpy("<f4")}
         for p in there:
             arrays[f"{p}_cov"] = pdf[[f"{p}_lc_xx", f"{p}_lc_xy", f"{p}_lc_yy"]].to_numpy("<f4")
             arrays[f"{p}_rgb"] = pdf[[f"{p}_r", f"{p}_g", f"{p}_b"]].to_numpy("<f4")
-        return pd.DataFrame({"name": [f"{pdf['image_id'].iloc[0]}.npz"], "content": [dump_npz(arrays)]})
-
-    return points.join(maps, "image_id").groupBy("image_id").applyInPandas(dump, "name string, content binary")
+        return arrays
 
-
-STATE = ("x", "y", "lc_xx", "lc_xy", "lc_yy", "r", "g", "b")
+    of_points = pieces(points, ["idx"], label, arrays_of, {"n": F.count(F.lit(1))}, lambda image: (image["n"],))
+    maps = density.select("image_id", "pix", "y", "density").join(points.select("image_id").distinct(), "image_id", "left_semi")
+    of_maps = pieces(maps, ["pix"], label, lambda pdf: {"density": pdf["density"].to_numpy("<f4")}, {"n": F.count(F.lit(1)), "h": F.max("y") + 1}, lambda image: (image["h"], image["n"] // image["h"]))
+    return of_points.unionByName(of_maps)
 
 
-def scene_files(states: DataFrame, width: int, height: int, meta: dict) -> DataFrame:
-    """(name, content) of a scene NPZ of each image, from its splats of every state (image_id, k, idx, ...)."""
-
-    def dump(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["k", "idx"])
-        k = pdf["k"].nunique()
-        stack = lambda names: np.ascontiguousarray(pdf[list(names)].to_numpy("<f4").reshape(k, -1, len(names)))
-        arrays = {"states_points": stack(STATE[:2]), "states_cov": stack(STATE[2:5]), "states_rgb": stack(STATE[5:])}
-        return pd.DataFrame({"name": [f"{pdf['image_id'].iloc[0]}.npz"], "content": [save_scene(arrays, meta, width, height)]})
-
-    return states.groupBy("image_id").applyInPandas(dump, "name string, content binary")
+def scene_pieces(states: DataFrame, width: int, height: int, meta: dict) -> DataFrame:
+    """A scene NPZ of each image by pieces, from its splats of every state (image_id, k, idx, ...)."""
+    head = {"format_version": np.array([1], "<i4"), "width": np.array(width, "<i4"), "height": np.array(height, "<i4"), "meta": np.frombuffer(json.dumps(meta).encode(), np.uint8)}
+    names = [*head, "states_points", "states_cov", "states_rgb"]
+
+    def arrays_of(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        of = lambda columns: pdf[list(columns)].to_numpy("<f4")
+        return {"states_points": of(STATE[:2]), "states_cov": of(STATE[2:5]), "states_rgb": of(STATE[5:])}
+
+    body = pieces(states, ["k", "idx"], lambda n: ("npz", f"{n}.npy", names.index(n)), arrays_of, {"n": F.count(F.lit(1)), "k": F.countDistinct("k")}, lambda image: (image["k"], image["n"] // image["k"]))
+    fields = F.explode(F.array(*[F.struct(F.lit(f"{n}.npy").alias("member"), F.lit(k).alias("place"), F.lit(0).cast("long").alias("part"), F.lit(dump_npy(a)).alias("content")) for k, (n, a) in enumerate(head.items())]))
+    return body.unionByName(states.select("image_id").distinct().select(F.concat("image_id", F.lit(".npz")).alias("name"), fields.alias("f")).select("name", "f.*"))
+
+
+class PieceWriter(FileWriter):
+    """Files from their pieces, which come in order: a piece at a time is held."""
+
+    def write(self, rows: Iterator) -> Written:
+        files, root = self._files()
+        out, attempt = Written(), f"{root}/_temporary-{self.job}/{uuid.uuid4().hex}"
+        files.create_dir(attempt)
+        for k, (name, of_file) in enumerate(groupby(rows, lambda r: r["name"])):
+            with files.open_output_stream(f"{attempt}/{k}") as target, ExitStack() as more:
+                archive = None
+                for member, of_member in groupby(of_file, lambda r: r["member"]):
+                    if member and archive is None:
+                        archive = more.enter_context(zipfile.ZipFile(target, "w", zipfile.ZIP_STORED))
+                    with archive.open(member, "w", force_zip64=True) if member else nullcontext(target) as held:
+                        for row in of_member:
+                            held.write(bytes(row["content"]))
+            out.moves.append((f"{attempt}/{k}", f"{root}/{name}"))
+        return out
+
+
+class PieceSink(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "pieced_files"
+
+    def schema(self) -> str:
+        return "name string, member string, place int, part long, content binary"
+
+    def writer(self, schema, overwrite: bool) -> PieceWriter:
+        return PieceWriter(self.options["path"])
+
+
+def write_pieces(held: DataFrame, folder: str) -> None:
+    """Write files from rows (name, member, place, part, content) under ``folder``, a URI that Arrow's file systems know and all executors share. Members make a stored ZIP, in the order of their places."""
+    ship(held.sparkSession)
+    held.sparkSession.dataSource.register(PieceSink)
+    dealt = held.select("name", "member", "place", "part", "content").repartition("name").sortWithinPartitions("name", "place", "member", "part")
+    dealt.write.format("pieced_files").mode("append").option("path", folder).save()
+
+
+@dataclass
+class Rows(InputPartition):
+    """Splats of a scene: ``count`` of the ``n`` of each state from the ``first`` on, states counted on from ``state``, in arrays of points, log-covariances and colours."""
+
+    path: str
+    width: int
+    height: int
+    meta: str
+    state: int
+    n: int
+    first: int
+    count: int
+    arrays: list[Held]
+
+
+class SceneReader(ArrayReader):
+    def partitions(self) -> list[Rows]:
+        files, found = listed(self.path, self.pattern)
+        out = []
+        for info in found:
+            held = {h.name: h for h in held_arrays(files, info)}
+            whole = lambda name: np.concatenate([*replace(held[name], count=held[name].size).chunks(files)])  # noqa: B023, E731
+            meta = json.loads(bytes(whole("meta")).decode()) if "meta" in held else {}
+            width, height = frame_size({n: whole(n) if n in ("width", "height") else h for n, h in held.items()}, meta)
+            if "states_points" in held:
+                states = [(0, [held[f"states_{n}"] for n in ("points", "cov", "rgb")])]
+            else:
+                kinds = [k for k in ("init", "final") if f"{k}_cov" in held]
+                states = [(k, [held.get(f"{kind}_points", held.get("points")), held[f"{kind}_cov"], held[f"{kind}_rgb"]]) for k, kind in enumerate(kinds)]
+            for k, arrays in states:
+                n, rows = arrays[0].shape[-2], arrays[0].size // 2
+                if [a.size for a in arrays] != [2 * rows, 3 * rows, 3 * rows]:
+                    raise ValueError(f"{info.path}: scene has arrays of different lengths")
+                step = SPLIT if all(a.offset >= 0 for a in arrays) else max(1, rows)
+                out += [Rows(info.path, width, height, json.dumps(meta), k, n, at, min(step, rows - at), arrays) for at in range(0, rows, step)]
+        return out or [Rows("", 0, 0, "", 0, 1, 0, 0, [])]
+
+    def read(self, part: Rows) -> Iterator[pa.RecordBatch]:
+        files, _ = fs.FileSystem.from_uri(self.path)
+        at = part.first
+        streams = [in_rows(replace(a, first=part.first * k, count=part.count * k).chunks(files), k) for a, k in zip(part.arrays, (2, 3, 3))]
+        for parts in zip(*streams):
+            v = np.concatenate(parts, axis=1).astype(np.float32)
+            row = np.arange(at, at + len(v))
+            columns = [repeated(part.path, pa.string(), len(v)), *[repeated(x, pa.int32(), len(v)) for x in (part.width, part.height)], repeated(part.meta, pa.string(), len(v)), pa.array(part.state + row // part.n, pa.int32()), pa.array(row % part.n, pa.int32()), *[pa.array(np.ascontiguousarray(c)) for c in v.T]]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "width", "height", "meta", "k", "idx", *STATE])
+            at += len(v)
+
+
+def in_rows(chunks: Iterator[np.ndarray], k: int) -> Iterator[np.ndarray]:
+    """Rows of ``k`` elements, CHUNK // 4 at once, whatever the chunks."""
+    rest = np.zeros(0)
+    for v in chunks:
+        rest = np.concatenate([rest, v])
+        while len(rest) >= k * (CHUNK // 4):
+            yield rest[: k * (CHUNK // 4)].reshape(-1, k)
+            rest = rest[k * (CHUNK // 4) :]
+    if len(rest):
+        yield rest.reshape(-1, k)
+
+
+class SceneSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "scene_files"
+
+    def schema(self) -> str:
+        return "path string, width int, height int, meta string, k int, idx int, " + ", ".join(f"{c} float" for c in STATE)
+
+    def reader(self, schema) -> SceneReader:
+        return SceneReader(self.options)
 
 
 def read_scenes(spark: SparkSession, path: str) -> DataFrame:
-    """Splats of every state of the scene NPZ files, with the scene's frame size and notes (JSON)."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for p, data in zip(batch["path"], batch["content"]):
-                arrays, meta = load_scene(bytes(data))
-                width, height = frame_size(arrays, meta)
-                out = scene_states(arrays)
-                yield pd.DataFrame({"path": p, "width": width, "height": height, "meta": json.dumps(meta), **{c: out[c] for c in ("k", "idx", *STATE)}})
-
-    fields = ", ".join(f"{c} float" for c in STATE)
-    return binary(spark, path, "*.npz").select("path", "content").mapInPandas(rows, f"path string, width int, height int, meta string, k int, idx int, {fields}")
+    """Splats of every state of the scene NPZ files, with the scene's frame size and notes (JSON). Partitions are ranges of stored arrays, or states whose arrays are deflated, which are streamed."""
+    return _load(spark, SceneSource, path, "*.npz")
 
 
 def packed_files(splats: DataFrame, width: int, height: int, crop: tuple[int, int] | None = None) -> DataFrame:

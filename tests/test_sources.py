@@ -7,6 +7,7 @@ import json
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tessera.sources import arrays as S
 from tessera.sources import blobs as B
@@ -140,3 +141,28 @@ def test_encoded_images(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(b"no image")
     with pytest.raises(Exception, match="not an image"):
         S.read_encoded(spark, str(tmp_path)).collect()
+
+
+def test_arrays_are_written_by_pieces_and_read_by_ranges(spark, tmp_path):
+    n = 3 * S.PIECE + 5
+    i = F.col("id")
+    splats = spark.range(n).select(F.lit(3).cast("long").alias("image_id"), i.cast("int").alias("idx"), (i / n).alias("x"), (i % 7 / 7).alias("y"), *[(i % k / k).alias(c) for k, c in zip(range(2, 9), ("lc_xx", "lc_xy", "lc_yy", "r", "g", "b", "weight"))])
+    held = S.splat_pieces(splats)
+    assert held.agg(F.max(F.length("content"))).first()[0] <= 12 * S.PIECE
+    S.write_pieces(held, f"file://{tmp_path}/splats")
+    assert np.array_equal(np.load(tmp_path / "splats" / "3.points.npy"), np.stack([np.arange(n) / n, np.arange(n) % 7 / 7], 1).astype("<f4"))
+    states = splats.withColumn("k", F.lit(0)).unionByName(splats.withColumns({"k": F.lit(1), "x": F.col("y")}))
+    S.write_pieces(S.scene_pieces(states, 8, 6, {"a": 1}), f"file://{tmp_path}/scene")
+    arrays = dict(np.load(tmp_path / "scene" / "3.npz"))
+    assert arrays["states_points"].shape == (2, n, 2) and arrays["states_points"][1, :, 0].tolist() == arrays["states_points"][0, :, 1].tolist()
+    (tmp_path / "packed").mkdir()
+    np.savez_compressed(tmp_path / "packed" / "3.npz", **arrays)
+    density = spark.createDataFrame([(3, p, p // 4, float(p)) for p in range(12)], "image_id long, pix int, y int, density double")
+    S.write_pieces(S.sample_pieces(splats.withColumns({f"init_{c}": F.col(c) for c in S.STATE[2:]}), density), f"file://{tmp_path}/sample")
+    assert np.load(tmp_path / "sample" / "3.npz")["density"].tolist() == np.arange(12.0).reshape(3, 4).tolist()
+    rows = [S.read_scenes(spark, f"{tmp_path}/{f}").drop("path") for f in ("scene", "packed")]
+    assert rows[0].count() == 2 * n and rows[0].exceptAll(rows[1]).count() == 0 and rows[0].select("width", "height", "meta").distinct().collect() == [(8, 6, '{"a": 1}')]
+    assert S.read_scenes(spark, f"{tmp_path}/sample").select("k", "width", "height").distinct().collect() == [(0, 4, 3)]
+    np.save(tmp_path / "long.npy", np.arange(2 * S.SPLIT + 3, dtype="<f4"))
+    long = S.read_arrays(spark, f"{tmp_path}/long.npy")
+    assert long.rdd.getNumPartitions() == 3 and long.where("i <> value").count() == 0 and long.count() == 2 * S.SPLIT + 3
