@@ -137,17 +137,18 @@ def pool_of(source: Column, pools: int) -> Column:
     return F.concat(F.lit("pool:"), F.pmod(F.xxhash64(source), F.lit(pools)))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, seed: int = 17, max_sources: int = 4096) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None, seed: int = 17, max_sources: int | None = None) -> DataFrame:
     """``docs`` and the columns mix_block (slot of the row's block, gapless from 0) and mix_position (gapless from 0).
 
     ``weights`` maps a source to its target weight; sources without one get the
     smallest weight given. Without weights, see ``TEMPERATURE``. Weights are kept
     exactly, unless a ``period`` is given, to whole shares of which they are then
     rounded. A null source is a source of its own. Rows that repeat are placed one
-    by one. More than ``max_sources`` sources are dealt into as many pools; a
-    pool's weight is the sum of its sources', and in a pool rows come in a random
-    order, so in proportion to their sources' sizes. An empty table gives an empty
-    result. Columns of the new names are replaced.
+    by one. Every source has its own share, however many there are; the driver holds
+    an entry for each. Only a caller who gives ``max_sources`` has more of them dealt
+    into as many pools; a pool's weight is the sum of its sources', and in a pool rows
+    come in a random order, so in proportion to their sources' sizes. An empty table
+    gives an empty result. Columns of the new names are replaced.
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c.lower() not in ("mix_block", "mix_position")]
@@ -155,9 +156,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     spread = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("__place"), F.lit(seed)), 2)
     name = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null"))
     sizes = docs.groupBy(name.alias("__source")).count()
-    counts = {r[0]: r[1] for r in sizes.limit(max_sources + 1).collect()}
+    counts = {r[0]: r[1] for r in (sizes if max_sources is None else sizes.limit(max_sources + 1)).collect()}
     least = min(weights.values()) if weights is not None else None
-    if len(counts) > max_sources:
+    if max_sources is not None and len(counts) > max_sources:
         given = F.create_map(*[F.lit(x) for s, w in (weights or {}).items() for x in ("null" if s is None else f"s:{s}", float(w))]) if weights else None
         weigh = lambda s, n: n ** F.lit(TEMPERATURE) if given is None else F.coalesce(given[s], F.lit(float(least)))
         found = pooled(sizes, weigh, max_sources)

@@ -695,3 +695,11 @@ def test_pipeline_keeps_clean_documents(spark):
     kept = sets_of([(g["doc_id"], g["text"]) for g in got], 5)
     assert all(i == c for i, c in components_of(kept, 80, 100).items())
     assert 0.7 * len(rows) < len(got) < len(rows)
+
+
+def test_each_of_many_sources_has_its_own_share(spark):
+    """Beyond 4,096 sources these were pooled, so that the rows of a pool came in a random order."""
+    docs = spark.range(5000 * 4).selectExpr("id doc_id", "concat('s', id % 5000) source")
+    got = mixing.mix_sources(docs, block=1).orderBy("mix_position").select("source").collect()
+    for k in range(4):  # equal sources take turns
+        assert len({r["source"] for r in got[5000 * k : 5000 * (k + 1)]}) == 5000
