@@ -4,8 +4,8 @@ Counts of words and word pairs of the training texts are gathered exactly. The
 filter holds, for each of them, one key for every step of its quantised count:
 probing a word with step 1, 2, ... until a probe fails gives its count's step.
 The filter is built by the executors in segments, and its size follows the number
-of keys. Up to ``MOST_SEGMENTS`` segments it is broadcast; a larger one stays on
-the executors, and the keys of the texts go to the segments that answer for them.
+of keys. Up to ``MOST_SEGMENTS`` segments it goes to every executor as a file, which
+its workers map; a larger one stays spread over the executors, and the keys of the texts go to the segments that answer for them.
 Both ways give the same scores.
 
 A word w after v has the probability (d(v, w) + T(v) p(w)) / (S(v) + T(v)). d(v, w) stands
@@ -26,11 +26,15 @@ words, at most ``FREQUENT``, are broadcast; the others are joined.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from math import ceil, log2, log10
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +44,8 @@ from tessera.llm.kernels import U64, chunks, mix, word_hashes
 #: Probes of every step but a pair's first (see :func:`pair_probes`), and bits for each, at which half of the filter is set.
 PROBES, BITS_A_PROBE = 8, 1.4427
 SEGMENT_BITS = 1 << 23
-#: Bounds of what is broadcast: 128 MB of filter, and 8 MB of exact counts.
-MOST_SEGMENTS, FREQUENT = 128, 1 << 19
+#: Bounds of what every executor has: 128 MB of filter, and 8 MB of exact counts. Segments that the driver holds at once.
+MOST_SEGMENTS, FREQUENT, SHIPPED_AT_ONCE = 128, 1 << 19, 8
 #: Bytes of text whose distinct keys are asked for together where the filter is not broadcast, but for a longer single text.
 ASKED_AT_ONCE = 8 << 20
 TOKENS_AT_ONCE = 1 << 21
@@ -154,6 +158,13 @@ class Filter:
         self.held = np.concatenate(segments) if segments else np.zeros(SEGMENT_BITS // 8, np.uint8)
         self.n = max(1, len(segments))
 
+    @classmethod
+    def shipped(cls, name: str, n: int, first: int) -> Filter:
+        """The filter of a file that came with the job, mapped: the workers of a machine share its pages."""
+        out = cls.__new__(cls)
+        out.held, out.n, out.first = np.memmap(SparkFiles.get(name), np.uint8, "r"), n, first
+        return out
+
     def has(self, keys: np.ndarray, step: int) -> np.ndarray:
         out = np.zeros(len(keys), bool)
         left, base = np.arange(len(keys)), segment_of(keys, self.n) * (SEGMENT_BITS // 8)
@@ -262,6 +273,22 @@ def build_filter(stepped: DataFrame, first: int = PROBES) -> Filter:
     return collect_filter(*filter_segments(stepped, first), first)
 
 
+def ship_filter(n: int, segments: DataFrame) -> str:
+    """Send the filter to the executors as a file, by Spark's own file service, and return its name; the driver holds SHIPPED_AT_ONCE segments at once."""
+    spark, name = segments.sparkSession, f"filter-{uuid.uuid4().hex}"
+    held = materialize(segments, "segments")
+    path, size = os.path.join(tempfile.mkdtemp(), name), SEGMENT_BITS // 8
+    with open(path, "wb") as out:
+        out.truncate(n * size)
+        for at in range(0, n, SHIPPED_AT_ONCE):
+            for r in held.where(F.col("segment").between(at, at + SHIPPED_AT_ONCE - 1)).toLocalIterator():
+                out.seek(r["segment"] * size)
+                out.write(r["bits"])
+    drop_materialized(held)
+    spark.sparkContext.addFile(path)
+    return name
+
+
 def ask_segments(pieces: DataFrame, n: int, segments: DataFrame, first: int) -> DataFrame:
     """Rows (group, keys, steps) of all keys of the texts of each group of ``pieces`` (group, text) for which step 1 succeeds."""
 
@@ -389,16 +416,17 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     out = "row long, doc_id long, n_tokens long, n_known long, base double, score double, key long, n long"
     texts_of = docs.select("doc_id", "text")
     if n_segments <= MOST_SEGMENTS:
-        filter_ = sc.broadcast(collect_filter(n_segments, segments, first))
+        shipped = ship_filter(n_segments, segments)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             row = TaskContext.get().partitionId() << 40
+            filter_ = Filter.shipped(shipped, n_segments, first)
             for batch in batches:
                 ids = batch.column(0).cast(pa.int64())
                 for at, texts in chunks(batch.column(1)):
-                    yield from of_texts(row + at + np.arange(len(texts)), ids.slice(at, len(texts)), texts, filter_.value.steps)
+                    yield from of_texts(row + at + np.arange(len(texts)), ids.slice(at, len(texts)), texts, filter_.steps)
                 row += len(ids)
 
         scored = materialize(texts_of.mapInArrow(in_worker(score), out), "scored")

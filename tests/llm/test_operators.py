@@ -703,3 +703,12 @@ def test_each_of_many_sources_has_its_own_share(spark):
     got = mixing.mix_sources(docs, block=1).orderBy("mix_position").select("source").collect()
     for k in range(4):  # equal sources take turns
         assert len({r["source"] for r in got[5000 * k : 5000 * (k + 1)]}) == 5000
+
+
+def test_the_filter_is_not_collected(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b c {i % 7} a b") for i in range(60)], "doc_id long, text string")
+    plain = {r["doc_id"]: r["score"] for r in lm_score.score_texts(docs, docs.where("doc_id > 9")).collect()}
+    monkeypatch.setattr(lm_score, "collect_filter", lambda *_: pytest.fail("the driver collects the filter"))
+    monkeypatch.setattr(lm_score, "SHIPPED_AT_ONCE", 1)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_texts(docs, docs.where("doc_id > 9")).collect()}
+    assert len(got) == 60 and got == plain
