@@ -7,8 +7,7 @@ apart, a word may end at every sign. Viterbi finds the cheapest path under a
 character language model. The restored words are then scored. Tokens none of
 whose paths leads to a marker are not decoded, as they could not count.
 
-Everything is learned from labelled rows, at most ``MAX_FIT`` of them and all of
-each: the character model, the words and word beginnings (of three to eight
+Everything is learned from all labelled rows that are not held out: the character model, the words and word beginnings (of three to eight
 letters, as inflections differ at their ends) that tell the classes apart by their
 likelihood ratio, and a small logistic regression over a text's evidence.
 """
@@ -27,11 +26,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import doc_crc, in_worker, materialize
 
-#: Labelled rows that are learned from at most.
-MAX_FIT = 20_000
 THRESHOLD = 0.7
-#: Tokens whose evidence a task remembers.
-REMEMBERED = 200_000
+#: Tokens whose evidence or words a task remembers, and entries that it counts before it hands them on.
+REMEMBERED, COUNTED = 200_000, 1 << 20
+#: Sums over rows are of whole multiples of 1 / ONE, so that they do not depend on the order of the rows.
+ONE = 1 << 32
 
 #: Letters that a character of leetspeak may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
@@ -218,86 +217,127 @@ class Evidence:
         return [1.0, sum(hits), max(hits, default=0.0), float(len(hits)), 100 * len(hits) / (n + 10), log(n + 1)]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Weights for standardised columns and the columns' scales."""
-    scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
-    z = x / scale
-    w = np.zeros(x.shape[1])
-    penalty = np.eye(x.shape[1]) * ridge * 0.01
+class Words:
+    """The words of a text as they stand; those of each token are remembered for a bounded number of tokens."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def of(self, text: str) -> set[str]:
+        out: set[str] = set()
+        for t in tokens_of(text.lower()):
+            if (found := self.known.get(t)) is None:
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+                found = self.known[t] = tuple(restored_words(t, None))
+            out.update(found)
+        return out
+
+
+def logistic(rows: DataFrame, ridge: float = 1.0, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Weights for standardised columns and the columns' scales, of ``rows`` (y, x: array). Every Newton step is a pass over the rows; the driver gets the sums of each partition."""
+    k = rows.select(F.size("x")).first()[0]
+    scale = np.maximum([float(v) for v in rows.agg(*[F.max(F.abs(F.get("x", F.lit(j)))) for j in range(k)]).first()], 1e-9)
+    w = np.zeros(k)
+    penalty = np.eye(k) * ridge * 0.01
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + penalty
-        step = np.linalg.solve(h, z.T @ (y - p) - penalty @ w)
-        w += np.clip(step, -4, 4)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((k + 1, k), np.int64)
+            for batch in batches:
+                y = batch.column(0).to_numpy()
+                z = batch.column(1).flatten().to_numpy().reshape(-1, k) / scale
+                p = 1 / (1 + np.exp(-np.clip((z * w).sum(axis=1), -30, 30)))  # noqa: B023
+                total[0] += np.rint(z * ((y - p) * ONE)[:, None]).astype(np.int64).sum(axis=0)
+                total[1:] += np.rint(z[:, :, None] * z[:, None, :] * ((p * (1 - p) + 1e-6) * ONE)[:, None, None]).astype(np.int64).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.int64()))], names=["s"])
+
+        parts = [r["s"] for r in rows.select("y", "x").mapInArrow(in_worker(sums), "s array<long>").collect()]
+        total = np.array([sum(c) / ONE for c in zip(*parts)]).reshape(k + 1, k)
+        step = np.linalg.solve(total[1:] + penalty, total[0] - penalty @ w)
+        w = w + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
     return w, scale
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> dict | None:
-    """What scoring needs, learned from labelled rows whose crc32(doc_id) mod 3 is not 1; None if a class is missing.
+def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """What scoring needs, learned from all labelled rows whose crc32(doc_id) mod 3 is not 1; None if a class is missing.
 
-    The labelled rows are those with the least hashes of their doc_ids, at most
-    ``max_fit``; of several labels of a doc_id the largest counts, and of several
-    texts the least. The result does not depend on how the tables are partitioned.
+    Of several labels of a doc_id the largest counts, and of several texts the
+    least. The result does not depend on how the tables are partitioned.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.where(F.pmod(doc_crc(F.col("doc_id")), F.lit(3)) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
-    known = materialize(known.select(F.col("doc_id").alias("__id"), "toxic"), "labels")
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
+    known = known.where(F.pmod(doc_crc(F.col("doc_id")), F.lit(3)) != 1).select(F.col("doc_id").alias("__id"), "toxic")
+    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id"))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.coalesce(F.min("text"), F.lit("")).alias("text"))
     rows = materialize(rows, "to-learn")
 
-    def words_of(text: str) -> set[str]:
-        return {w for t in tokens_of(text.lower()) for w in restored_words(t, None)}
-
     def batch_of(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["f", "toxic", "clean"])
 
-    def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts of each class (empty name) and toxic texts with each feature."""
-        seen, sizes = Counter(), [0, 0]
+    def of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of each class (empty name), toxic texts with each feature, and texts with each word as letter trigrams (after a tab)."""
+        words, seen, spelt, sizes = Words(), Counter(), Counter(), [0, 0]
+
+        def letters() -> pa.RecordBatch:
+            out = Counter()
+            for w, n in spelt.items():
+                for t in trigrams(w):
+                    out[t] += n
+            return batch_of([(f"\t{t}", n, 0) for t, n in out.items()])
+
         for batch in batches:
             for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                found = words.of(text)
+                spelt.update(found)
                 sizes[1 if toxic else 0] += 1
                 if toxic:
-                    seen.update({f for w in words_of(text) for f in features(w)})
+                    seen.update({f for w in found for f in features(w)})
+                if len(spelt) > COUNTED:
+                    yield letters()
+                    spelt.clear()
+                if len(seen) > COUNTED:
+                    yield batch_of([(f, n, 0) for f, n in seen.items()])
+                    seen.clear()
+        yield letters()
         yield batch_of([("", sizes[1], sizes[0]), *((f, n, 0) for f, n in seen.items())])
 
     def of_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Clean texts with each feature that is wanted."""
-        seen = Counter()
+        words, seen, held = Words(), Counter(), {}
         for batch in batches:
             for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if not toxic:
-                    seen.update({f for w in words_of(text) for f in features(w)} & wanted)
+                if toxic:
+                    continue
+                found = set()
+                for w in words.of(text):
+                    if (of_word := held.get(w)) is None:
+                        if len(held) > REMEMBERED:
+                            held.clear()
+                        of_word = held[w] = tuple(f for f in features(w) if f in wanted)
+                    found.update(of_word)
+                seen.update(found)
         yield batch_of([(f, 0, n) for f, n in seen.items()])
 
-    def of_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts with each word, as letter trigrams."""
-        seen = Counter()
-        for batch in batches:
-            for text in batch.column(2).to_pylist():
-                for w in words_of(text):
-                    seen.update(trigrams(w))
-        yield batch_of([(f, n, 0) for f, n in seen.items()])
-
     def counted(f) -> DataFrame:
         return rows.mapInArrow(in_worker(f), "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
-    first = materialize(counted(of_toxic), "toxic-features")
+    first = materialize(counted(of_all), "counted")
     n = first.where("f = ''").first()
     if n is None or not n["toxic"] or not n["clean"]:
         return None
-    # what is collected from here on is bounded by what at most max_fit texts hold
-    wanted = {r["f"] for r in first.where("toxic >= 3 and f <> ''").select("f").collect()}
-    both = first.where("f <> '' and toxic >= 3").unionByName(counted(of_clean)).groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    spelling = F.col("f").startswith("\t")
+    often = first.where(~spelling & F.expr("f <> '' and toxic >= 3"))
+    # what is collected from here on grows with the different words of toxic texts and with the trigrams of letters, not with the rows
+    wanted = {r["f"] for r in often.select("f").collect()}
+    both = often.unionByName(counted(of_clean)).groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     p, q = F.col("toxic") / F.lit(n["toxic"]), (F.col("clean") + 0.5) / F.lit(n["clean"] + 1.0)
     share = (F.col("toxic") + F.col("clean")) / F.lit(float(n["toxic"] + n["clean"]))
     gain = 2 * (F.col("toxic") * F.log(p / share) + F.col("clean") * F.log(F.greatest(F.col("clean"), F.lit(1e-9)) / F.lit(n["clean"]) / share))
     chosen = both.withColumns({"ratio": F.log(p / q), "gain": gain}).where("ratio > 1.5 and gain > 14")
     markers = {r["f"]: float(r["ratio"]) for r in chosen.orderBy("f").collect()}
-    letters = {r["f"]: r["toxic"] for r in counted(of_letters).orderBy("f").collect()}
+    letters = {r["f"][1:]: r["toxic"] for r in first.where(spelling).orderBy("f").collect()}
     for f in markers:  # the model must find likely what the markers stand for
         if f.endswith("$"):
             for k in trigrams(f[:-1]):
@@ -308,11 +348,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> dict | No
         known = Evidence(markers, model)
         for batch in batches:
             x = [known.row(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
+            y = [1.0 if t else 0.0 for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.float64()), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    seen = rows.mapInArrow(in_worker(evidence), "id long, y long, x array<double>").orderBy("id").collect()  # at most max_fit short rows
-    x, y = np.array([r["x"] for r in seen]), np.array([float(bool(r["y"])) for r in seen])
-    weights, scale = logistic(x, y)
+    seen = materialize(rows.mapInArrow(in_worker(evidence), "y double, x array<double>"), "evidence")
+    weights, scale = logistic(seen)
     return {"markers": markers, "letters": letters, "weights": weights, "scale": scale}
 
 
@@ -333,7 +373,7 @@ def keep_clean(docs: DataFrame, learned: dict | None, threshold: float = THRESHO
     return docs.mapInArrow(in_worker(keep), docs.schema)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on).
 
     Labels (doc_id, toxic) are used only to learn, and only those of rows that are
@@ -342,8 +382,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, t
     Without labels of both classes every score is 0. Repeated rows score alike; an
     empty table gives an empty result; other columns are not read.
     """
-    learned = fit(docs, labels, max_fit)
-    shared = docs.sparkSession.sparkContext.broadcast(learned)  # bounded by what at most max_fit texts hold
+    learned = fit(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value

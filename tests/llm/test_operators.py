@@ -712,3 +712,13 @@ def test_the_filter_is_not_collected(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "SHIPPED_AT_ONCE", 1)
     got = {r["doc_id"]: r["score"] for r in lm_score.score_texts(docs, docs.where("doc_id > 9")).collect()}
     assert len(got) == 60 and got == plain
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Beyond 20,000 labelled rows these were a sample."""
+    ids = spark.range(33_000).withColumnRenamed("id", "doc_id")
+    kept = ids.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1").count()
+    assert kept > 20_000
+    docs = ids.selectExpr("doc_id", "if(doc_id % 4 = 0, 'quib zorgle', 'quib fine') text")
+    learned = toxicity.fit(docs, ids.selectExpr("doc_id", "int(doc_id % 4 = 0) toxic"))
+    assert learned["letters"]["^^q"] == kept and "zorgle$" in learned["markers"]
