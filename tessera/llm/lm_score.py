@@ -50,9 +50,14 @@ MOST_SEGMENTS, FREQUENT, SHIPPED_AT_ONCE = 128, 1 << 19, 8
 ASKED_AT_ONCE = 8 << 20
 TOKENS_AT_ONCE = 1 << 21
 
-#: Keys of words are 63 bits; those of pairs have the top bit and 63 more; T(v) and S(v) are under v's key with a mark.
+#: Answers of the filter that a worker remembers, and keys that are probed in one segment together.
+REMEMBERED, PROBED_AT_ONCE, STEPS_AT_ONCE = 1 << 20, 1 << 20, 1 << 14
+
+#: Keys of words are 63 bits; those of pairs have the top bit and 63 more; T(v) and S(v) are under v's key with a mark in its low 20 bits, so in v's segment.
 WORD_BITS, PAIR_BIT = U64((1 << 63) - 1), U64(1 << 63)
-TYPE_MARK, SUM_MARK = 0x15A5A5A5A5A5A5A5, 0x2C3C3C3C3C3C3C3C
+TYPE_MARK, SUM_MARK = 0x5A5A5, 0xC3C3C
+#: The step of a word that occurs twice: words below it are in no repeated pair.
+TWICE = 3
 #: S(v) up to FINE is exact; beyond, an octave has FINE steps.
 FINE = 32
 #: More steps than any count has.
@@ -165,36 +170,70 @@ class Filter:
         out.held, out.n, out.first = np.memmap(SparkFiles.get(name), np.uint8, "r"), n, first
         return out
 
-    def has(self, keys: np.ndarray, step: int) -> np.ndarray:
+    def has(self, keys: np.ndarray, step: int | np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
+        """Whether all probes of each key for this step (or a step of its own, from 2 on) succeed. ``base`` is where the keys' segments begin."""
         out = np.zeros(len(keys), bool)
-        left, base = np.arange(len(keys)), segment_of(keys, self.n) * (SEGMENT_BITS // 8)
+        base = self.starts(keys) if base is None else base
+        left, alive = np.arange(len(keys)), np.ones(len(keys), bool)
         h, d = hashed(keys, step)
         pairs = keys >= PAIR_BIT
-        for i in range(self.first if step == 1 else PROBES):
+        for i in range(self.first if np.ndim(step) == 0 and step == 1 else PROBES):
             if i == PROBES:  # more probes for pairs only
-                out[left[~pairs]] = True
-                left, base, h, d, pairs = (a[pairs] for a in (left, base, h, d, pairs))
+                out[left[alive & ~pairs]] = True
+                alive &= pairs
             at = place(h, d, i)
-            hit = ((self.held[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-            if not hit.all():
-                left, base, h, d, pairs = (a[hit] for a in (left, base, h, d, pairs))
-        out[left] = True
+            alive &= ((self.held[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+            n = np.count_nonzero(alive)
+            if not n:
+                return out
+            if 4 * n < 3 * len(alive):
+                left, base, h, d, pairs = (a[alive] for a in (left, base, h, d, pairs))
+                alive = np.ones(n, bool)
+        out[left[alive]] = True
         return out
 
+    def starts(self, keys: np.ndarray) -> np.ndarray:
+        return segment_of(keys, self.n) * (SEGMENT_BITS // 8)
+
     def steps(self, keys: np.ndarray) -> np.ndarray:
         """The quantised count of each key: the steps for which probes succeed, from 1 on."""
         out = np.zeros(len(keys), np.int64)
-        left = np.arange(len(keys))
+        left, base = np.arange(len(keys)), self.starts(keys)
         step = 1
         while len(left) and step < MOST_STEPS:
-            left = left[self.has(keys[left], step)]
-            out[left] = step
-            step += 1
+            many = 1 if step == 1 else max(1, min(64, STEPS_AT_ONCE // len(left)))  # of few keys several steps at once
+            asked = np.tile(np.arange(step, step + many), len(left)) if many > 1 else step
+            hit = self.has(np.repeat(keys, many), asked, np.repeat(base, many)).reshape(-1, many)
+            held = np.where(hit.all(axis=1), many, hit.argmin(axis=1))
+            out[left] += held
+            more = held == many
+            left, keys, base = left[more], keys[more], base[more]
+            step += many
+        return out
+
+
+class Remembered:
+    """The answers of ``look``, of which the last for each of ``size`` slots of words and as many of pairs is kept: frequent words and pairs are looked up once."""
+
+    def __init__(self, look: Callable[[np.ndarray], np.ndarray], size: int | None = None):
+        self.look, self.size = look, size or REMEMBERED
+        self.keys, self.held = np.zeros(2 * self.size, U64), np.zeros(2 * self.size, np.uint16)  # step 0: an empty slot
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = ((keys ^ (keys >> U64(32))) % U64(self.size)).astype(np.int64) + np.where(keys >= PAIR_BIT, self.size, 0)
+        out = np.where(self.keys[slot] == keys, self.held[slot], 0).astype(np.int64)
+        missed = np.flatnonzero(out == 0)
+        out[missed] = self.look(keys[missed])
+        found = missed[out[missed] > 0]
+        at = slot[found]
+        self.keys[at] = keys[found]
+        kept = self.keys[at] == keys[found]  # of several keys for a slot the one that was written last
+        self.held[at[kept]] = out[found[kept]]
         return out
 
 
-def hashed(keys: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(keys + U64(0x9E37) * U64(step))
+def hashed(keys: np.ndarray, step: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(keys + U64(0x9E37) * np.asarray(step, U64))
     return h, mix(h) | U64(1)
 
 
@@ -224,12 +263,19 @@ def sum_value(step: np.ndarray) -> np.ndarray:
 def probabilities(look: Callable[[np.ndarray], np.ndarray], scale: float, words: np.ndarray, word: np.ndarray, before: np.ndarray) -> np.ndarray:
     """The model's probability of each token: ``word`` is its place in the distinct keys ``words``, ``before`` that of what is before it, or len(words) for the start of a text. ``look`` gives the steps of keys."""
     contexts = np.append(words, START)
-    p = ((word_count(look(words)) + 1) / scale)[word]
-    sums = sum_value(look(contexts ^ U64(SUM_MARK)))
-    types = np.where(sums > 0, word_count(look(contexts ^ U64(TYPE_MARK))), 0.0)
+    step = look(words)
+    p = ((word_count(step) + 1) / scale)[word]
+    sums, types = np.zeros(len(contexts)), np.zeros(len(contexts))
+    often = np.append(step >= TWICE, True)
+    asked = np.flatnonzero(often)
+    sums[asked] = sum_value(look(contexts[asked] ^ U64(SUM_MARK)))
+    asked = np.flatnonzero(sums > 0)
+    types[asked] = word_count(look(contexts[asked] ^ U64(TYPE_MARK)))
     some = np.flatnonzero((types > 0)[before])
     s, t = sums[before[some]], types[before[some]]
-    p[some] = (pair_less(look(pair_keys(contexts[before[some]], words[word[some]]))) + t * p[some]) / (s + t)
+    less, asked = np.zeros(len(some)), np.flatnonzero(often[word[some]])
+    less[asked] = pair_less(look(pair_keys(contexts[before[some[asked]]], words[word[some[asked]]])))
+    p[some] = (less + t * p[some]) / (s + t)
     return p
 
 
@@ -290,7 +336,7 @@ def ship_filter(n: int, segments: DataFrame) -> str:
 
 
 def ask_segments(pieces: DataFrame, n: int, segments: DataFrame, first: int) -> DataFrame:
-    """Rows (group, keys, steps) of all keys of the texts of each group of ``pieces`` (group, text) for which step 1 succeeds."""
+    """Rows (group, keys, steps) of all keys of the texts of each group of ``pieces`` (group, text) for which step 1 succeeds; a group may have several."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(group: int, held: list[np.ndarray]) -> pa.RecordBatch:
@@ -315,26 +361,13 @@ def ask_segments(pieces: DataFrame, n: int, segments: DataFrame, first: int) ->
                 now = int(groups[a])
                 for _, texts in chunks(batch.column(1).slice(a, b - a)):
                     words, before, _ = tokens(texts)
-                    distinct = np.unique(words)
-                    contexts = np.append(distinct, START)
-                    held += [distinct, np.unique(pair_keys(before, words)), contexts ^ U64(TYPE_MARK), contexts ^ U64(SUM_MARK)]
+                    held += [np.append(np.unique(words), START), np.unique(pair_keys(before, words))]  # a word asks for T and S too
                     size += len(words)
         if held:
             yield out(now, held)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, model = None, None
-        for batch in batches:
-            for k in range(batch.num_rows):
-                segment, group = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                if group < 0:  # the segment itself, before all who ask it
-                    at, model = segment, Filter([np.frombuffer(batch.column(2)[k].as_py(), np.uint8)], first)
-                elif segment == at:
-                    keys = np.frombuffer(batch.column(2)[k].as_py(), U64)
-                    step = model.steps(keys)
-                    keys, step = keys[step > 0], step[step > 0].astype(np.uint16)
-                    if len(keys):
-                        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([step.tobytes()], pa.binary())], names=["group", "keys", "steps"])
+        return probe_segments(batches, first)
 
     asked = pieces.select("group", "text").mapInArrow(in_worker(ask), "segment long, group long, keys binary")
     own = segments.select("segment", F.lit(-1).cast("long").alias("group"), F.col("bits").alias("keys"))
@@ -342,6 +375,39 @@ def ask_segments(pieces: DataFrame, n: int, segments: DataFrame, first: int) ->
     return met.mapInArrow(in_worker(probe), "group long, keys binary, steps binary")
 
 
+def probe_segments(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    """Answers to rows (segment, group, keys), where each segment (group -1, its bits) comes before all who ask it. The keys of many groups are probed together, each once."""
+    at, model, size = None, None, 0
+    groups: list[int] = []
+    held: list[np.ndarray] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        keys, back = np.unique(np.concatenate(held), return_inverse=True)
+        step = model.steps(keys)[back]
+        bounds = np.cumsum([len(k) for k in held])[:-1]
+        for group, keys, s in zip(groups, held, np.split(step, bounds)):
+            keys, s = keys[s > 0], s[s > 0].astype(np.uint16)
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())], names=["group", "keys", "steps"])
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            segment, group = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+            if held and (segment != at or size > PROBED_AT_ONCE):
+                yield from out()
+                groups, held, size = [], [], 0
+            if group < 0:
+                at, model = segment, Filter([np.frombuffer(batch.column(2)[k].as_py(), np.uint8)], first)
+            elif segment == at:
+                keys = np.frombuffer(batch.column(2)[k].as_py(), U64)
+                words = keys[keys < PAIR_BIT]
+                groups.append(group)
+                held.append(np.concatenate([keys, words ^ U64(TYPE_MARK), words ^ U64(SUM_MARK)]))
+                size += len(held[-1])
+    if held:
+        yield from out()
+
+
 def words_by_step(counts: DataFrame) -> list:
     """How many different words have each step, and how often these occur: some dozens of rows."""
     return counts.where("key >= 0").groupBy(word_steps(F.col("n")).alias("step")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()
@@ -422,11 +488,11 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
             from pyspark import TaskContext
 
             row = TaskContext.get().partitionId() << 40
-            filter_ = Filter.shipped(shipped, n_segments, first)
+            look = Remembered(Filter.shipped(shipped, n_segments, first).steps)
             for batch in batches:
                 ids = batch.column(0).cast(pa.int64())
                 for at, texts in chunks(batch.column(1)):
-                    yield from of_texts(row + at + np.arange(len(texts)), ids.slice(at, len(texts)), texts, filter_.steps)
+                    yield from of_texts(row + at + np.arange(len(texts)), ids.slice(at, len(texts)), texts, look)
                 row += len(ids)
 
         scored = materialize(texts_of.mapInArrow(in_worker(score), out), "scored")

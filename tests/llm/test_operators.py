@@ -9,6 +9,7 @@ from collections import Counter
 
 import ahocorasick  # noqa: F401
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import common, components, decontaminate, exact_dedup, jaccard_join, lm_score, mixing, pii, queries, repeated_bytes, sharding, toxicity, url_filter
@@ -722,3 +723,32 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     docs = ids.selectExpr("doc_id", "if(doc_id % 4 = 0, 'quib zorgle', 'quib fine') text")
     learned = toxicity.fit(docs, ids.selectExpr("doc_id", "int(doc_id % 4 = 0) toxic"))
     assert learned["letters"]["^^q"] == kept and "zorgle$" in learned["markers"]
+
+
+def test_lm_keys_are_probed_together_and_once(spark, monkeypatch):
+    """The keys of each group were probed apart in each segment, and those of each chunk of texts anew."""
+    rows = spark.range(3000).selectExpr("id * 7919 + 5 key", "1 + int(id % 300) step")
+    n, segments = lm_score.filter_segments(rows, 20)
+    assert n == 1
+    bits = segments.first()["bits"]
+    held = lm_score.build_filter(rows, 20)
+    keys = [np.array([i * 7919 + 5 for i in range(k, k + 500)], np.uint64) for k in range(0, 3000, 250)]
+    wanted = [held.steps(k) for k in keys]
+    asked = []
+    steps = lm_score.Filter.steps
+    monkeypatch.setattr(lm_score.Filter, "steps", lambda self, k: asked.append(len(k)) or steps(self, k))
+    parts = [(0, -1, bits)] + [(0, g, k.tobytes()) for g, k in enumerate(keys)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in parts[a : a + 5]]) for i in range(3)], names=["segment", "group", "keys"]) for a in range(0, len(parts), 5)]
+    got = {b.column(0)[0].as_py(): b for b in lm_score.probe_segments(iter(batches), 20)}
+    assert len(asked) == 1 and sorted(got) == list(range(len(keys)))
+    for g, k in enumerate(keys):
+        found = dict(zip(np.frombuffer(got[g].column(1)[0].as_py(), np.uint64).tolist(), np.frombuffer(got[g].column(2)[0].as_py(), np.uint16).tolist()))
+        assert [found.get(x, 0) for x in k.tolist()] == wanted[g].tolist()
+
+    asked.clear()
+    look = lm_score.Remembered(held.steps, 1 << 16)
+    for _ in range(3):
+        assert all((look(k) == w).all() for k, w in zip(keys, wanted))
+    assert sum(asked) < 1.2 * 3250
+    small = lm_score.Remembered(held.steps, 3)  # most keys share a slot
+    assert all((small(k) == w).all() for k, w in zip(keys, wanted))
