@@ -95,7 +95,15 @@ def _large_sums(footprints: DataFrame, grid: DataFrame, width: int, parts: int)
     rows = rows.withColumns({"__px": F.expr("shiftright(__tx, __lv)"), "__py": F.expr("shiftright(__ty, __lv)"), "__ps": share})
     on = (F.col("image_id") == F.col("__im")) & (F.col("__lv") == F.col("__level")) & (F.col("__pt") == F.col("__part")) & (F.col("__px") == F.col("__sx")) & (F.col("__py") == F.col("__sy")) & (F.col("__ps") == F.col("__share"))
     inside = (F.col("__tx") >= F.col("tx0")) & (F.col("__tx") < F.col("tx1")) & (F.col("__ty") >= F.col("ty0")) & (F.col("__ty") < F.col("ty1"))
-    return rows.join(held, on & inside).select("image_id", "pix", "__x", "__y", *names)
+    # the copies are many more than what their size is judged by, so they must not be broadcast
+    return rows.join(held.hint("shuffle_hash"), on & inside).select("image_id", "pix", "__x", "__y", *names)
+
+
+def _shown_by(met: DataFrame) -> DataFrame:
+    """What the footprints of ``met``, a row for each pixel and footprint, give each pixel together."""
+    a = S.alpha(F.col("cx") - F.col("__x"), F.col("cy") - F.col("__y"), F.col("q_xx"), F.col("q_xy"), F.col("q_yy"))
+    met = met.select("image_id", "pix", a.alias("__a"), *[f"__{c}" for c in CHANNELS]).where("__a > 0")
+    return met.groupBy("image_id", "pix").agg(*[F.sum(F.col("__a") * F.col(f"__{c}")).alias(c) for c in CHANNELS])
 
 
 def render(splats: DataFrame, grid: DataFrame, width: int, height: int) -> DataFrame:
@@ -114,14 +122,10 @@ def render(splats: DataFrame, grid: DataFrame, width: int, height: int) -> DataF
     large = footprint_tiles() > LARGE
     seen = footprints.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(large, 1)).alias("large")).first()
     parts = max(PARTS, -(-seen["n"] // FULL))
-    met = _small_sums(footprints.where(~large), width, height, parts)
-    names = ["image_id", "pix", "cx", "cy", "q_xx", "q_xy", "q_yy", "__x", "__y", *[f"__{c}" for c in CHANNELS]]
-    met = met.select(*names)
-    if seen["large"]:
-        met = met.unionByName(_large_sums(footprints.where(large), grid, width, max(1, -(-seen["large"] // FULL))).select(*names))
-    a = S.alpha(F.col("cx") - F.col("__x"), F.col("cy") - F.col("__y"), F.col("q_xx"), F.col("q_xy"), F.col("q_yy"))
-    met = met.select("image_id", "pix", a.alias("__a"), *[f"__{c}" for c in CHANNELS]).where("__a > 0")
-    sums = met.groupBy("image_id", "pix").agg(*[F.sum(F.col("__a") * F.col(f"__{c}")).alias(c) for c in CHANNELS])
+    sums = _shown_by(_small_sums(footprints.where(~large), width, height, parts))
+    if seen["large"]:  # each kind is summed for itself: rows of a pixel and a footprint go through no union
+        both = sums.unionByName(_shown_by(_large_sums(footprints.where(large), grid, width, max(1, -(-seen["large"] // FULL)))))
+        sums = both.groupBy("image_id", "pix").agg(*[F.sum(c).alias(c) for c in CHANNELS])
     out = grid.select("image_id", "pix", "x", "y").join(sums, ["image_id", "pix"], "left").fillna(0.0, list(CHANNELS))
     return out.withColumns({c: S.clamp(F.col(c), 0.0, 1.0) for c in CHANNELS})
 

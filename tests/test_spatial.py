@@ -326,3 +326,16 @@ def test_survivors_are_searched_by_place_in_cells_of_their_number(spark, monkeyp
     got = {r["idx"]: r["target"] for r in N.nearest_alive(table.where("not alive"), table).collect()}
     assert got == {i: 4000 if i % 4 == 0 else 4001 for i in range(4000)}
     assert seen == [(4, 1)]
+
+
+def test_copies_of_large_splats_are_not_broadcast(spark):
+    """Each has up to 64 copies, which the size of the table does not show, and these went to every executor."""
+    splats = spark.range(300).selectExpr("0L image_id", "int(id) idx", "0.5D x", "0.5D y", "6.5D lc_xx", "0D lc_xy", "6.5D lc_yy", "0.5D r", "0.5D g", "0.5D b", "0.001D weight")
+    grid = G.pixel_grid(spark.range(1).withColumnRenamed("id", "image_id"), 128, 128)
+    colour = {f"__{c}": F.col(c) * F.col("weight") for c in R.CHANNELS}
+    met = R._large_sums(R.project(splats, 128, 128).withColumns(colour), grid, 128, 1)
+    met.collect()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "__share" not in "".join(line for line in plan.splitlines() if "BroadcastHashJoin" in line)
+    shown = R.render(splats, grid, 128, 128)
+    assert shown.count() == 128 * 128 and shown.agg(F.max("r")).first()[0] == pytest.approx(0.15, abs=1e-2)
