@@ -30,6 +30,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import ceil, log2, log10
 
 import numpy as np
@@ -51,7 +52,7 @@ ASKED_AT_ONCE = 8 << 20
 TOKENS_AT_ONCE = 1 << 21
 
 #: Answers of the filter that a worker remembers, and keys that are probed in one segment together.
-REMEMBERED, PROBED_AT_ONCE, STEPS_AT_ONCE = 1 << 20, 1 << 20, 1 << 14
+REMEMBERED, PROBED_AT_ONCE, STEPS_AT_ONCE = 1 << 21, 1 << 20, 1 << 14
 
 #: Keys of words are 63 bits; those of pairs have the top bit and 63 more; T(v) and S(v) are under v's key with a mark in its low 20 bits, so in v's segment.
 WORD_BITS, PAIR_BIT = U64((1 << 63) - 1), U64(1 << 63)
@@ -232,6 +233,12 @@ class Remembered:
         return out
 
 
+@lru_cache(maxsize=1)
+def shipped_steps(name: str, n: int, first: int) -> Remembered:
+    """The steps of keys by the filter of a file; a worker keeps its answers from task to task, until it reads another filter."""
+    return Remembered(Filter.shipped(name, n, first).steps)
+
+
 def hashed(keys: np.ndarray, step: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = mix(keys + U64(0x9E37) * np.asarray(step, U64))
     return h, mix(h) | U64(1)
@@ -488,7 +495,7 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
             from pyspark import TaskContext
 
             row = TaskContext.get().partitionId() << 40
-            look = Remembered(Filter.shipped(shipped, n_segments, first).steps)
+            look = shipped_steps(shipped, n_segments, first)
             for batch in batches:
                 ids = batch.column(0).cast(pa.int64())
                 for at, texts in chunks(batch.column(1)):
