@@ -10,7 +10,7 @@ from tessera.operators import nearest as N
 from tessera.operators import sampling as P
 from tessera.operators.scan import running
 from tessera.operators.select import mark_least
-from tessera.session import scratch
+from tessera.session import settled
 
 FRACTION, ROUNDS, OVERSAMPLE, NEIGHBOURS, POLISH = 1 / 3, 2, 1.5, 8, 3
 #: Points of an image, unless it is known how many: how deep running counts go.
@@ -60,7 +60,7 @@ def match_round(cells: DataFrame, table: DataFrame, remove: DataFrame | int) ->
     """
     need = cells.select("image_id").distinct().withColumn("need", F.lit(remove)) if isinstance(remove, int) else remove.select("image_id", F.col("remove").alias("need"))
     free = mark_least(cells.select("image_id", "idx", "mass"), ["image_id"], "mass", "idx", need).where("taken")
-    asks = scratch(table.join(free.select("image_id", F.col("idx").alias("src"), "mass"), ["image_id", "src"]).select("image_id", "src", "dst", "rank", "mass"), "asks")
+    asks = settled(table.join(free.select("image_id", F.col("idx").alias("src"), "mass"), ["image_id", "src"]).select("image_id", "src", "dst", "rank", "mass"), "asks")
     merged = None
     for rank in range(NEIGHBOURS):
         now = asks.where(F.col("rank") == rank)
@@ -68,7 +68,7 @@ def match_round(cells: DataFrame, table: DataFrame, remove: DataFrame | int) ->
             for end in ("src", "dst"):
                 now = now.join(merged.select("image_id", F.col("idx").alias(end)), ["image_id", end], "left_anti")
         won = now.groupBy("image_id", "dst").agg(F.min(F.struct("mass", "src")).alias("best"))
-        won = scratch(won.select("image_id", F.col("best.src").alias("idx"), F.col("dst").alias("target")), "won")
+        won = settled(won.select("image_id", F.col("best.src").alias("idx"), F.col("dst").alias("target")), "won")
         merged = won if merged is None else merged.unionByName(won)
     return merged
 
@@ -80,7 +80,7 @@ def merge_into(cells: DataFrame, merged: DataFrame, most: int = MOST) -> DataFra
     alive = cells.join(merged.select("image_id", "idx"), ["image_id", "idx"], "left_anti").join(sums.withColumnRenamed("to", "idx"), ["image_id", "idx"])
     some = F.col("m") > A.EMPTY
     mean = lambda s, c: F.when(some, F.col(s) / F.when(some, F.col("m"))).otherwise(F.col(c))
-    return renumber(scratch(alive.select("image_id", "idx", mean("mx", "x").alias("x"), mean("my", "y").alias("y")), "alive"), most)
+    return renumber(settled(alive.select("image_id", "idx", mean("mx", "x").alias("x"), mean("my", "y").alias("y")), "alive"), most)
 
 
 def renumber(points: DataFrame, most: int = MOST) -> DataFrame:
@@ -98,14 +98,14 @@ def drop_empty(cells: DataFrame, most: Column | int, most_idx: int = MOST) -> Da
 
 
 def _cells(pixels: DataFrame, points: DataFrame, width: int, height: int, n: int) -> tuple[DataFrame, DataFrame]:
-    owned = scratch(N.assign_nearest(pixels, points, width, height, n), "owned")
+    owned = settled(N.assign_nearest(pixels, points, width, height, n), "owned")
     return owned, A.cell_mass(points.select("image_id", "idx", "x", "y"), owned)
 
 
 def _excess(points: DataFrame, goals: DataFrame) -> DataFrame:
     """(image_id, remove) of the images that still have more points than their goal."""
     left = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("__left")).join(goals, "image_id")
-    return scratch(left.select("image_id", (F.col("__left") - F.col("goal")).cast("long").alias("remove")).where("remove > 0"), "excess")
+    return settled(left.select("image_id", (F.col("__left") - F.col("goal")).cast("long").alias("remove")).where("remove > 0"), "excess")
 
 
 def merge_round(pixels: DataFrame, points: DataFrame, remove: int | DataFrame, n_now: int, width: int, height: int) -> DataFrame:
@@ -123,16 +123,16 @@ def merge_round(pixels: DataFrame, points: DataFrame, remove: int | DataFrame, n
     if over.isEmpty():
         return points
     owned, cells = _cells(pixels, points, width, height, n_now)
-    excess = scratch(cells.join(over, "image_id", "left").fillna(0, ["remove"]), "excess")
-    kept = scratch(renumber(drop_empty(excess, F.col("remove"), n_now).select("image_id", "idx", "x", "y"), n_now), "kept")
+    excess = settled(cells.join(over, "image_id", "left").fillna(0, ["remove"]), "excess")
+    kept = settled(renumber(drop_empty(excess, F.col("remove"), n_now).select("image_id", "idx", "x", "y"), n_now), "kept")
     left = _excess(kept, goals)
     if left.isEmpty():
         return kept
     owned, cells = _cells(pixels, kept, width, height, n_now)
     table = N.lightest_neighbours(N.adjacency(owned), cells, NEIGHBOURS)
-    cells = scratch(cells, "cells")
+    cells = settled(cells, "cells")
     matched = match_round(cells, table, left)
-    points = scratch(merge_into(cells, matched, n_now), "merged")
+    points = settled(merge_into(cells, matched, n_now), "merged")
     left = _excess(points, goals)
     if left.isEmpty():
         return points
@@ -145,14 +145,14 @@ def merge_round(pixels: DataFrame, points: DataFrame, remove: int | DataFrame, n
     beside = sources.select("image_id", "idx").join(beside, ["image_id", "idx"])
     stuck = sources.join(beside, ["image_id", "idx"], "left_anti")
     forced = beside if stuck.isEmpty() else beside.unionByName(N.nearest_alive(stuck, state, n_now))
-    return scratch(merge_into(cells, forced, n_now), "forced")
+    return settled(merge_into(cells, forced, n_now), "forced")
 
 
 def polish(pixels: DataFrame, points: DataFrame, n: int, width: int, height: int, steps: int = POLISH) -> DataFrame:
     """Move every point to its cell's centroid, ``steps`` times."""
     for _ in range(steps):
         owned = N.assign_nearest(pixels, points, width, height, n)
-        points = scratch(A.lloyd_centroids(points.select("image_id", "idx", "x", "y"), owned, width, height), "polished")
+        points = settled(A.lloyd_centroids(points.select("image_id", "idx", "x", "y"), owned, width, height), "polished")
     return points
 
 
@@ -163,14 +163,15 @@ def equal_mass_voronoi(pixels: DataFrame, n: int | DataFrame, width: int, height
     images, or a table (image_id, n and, if wanted, seed). Each image comes out as
     it would alone. The count is exact or an error.
     """
+    pixels = settled(pixels.select("image_id", "pix", "x", "y", "density"), "pixels")
     if isinstance(n, int):
         plan = pixels.select("image_id").distinct().withColumn("n", F.lit(n).cast("long"))
     else:
         plan = n.select("image_id", F.col("n").cast("long").alias("n"), *([F.col("seed").cast("long").alias("seed")] if "seed" in n.columns else []))
     plan = plan if "seed" in plan.columns else plan.withColumn("seed", F.lit(seed).cast("long"))
-    plan = scratch(plan.withColumn("now", oversampled(F.col("n"))), "plan")
+    plan = settled(plan.withColumn("now", oversampled(F.col("n"))), "plan")
     hint = int(plan.agg(F.avg("now")).first()[0] or 1)  # sizes the cells of the search, and nothing else
-    points = scratch(P.sample_points(pixels, plan.select("image_id", F.col("now").alias("n"), "seed"), width, height), "points")
+    points = settled(P.sample_points(pixels, plan.select("image_id", F.col("now").alias("n"), "seed"), width, height), "points")
     for k in range(rounds):
         plan = plan.withColumn("now", F.col("now") - removal(F.col("now"), F.col("n"), k == rounds - 1))
         points = merge_round(pixels, points, plan.select("image_id", F.col("now").alias("goal")), hint, width, height)
