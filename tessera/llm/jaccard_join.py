@@ -23,7 +23,8 @@ Sets hold 64-bit hashes of shingles:
 4. Most lists meet by a shared passage only. So before sets move, the members of a
    group are held against each other by short histograms of their shingles: these
    differ by no more than the sets do, and a set that differs from all others of
-   its group by more than a link may is skipped.
+   its group by more than a link may is skipped. Groups too large for one task are
+   held against each other in pieces, by classes of sizes that may link.
 5. A large group is dealt into parts, each with the pivot. Only the sets that are
    not connected to the pivot in their part meet the other parts, so a group of
    near copies costs work in proportion to its size, however large it is.
@@ -176,19 +177,20 @@ def histogram(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount((shingles & U64(buckets - 1)).astype(np.int64), minlength=buckets), 0xFFFF).astype("<u2").tobytes()
 
 
-def with_partner(sizes: np.ndarray, sketches: list[bytes], num: int, den: int) -> np.ndarray:
-    """Which sets of a group may link with another, as far as sizes and histograms tell."""
+def with_partner(sizes: np.ndarray, sketches: list[bytes], num: int, den: int, below: int | None = None) -> np.ndarray:
+    """Which sets of a group may link with another, as far as sizes and histograms tell; with ``below``, in pairs whose smaller set has fewer shingles than that."""
     order = np.argsort(sizes, kind="stable")
     sizes, fine = sizes[order], [np.frombuffer(sketches[i], "<u2").astype(np.int32) for i in order]
     coarse = np.array([v.reshape(-1, FEW_BUCKETS).sum(axis=0) for v in fine])
     keep = np.zeros(len(sizes), bool)
+    stop = len(sizes) if below is None else int(np.searchsorted(sizes, below))
     for i in range(1, len(sizes)):
-        low = int(np.searchsorted(sizes, -(-num * sizes[i] // den)))
-        if keep[i] and keep[low:i].all():
+        low, high = int(np.searchsorted(sizes, -(-num * sizes[i] // den))), min(i, stop)
+        if low >= high or (keep[i] and keep[low:high].all()):
             continue
-        total = sizes[low:i] + sizes[i]
+        total = sizes[low:high] + sizes[i]
         most = total - 2 * -(-num * total // (den + num))
-        near = low + np.flatnonzero(np.abs(coarse[low:i] - coarse[i]).sum(axis=1) <= most)
+        near = low + np.flatnonzero(np.abs(coarse[low:high] - coarse[i]).sum(axis=1) <= most)
         if len(fine[i]) == BUCKETS:
             near = np.array([j for j in near if len(fine[j]) < BUCKETS or np.abs(fine[j] - fine[i]).sum() <= most[j - low]], np.int64)
         keep[near] = True
@@ -263,6 +265,39 @@ def link_group(sets: list[np.ndarray], pivot: int, left: np.ndarray, right: np.n
     return out
 
 
+def _in_parts(members: DataFrame) -> DataFrame:
+    """(pivot, parts, most) of each group of two sets or more. Parts are of even size by count, and by shingles as far as hashing deals these evenly."""
+    parts = F.ceil(F.greatest(F.col("count") / GROUP, F.col("total") / GROUP_SHINGLES)).cast("int")
+    sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total")).where("count > 1")
+    return sizes.select("pivot", parts.alias("parts"), F.ceil(F.col("count") / parts).cast("int").alias("most"))
+
+
+def _close_in_large(large: DataFrame, sets: DataFrame, num: int, den: int, n_tasks: int) -> DataFrame:
+    """Of ``large`` (class, by, pivot, n), members of groups of any size, those that may link in their group, and the pivots of these.
+
+    A set meets those of its own class of sizes and of the next, where the two differ
+    in what may link; each such meeting is dealt into pieces, of which any two are
+    held against each other in a task.
+    """
+    starts = level_starts(num, den)
+    level = F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= F.col("n"))) - 1
+    cells = large.select("class", "by", "pivot", "n", F.explode(F.array(level - 1, level)).alias("cell"))
+    pieces = cells.groupBy("pivot", "cell").agg(F.ceil(F.count(F.lit(1)) / COMPARED).cast("int").alias("pieces"), F.min("n").alias("least"))
+    pieces = pieces.where(F.col("least") < F.element_at(F.array(*[F.lit(s) for s in starts]), F.col("cell") + 2)).drop("least")  # some set is of the lower class
+    dealt = cells.where("cell >= 0").join(pieces.where("cell >= 0"), ["pivot", "cell"]).withColumn("piece", F.pmod(F.xxhash64("class", F.lit("piece")), F.col("pieces")).cast("int"))
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda other: F.struct(F.least("piece", other).alias("a"), F.greatest("piece", other).alias("b")))).alias("pair")
+    met = dealt.select("class", "by", "pivot", "n", "cell", pairs).select("class", "by", "pivot", "n", "cell", "pair.a", "pair.b")
+    met = met.join(sets.select("carrier", "sketch"), F.col("by") == F.col("carrier")).drop("carrier", "by")
+
+    def plausible(pdf):
+        keep = with_partner(pdf["n"].to_numpy(), pdf["sketch"].tolist(), num, den, starts[int(pdf["cell"].iloc[0]) + 1])
+        return pdf.loc[keep, ["class", "pivot"]]
+
+    keys = ["pivot", "cell", "a", "b"]
+    found = materialize(met.repartition(n_tasks, *keys).groupBy(*keys).applyInPandas(plausible, "class long, pivot long").distinct(), "plausible")
+    return large.join(found.unionByName(found.select(F.col("pivot").alias("class"), "pivot")).distinct(), ["class", "pivot"], "left_semi")
+
+
 def _links(carried: DataFrame, multi: DataFrame, num: int, den: int) -> DataFrame:
     """Links (u, v) between classes, enough to connect all that are connected."""
     spark = carried.sparkSession
@@ -270,13 +305,11 @@ def _links(carried: DataFrame, multi: DataFrame, num: int, den: int) -> DataFram
     sets = carried.where("carrier is not null")
     on_lists = sets.select("class", "n", F.explode("lists").alias("list"))
     met = materialize(on_lists.join(multi, "list").select("class", "n", "pivot").distinct(), "pivots")
-    # Parts are of even size by count, and by shingles as far as hashing deals these evenly.
-    parts = F.ceil(F.greatest(F.col("count") / GROUP, F.col("total") / GROUP_SHINGLES)).cast("int")
-    sizes = met.groupBy("pivot").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total")).where("count > 1")
-    sizes = materialize(sizes.select("pivot", parts.alias("parts"), F.ceil(F.col("count") / parts).cast("int").alias("most")), "pivot-sizes")
+    sizes = materialize(_in_parts(met), "pivot-sizes")
     first = sets.groupBy(F.col("class").alias("__class")).agg(F.min("carrier").alias("by"))  # tasks may carry the same class
     members = met.join(sizes, "pivot").join(first, F.col("class") == F.col("__class"))
-    members = materialize(members.select("class", "by", "pivot", "parts", "most", "n", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("own")), "members")
+    own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("own")
+    members = materialize(members.select("class", "by", "pivot", "parts", "most", "n", own), "members")
 
     def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of members in the order of their pivots, those that may link in their group, and the pivots of these."""
@@ -311,7 +344,11 @@ def _links(carried: DataFrame, multi: DataFrame, num: int, den: int) -> DataFram
     sketched = members.where("parts = 1").join(sets.select("carrier", "sketch"), F.col("by") == F.col("carrier")).drop("carrier")
     fields = "class long, by long, pivot long, parts int, most int, n long, own int"
     close = sketched.repartition(n_tasks, "pivot").sortWithinPartitions("pivot").mapInArrow(in_worker(plausible), fields)
-    members = materialize(close.unionByName(members.where("parts > 1")), "close-members")
+    if not sizes.where("parts > 1").isEmpty():
+        large = materialize(_close_in_large(members.where("parts > 1").select("class", "by", "pivot", "n"), sets, num, den, n_tasks), "close-in-large")
+        large = large.join(_in_parts(large), "pivot")
+        close = close.unionByName(large.select("class", "by", "pivot", "parts", "most", "n", own))
+    members = materialize(close, "close-members")
 
     # Only sets that some group needs are moved: all others but a few stop at a bitmap where they are read.
     used = members.select("by").distinct()
