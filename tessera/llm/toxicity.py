@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from math import log
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from math import fsum, log
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import doc_crc, in_worker, materialize
 
 THRESHOLD = 0.7
-#: Tokens whose evidence or words a task remembers, and entries that it counts before it hands them on.
-REMEMBERED, COUNTED = 200_000, 1 << 20
+#: Tokens whose evidence or words a task remembers, entries that it counts before it hands them on, and characters that it searches together for letters set apart, but for a longer single text.
+REMEMBERED, COUNTED, SEARCHED = 400_000, 1 << 20, 1 << 20
 #: Sums over rows are of whole multiples of 1 / ONE, so that they do not depend on the order of the rows.
 ONE = 1 << 32
 
@@ -136,6 +137,12 @@ def disguised_forms(token: str) -> list[str]:
     return [f for f in dict.fromkeys((core.strip(ENDS), core.strip(ENDS + "!()[]{}"))) if DISGUISED.search(f) and not f.isdigit()]
 
 
+def plain_words(token: str) -> tuple[str, ...]:
+    """The words of one token as they stand."""
+    core = token.strip(ENDS)
+    return (core,) if core.isalpha() else tuple(WORD.findall(without_tail(token)))
+
+
 def restored_words(token: str, model: CharModel | None) -> list[str]:
     """The words of one whitespace-free, lower-case token, restored where it may be disguised."""
     words = WORD.findall(without_tail(token))
@@ -145,11 +152,44 @@ def restored_words(token: str, model: CharModel | None) -> list[str]:
     return words
 
 
+@lru_cache(maxsize=1)
+def is_sign() -> np.ndarray:
+    """Whether SIGN fits each character."""
+    out = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+    out[[ord(c) for c in "@$€"]] = True
+    return out
+
+
+def with_apart(texts: list[str]) -> set[int]:
+    """The texts in which APART finds something: three stretches of signs in a row have one sign each."""
+    sizes = [len(t) + 4 for t in texts]
+    signs = is_sign()[np.frombuffer(" aa ".join([*texts, ""]).encode("utf-32-le"), "<u4")]  # no stretch of one sign reaches over two texts
+    edges = np.flatnonzero(np.diff(signs, prepend=False, append=False))
+    single = np.diff(edges)[::2] == 1
+    first = edges[::2][:-2][single[:-2] & single[1:-1] & single[2:]]
+    return set(np.searchsorted(np.cumsum(sizes), first, side="right").tolist())
+
+
+def token_sets(texts: list[str | None]) -> Iterator[set[str]]:
+    """The distinct lower-case tokens of each text, with runs of letters set apart put together."""
+    at = 0
+    while at < len(texts):
+        held, size = [], 0
+        while at < len(texts) and (not held or size + len(texts[at] or "") <= SEARCHED):
+            held.append((texts[at] or "").lower())
+            size += len(held[-1])
+            at += 1
+        apart = with_apart(held)
+        for i, text in enumerate(held):
+            found = set(text.split())
+            if i in apart:
+                found.update("-".join(re.findall(SIGN, m[0])) for m in APART.finditer(text))
+            yield found
+
+
 def tokens_of(text: str) -> set[str]:
-    """Distinct lower-case tokens, with runs of letters set apart put together."""
-    found = set(text.split())
-    found.update("-".join(re.findall(SIGN, m[0])) for m in APART.finditer(text))
-    return found
+    """Those of one text."""
+    return next(token_sets([text]))
 
 
 def features(word: str) -> list[str]:
@@ -157,11 +197,27 @@ def features(word: str) -> list[str]:
     return [f"{word}$", *(word[:k] for k in range(3, min(len(word), 8) + 1))]
 
 
+class Remembered(dict):
+    """What ``of`` gives for tokens, remembered for REMEMBERED tokens and those of one text."""
+
+    def __init__(self, of: Callable[[str], object]):
+        self.of = of
+
+    def __missing__(self, token: str) -> object:
+        found = self[token] = self.of(token)
+        return found
+
+    def of_text(self, tokens: set[str]) -> Iterator:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return map(self.__getitem__, tokens)
+
+
 class Evidence:
-    """The likelihood ratio of the strongest marker of each token, remembered for a bounded number of tokens."""
+    """The likelihood ratio of the strongest marker of each token."""
 
     def __init__(self, markers: dict[str, float], model: CharModel | None):
-        self.markers, self.model, self.known = markers, model, {}
+        self.markers, self.model, self.remembered = markers, model, Remembered(self.of)
         self.ends = {REPEATS.sub(r"\1", f.rstrip("$")) for f in markers}
         self.heads = {f.rstrip("$")[:3] for f in markers}
         self.beginnings = {f[:k] for f in self.ends for k in range(1, len(f) + 1)}
@@ -188,49 +244,30 @@ class Evidence:
             states = after
         return False
 
-    def plain(self, core: str) -> float:
-        """Of a word as it stands."""
-        return self.strongest([core]) if core[:3] in self.heads else 0.0
-
     def strongest(self, words: list[str]) -> float:
-        return max((self.markers[f] for w in words for f in features(w) if f in self.markers), default=0.0)
+        return max((self.markers[f] for w in words if w[:3] in self.heads for f in features(w) if f in self.markers), default=0.0)
 
     def of(self, token: str) -> float:
-        if (found := self.known.get(token)) is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            core = token.strip(ENDS)
-            if core.isalpha() and not DOUBLE.search(core):  # one word, with nothing to decode
-                found = self.plain(core)
-            else:
-                found = self.strongest(restored_words(token, None))
-                if not found and self.model is not None and any(map(self.leads_to_marker, disguised_forms(token))):
-                    found = self.strongest(restored_words(token, self.model))
-            self.known[token] = found
+        core = without_tail(token).strip(ENDS)
+        if core.isalpha():  # one word, and nothing to decode but repeated letters
+            found = self.strongest([core]) if core[:3] in self.heads else 0.0
+            if not found and self.model is not None and DOUBLE.search(core) and self.leads_to_marker(core):
+                found = self.strongest(decode(core, self.model).split())
+            return found
+        found = self.strongest(restored_words(token, None))
+        if not found and self.model is not None and any(map(self.leads_to_marker, disguised_forms(token))):
+            found = self.strongest(restored_words(token, self.model))
         return found
 
     def row(self, text: str) -> list[float]:
-        text = text.lower()
-        tokens = tokens_of(text)
-        hits = [e for t in tokens if (e := self.of(t)) > 0]
-        n = len(tokens)
-        return [1.0, sum(hits), max(hits, default=0.0), float(len(hits)), 100 * len(hits) / (n + 10), log(n + 1)]
-
-
-class Words:
-    """The words of a text as they stand; those of each token are remembered for a bounded number of tokens."""
-
-    def __init__(self):
-        self.known: dict[str, tuple[str, ...]] = {}
-
-    def of(self, text: str) -> set[str]:
-        out: set[str] = set()
-        for t in tokens_of(text.lower()):
-            if (found := self.known.get(t)) is None:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                found = self.known[t] = tuple(restored_words(t, None))
-            out.update(found)
+        return self.rows([text])[0]
+
+    def rows(self, texts: list[str | None]) -> list[list[float]]:
+        out = []
+        for tokens in token_sets(texts):
+            hits = list(filter(None, self.remembered.of_text(tokens)))
+            n = len(tokens)
+            out.append([1.0, fsum(hits), max(hits, default=0.0), float(len(hits)), 100 * len(hits) / (n + 10), log(n + 1)])
         return out
 
 
@@ -278,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
 
     def of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts of each class (empty name), toxic texts with each feature, and texts with each word as letter trigrams (after a tab)."""
-        words, seen, spelt, sizes = Words(), Counter(), Counter(), [0, 0]
+        words, seen, spelt, sizes = Remembered(plain_words), Counter(), Counter(), [0, 0]
 
         def letters() -> pa.RecordBatch:
             out = Counter()
@@ -288,8 +325,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
             return batch_of([(f"\t{t}", n, 0) for t, n in out.items()])
 
         for batch in batches:
-            for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found = words.of(text)
+            for toxic, tokens in zip(batch.column(1).to_pylist(), token_sets(batch.column(2).to_pylist())):
+                found = set().union(*words.of_text(tokens))
                 spelt.update(found)
                 sizes[1 if toxic else 0] += 1
                 if toxic:
@@ -305,19 +342,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
 
     def of_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Clean texts with each feature that is wanted."""
-        words, seen, held = Words(), Counter(), {}
+        seen, held = Counter(), Remembered(lambda t: tuple(wanted[f] for w in plain_words(t) for f in features(w) if f in wanted))
         for batch in batches:
-            for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if toxic:
-                    continue
-                found = set()
-                for w in words.of(text):
-                    if (of_word := held.get(w)) is None:
-                        if len(held) > REMEMBERED:
-                            held.clear()
-                        of_word = held[w] = tuple(f for f in features(w) if f in wanted)
-                    found.update(of_word)
-                seen.update(found)
+            clean = [text for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()) if not toxic]
+            for tokens in token_sets(clean):
+                seen.update(set().union(*held.of_text(tokens)))
         yield batch_of([(f, 0, n) for f, n in seen.items()])
 
     def counted(f) -> DataFrame:
@@ -330,7 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     spelling = F.col("f").startswith("\t")
     often = first.where(~spelling & F.expr("f <> '' and toxic >= 3"))
     # what is collected from here on grows with the different words of toxic texts and with the trigrams of letters, not with the rows
-    wanted = {r["f"] for r in often.select("f").collect()}
+    wanted = {r["f"]: r["f"] for r in often.select("f").collect()}
     both = often.unionByName(counted(of_clean)).groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     p, q = F.col("toxic") / F.lit(n["toxic"]), (F.col("clean") + 0.5) / F.lit(n["clean"] + 1.0)
     share = (F.col("toxic") + F.col("clean")) / F.lit(float(n["toxic"] + n["clean"]))
@@ -347,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Evidence(markers, model)
         for batch in batches:
-            x = [known.row(t) for t in batch.column(2).to_pylist()]
+            x = known.rows(batch.column(2).to_pylist())
             y = [1.0 if t else 0.0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.float64()), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -366,7 +395,7 @@ def keep_clean(docs: DataFrame, learned: dict | None, threshold: float = THRESHO
         known = found and Evidence(found["markers"], CharModel(found["letters"]))
         for batch in batches:
             if found and batch.num_rows:
-                x = np.array([known.row(t or "") for t in batch.column(at).to_pylist()]) / found["scale"]
+                x = np.array(known.rows(batch.column(at).to_pylist())) / found["scale"]
                 batch = batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ found["weights"], -30, 30))) < threshold))
             yield batch
 
@@ -392,7 +421,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
         for batch in batches:
             texts = batch.column(1).to_pylist()
             if found and texts:
-                x = np.array([known.row(t or "") for t in texts]) / found["scale"]
+                x = np.array(known.rows(texts)) / found["scale"]
                 p = 1 / (1 + np.exp(-np.clip(x @ found["weights"], -30, 30)))
             else:
                 p = np.zeros(len(texts))

@@ -770,3 +770,38 @@ def test_lm_keys_are_probed_together_and_once(spark, monkeypatch):
     assert sum(asked) < 1.2 * 3250
     small = lm_score.Remembered(held.steps, 3)  # most keys share a slot
     assert all((small(k) == w).all() for k, w in zip(keys, wanted))
+
+
+def test_letters_set_apart_are_looked_for_only_where_they_are(monkeypatch):
+    import random
+
+    from tessera.llm import toxicity
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ab3@$_ -.é€²\n", k=rng.randrange(40))) for _ in range(2000)] + [None, "", "a", "a b", "x a b", "a b c", "you i d i o t"]
+    found = [[m[0] for m in toxicity.APART.finditer((t or "").lower())] for t in texts]
+    want = [set((t or "").lower().split()) | {"-".join(re.findall(toxicity.SIGN, m)) for m in f} for t, f in zip(texts, found)]
+    searched = []
+
+    class Counted:
+        def finditer(self, text, of=toxicity.APART):
+            searched.append(text)
+            return of.finditer(text)
+
+    monkeypatch.setattr(toxicity, "APART", Counted())
+    monkeypatch.setattr(toxicity, "SEARCHED", 500)
+    assert list(toxicity.token_sets(texts)) == want
+    assert searched == [t.lower() for t, f in zip(texts, found) if f]
+
+
+def test_evidence_of_tokens_does_not_depend_on_what_is_remembered(monkeypatch):
+    from tessera.llm import toxicity
+
+    model = toxicity.CharModel.of_words({"idiot": 50, "scum": 50, "the": 90})
+    markers = {"idiot$": 3.0, "idi": 2.0, "scum": 4.0}
+    texts = ["The 1d10t!!", "iidiott, s-c-u-m###", "the idea", "you i d i o t", None, "scumm... idiot"] * 3
+    whole = toxicity.Evidence(markers, model).rows(texts)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 2)
+    monkeypatch.setattr(toxicity, "SEARCHED", 10)
+    assert toxicity.Evidence(markers, model).rows(texts) == whole
+    assert [r[2] for r in whole[:6]] == [3.0, 4.0, 0.0, 3.0, 0.0, 4.0]
