@@ -34,12 +34,13 @@ FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)], U64)
 SHORT = 8
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first text, texts) of at most CHUNK bytes or one text each; null is empty."""
+def chunks(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first text, texts) of at most ``most`` (CHUNK) bytes or one text each; null is empty."""
+    most = most or CHUNK
     held, size, first = [], 0, 0
     for i, t in enumerate(column.cast(pa.binary())):
         t = t.as_py() or b""
-        if held and size + len(t) > CHUNK:
+        if held and size + len(t) > most:
             yield first, held
             held, size, first = [], 0, i
         held.append(t)

@@ -50,6 +50,8 @@ MOST_SEGMENTS, FREQUENT, SHIPPED_AT_ONCE = 128, 1 << 19, 8
 #: Bytes of text whose distinct keys are asked for together where the filter is not broadcast, but for a longer single text.
 ASKED_AT_ONCE = 8 << 20
 TOKENS_AT_ONCE = 1 << 21
+#: Bytes of text that are scored together, but for a longer single text: words that they share are looked up once.
+SCORED_AT_ONCE = 2 << 20
 
 #: Answers of the filter that a worker remembers, and keys that are probed in one segment together.
 REMEMBERED, PROBED_AT_ONCE, STEPS_AT_ONCE = 1 << 21, 1 << 20, 1 << 14
@@ -168,7 +170,7 @@ class Filter:
     def shipped(cls, name: str, n: int, first: int) -> Filter:
         """The filter of a file that came with the job, mapped: the workers of a machine share its pages."""
         out = cls.__new__(cls)
-        out.held, out.n, out.first = np.memmap(SparkFiles.get(name), np.uint8, "r"), n, first
+        out.held, out.n, out.first = np.asarray(np.memmap(SparkFiles.get(name), np.uint8, "r")), n, first
         return out
 
     def has(self, keys: np.ndarray, step: int | np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
@@ -199,7 +201,9 @@ class Filter:
     def steps(self, keys: np.ndarray) -> np.ndarray:
         """The quantised count of each key: the steps for which probes succeed, from 1 on."""
         out = np.zeros(len(keys), np.int64)
-        left, base = np.arange(len(keys)), self.starts(keys)
+        segment = segment_of(keys, self.n)
+        left = np.argsort(segment.astype(np.uint16) if self.n <= 1 << 16 else segment, kind="stable")  # probes of neighbours lie near each other
+        keys, base = keys[left], segment[left] * (SEGMENT_BITS // 8)
         step = 1
         while len(left) and step < MOST_STEPS:
             many = 1 if step == 1 else max(1, min(64, STEPS_AT_ONCE // len(left)))  # of few keys several steps at once
@@ -214,7 +218,7 @@ class Filter:
 
 
 class Remembered:
-    """The answers of ``look``, of which the last for each of ``size`` slots of words and as many of pairs is kept: frequent words and pairs are looked up once."""
+    """The answers of ``look``, of which one for each of ``size`` slots of words and as many of pairs is kept, the last of those with the most steps: these took the most probes, and frequent words and pairs are looked up once."""
 
     def __init__(self, look: Callable[[np.ndarray], np.ndarray], size: int | None = None):
         self.look, self.size = look, size or REMEMBERED
@@ -226,6 +230,7 @@ class Remembered:
         missed = np.flatnonzero(out == 0)
         out[missed] = self.look(keys[missed])
         found = missed[out[missed] > 0]
+        found = found[out[found] >= self.held[slot[found]]]
         at = slot[found]
         self.keys[at] = keys[found]
         kept = self.keys[at] == keys[found]  # of several keys for a slot the one that was written last
@@ -498,7 +503,7 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
             look = shipped_steps(shipped, n_segments, first)
             for batch in batches:
                 ids = batch.column(0).cast(pa.int64())
-                for at, texts in chunks(batch.column(1)):
+                for at, texts in chunks(batch.column(1), SCORED_AT_ONCE):
                     yield from of_texts(row + at + np.arange(len(texts)), ids.slice(at, len(texts)), texts, look)
                 row += len(ids)
 

@@ -805,3 +805,39 @@ def test_evidence_of_tokens_does_not_depend_on_what_is_remembered(monkeypatch):
     monkeypatch.setattr(toxicity, "SEARCHED", 10)
     assert toxicity.Evidence(markers, model).rows(texts) == whole
     assert [r[2] for r in whole[:6]] == [3.0, 4.0, 0.0, 3.0, 0.0, 4.0]
+
+
+def test_remembered_answers_that_took_many_probes_stay():
+    asked = []
+
+    def look(keys):
+        asked.extend(keys.tolist())
+        return np.where(keys < 8, 50, np.where(keys < 500, 1, 0)).astype(np.int64)
+
+    known = lm_score.Remembered(look, 8)
+    often, rare = np.arange(8, dtype=np.uint64), np.arange(8, 900, dtype=np.uint64)
+    assert known(often).tolist() == [50] * 8
+    assert known(rare).tolist() == look(rare).tolist()
+    asked.clear()
+    assert known(often).tolist() == [50] * 8 and asked == []  # one slot each, that no word of fewer steps takes
+    assert known(np.array([3, 400, 700, 3], np.uint64)).tolist() == [50, 1, 0, 50] and asked == [400, 700]
+
+
+def test_filter_steps_come_in_the_order_of_the_keys():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) | (rng.integers(0, 2, 3000).astype(np.uint64) << np.uint64(63))
+    step = rng.integers(1, 90, len(keys))
+    segments, n = [], 5
+    for i in range(n):
+        of = lm_score.segment_of(keys, n) == i
+        bits = np.zeros(lm_score.SEGMENT_BITS, bool)
+        for s in range(1, 90):
+            h, d = lm_score.hashed(keys[of & (step >= s)], s)
+            for k in range(20 if s == 1 else lm_score.PROBES):
+                bits[lm_score.place(h, d, k)] = True
+        segments.append(np.packbits(bits, bitorder="little"))
+    model = lm_score.Filter(segments, 20)
+    got = model.steps(keys)
+    assert (got >= step).all() and (got == step).mean() > 0.99
+    assert [int(model.steps(keys[i : i + 1])[0]) for i in range(40)] == got[:40].tolist()
+    assert model.steps(keys[::-1]).tolist() == got[::-1].tolist()
